@@ -26,9 +26,17 @@ def weekday(c: str | Column) -> Column:
     return F.weekday(col(c))
 
 
+def fixed_text(c: str | Column, digits: int = 1) -> Column:
+    """Python ``f'{x:.1f}'``: ``format_number`` rounds half-even on the exact
+    binary value like Python does (``format_string`` and ``bround`` work on
+    the shortest decimal form and differ, e.g. 0.35 -> 0.4); the grouping
+    commas it inserts are removed."""
+    return F.regexp_replace(F.format_number(col(c), digits), ",", "")
+
+
 def pct_text(c: str | Column, digits: int = 1) -> Column:
-    """Python ``f'{x:.1f}%'`` (half-even): ``bround`` then format."""
-    return F.concat(F.format_string(f"%.{digits}f", F.bround(col(c), digits)), F.lit("%"))
+    """Python ``f'{x:.1f}%'``."""
+    return F.concat(fixed_text(c, digits), F.lit("%"))
 
 
 def trunc_int(c: str | Column) -> Column:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardwise.functions.columns import clip, trunc_int
+from wardwise.functions.columns import clip, pct_text, trunc_int
 from wardwise.sources import dims
 
 
@@ -107,7 +107,7 @@ def alc_report(df: DataFrame) -> DataFrame:
                  F.col("lives_alone").cast("boolean").alias("lives_alone"),
                  F.col("has_caregiver").cast("boolean").alias("has_caregiver")).alias("patient_summary"),
         F.round("alc_risk_score", 4).alias("alc_risk_score"),
-        F.concat(F.format_string("%.1f", F.bround("alc_risk_pct", 1)), F.lit("%")).alias("alc_risk_pct"),
+        pct_text("alc_risk_pct").alias("alc_risk_pct"),
         "risk_level", "risk_colour", "recommendation",
         F.transform("top_factors", lambda s: F.struct(s["factor"].alias("factor"),
                                                        s["contribution"].alias("contribution")))

@@ -188,8 +188,8 @@ SELECT visit_date, hospital, ed_visits, surge_threshold, predicted_visits FROM s
 
     "surge_risk_score": w(ED, HOL, RULE_IN, PRED.format(src="ri")) + f"""
 SELECT visit_date, hospital, predicted_visits, thr AS surge_threshold, {SCORE_COLS},
-       printf('%.1f', round_even(predicted_visits / base * 100e0, 1)) || '%' AS capacity_pct,
-       printf('%.1f', round_even(score * 100e0, 1)) || '%' AS surge_risk_pct
+       printf('%.1f', predicted_visits / base * 100e0) || '%' AS capacity_pct,
+       printf('%.1f', score * 100e0) || '%' AS surge_risk_pct
 FROM sc""",
 
     "surge_grid": w(ED, """

@@ -8,18 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from wardwise.plans import surge
+    from wardwise.plans import alc, surge
 
     out: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-    for mod in (surge,):
+    for mod in (surge, alc):
         out.update(mod.QUERIES)
     return out
 
 
 def oracle_sql() -> dict[str, str]:
-    from wardwise.plans import oracle_surge
+    from wardwise.plans import oracle_alc, oracle_surge
 
     out: dict[str, str] = {}
-    for mod in (oracle_surge,):
+    for mod in (oracle_surge, oracle_alc):
         out.update(mod.ORACLE)
     return out

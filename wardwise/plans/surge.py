@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wardwise.functions.columns import band, r6
+from wardwise.functions.columns import pct_text, r6
 from wardwise.functions.rules import expected_volume, flag_surge, predicted_visits, surge_risk_score
 from wardwise.operators import forecast as fcast
 from wardwise.operators.joins import with_holiday, with_holiday_window
@@ -157,9 +157,8 @@ def q_surge_risk_score(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("visit_date", "hospital", "predicted_visits", "surge_threshold",
                     r6(F.round("surge_risk_score", 4)).alias("surge_risk_score"),
                     "surge_flag", "risk_level",
-                    F.concat(F.format_string("%.1f", F.bround("capacity_pct", 1)), F.lit("%")).alias("capacity_pct"),
-                    F.concat(F.format_string("%.1f", F.bround(F.col("surge_risk_score") * 100.0, 1)), F.lit("%"))
-                    .alias("surge_risk_pct"))
+                    pct_text("capacity_pct").alias("capacity_pct"),
+                    pct_text(F.col("surge_risk_score") * 100.0).alias("surge_risk_pct"))
 
 
 def q_surge_grid(spark: SparkSession, sf: str) -> DataFrame:
