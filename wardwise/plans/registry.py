@@ -8,18 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from wardwise.plans import alc, surge
+    from wardwise.plans import alc, rx, surge
 
     out: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-    for mod in (surge, alc):
+    for mod in (surge, alc, rx):
         out.update(mod.QUERIES)
     return out
 
 
 def oracle_sql() -> dict[str, str]:
-    from wardwise.plans import oracle_alc, oracle_surge
+    from wardwise.plans import oracle_alc, oracle_rx, oracle_surge
 
     out: dict[str, str] = {}
-    for mod in (oracle_surge, oracle_alc):
+    for mod in (oracle_surge, oracle_alc, oracle_rx):
         out.update(mod.ORACLE)
     return out
