@@ -1,21 +1,29 @@
 """Forecasting (F1-F5): seasonal-index model, n-day forecast, flags, back-test.
 
-The reference fits one model per site in a Python loop. Here every site is
-fitted in one plan: the daily history (one row per site and calendar day,
-so a site's group is bounded by the calendar) is reduced by grouped
-aggregates into small model tables, and the forecast is a day spine joined
-to those tables.
-
-Model (multiplicative): yhat(d) = (a + b t) x dow_idx[wd] x month_idx[m] x
-(holiday_idx if d is in a holiday window), with t = days since 2000-01-01,
-a, b = least-squares trend, indices = group mean / site mean, holiday index =
-mean of y / non-holiday fit over holiday-window days, and interval
-yhat -/+ z(0.95) x population std of the in-sample residuals.
+The reference fits one model per site in a Python loop. Here all sites are
+fitted in one plan, built on sufficient statistics:
+
+1. The daily history is reduced to *cells* (site, weekday, month,
+   in-holiday-window) holding n, sum y, sum t, sum t^2, sum t*y, sum y^2.
+   That is one grouped aggregate with partial aggregation; a site has at
+   most 7 x 12 x 2 = 168 cells whatever the length of its history.
+2. Trend, weekday / month / holiday indices and the residual variance are
+   closed-form functions of the cell sums, computed with windows over a
+   site's cells (bounded at 168 rows) and one grouped aggregate that needs
+   no further shuffle.
+3. The model is one row per site (weekday and month indices as arrays), so
+   the forecast spine is a per-site ``explode`` with no join.
+
+Model (multiplicative): yhat(d) = (a + b t) x D[weekday] x M[month] x
+(H if d is in a holiday window), t = days since 2000-01-01, (a, b) the
+least-squares trend, D / M = group mean / site mean, H = sum of y / sum of the
+non-holiday fit over holiday-window days, interval yhat -/+ z(0.95) x the
+population std of the in-sample residuals.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardwise.functions.rules import horizon_tier
@@ -35,58 +43,77 @@ def prepare_history(hist: DataFrame, holidays: DataFrame, site: str = "hospital"
     return with_holiday_window(h, holidays, "ds").drop("hol_m1", "hol_0", "hol_p1")
 
 
-def fit_seasonal_index(h: DataFrame) -> dict[str, DataFrame]:
-    """per-site trend, weekday / month / holiday indices and residual std.
+def cell_sums(h: DataFrame) -> DataFrame:
+    """Step 1: sufficient statistics per (site, weekday, month, in_window)."""
+    t, y = F.col("t").cast("double"), F.col("y")
+    return h.groupBy("hospital", "weekday", "month", "in_window").agg(
+        F.count(F.lit(1)).cast("double").alias("n"), F.sum(y).alias("sy"), F.sum(t).alias("st"),
+        F.sum(t * t).alias("stt"), F.sum(t * y).alias("sty"), F.sum(y * y).alias("syy"),
+        F.max("ds").alias("last"))
 
-    Returns {"site": one row per site, "dow": (site, weekday), "month": (site, month)}.
+
+def _site_sum(c: str) -> Column:
+    return F.sum(c).over(Window.partitionBy("hospital"))
+
+
+def fit_seasonal_index(h: DataFrame) -> DataFrame:
+    """one model row per site.
+
+    Columns: hospital, n_days, base, slope, intercept, holiday_idx, resid_sd,
+    last_date, dow_idx (array of 7, Monday first), month_idx (array of 12).
     """
-    site = h.groupBy("hospital").agg(
-        F.avg("y").alias("base"),
-        F.regr_slope("y", "t").alias("slope"),
-        F.regr_intercept("y", "t").alias("intercept"),
-        F.max("ds").alias("last_date"),
-        F.count(F.lit(1)).alias("n_days"))
-    dow = h.groupBy("hospital", "weekday").agg(F.avg("y").alias("dow_mean"))
-    mon = h.groupBy("hospital", "month").agg(F.avg("y").alias("month_mean"))
-    dow = dow.join(site.select("hospital", "base"), "hospital") \
-        .select("hospital", "weekday", (F.col("dow_mean") / F.col("base")).alias("dow_idx"))
-    mon = mon.join(site.select("hospital", "base"), "hospital") \
-        .select("hospital", "month", (F.col("month_mean") / F.col("base")).alias("month_idx"))
-    fit0 = (h.join(site.select("hospital", "slope", "intercept"), "hospital")
-            .join(dow, ["hospital", "weekday"]).join(mon, ["hospital", "month"])
-            .withColumn("fit0", (F.col("intercept") + F.col("slope") * F.col("t"))
-                        * F.col("dow_idx") * F.col("month_idx")))
-    hol = fit0.groupBy("hospital").agg(
-        F.coalesce(F.avg(F.when(F.col("in_window") == 1, F.col("y") / F.col("fit0"))), F.lit(1.0))
-        .alias("holiday_idx"))
-    fitted = fit0.join(hol, "hospital").withColumn(
-        "fit", F.col("fit0") * F.when(F.col("in_window") == 1, F.col("holiday_idx")).otherwise(F.lit(1.0)))
-    sd = fitted.groupBy("hospital").agg(F.stddev_pop(F.col("y") - F.col("fit")).alias("resid_sd"))
-    return {"site": site.join(hol, "hospital").join(sd, "hospital"), "dow": dow, "month": mon,
-            "fitted": fitted}
-
-
-def forecast(model: dict[str, DataFrame], holidays: DataFrame, periods: int = 30) -> DataFrame:
+    c = cell_sums(h)
+    n, sy, st, stt, sty = (_site_sum(x) for x in ("n", "sy", "st", "stt", "sty"))
+    c = (c.withColumn("n_site", n).withColumn("base", sy / n)
+         .withColumn("slope", (n * sty - st * sy) / (n * stt - st * st)))
+    c = c.withColumn("intercept", (_site_sum("sy") - F.col("slope") * _site_sum("st")) / F.col("n_site"))
+    wd = Window.partitionBy("hospital", "weekday")
+    mo = Window.partitionBy("hospital", "month")
+    c = (c.withColumn("D", F.sum("sy").over(wd) / F.sum("n").over(wd) / F.col("base"))
+         .withColumn("M", F.sum("sy").over(mo) / F.sum("n").over(mo) / F.col("base")))
+    a, b = F.col("intercept"), F.col("slope")
+    # sum over the cell's rows of the non-holiday fit (a + b t) D M
+    c = c.withColumn("F0", F.col("D") * F.col("M") * (a * F.col("n") + b * F.col("st")))
+    hol = F.col("in_window") == 1
+    c = c.withColumn("H", F.coalesce(
+        F.sum(F.when(hol, F.col("sy"))).over(Window.partitionBy("hospital"))
+        / F.sum(F.when(hol, F.col("F0"))).over(Window.partitionBy("hospital")), F.lit(1.0)))
+    k = F.col("D") * F.col("M") * F.when(hol, F.col("H")).otherwise(F.lit(1.0))
+    lin_y = a * F.col("sy") + b * F.col("sty")  # sum (a + b t) y
+    lin_sq = a * a * F.col("n") + 2 * a * b * F.col("st") + b * b * F.col("stt")  # sum (a + b t)^2
+    c = (c.withColumn("rss", F.col("syy") - 2 * k * lin_y + k * k * lin_sq)
+         .withColumn("r1", F.col("sy") - k * (a * F.col("n") + b * F.col("st"))))
+    first = ["n_site", "base", "slope", "intercept", "H"]
+    agg = c.groupBy("hospital").agg(
+        *[F.first(x).alias(x) for x in first],
+        F.sum("rss").alias("_rss"), F.sum("r1").alias("_r1"), F.max("last").alias("last_date"),
+        F.array(*[F.max(F.when(F.col("weekday") == i, F.col("D"))) for i in range(7)]).alias("dow_idx"),
+        F.array(*[F.max(F.when(F.col("month") == i, F.col("M"))) for i in range(1, 13)]).alias("month_idx"))
+    var = F.col("_rss") / F.col("n_site") - (F.col("_r1") / F.col("n_site")) ** 2
+    return agg.select("hospital", F.col("n_site").cast("bigint").alias("n_days"), "base", "slope", "intercept",
+                      F.col("H").alias("holiday_idx"), F.sqrt(F.greatest(var, F.lit(0.0))).alias("resid_sd"),
+                      "last_date", "dow_idx", "month_idx")
+
+
+def forecast(model: DataFrame, holidays: DataFrame, periods: int = 30) -> DataFrame:
     """F2 + P5: ``periods`` days after each site's last observed day.
 
-    The spine is (site x periods) rows built from the one-row-per-site model
-    table; only future days exist, so P5's 'later than history' cut is built in.
+    The spine is exploded from the one-row-per-site model, so only future
+    days exist (P5's 'later than history' cut is built in) and the indices
+    are array lookups, not joins.
     """
     if not 1 <= periods <= 3660:
         raise ValueError("periods must be between 1 and 3660")
-    s = model["site"]
-    spine = s.select("hospital", "base", "slope", "intercept", "holiday_idx", "resid_sd",
-                     F.explode(F.sequence(F.date_add("last_date", 1), F.date_add("last_date", periods)))
-                     .alias("ds"))
-    spine = (spine.withColumn("t", F.datediff("ds", F.lit(ORIGIN)))
-             .withColumn("weekday", F.weekday("ds")).withColumn("month", F.month("ds")))
-    spine = with_holiday_window(spine, holidays, "ds").drop("hol_m1", "hol_0", "hol_p1")
-    fc = (spine.join(model["dow"], ["hospital", "weekday"], "left")
-          .join(model["month"], ["hospital", "month"], "left"))
-    yhat = ((F.col("intercept") + F.col("slope") * F.col("t"))
-            * F.coalesce("dow_idx", F.lit(1.0)) * F.coalesce("month_idx", F.lit(1.0))
-            * F.when(F.col("in_window") == 1, F.col("holiday_idx")).otherwise(F.lit(1.0)))
-    return (fc.withColumn("yhat", yhat)
+    spine = model.select("hospital", "base", "slope", "intercept", "holiday_idx", "resid_sd", "dow_idx",
+                         "month_idx", F.explode(F.sequence(F.date_add("last_date", 1),
+                                                           F.date_add("last_date", periods))).alias("ds"))
+    spine = with_holiday_window(spine, holidays, "ds")
+    t = F.datediff("ds", F.lit(ORIGIN))
+    dow = F.coalesce(F.element_at("dow_idx", F.weekday("ds") + 1), F.lit(1.0))
+    mon = F.coalesce(F.element_at("month_idx", F.month("ds")), F.lit(1.0))
+    hol = F.when(F.col("in_window") == 1, F.col("holiday_idx")).otherwise(F.lit(1.0))
+    yhat = (F.col("intercept") + F.col("slope") * t) * dow * mon * hol
+    return (spine.withColumn("yhat", yhat)
             .withColumn("yhat_lower", F.col("yhat") - F.lit(Z90) * F.col("resid_sd"))
             .withColumn("yhat_upper", F.col("yhat") + F.lit(Z90) * F.col("resid_sd"))
             .select("hospital", "ds", "yhat", "yhat_lower", "yhat_upper", "base"))
@@ -119,15 +146,13 @@ def backtest(h: DataFrame, holidays: DataFrame, holdout: int = 30) -> DataFrame:
     """hold out each site's last ``holdout`` days, fit on the rest, score.
 
     Returns per site: n, MAE, MAPE (%) and the share of held-out days inside
-    the 90% interval.
+    the 90% interval. A site's window holds one row per calendar day.
     """
-    last = h.groupBy("hospital").agg(F.max("ds").alias("_last"))
-    tagged = h.join(last, "hospital").withColumn(
-        "_test", F.col("ds") > F.date_sub("_last", holdout))
-    train = tagged.filter(~F.col("_test")).drop("_last", "_test")
+    tagged = h.withColumn("_test", F.col("ds") > F.date_sub(F.max("ds").over(Window.partitionBy("hospital")),
+                                                              holdout))
+    train = tagged.filter(~F.col("_test")).drop("_test")
     test = tagged.filter(F.col("_test")).select("hospital", "ds", F.col("y").alias("actual"))
-    model = fit_seasonal_index(train)
-    fc = forecast(model, holidays, periods=holdout)
+    fc = forecast(fit_seasonal_index(train), holidays, periods=holdout)
     j = fc.join(test, ["hospital", "ds"])
     err = F.col("actual") - F.col("yhat")
     return j.groupBy("hospital").agg(

@@ -15,17 +15,23 @@ def broadcast_limit(df: DataFrame) -> int:
     return int(value) if value else DEFAULT_BROADCAST_ROWS
 
 
+_CHECKED: dict[tuple[str, int, int], bool] = {}
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int | None = None) -> DataFrame:
     """Broadcast ``df`` only if it provably has at most ``max_rows`` rows.
 
     The check is a ``limit(max_rows + 1).count()``, which stops scanning
     once the limit is reached. Beyond the bound the frame is returned as is
-    and the planner (with AQE) falls back to a shuffle join.
+    and the planner (with AQE) falls back to a shuffle join. The answer is
+    remembered per application and logical plan, so repeated plans over the
+    same dimension do not re-run the check.
     """
     limit = broadcast_limit(df) if max_rows is None else max_rows
-    if df.limit(limit + 1).count() <= limit:
-        return F.broadcast(df)
-    return df
+    key = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), limit)
+    if key not in _CHECKED:
+        _CHECKED[key] = df.limit(limit + 1).count() <= limit
+    return F.broadcast(df) if _CHECKED[key] else df
 
 
 def lookup(df: DataFrame, dim: DataFrame, key: str | list[str], how: str = "inner") -> DataFrame:

@@ -20,8 +20,7 @@ ev AS (
   FROM v JOIN b ON v.hospital = b.hospital)"""
 
 HOL = """
-yr AS (SELECT unnest(range(y0, y1 + 1)) AS y
-       FROM (SELECT min(year(visit_date)) AS y0, max(year(visit_date)) + 1 AS y1 FROM v)),
+yr AS (SELECT unnest(range(1900, 2101)) AS y),
 hol AS (SELECT make_date(CAST(y AS INTEGER), m, d) AS ds
         FROM yr, (VALUES (1, 1), (7, 1), (12, 25), (12, 26)) md(m, d)),
 hw AS (
@@ -79,7 +78,8 @@ f0 AS (
   FROM h JOIN site ON h.hospital = site.hospital
          JOIN dw ON h.hospital = dw.hospital AND h.weekday = dw.weekday
          JOIN mo ON h.hospital = mo.hospital AND h.month = mo.month),
-hi AS (SELECT hospital, coalesce(avg(CASE WHEN in_window = 1 THEN y / fit0 END), 1e0) AS holiday_idx
+hi AS (SELECT hospital, coalesce(sum(CASE WHEN in_window = 1 THEN y END)
+                                   / sum(CASE WHEN in_window = 1 THEN fit0 END), 1e0) AS holiday_idx
        FROM f0 GROUP BY hospital),
 sd AS (
   SELECT f0.hospital, stddev_pop(y - fit0 * CASE WHEN in_window = 1 THEN hi.holiday_idx ELSE 1e0 END) AS resid_sd

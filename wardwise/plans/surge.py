@@ -18,7 +18,9 @@ def _visits(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _holidays(v: DataFrame) -> DataFrame:
-    return dims.holidays_for(v, "visit_date", extra_years=1)
+    """Holiday table over a fixed calendar span (a literal dimension: at most
+    4 x 201 rows, so broadcasting it never depends on the data)."""
+    return dims.holidays(v.sparkSession, dims.HOLIDAY_YEARS[0], dims.HOLIDAY_YEARS[1])
 
 
 def q_surge_flag(spark: SparkSession, sf: str) -> DataFrame:
@@ -192,18 +194,22 @@ def _model(spark: SparkSession, sf: str):
 
 
 def q_seasonal_index(spark: SparkSession, sf: str) -> DataFrame:
-    """fitted per-site trend, indices and residual std (long form)."""
+    """fitted per-site trend, indices and residual std (long form, one pass)."""
     _, _, m = _model(spark, sf)
-    s = m["site"]
-    site_rows = s.select("hospital", F.lit("trend").alias("component"), F.lit(0).alias("k"),
-                         r6("slope").alias("value"), r6("intercept").alias("value2"))
-    extra = s.select("hospital", F.lit("site").alias("component"), F.lit(0).alias("k"),
-                     r6("holiday_idx").alias("value"), r6("resid_sd").alias("value2"))
-    dow = m["dow"].select("hospital", F.lit("weekday").alias("component"), F.col("weekday").alias("k"),
-                          r6("dow_idx").alias("value"), F.lit(None).cast("double").alias("value2"))
-    mon = m["month"].select("hospital", F.lit("month").alias("component"), F.col("month").alias("k"),
-                            r6("month_idx").alias("value"), F.lit(None).cast("double").alias("value2"))
-    return site_rows.unionByName(extra).unionByName(dow).unionByName(mon)
+    none = F.lit(None).cast("double")
+
+    def row(component, k, value, value2):
+        return F.struct(F.lit(component).alias("component"), k.cast("int").alias("k"),
+                        value.alias("value"), value2.alias("value2"))
+
+    rows = F.concat(
+        F.array(row("trend", F.lit(0), F.col("slope"), F.col("intercept")),
+                row("site", F.lit(0), F.col("holiday_idx"), F.col("resid_sd"))),
+        F.transform("dow_idx", lambda v, i: row("weekday", i, v, none)),
+        F.transform("month_idx", lambda v, i: row("month", i + 1, v, none)))
+    out = m.select("hospital", F.inline(rows))
+    out = out.filter(F.col("value").isNotNull() | (F.col("component") == "site"))
+    return out.select("hospital", "component", "k", r6("value").alias("value"), r6("value2").alias("value2"))
 
 
 def q_surge_forecast(spark: SparkSession, sf: str, periods: int = 30) -> DataFrame:
@@ -248,6 +254,17 @@ def q_forecast_backtest(spark: SparkSession, sf: str) -> DataFrame:
                      r6("coverage").alias("coverage"))
 
 
+def q_surge_forecast_fourier(spark: SparkSession, sf: str, periods: int = 30) -> DataFrame:
+    """piecewise-trend + Fourier + holiday ridge forecast on log visits."""
+    from wardwise.operators.fourier import forecast_fourier
+
+    v = _visits(spark, sf)
+    hol = _holidays(v)
+    fc = forecast_fourier(fcast.prepare_history(v, hol), hol, periods)
+    return fc.select("hospital", "ds", r6("yhat").alias("yhat"), r6("yhat_lower").alias("yhat_lower"),
+                     r6("yhat_upper").alias("yhat_upper"))
+
+
 QUERIES = {
     "surge_flag": q_surge_flag,
     "calendar_features": q_calendar_features,
@@ -271,4 +288,5 @@ QUERIES = {
     "surge_days": q_surge_days,
     "surge_summary": q_surge_summary,
     "forecast_backtest": q_forecast_backtest,
+    "surge_forecast_fourier": q_surge_forecast_fourier,
 }

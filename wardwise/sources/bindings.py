@@ -86,20 +86,27 @@ def _bool(c) -> F.Column:
 
 
 def admissions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One admission per order (patient_id = o_orderkey) with ``alc_prob_raw``.
+    """One admission per order (patient_id = o_orderkey) with ``alc_prob_raw``."""
+    o = table(spark, sf_dir, "orders")
+    cs = bounded_broadcast(customer_sites(spark, sf_dir).select("c_custkey", "hospital"))
+    return admissions_from(o, cs)
+
+
+def admissions_from(orders: DataFrame, sites: DataFrame) -> DataFrame:
+    """Admission attributes of an orders frame (batch or stream) joined to
+    customer sites (``c_custkey``, ``hospital``).
 
     All attributes are arithmetic on the keys (FIXTURES.md); ``noise`` is an
     input column of the label formula (D4).
     """
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    cs = bounded_broadcast(customer_sites(spark, sf_dir).select("c_custkey", "hospital"))
+    o = orders.select("o_orderkey", "o_custkey")
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     diag = F.when((k * 3 + c) % 10 == 0, "Hip Fracture")
     for i, name in enumerate(["Stroke", "Dementia", "COPD", "CHF", "Pneumonia", "UTI", "Sepsis",
                               "Elective Surgery"], start=1):
         diag = diag.when((k * 3 + c) % 10 == i, name)
     diag = diag.otherwise("Other")
-    a = (o.join(cs, o.o_custkey == cs.c_custkey)
+    a = (o.join(sites, o.o_custkey == sites.c_custkey)
          .select(k.alias("patient_id"), "hospital",
                  (F.lit(18) + (k * 13 + c * 7) % 82).alias("age"),
                  F.when(c % 2 == 0, "M").otherwise("F").alias("sex"),

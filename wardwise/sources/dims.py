@@ -43,6 +43,7 @@ ANNUAL_GROWTH, GROWTH_BASE_YEAR, VOLUME_FLOOR = 1.03, 2022, 50
 # Holiday month-days used by the fixtures, window -1..+1 day.
 HOLIDAY_MONTH_DAYS = ["01-01", "07-01", "12-25", "12-26"]
 HOLIDAY_WINDOW = (-1, 1)
+HOLIDAY_YEARS = (1900, 2100)  # calendar span of the generated holiday table
 # Tier cut-offs and texts.
 ALC_TIERS = [  # (min pct, level, colour, recommendation)
     (60.0, "HIGH", "red",
