@@ -146,7 +146,19 @@ def q_stratified_split(spark: SparkSession, sf: str) -> DataFrame:
     return s.groupBy("alc_flag", "is_test").agg(F.count(F.lit(1)).alias("n"))
 
 
+_MODELS: dict = {}
+
+
 def fitted_model(spark: SparkSession, sf: str, rounds: int = 20):
+    """M1-M4: encode, split, fit; the fitted pipeline is kept per application
+    and input so the scoring, metric and beds views share one fit."""
+    key = (spark.sparkContext.applicationId, sf, rounds)
+    if key not in _MODELS:
+        _MODELS[key] = _fit(spark, sf, rounds)
+    return _MODELS[key]
+
+
+def _fit(spark: SparkSession, sf: str, rounds: int):
     a = ml.label_encode(labelled(spark, sf), ["sex", "diagnosis", "hospital"])
     split = ml.stratified_split(a, "alc_flag", ["patient_id"], 0.2, 42).persist()
     w = ml.imbalance_weight(split, "alc_flag").first()["scale_pos_weight"] or 1.0

@@ -58,13 +58,13 @@ SCORE_COLS = """round(round(score, 4), 6) AS surge_risk_score, predicted_visits
   CASE WHEN score >= 0.8e0 THEN 'HIGH' WHEN score >= 0.5e0 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level"""
 
 # Seasonal-index model (F1) over the history, then the forecast spine (F2).
-MODEL = f"""
+MODEL_T = f"""
 h AS (
   SELECT ev.hospital, ev.visit_date AS ds, CAST(ev.ed_visits AS DOUBLE) AS y,
          CAST(ev.visit_date - DATE '2000-01-01' AS BIGINT) AS t,
          {WD} AS weekday, CAST(month(ev.visit_date) AS INTEGER) AS month,
          CASE WHEN hw.hday IS NULL THEN 0 ELSE 1 END AS in_window
-  FROM ev LEFT JOIN hw ON ev.visit_date = hw.hday),
+  FROM {{src}} ev LEFT JOIN hw ON ev.visit_date = hw.hday),
 site AS (
   SELECT hospital, avg(y) AS base, regr_slope(y, t) AS slope, regr_intercept(y, t) AS intercept,
          max(ds) AS last_date
@@ -87,6 +87,8 @@ sd AS (
 model AS (SELECT site.*, hi.holiday_idx, sd.resid_sd FROM site JOIN hi ON site.hospital = hi.hospital
           JOIN sd ON site.hospital = sd.hospital)"""
 
+MODEL = MODEL_T.replace("{src}", "ev")
+
 FORECAST = """
 sp AS (
   SELECT m.*, CAST(m.last_date + CAST(k AS INTEGER) AS DATE) AS ds
@@ -112,6 +114,10 @@ def w(*ctes: str) -> str:
     return "WITH " + ",".join(ctes)
 
 
+BACKTEST = """
+tg AS (SELECT ev.*, ev.visit_date > max(ev.visit_date) OVER (PARTITION BY ev.hospital) - 30 AS is_test FROM ev),
+tr AS (SELECT * FROM tg WHERE NOT is_test),""" + MODEL_T.replace("{src}", "tr")
+
 ORACLE = {
     "surge_flag": w(ED) + """
 SELECT visit_date, hospital, ed_visits, surge_threshold,
@@ -235,4 +241,12 @@ SELECT hospital, CAST(round_even(avg(yhat), 0) AS BIGINT) AS avg_forecast,
             WHEN count(*) FILTER (WHERE surge_flag) > 4 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level,
        coalesce(strftime(min(CASE WHEN surge_flag THEN ds END), '%Y-%m-%d'), 'None') AS first_surge_date
 FROM ff GROUP BY hospital""",
+
+    "forecast_backtest": w(ED, HOL, BACKTEST, FORECAST.format(periods=30)) + """
+SELECT ff.hospital, count(*) AS n_test, round(avg(abs(tg.ed_visits - ff.yhat)), 6) AS mae,
+       round(avg(abs(tg.ed_visits - ff.yhat) / tg.ed_visits * 100e0), 6) AS mape,
+       round(avg(CASE WHEN tg.ed_visits >= ff.yhat_lower AND tg.ed_visits <= ff.yhat_upper THEN 1e0 ELSE 0e0 END), 6)
+         AS coverage
+FROM ff JOIN tg ON ff.hospital = tg.hospital AND ff.ds = tg.visit_date AND tg.is_test
+GROUP BY ff.hospital""",
 }

@@ -177,12 +177,18 @@ def q_rx_pca(spark: SparkSession, sf: str) -> DataFrame:
     return ml.pca2(prescribers(spark, sf), METRICS, "prescriber_id")
 
 
+_FORESTS: dict = {}
+
+
 def forest_flagged(spark: SparkSession, sf: str, trees: int = 300) -> DataFrame:
-    """M12 -> M13 -> P8 on standardised metrics."""
+    """M12 -> M13 -> P8 on standardised metrics (one fit per application and input)."""
     p = prescribers(spark, sf)
     z = ml.standardize(p, METRICS)
     zc = [f"{m}_z" for m in METRICS]
-    model = fit_iforest(z, zc, "prescriber_id", trees=trees, psi=256, seed=42)
+    key = (spark.sparkContext.applicationId, sf, trees)
+    if key not in _FORESTS:
+        _FORESTS[key] = fit_iforest(z, zc, "prescriber_id", trees=trees, psi=256, seed=42)
+    model = _FORESTS[key]
     s = score_iforest(z, model)
     s = ml.flag_top_fraction(s, "anomaly_score", 0.04)
     return s.withColumn("anomaly_type", classify_anomaly())
