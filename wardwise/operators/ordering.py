@@ -45,8 +45,11 @@ def ordered_cumsum(df: DataFrame, order_col: str, sum_cols: list[str], tie_cols:
     ``order_col`` (plus ``tie_cols``) must identify a row; ``descending``
     accumulates from the largest value down.
     """
+    from wardwise.sources.io import materialize
+
     key = "_okey"
-    src = df.withColumn(key, (-F.col(order_col) if descending else F.col(order_col)).cast("double"))
+    # read three times below (edges, bucket totals, running sums): write it once
+    src = materialize(df.withColumn(key, (-F.col(order_col) if descending else F.col(order_col)).cast("double")))
     tagged = with_range_bucket(src, key, buckets)
     totals = tagged.groupBy("_bucket").agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
     wb = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # <= buckets rows
@@ -79,7 +82,7 @@ def exact_quantile(df: DataFrame, value_col: str, q: float) -> DataFrame:
     """
     vc = value_counts(df.filter(F.col(value_col).isNotNull()), value_col)
     cum = ordered_cumsum(vc, value_col, ["n"])
-    total = vc.agg(F.sum("n").alias("_n"))
+    total = cum.agg(F.sum("n").alias("_n"))  # reads the written distinct-value table
     pos = total.select((F.lit(q) * (F.col("_n") - 1)).alias("_pos"))
     tagged = cum.crossJoin(F.broadcast(pos)).withColumn("_prev", F.col("cum_n") - F.col("n"))
     lo_i, hi_i = F.floor("_pos"), F.ceil("_pos")

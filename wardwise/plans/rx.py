@@ -9,6 +9,7 @@ from wardwise.functions.columns import band, clip, prescriber_code, r6
 from wardwise.operators import metrics, ml
 from wardwise.operators.iforest import fit_iforest, score_iforest
 from wardwise.sources.bindings import RX_FEATURES, prescribers
+from wardwise.sources.io import materialize
 
 METRICS = RX_FEATURES + ["patients_per_month"]
 PROFILE_METRICS = ["opioid_rate_pct", "avg_opioid_mme", "benzo_opioid_combo_pct", "polypharmacy_pct",
@@ -32,9 +33,14 @@ def classify_anomaly(flag: str = "is_anomaly") -> F.Column:
             .otherwise("Other Anomaly"))
 
 
+def prescriber_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The prescriber binding written once per plan that reads it several times."""
+    return materialize(prescribers(spark, sf))
+
+
 def flagged(spark: SparkSession, sf: str) -> DataFrame:
     """M19 -> M13 -> P8: peer z-score, top-4% flag, anomaly type."""
-    p = ml.peer_zscore(prescribers(spark, sf), "specialty", METRICS)
+    p = ml.peer_zscore(prescriber_table(spark, sf), "specialty", METRICS)
     p = ml.flag_top_fraction(p, "anomaly_score", 0.04)
     return p.withColumn("anomaly_type", classify_anomaly())
 
@@ -182,7 +188,7 @@ _FORESTS: dict = {}
 
 def forest_flagged(spark: SparkSession, sf: str, trees: int = 300) -> DataFrame:
     """M12 -> M13 -> P8 on standardised metrics (one fit per application and input)."""
-    p = prescribers(spark, sf)
+    p = prescriber_table(spark, sf)
     z = ml.standardize(p, METRICS)
     zc = [f"{m}_z" for m in METRICS]
     key = (spark.sparkContext.applicationId, sf, trees)

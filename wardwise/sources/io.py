@@ -28,6 +28,20 @@ def write_csv(df: DataFrame, path: str, single_file: bool = True) -> None:
     out.write.mode("overwrite").option("header", True).csv(path)
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the session's checkpoint folder and cut its lineage.
+
+    Used for derived tables that several branches of one plan read (so the
+    fact-table scan behind them runs once) and that must survive the loss
+    of an executor (unlike ``persist`` or a local checkpoint). The folder is
+    ``spark.checkpoint.dir`` (a shared location on a cluster).
+    """
+    from wardwise.session import checkpoint_dir
+
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def memoise(df: DataFrame) -> DataFrame:
     """Keep a stage shared by several views (recomputed from lineage if lost)."""
     return df.persist(StorageLevel.MEMORY_AND_DISK)
