@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import PCA, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import PCA, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +40,9 @@ def assemble(df: DataFrame, cols: list[str], out: str = "features") -> DataFrame
 
 # --------------------------------------------------------------------------- M3
 
+ROWS_PER_BUCKET = 200_000  # rows one task ranks when locating a split boundary
+
+
 def stratified_split(df: DataFrame, label: str, key_cols: list[str], test_frac: float = 0.2,
                      seed: int = 42) -> DataFrame:
     """M3: exact stratified hold-out; adds ``is_test`` (ceil(frac x n_class) per class).
@@ -48,9 +51,13 @@ def stratified_split(df: DataFrame, label: str, key_cols: list[str], test_frac:
     class in one task (see ``smallest_k_per_group``).
     """
     u = df.withColumn("_u", uniform_hash(key_cols, seed))
-    sizes = u.groupBy(label).agg(F.ceil(F.count(F.lit(1)) * F.lit(test_frac)).alias("_k"))
-    tagged = u.join(sizes, label)
-    test = smallest_k_per_group(tagged, [label], "_u", "_k", buckets=1024).select(*key_cols).withColumn(
+    sizes = u.groupBy(label).agg(F.count(F.lit(1)).alias("_n"),
+                                 F.ceil(F.count(F.lit(1)) * F.lit(test_frac)).alias("_k"))
+    # one row per class: bounded by the label's cardinality
+    largest = max([r["_n"] for r in sizes.select("_n").collect()] or [0])
+    buckets = max(64, -(-largest // ROWS_PER_BUCKET))
+    tagged = u.join(F.broadcast(sizes.drop("_n")), label)
+    test = smallest_k_per_group(tagged, [label], "_u", "_k", buckets=buckets).select(*key_cols).withColumn(
         "is_test", F.lit(True))
     return (u.join(test, key_cols, "left")
             .withColumn("is_test", F.coalesce("is_test", F.lit(False))).drop("_u"))
@@ -201,10 +208,3 @@ def pca2(df: DataFrame, cols: list[str], key: str, k: int = 2) -> DataFrame:
     sel = [key] + [(F.col("_pca")[j] * signs[j]).alias(f"pca{j + 1}") for j in range(k)]
     sel += [F.lit(float(ratios[j])).alias(f"evr{j + 1}") for j in range(k)]
     return out.select(*sel)
-
-
-def scale_for_model(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Vector of population-standardised features for the forest (M11 + M2)."""
-    v = VectorAssembler(inputCols=cols, outputCol="_raw").transform(df)
-    model = StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True).fit(v)
-    return model.transform(v).drop("_raw")
