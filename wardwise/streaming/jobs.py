@@ -55,19 +55,40 @@ def score_stream(stream_orders: DataFrame, sites: DataFrame, rules: dict) -> tup
     return scored, rejected
 
 
+SCORED_COLUMNS = ["patient_id", "hospital", "alc_risk_raw", "alc_risk_score", "risk_level"]
+
+
+def write_scored_batch(out: str):
+    """foreachBatch sink of K1: one pass over the micro-batch, two outputs.
+
+    Each output goes to a ``batch=<id>`` folder written in overwrite mode, so
+    a micro-batch replayed after a failure replaces its own output
+    (idempotent, exactly-once together with the query checkpoint).
+    """
+    def run(batch: DataFrame, batch_id: int) -> None:
+        checked = batch.persist()
+        valid = checked.filter(F.size("violations") == 0).drop("violations")
+        alc_tier(alc_risk_score(valid)).select(*SCORED_COLUMNS) \
+            .write.mode("overwrite").parquet(f"{out}/scored/batch={batch_id}")
+        checked.filter(F.size("violations") > 0).select("patient_id", "violations") \
+            .write.mode("overwrite").parquet(f"{out}/rejected/batch={batch_id}")
+        checked.unpersist()
+    return run
+
+
 def stream_alc_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K1: stream orders -> admissions -> validate -> D1/D2 -> parquet sink."""
+    """K1: stream orders -> admissions -> validate -> D1/D2 -> scored and rejected sinks."""
     from wardwise.plans.alc import admission_rules
 
     sites = bounded_broadcast(customer_sites(spark, sf_dir).select("c_custkey", "hospital"))
     rules = admission_rules(spark, sf_dir)
     rules.pop("hospital")  # the stream-static join already keeps known sites only
-    scored, rejected = score_stream(_stream(spark, sf_dir, "orders"), sites, rules)
+    checked = validate(admissions_from(_stream(spark, sf_dir, "orders"), sites), rules)
     out = _run_dir(spark, "alc_scores")
-    _run_to_parquet(scored.select("patient_id", "hospital", "alc_risk_raw", "alc_risk_score", "risk_level"),
-                    f"{out}/scored")
-    _run_to_parquet(rejected, f"{out}/rejected")
-    return spark.read.parquet(f"{out}/scored/data")
+    q = (checked.writeStream.foreachBatch(write_scored_batch(out))
+         .option("checkpointLocation", f"{out}/_checkpoint").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(f"{out}/scored").select(*SCORED_COLUMNS)
 
 
 def volume_stream(events: DataFrame, window: str = "1 day", watermark: str = "1 hour") -> DataFrame:
