@@ -14,9 +14,9 @@ from wardwise.sources import dims
 
 def grid(spark):
     h = dims.hospital_dim(spark)
-    g = (h.crossJoin(spark.range(7).select(F.col("id").cast("int").alias("weekday")))
-         .crossJoin(spark.range(1, 13).select(F.col("id").cast("int").alias("month")))
-         .crossJoin(spark.range(2).select(F.col("id").cast("int").alias("is_holiday"))))
+    g = (h.withColumn("weekday", F.explode(F.sequence(F.lit(0), F.lit(6))))
+         .withColumn("month", F.explode(F.sequence(F.lit(1), F.lit(12))))
+         .withColumn("is_holiday", F.explode(F.sequence(F.lit(0), F.lit(1)))))
     return surge_risk_score(predicted_visits(g))
 
 

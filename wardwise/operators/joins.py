@@ -91,6 +91,15 @@ def reindex(agg: DataFrame, dim: DataFrame, key: str, order_col: str) -> DataFra
     return F.broadcast(dim).join(agg, on=key, how="left").orderBy(order_col)
 
 
-def with_global(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Attach a one-row global aggregate to every row (broadcast cross join)."""
-    return df.crossJoin(F.broadcast(one_row))
+def with_scalar(df: DataFrame, one_row: DataFrame, name: str) -> DataFrame:
+    """Attach a one-row aggregate to every row as struct column ``name``.
+
+    Expressed as a scalar subquery (``DataFrame.scalar()``): Spark runs the
+    aggregate once and inlines its value, so there is no join at all.
+    """
+    return df.withColumn(name, scalar(one_row))
+
+
+def scalar(one_row: DataFrame):
+    """The single row of ``one_row`` as a struct-valued scalar-subquery column."""
+    return one_row.select(F.struct(*one_row.columns).alias("_row")).scalar()

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wardwise.operators.joins import scalar, with_scalar
 from wardwise.operators.ordering import ordered_cumsum
 
 
@@ -37,18 +38,16 @@ def _desc_counts(df: DataFrame, label: str, score: str) -> DataFrame:
 def average_precision(df: DataFrame, label: str, score: str) -> DataFrame:
     """M7: step-wise AP = sum over thresholds of (R_k - R_k-1) x P_k."""
     c = _desc_counts(df, label, score)
-    tot = c.agg(F.sum("pos").alias("_P"))
-    return c.crossJoin(F.broadcast(tot)).agg(
-        F.sum(F.col("pos") / F.col("_P") * (F.col("tp") / (F.col("tp") + F.col("fp")))).alias("average_precision"))
+    p_all = scalar(c.agg(F.sum("pos").alias("P")))["P"]
+    return c.agg(F.sum(F.col("pos") / p_all * (F.col("tp") / (F.col("tp") + F.col("fp")))).alias("average_precision"))
 
 
 def roc_curve(df: DataFrame, label: str, score: str) -> DataFrame:
     """M9: (threshold, fpr, tpr) at every distinct score, highest first."""
     c = _desc_counts(df, label, score)
-    tot = c.agg(F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
-    return c.crossJoin(F.broadcast(tot)).select(
-        F.col("score").alias("threshold"), (F.col("fp") / F.col("_N")).alias("fpr"),
-        (F.col("tp") / F.col("_P")).alias("tpr"))
+    tot = with_scalar(c, c.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")), "_tot")
+    return tot.select(F.col("score").alias("threshold"), (F.col("fp") / F.col("_tot.N")).alias("fpr"),
+                      (F.col("tp") / F.col("_tot.P")).alias("tpr"))
 
 
 def confusion(df: DataFrame, label: str, pred: str) -> DataFrame:

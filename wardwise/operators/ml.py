@@ -14,6 +14,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wardwise.operators.joins import scalar, with_scalar
 from wardwise.operators.ordering import exact_quantile, smallest_k_per_group, uniform_hash
 
 
@@ -103,8 +104,8 @@ def linear_attribution(df: DataFrame, terms: dict[str, F.Column]) -> DataFrame:
     names = list(terms)
     t = df.select(*[terms[n].cast("double").alias(f"_t{i}") for i, n in enumerate(names)])
     means = t.agg(*[F.avg(f"_t{i}").alias(f"_m{i}") for i in range(len(names))])
-    centred = t.crossJoin(F.broadcast(means)).select(
-        *[F.abs(F.col(f"_t{i}") - F.col(f"_m{i}")).alias(n) for i, n in enumerate(names)])
+    centred = with_scalar(t, means, "_m").select(
+        *[F.abs(F.col(f"_t{i}") - F.col(f"_m._m{i}")).alias(n) for i, n in enumerate(names)])
     long = centred.unpivot([], names, "feature", "abs_attr")
     agg = long.groupBy("feature").agg(F.avg("abs_attr").alias("mean_abs_attribution"))
     from pyspark.sql import Window
@@ -138,20 +139,20 @@ def permutation_importance(model: PipelineModel, df: DataFrame, features: list[s
         auc = roc_auc(predict(model, perm.drop("_blk", "_r_src", "_r_dst")), label, "score")
         row = auc.select(F.lit(f).alias("feature"), F.col("auc").alias("permuted_auc"))
         out = row if out is None else out.unionByName(row)
-    return out.crossJoin(ref).withColumn("importance", F.col("base_auc") - F.col("permuted_auc"))
+    return (out.withColumn("base_auc", scalar(ref)["base_auc"])
+            .withColumn("importance", F.col("base_auc") - F.col("permuted_auc")))
 
 
 # --------------------------------------------------------------------------- M11 / M13 / M19
 
 def standardize(df: DataFrame, cols: list[str], suffix: str = "_z") -> DataFrame:
     """Zero mean, unit population std (one-row aggregate, broadcast)."""
-    stats = df.agg(*[F.avg(c).alias(f"_mu_{c}") for c in cols], *[F.stddev_pop(c).alias(f"_sd_{c}") for c in cols])
-    out = df.crossJoin(F.broadcast(stats))
+    stats = df.agg(*[F.avg(c).alias(f"mu_{c}") for c in cols], *[F.stddev_pop(c).alias(f"sd_{c}") for c in cols])
+    out = with_scalar(df, stats, "_st")
     for c in cols:
-        out = out.withColumn(f"{c}{suffix}", F.when(F.col(f"_sd_{c}") > 0,
-                                                    (F.col(c) - F.col(f"_mu_{c}")) / F.col(f"_sd_{c}"))
-                             .otherwise(F.lit(0.0)))
-    return out.drop(*[f"_mu_{c}" for c in cols], *[f"_sd_{c}" for c in cols])
+        mu, sd = F.col(f"_st.mu_{c}"), F.col(f"_st.sd_{c}")
+        out = out.withColumn(f"{c}{suffix}", F.when(sd > 0, (F.col(c) - mu) / sd).otherwise(F.lit(0.0)))
+    return out.drop("_st")
 
 
 def peer_zscore(df: DataFrame, by: str, cols: list[str]) -> DataFrame:
@@ -175,8 +176,7 @@ def peer_zscore(df: DataFrame, by: str, cols: list[str]) -> DataFrame:
 def flag_top_fraction(df: DataFrame, score: str, fraction: float = 0.04, out: str = "is_anomaly") -> DataFrame:
     """Flag rows above the (1 - fraction) percentile (strict >)."""
     cut = exact_quantile(df, score, 1.0 - fraction).select(F.col("quantile").alias("_cut"))
-    return (df.crossJoin(F.broadcast(cut))  # one row
-            .withColumn(out, (F.col(score) > F.col("_cut")).cast("int")).drop("_cut"))
+    return df.withColumn(out, (F.col(score) > scalar(cut)["_cut"]).cast("int"))
 
 
 # --------------------------------------------------------------------------- M16 / M17

@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wardwise.operators.joins import scalar
+
 
 def default_buckets(df: DataFrame) -> int:
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))
@@ -33,8 +35,8 @@ def with_range_bucket(df: DataFrame, order_col: str, buckets: int | None = None,
     """Tag each row with a monotone bucket id of ``order_col`` (ties share a bucket)."""
     b = buckets or default_buckets(df)
     probs = [i / b for i in range(1, b)]
-    edges = df.agg(F.percentile_approx(F.col(order_col).cast("double"), probs, 10000).alias("_edges"))
-    tagged = df.crossJoin(F.broadcast(edges))  # one row: proven bound
+    edges = df.agg(F.percentile_approx(F.col(order_col).cast("double"), probs, 10000).alias("edges"))
+    tagged = df.withColumn("_edges", scalar(edges)["edges"])  # one row, inlined as a constant
     return tagged.withColumn(out, F.size(F.filter("_edges", lambda e: e < F.col(order_col)))).drop("_edges")
 
 
@@ -82,15 +84,16 @@ def exact_quantile(df: DataFrame, value_col: str, q: float) -> DataFrame:
     """
     vc = value_counts(df.filter(F.col(value_col).isNotNull()), value_col)
     cum = ordered_cumsum(vc, value_col, ["n"])
-    total = cum.agg(F.sum("n").alias("_n"))  # reads the written distinct-value table
-    pos = total.select((F.lit(q) * (F.col("_n") - 1)).alias("_pos"))
-    tagged = cum.crossJoin(F.broadcast(pos)).withColumn("_prev", F.col("cum_n") - F.col("n"))
+    total = cum.agg(F.sum("n").alias("n"))  # reads the written distinct-value table
+    pos = F.lit(q) * (scalar(total)["n"] - 1)
+    tagged = cum.withColumn("_pos", pos).withColumn("_prev", F.col("cum_n") - F.col("n"))
     lo_i, hi_i = F.floor("_pos"), F.ceil("_pos")
-    lo = tagged.filter((F.col("_prev") <= lo_i) & (lo_i < F.col("cum_n"))).select(
-        F.col(value_col).alias("_lo"), "_pos")
-    hi = tagged.filter((F.col("_prev") <= hi_i) & (hi_i < F.col("cum_n"))).select(F.col(value_col).alias("_hi"))
-    return lo.crossJoin(hi).select(
-        (F.col("_lo") + (F.col("_pos") - F.floor("_pos")) * (F.col("_hi") - F.col("_lo"))).alias("quantile"))
+    # the two order statistics around the position (each is exactly one distinct value)
+    picks = tagged.filter(((F.col("_prev") <= lo_i) & (lo_i < F.col("cum_n")))
+                          | ((F.col("_prev") <= hi_i) & (hi_i < F.col("cum_n"))))
+    return picks.agg(
+        (F.min(value_col) + (F.first("_pos") - F.floor(F.first("_pos"))) * (F.max(value_col) - F.min(value_col)))
+        .alias("quantile"))
 
 
 def uniform_hash(key_cols: list[str], seed: int) -> Column:

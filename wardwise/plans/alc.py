@@ -9,6 +9,7 @@ from wardwise.functions.columns import band, pct_text, r6
 from wardwise.functions.rules import (alc_factors, alc_label, alc_report, alc_risk_score, alc_tier,
                                       diagnosis_weight, top_factors)
 from wardwise.operators import metrics, ml
+from wardwise.operators.joins import scalar
 from wardwise.operators.ordering import sample_n
 from wardwise.sources import dims
 from wardwise.sources.bindings import admissions, table
@@ -182,8 +183,8 @@ def q_alc_model_metrics(spark: SparkSession, sf: str) -> DataFrame:
     test = ml.predict(model, split.filter(F.col("is_test")))
     auc = metrics.roc_auc(test, "alc_flag", "score")
     ap = metrics.average_precision(test, "alc_flag", "score")
-    return auc.crossJoin(ap).select(r6("auc").alias("auc"), r6("average_precision").alias("average_precision"),
-                                    "n_pos", "n_neg")
+    return auc.select(r6("auc").alias("auc"), r6(scalar(ap)["average_precision"]).alias("average_precision"),
+                      "n_pos", "n_neg")
 
 
 def q_alc_model_beds(spark: SparkSession, sf: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wardwise.functions.columns import band, clip, prescriber_code, r6
 from wardwise.operators import metrics, ml
 from wardwise.operators.iforest import fit_iforest, score_iforest
+from wardwise.operators.joins import with_scalar
 from wardwise.sources.bindings import RX_FEATURES, prescribers
 from wardwise.sources.io import materialize
 
@@ -164,10 +165,10 @@ def q_rx_audit_list(spark: SparkSession, sf: str) -> DataFrame:
 def q_rx_risk_quadrant(spark: SparkSession, sf: str) -> DataFrame:
     """P10 + J6: quadrant vs the global means of opioid rate and MME."""
     p = prescribers(spark, sf)
-    means = p.agg(F.avg("opioid_rate_pct").alias("_rate_mean"), F.avg("avg_opioid_mme").alias("_mme_mean"))
-    j = p.crossJoin(F.broadcast(means))  # one row
-    above = ((F.col("opioid_rate_pct") > F.col("_rate_mean")).cast("int")
-             + (F.col("avg_opioid_mme") > F.col("_mme_mean")).cast("int"))
+    means = p.agg(F.avg("opioid_rate_pct").alias("rate_mean"), F.avg("avg_opioid_mme").alias("mme_mean"))
+    j = with_scalar(p, means, "_m")  # one-row aggregate as a scalar subquery
+    above = ((F.col("opioid_rate_pct") > F.col("_m.rate_mean")).cast("int")
+             + (F.col("avg_opioid_mme") > F.col("_m.mme_mean")).cast("int"))
     return j.select("prescriber_id", F.when(above == 2, "HIGH RISK").when(above == 1, "MONITOR")
                     .otherwise("NORMAL").alias("quadrant"))
 

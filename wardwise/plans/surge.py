@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wardwise.functions.columns import pct_text, r6
 from wardwise.functions.rules import expected_volume, flag_surge, predicted_visits, surge_risk_score
 from wardwise.operators import forecast as fcast
-from wardwise.operators.joins import with_holiday, with_holiday_window
+from wardwise.operators.joins import scalar, with_holiday, with_holiday_window
 from wardwise.sources import dims
 from wardwise.sources.bindings import ed_visits
 
@@ -114,9 +114,10 @@ def q_mean_of_means(spark: SparkSession, sf: str) -> DataFrame:
     overall = v.agg(F.avg("ed_visits").alias("overall_mean"))
     a = per_month.agg(F.avg("m").alias("month_mean_of_means"))
     b = per_dow.agg(F.avg("m").alias("dow_mean_of_means"))
-    return overall.crossJoin(a).crossJoin(b).select(
-        r6("overall_mean").alias("overall_mean"), r6("month_mean_of_means").alias("month_mean_of_means"),
-        r6("dow_mean_of_means").alias("dow_mean_of_means"))
+    return overall.select(
+        r6("overall_mean").alias("overall_mean"),
+        r6(scalar(a)["month_mean_of_means"]).alias("month_mean_of_means"),
+        r6(scalar(b)["dow_mean_of_means"]).alias("dow_mean_of_means"))
 
 
 def q_distinct_sites(spark: SparkSession, sf: str) -> DataFrame:
@@ -170,9 +171,9 @@ def q_surge_grid(spark: SparkSession, sf: str) -> DataFrame:
     """
     v = _visits(spark, sf)
     sites = v.groupBy("hospital").agg(F.first("base").alias("base"))
-    grid = (sites.crossJoin(F.broadcast(spark.range(7).select(F.col("id").cast("int").alias("weekday"))))
-            .crossJoin(F.broadcast(spark.range(1, 13).select(F.col("id").cast("int").alias("month"))))
-            .crossJoin(F.broadcast(spark.range(2).select(F.col("id").cast("int").alias("is_holiday")))))
+    grid = (sites.withColumn("weekday", F.explode(F.sequence(F.lit(0), F.lit(6))))
+            .withColumn("month", F.explode(F.sequence(F.lit(1), F.lit(12))))
+            .withColumn("is_holiday", F.explode(F.sequence(F.lit(0), F.lit(1)))))
     p = surge_risk_score(predicted_visits(grid))
     return p.select("hospital", "weekday", "month", "is_holiday", "predicted_visits", "surge_threshold",
                     r6(F.round("surge_risk_score", 4)).alias("surge_risk_score"), "surge_flag", "risk_level")

@@ -86,26 +86,9 @@ def diagnosis_dim(spark: SparkSession) -> DataFrame:
 
 def holidays(spark: SparkSession, first_year: int, last_year: int) -> DataFrame:
     """Holiday table (holiday, ds, lower_window, upper_window) for a year range."""
-    years = spark.range(first_year, last_year + 1).select(F.col("id").cast("int").alias("year"))
-    md = spark.createDataFrame([(m,) for m in HOLIDAY_MONTH_DAYS], "md string")
-    return (years.crossJoin(F.broadcast(md))
-            .select(F.lit("statutory").alias("holiday"),
-                    F.to_date(F.concat_ws("-", F.col("year").cast("string"), F.col("md"))).alias("ds"),
-                    F.lit(HOLIDAY_WINDOW[0]).alias("lower_window"),
-                    F.lit(HOLIDAY_WINDOW[1]).alias("upper_window")))
-
-
-def holidays_for(df: DataFrame, date_col: str, extra_years: int = 1) -> DataFrame:
-    """Holidays for every year present in ``df`` (plus ``extra_years`` after).
-
-    The year range comes from a one-row aggregate; the result has at most
-    4 rows per calendar year, so it is safe to broadcast.
-    """
-    spark = df.sparkSession
-    bounds = df.agg(F.min(F.year(date_col)).alias("y0"), (F.max(F.year(date_col)) + extra_years).alias("y1"))
-    years = bounds.select(F.explode(F.sequence("y0", "y1")).alias("year"))
-    md = spark.createDataFrame([(m,) for m in HOLIDAY_MONTH_DAYS], "md string")
-    return (years.crossJoin(F.broadcast(md))
+    years = spark.range(first_year, last_year + 1).select(
+        F.col("id").cast("int").alias("year"), F.explode(F.array(*[F.lit(m) for m in HOLIDAY_MONTH_DAYS])).alias("md"))
+    return (years
             .select(F.lit("statutory").alias("holiday"),
                     F.to_date(F.concat_ws("-", F.col("year").cast("string"), F.col("md"))).alias("ds"),
                     F.lit(HOLIDAY_WINDOW[0]).alias("lower_window"),
