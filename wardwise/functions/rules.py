@@ -37,13 +37,37 @@ def diagnosis_weight(c: str = "diagnosis") -> Column:
     return case_map(F.col(c), dims.DIAGNOSIS_RISK, None)
 
 
+def term_input(name: str) -> Column:
+    """Input column of a score term (see dims.ALC_TERMS / ALC_FACTORS)."""
+    if name == "age_over_18":
+        return F.col("age") - dims.AGE_OFFSET
+    if name == "no_caregiver":
+        return F.lit(1) - F.col("has_caregiver")
+    return F.col(name)
+
+
+def weighted_terms(terms, diagnosis_weights: dict, unknown: float | None = None) -> list[tuple[str, Column]]:
+    """(name, weight x input) for each term, the diagnosis term as a lookup
+    (``unknown`` for diagnoses missing from the table)."""
+    out = []
+    for name, col_name, w in terms:
+        expr = (case_map(F.col("diagnosis"), diagnosis_weights, unknown) if w is None
+                else F.lit(w) * term_input(col_name))
+        out.append((name, expr))
+    return out
+
+
+def linear_score(diagnosis_weights: dict, unknown: float | None = None) -> Column:
+    """Intercept + the ALC terms, summed left to right in their fixed order."""
+    total = F.lit(dims.ALC_INTERCEPT)
+    for _, expr in weighted_terms(dims.ALC_TERMS, diagnosis_weights, unknown):
+        total = total + expr
+    return total
+
+
 def alc_risk_raw(df: DataFrame | None = None) -> Column:
     """Unclipped nine-weight linear score of the online form."""
-    return (F.lit(0.02) + F.lit(0.008) * (F.col("age") - 18) + diagnosis_weight()
-            + F.lit(0.10) * F.col("lives_alone") + F.lit(0.15) * F.col("cognitive_impairment")
-            - F.lit(0.12) * F.col("has_caregiver") + F.lit(0.008) * F.col("charlson_index")
-            - F.lit(0.001) * F.col("functional_score") + F.lit(0.010) * F.col("los_days")
-            + F.lit(0.03) * F.col("prior_admissions"))
+    return linear_score(dims.DIAGNOSIS_RISK)
 
 
 def alc_risk_score(df: DataFrame) -> DataFrame:
@@ -63,18 +87,7 @@ def alc_tier(df: DataFrame) -> DataFrame:
 
 def alc_factor_values() -> list[Column]:
     """D3: the eight named contributions, rounded half-even to 3 places."""
-    c = F.col
-    vals = [
-        F.lit(0.008) * (c("age") - 18),
-        diagnosis_weight(),
-        F.lit(0.10) * c("lives_alone"),
-        F.lit(0.15) * c("cognitive_impairment"),
-        F.lit(0.12) * (F.lit(1) - c("has_caregiver")),
-        F.lit(0.008) * c("charlson_index"),
-        F.lit(0.010) * c("los_days"),
-        F.lit(0.03) * c("prior_admissions"),
-    ]
-    return [F.bround(v.cast("double"), 3) for v in vals]
+    return [F.bround(v.cast("double"), 3) for _, v in weighted_terms(dims.ALC_FACTORS, dims.DIAGNOSIS_RISK)]
 
 
 def alc_factors(df: DataFrame) -> DataFrame:
@@ -84,7 +97,7 @@ def alc_factors(df: DataFrame) -> DataFrame:
     return df.withColumn("factors", F.array(*items))
 
 
-def top_factors(df: DataFrame, k: int = 5) -> DataFrame:
+def top_factors(df: DataFrame, k: int = dims.TOP_FACTORS) -> DataFrame:
     """Top-k factors by contribution desc, stable on ties (declaration order)."""
     cmp = ("(a, b) -> CASE WHEN a.contribution > b.contribution THEN -1 "
            "WHEN a.contribution < b.contribution THEN 1 "
@@ -92,7 +105,7 @@ def top_factors(df: DataFrame, k: int = 5) -> DataFrame:
     return df.withColumn("top_factors", F.slice(F.expr(f"array_sort(factors, {cmp})"), 1, k))
 
 
-def alc_label(df: DataFrame, raw: str = "alc_prob_raw", threshold: float = 0.45) -> DataFrame:
+def alc_label(df: DataFrame, raw: str = "alc_prob_raw", threshold: float = dims.ALC_LABEL_CUTOFF) -> DataFrame:
     """label = clip(raw probability, 0, 1) > 0.45."""
     return (df.withColumn("alc_prob", clip(raw, 0.0, 1.0))
             .withColumn("alc_flag", (F.col("alc_prob") > threshold).cast("int")))
@@ -146,9 +159,12 @@ def surge_risk_score(df: DataFrame) -> DataFrame:
 
 
 def horizon_tier(count: str | Column) -> Column:
-    """Surge-day count > 10 HIGH, > 4 MEDIUM, else LOW."""
+    """Surge-day count > 10 HIGH, > 4 MEDIUM, else LOW (dims.HORIZON_TIERS)."""
     c = F.col(count) if isinstance(count, str) else count
-    return F.when(c > 10, "HIGH").when(c > 4, "MEDIUM").otherwise("LOW")
+    out = None
+    for cut, level in dims.HORIZON_TIERS[:-1]:
+        out = F.when(c > cut, level) if out is None else out.when(c > cut, level)
+    return out.otherwise(dims.HORIZON_TIERS[-1][1])
 
 
 def flag_surge(df: DataFrame, visits: str = "ed_visits", threshold: str = "surge_threshold") -> DataFrame:
@@ -165,8 +181,8 @@ def expected_volume(df: DataFrame) -> DataFrame:
     """
     d = F.col("visit_date")
     dow = case_map(F.weekday(d), dict(enumerate(dims.DOW_EFFECT)), None)
-    season = (F.when(F.month(d).isin(12, 1, 2), F.lit(dims.WINTER_FACTOR))
-              .when(F.month(d).isin(6, 7, 8), F.lit(dims.SUMMER_FACTOR)).otherwise(F.lit(1.0)))
+    season = (F.when(F.month(d).isin(*dims.WINTER_MONTHS), F.lit(dims.WINTER_FACTOR))
+              .when(F.month(d).isin(*dims.SUMMER_MONTHS), F.lit(dims.SUMMER_FACTOR)).otherwise(F.lit(1.0)))
     hol = F.when(F.col("is_holiday") == 1, F.lit(dims.HOLIDAY_VOLUME_FACTOR)).otherwise(F.lit(1.0))
     growth = F.pow(F.lit(dims.ANNUAL_GROWTH), (F.year(d) - dims.GROWTH_BASE_YEAR).cast("double"))
     return df.withColumn("expected_visits",

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardwise.functions.rules import horizon_tier
+from wardwise.functions.rules import horizon_tier, surge_threshold
 from wardwise.operators.joins import with_holiday_window
 
 ORIGIN = "2000-01-01"
@@ -121,7 +121,7 @@ def forecast(model: DataFrame, holidays: DataFrame, periods: int = 30) -> DataFr
 
 def flag_forecast(fc: DataFrame) -> DataFrame:
     """threshold = int(base x 1.25) and flag yhat > threshold."""
-    return (fc.withColumn("surge_threshold", F.floor(F.col("base") * F.lit(1.25)).cast("bigint"))
+    return (fc.withColumn("surge_threshold", surge_threshold("base"))
             .withColumn("surge_flag", F.col("yhat") > F.col("surge_threshold")))
 
 

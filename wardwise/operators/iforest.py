@@ -3,13 +3,16 @@
 Spark has no isolation forest, so this is the one operator built on
 pandas inside Spark tasks:
 
-1. *Pool*: when the table is large, a keyed-hash Bernoulli sample of about
-   ``pool_factor x psi`` rows is drawn first, so the next step's cost does
-   not grow with the table.
+1. *Pool*: the union of all trees' samples needs at most trees x psi rows,
+   so one keyed-hash Bernoulli pass keeps about ``pool_factor x trees x psi``
+   rows (all rows when the table is smaller). Two trees then share about
+   psi / (pool_factor x trees) rows on average, i.e. the per-tree samples
+   are practically independent draws from the whole table, while the next
+   step's cost stays bounded however large the table grows.
 2. *Per-tree samples*: every pool row gets the list of trees whose keyed
    hash falls under ~3 x psi / pool size; rows are exploded into (tree, row)
-   pairs and each tree keeps its ``psi`` smallest hashes (a window over at
-   most a few hundred rows per tree). Sampling is without replacement and
+   pairs and each tree keeps its ``psi`` smallest hashes (a window over
+   about 3 psi rows per tree). Sampling is without replacement and
    independent of partitioning, so results are identical after repartition.
 3. *Growth*: ``groupBy(tree).applyInPandas`` grows each tree from its
    <= psi rows (random feature, uniform split, height limit ceil(log2 psi)).
@@ -80,12 +83,12 @@ def _grow(pdf: pd.DataFrame, n_features: int, seed: int, height_limit: int) -> p
 
 
 def fit_iforest(df: DataFrame, cols: list[str], key: str, trees: int = 300, psi: int = 256,
-                seed: int = 42, pool_factor: int = 100) -> dict:
+                seed: int = 42, pool_factor: int = 3) -> dict:
     """Grow the forest; returns the model (node arrays + metadata)."""
     n = df.count()
     psi = min(psi, n)
     height = int(math.ceil(math.log2(max(psi, 2))))
-    pool_size = min(n, pool_factor * psi)
+    pool_size = min(n, pool_factor * trees * psi)
     vec = df.select(F.col(key), F.array(*[F.col(c).cast("double") for c in cols]).alias("x"))
     if pool_size < n:
         vec = vec.filter(uniform_hash([key], seed) < pool_size / n)

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardwise.operators.joins import scalar, with_scalar
+from wardwise.sources import dims
 from wardwise.operators.ordering import exact_quantile, smallest_k_per_group, uniform_hash
 
 
@@ -66,9 +67,9 @@ def stratified_split(df: DataFrame, label: str, key_cols: list[str], test_frac:
 
 # --------------------------------------------------------------------------- M4 / M5
 
-def fit_gbt(train: DataFrame, features: list[str], label: str, rounds: int = 20, depth: int = 5,
-            step: float = 0.05, subsample: float = 0.8, col_frac: str = "0.8", seed: int = 42,
-            weight: str | None = None) -> PipelineModel:
+def fit_gbt(train: DataFrame, features: list[str], label: str, rounds: int = dims.GBT_ROUNDS,
+            depth: int = dims.GBT_DEPTH, step: float = dims.GBT_RATE, subsample: float = dims.GBT_SUBSAMPLE,
+            col_frac: str = str(dims.GBT_COLSAMPLE), seed: int = 42, weight: str | None = None) -> PipelineModel:
     """M4: boosted-tree binary classifier in a Pipeline (assembler + GBT)."""
     gbt = GBTClassifier(featuresCol="features", labelCol=label, maxIter=rounds, maxDepth=depth,
                         stepSize=step, subsamplingRate=subsample, featureSubsetStrategy=col_frac, seed=seed)

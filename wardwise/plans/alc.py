@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardwise.functions.columns import band, pct_text, r6
-from wardwise.functions.rules import (alc_factors, alc_label, alc_report, alc_risk_score, alc_tier,
-                                      diagnosis_weight, top_factors)
+from wardwise.functions.rules import (alc_factors, alc_label, alc_report, alc_risk_score, alc_tier, top_factors,
+                                      weighted_terms)
 from wardwise.operators import metrics, ml
 from wardwise.operators.joins import scalar
 from wardwise.operators.ordering import sample_n
@@ -28,7 +28,7 @@ def labelled(spark: SparkSession, sf: str) -> DataFrame:
 def scored(spark: SparkSession, sf: str) -> DataFrame:
     """Admissions with the D4 label and the D1 score; predicted = score > 0.5."""
     s = alc_risk_score(labelled(spark, sf))
-    return s.withColumn("predicted", (F.col("alc_risk_score") > 0.5).cast("int"))
+    return s.withColumn("predicted", (F.col("alc_risk_score") > dims.PREDICT_CUTOFF).cast("int"))
 
 
 def admission_rules(spark: SparkSession, sf: str) -> dict:
@@ -94,14 +94,16 @@ def q_alc_rate_hospital(spark: SparkSession, sf: str) -> DataFrame:
     """A5 + P11: ALC rate (%) per site with colour band (> 20, > 15)."""
     a = labelled(spark, sf)
     g = a.groupBy("hospital").agg((F.avg("alc_flag") * 100.0).alias("rate"))
-    return g.select("hospital", r6("rate").alias("alc_rate_pct"), band("rate", 20, 15).alias("band"))
+    return g.select("hospital", r6("rate").alias("alc_rate_pct"),
+                    band("rate", *dims.BANDS["alc_rate_hospital"]).alias("band"))
 
 
 def q_alc_rate_diagnosis(spark: SparkSession, sf: str) -> DataFrame:
     """A6 + P11: ALC rate (%) per diagnosis with colour band (> 25, > 15)."""
     a = labelled(spark, sf)
     g = a.groupBy("diagnosis").agg((F.avg("alc_flag") * 100.0).alias("rate"))
-    return g.select("diagnosis", r6("rate").alias("alc_rate_pct"), band("rate", 25, 15).alias("band"))
+    return g.select("diagnosis", r6("rate").alias("alc_rate_pct"),
+                    band("rate", *dims.BANDS["alc_rate_diagnosis"]).alias("band"))
 
 
 def beds_blocked(df: DataFrame, flag: str) -> DataFrame:
@@ -109,7 +111,7 @@ def beds_blocked(df: DataFrame, flag: str) -> DataFrame:
     g = df.groupBy("hospital").agg(F.count(F.lit(1)).alias("total_patients"),
                                    F.sum(flag).cast("bigint").alias("alc_patients"))
     return (g.withColumn("alc_rate_pct", F.bround(F.col("alc_patients") / F.col("total_patients") * 100.0, 1))
-            .withColumn("band", band("alc_patients", 15, 10)))
+            .withColumn("band", band("alc_patients", *dims.BANDS["beds_blocked"])))
 
 
 def q_beds_blocked(spark: SparkSession, sf: str) -> DataFrame:
@@ -119,13 +121,13 @@ def q_beds_blocked(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_census_sample(spark: SparkSession, sf: str) -> DataFrame:
     """O6 + A7: beds blocked in an exact 400-patient seeded sample (the 'current census')."""
-    s = sample_n(labelled(spark, sf), 400, ["patient_id"], seed=42)
+    s = sample_n(labelled(spark, sf), dims.CENSUS_SIZE, ["patient_id"], seed=42)
     return beds_blocked(s, "alc_flag")
 
 
 def q_age_histogram(spark: SparkSession, sf: str) -> DataFrame:
     """Age histogram per label class, 30 bins over each class's own range."""
-    h = metrics.histogram(labelled(spark, sf), "age", "alc_flag", 30)
+    h = metrics.histogram(labelled(spark, sf), "age", "alc_flag", dims.AGE_BINS)
     return h.select("class", "bin", r6("lo").alias("lo"), r6("hi").alias("hi"), "n")
 
 
@@ -143,14 +145,15 @@ def q_label_encode(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_stratified_split(spark: SparkSession, sf: str) -> DataFrame:
     """M3: exact 80/20 split per label class; counts per (class, side)."""
-    s = ml.stratified_split(labelled(spark, sf), "alc_flag", ["patient_id"], 0.2, 42)
+    s = ml.stratified_split(labelled(spark, sf), "alc_flag", ["patient_id"], dims.TEST_FRACTION, 42)
     return s.groupBy("alc_flag", "is_test").agg(F.count(F.lit(1)).alias("n"))
 
 
 _MODELS: dict = {}
+QUERY_GBT_ROUNDS = 20  # boosting rounds of the registered queries (dims.GBT_ROUNDS as a parameter)
 
 
-def fitted_model(spark: SparkSession, sf: str, rounds: int = 20):
+def fitted_model(spark: SparkSession, sf: str, rounds: int = QUERY_GBT_ROUNDS):
     """M1-M4: encode, split, fit; the fitted pipeline is kept per application
     and input so the scoring, metric and beds views share one fit."""
     key = (spark.sparkContext.applicationId, sf, rounds)
@@ -161,7 +164,7 @@ def fitted_model(spark: SparkSession, sf: str, rounds: int = 20):
 
 def _fit(spark: SparkSession, sf: str, rounds: int):
     a = ml.label_encode(labelled(spark, sf), ["sex", "diagnosis", "hospital"])
-    split = ml.stratified_split(a, "alc_flag", ["patient_id"], 0.2, 42).persist()
+    split = ml.stratified_split(a, "alc_flag", ["patient_id"], dims.TEST_FRACTION, 42).persist()
     w = ml.imbalance_weight(split, "alc_flag").first()["scale_pos_weight"] or 1.0
     train = split.filter(~F.col("is_test")).withColumn(
         "w", F.when(F.col("alc_flag") == 1, F.lit(float(w))).otherwise(F.lit(1.0)))
@@ -224,14 +227,7 @@ def q_class_report(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def linear_terms() -> dict:
-    c = F.col
-    return {
-        "Age": F.lit(0.008) * (c("age") - 18), "Diagnosis": diagnosis_weight(),
-        "Lives Alone": F.lit(0.10) * c("lives_alone"), "Cognitive Impairment": F.lit(0.15) * c("cognitive_impairment"),
-        "Has Caregiver": F.lit(-0.12) * c("has_caregiver"), "Charlson Index": F.lit(0.008) * c("charlson_index"),
-        "Functional Score": F.lit(-0.001) * c("functional_score"), "Length of Stay": F.lit(0.010) * c("los_days"),
-        "Prior Admissions": F.lit(0.03) * c("prior_admissions"),
-    }
+    return dict(weighted_terms(dims.ALC_TERMS, dims.DIAGNOSIS_RISK))
 
 
 def q_linear_attribution(spark: SparkSession, sf: str) -> DataFrame:

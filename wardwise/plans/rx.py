@@ -9,15 +9,14 @@ from wardwise.functions.columns import band, clip, prescriber_code, r6
 from wardwise.operators import metrics, ml
 from wardwise.operators.iforest import fit_iforest, score_iforest
 from wardwise.operators.joins import with_scalar
+from wardwise.sources import dims
 from wardwise.sources.bindings import RX_FEATURES, prescribers
 from wardwise.sources.io import materialize
 
 METRICS = RX_FEATURES + ["patients_per_month"]
 PROFILE_METRICS = ["opioid_rate_pct", "avg_opioid_mme", "benzo_opioid_combo_pct", "polypharmacy_pct",
                    "patients_per_month", "refill_rate_pct"]
-# Clip ranges of the reference's realistic bounds.
-CLIP_RANGES = {"opioid_rate_pct": (0, 100), "avg_opioid_mme": (0, 500), "benzo_opioid_combo_pct": (0, 100),
-               "polypharmacy_pct": (0, 100), "patients_per_month": (1, 800), "avg_rx_per_patient": (1, 20)}
+CLIP_RANGES = dims.CLIP_RANGES
 LOOKUP_SPECIALTIES = ["BUILDING", "MACHINERY"]
 LOOKUP_SITES = ["AMERICA", "ASIA"]
 AUDIT_COLUMNS = ["prescriber_code", "specialty", "hospital", "anomaly_type", "anomaly_score", "opioid_rate_pct",
@@ -26,12 +25,14 @@ AUDIT_COLUMNS = ["prescriber_code", "specialty", "hospital", "anomaly_type", "an
 
 def classify_anomaly(flag: str = "is_anomaly") -> F.Column:
     """First matching rule wins."""
-    c = F.col
-    return (F.when(c(flag) == 0, "Normal")
-            .when((c("opioid_rate_pct") > 35) | (c("avg_opioid_mme") > 120), "Opioid Over-Prescriber")
-            .when((c("benzo_opioid_combo_pct") > 15) | (c("polypharmacy_pct") > 40), "High-Risk Combinations")
-            .when((c("patients_per_month") > 250) | (c("avg_rx_per_patient") > 7), "Volume Outlier")
-            .otherwise("Other Anomaly"))
+    out = F.when(F.col(flag) == 0, dims.ANOMALY_TYPES[0])
+    for name, rules in dims.ANOMALY_RULES:
+        fires = None
+        for metric, cut in rules:
+            cond = F.col(metric) > cut
+            fires = cond if fires is None else fires | cond
+        out = out.when(fires, name)
+    return out.otherwise(dims.ANOMALY_TYPES[-1])
 
 
 def prescriber_table(spark: SparkSession, sf: str) -> DataFrame:
@@ -42,7 +43,7 @@ def prescriber_table(spark: SparkSession, sf: str) -> DataFrame:
 def flagged(spark: SparkSession, sf: str) -> DataFrame:
     """M19 -> M13 -> P8: peer z-score, top-4% flag, anomaly type."""
     p = ml.peer_zscore(prescriber_table(spark, sf), "specialty", METRICS)
-    p = ml.flag_top_fraction(p, "anomaly_score", 0.04)
+    p = ml.flag_top_fraction(p, "anomaly_score", dims.CONTAMINATION)
     return p.withColumn("anomaly_type", classify_anomaly())
 
 
@@ -54,7 +55,7 @@ def q_prescriber_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return (p.filter(F.col("specialty").isin(LOOKUP_SPECIALTIES) & F.col("hospital").isin(LOOKUP_SITES))
             .select("prescriber_id", "specialty", "hospital", r6("opioid_rate_pct").alias("opioid_rate_pct"),
                     r6("avg_opioid_mme").alias("avg_opioid_mme"), r6("patients_per_month").alias("patients_per_month"))
-            .orderBy("prescriber_id").limit(50))
+            .orderBy("prescriber_id").limit(dims.LOOKUP_SIZE))
 
 
 def q_rx_specialty_profile(spark: SparkSession, sf: str) -> DataFrame:
@@ -121,7 +122,8 @@ def rate_by_site(df: DataFrame) -> DataFrame:
 def q_rx_rate_hospital(spark: SparkSession, sf: str) -> DataFrame:
     """A11 + P11: anomaly rate per site with band (> 5, > 3)."""
     r = rate_by_site(flagged(spark, sf))
-    return r.select("hospital", r6("rate").alias("anomaly_rate_pct"), band("rate", 5, 3).alias("band"))
+    return r.select("hospital", r6("rate").alias("anomaly_rate_pct"),
+                    band("rate", *dims.BANDS["rx_rate_hospital"]).alias("band"))
 
 
 def q_rx_top_hospital(spark: SparkSession, sf: str) -> DataFrame:
@@ -141,12 +143,12 @@ def q_rx_score_threshold(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_rx_score_histogram(spark: SparkSession, sf: str) -> DataFrame:
     """A14 + M15: score histogram per class (50 bins, density)."""
-    h = metrics.histogram(flagged(spark, sf), "anomaly_score", "is_anomaly", 50, density=True)
+    h = metrics.histogram(flagged(spark, sf), "anomaly_score", "is_anomaly", dims.SCORE_BINS, density=True)
     return h.select("class", "bin", r6("lo").alias("lo"), r6("hi").alias("hi"), "n",
                     r6("density").alias("density"))
 
 
-def audit_list(df: DataFrame, n: int = 20) -> DataFrame:
+def audit_list(df: DataFrame, n: int = dims.AUDIT_SIZE) -> DataFrame:
     """O2 + X11: flagged rows by score (desc, id asc), top n, nine columns."""
     top = (df.filter(F.col("is_anomaly") == 1)
            .orderBy(F.col("anomaly_score").desc(), F.col("prescriber_id")).limit(n))
@@ -187,17 +189,17 @@ def q_rx_pca(spark: SparkSession, sf: str) -> DataFrame:
 _FORESTS: dict = {}
 
 
-def forest_flagged(spark: SparkSession, sf: str, trees: int = 300) -> DataFrame:
+def forest_flagged(spark: SparkSession, sf: str, trees: int = dims.FOREST_TREES) -> DataFrame:
     """M12 -> M13 -> P8 on standardised metrics (one fit per application and input)."""
     p = prescriber_table(spark, sf)
     z = ml.standardize(p, METRICS)
     zc = [f"{m}_z" for m in METRICS]
     key = (spark.sparkContext.applicationId, sf, trees)
     if key not in _FORESTS:
-        _FORESTS[key] = fit_iforest(z, zc, "prescriber_id", trees=trees, psi=256, seed=42)
+        _FORESTS[key] = fit_iforest(z, zc, "prescriber_id", trees=trees, psi=dims.FOREST_SAMPLES, seed=42)
     model = _FORESTS[key]
     s = score_iforest(z, model)
-    s = ml.flag_top_fraction(s, "anomaly_score", 0.04)
+    s = ml.flag_top_fraction(s, "anomaly_score", dims.CONTAMINATION)
     return s.withColumn("anomaly_type", classify_anomaly())
 
 

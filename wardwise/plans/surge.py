@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wardwise.functions.columns import pct_text, r6
-from wardwise.functions.rules import expected_volume, flag_surge, predicted_visits, surge_risk_score
+from wardwise.functions.rules import (expected_volume, flag_surge, predicted_visits, surge_risk_score,
+                                      surge_threshold)
 from wardwise.operators import forecast as fcast
 from wardwise.operators.joins import scalar, with_holiday, with_holiday_window
 from wardwise.sources import dims
@@ -83,7 +84,7 @@ def q_seasonality_month(spark: SparkSession, sf: str) -> DataFrame:
     md = dims.month_dim(spark).select("month", "month_abbr")
     out = F.broadcast(md).join(agg, "month", "left")
     return out.select("month", F.col("month_abbr").alias("month_name"), r6("avg_visits").alias("avg_visits"),
-                      F.when(F.col("month").isin(12, 1, 2), "winter").otherwise("other").alias("band"))
+                      F.when(F.col("month").isin(*dims.WINTER_MONTHS), "winter").otherwise("other").alias("band"))
 
 
 def q_seasonality_dow(spark: SparkSession, sf: str) -> DataFrame:
@@ -93,7 +94,8 @@ def q_seasonality_dow(spark: SparkSession, sf: str) -> DataFrame:
     dd = dims.dow_dim(spark).select("weekday", "day_abbr")
     out = F.broadcast(dd).join(agg, "weekday", "left")
     return out.select("weekday", F.col("day_abbr").alias("day_name"), r6("avg_visits").alias("avg_visits"),
-                      F.when(F.col("weekday").isin(0, 4), "high").when(F.col("weekday").isin(5, 6), "low")
+                      F.when(F.col("weekday").isin(*dims.BUSY_WEEKDAYS), "high")
+                      .when(F.col("weekday").isin(*dims.QUIET_WEEKDAYS), "low")
                       .otherwise("normal").alias("band"))
 
 
@@ -129,7 +131,7 @@ def q_last_90_days(spark: SparkSession, sf: str) -> DataFrame:
     """The last 90 observed days per site (top-n per group)."""
     v = _visits(spark, sf)
     w = Window.partitionBy("hospital").orderBy(F.col("visit_date").desc())
-    return (v.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= 90)
+    return (v.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= dims.HISTORY_TAIL)
             .select("hospital", "visit_date", "ed_visits", "rn"))
 
 
@@ -138,7 +140,7 @@ def q_hospital_reference(spark: SparkSession, sf: str) -> DataFrame:
     v = _visits(spark, sf)
     s = v.groupBy("hospital").agg(F.first("base").alias("base"))
     return s.select("hospital", r6("base").alias("base"),
-                    F.floor(F.col("base") * F.lit(1.25)).cast("bigint").alias("surge_threshold"),
+                    surge_threshold("base").alias("surge_threshold"),
                     F.lit(dims.REGION_NAME).alias("region"), F.lit(dims.PROVINCE_NAME).alias("province"))
 
 
@@ -213,7 +215,7 @@ def q_seasonal_index(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("hospital", "component", "k", r6("value").alias("value"), r6("value2").alias("value2"))
 
 
-def q_surge_forecast(spark: SparkSession, sf: str, periods: int = 30) -> DataFrame:
+def q_surge_forecast(spark: SparkSession, sf: str, periods: int = dims.FORECAST_DAYS) -> DataFrame:
     """30-day forecast with 90% interval for every site."""
     _, hol, m = _model(spark, sf)
     fc = fcast.forecast(m, hol, periods)
@@ -221,7 +223,7 @@ def q_surge_forecast(spark: SparkSession, sf: str, periods: int = 30) -> DataFra
                      r6("yhat_upper").alias("yhat_upper"))
 
 
-def flagged_forecast(spark: SparkSession, sf: str, periods: int = 30) -> DataFrame:
+def flagged_forecast(spark: SparkSession, sf: str, periods: int = dims.FORECAST_DAYS) -> DataFrame:
     _, hol, m = _model(spark, sf)
     return fcast.flag_forecast(fcast.forecast(m, hol, periods))
 
@@ -250,12 +252,12 @@ def q_forecast_backtest(spark: SparkSession, sf: str) -> DataFrame:
     v = _visits(spark, sf)
     hol = _holidays(v)
     h = fcast.prepare_history(v, hol)
-    bt = fcast.backtest(h, hol, 30)
+    bt = fcast.backtest(h, hol, dims.FORECAST_DAYS)
     return bt.select("hospital", "n_test", r6("mae").alias("mae"), r6("mape").alias("mape"),
                      r6("coverage").alias("coverage"))
 
 
-def q_surge_forecast_fourier(spark: SparkSession, sf: str, periods: int = 30) -> DataFrame:
+def q_surge_forecast_fourier(spark: SparkSession, sf: str, periods: int = dims.FORECAST_DAYS) -> DataFrame:
     """piecewise-trend + Fourier + holiday ridge forecast on log visits."""
     from wardwise.operators.fourier import forecast_fourier
 

@@ -73,10 +73,12 @@ def ed_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     from pyspark.sql import Window
 
+    from wardwise.functions.rules import surge_threshold
+
     v = daily_visits(spark, sf_dir)
     w = Window.partitionBy("hospital")
     return (v.withColumn("base", F.avg("ed_visits").over(w))
-            .withColumn("surge_threshold", F.floor(F.col("base") * F.lit(1.25)).cast("bigint")))
+            .withColumn("surge_threshold", surge_threshold("base")))
 
 
 # --------------------------------------------------------------------------- admissions
@@ -126,17 +128,9 @@ def admissions_from(orders: DataFrame, sites: DataFrame) -> DataFrame:
 
 def label_linear(df: DataFrame) -> F.Column:
     """Linear part of the label formula (three diagnosis weights), without noise."""
-    diag = F.lit(0.0)
-    cases = None
-    for name, w in LABEL_DIAGNOSIS_RISK.items():
-        cases = (F.when(F.col("diagnosis") == name, F.lit(w)) if cases is None
-                 else cases.when(F.col("diagnosis") == name, F.lit(w)))
-    diag = cases.otherwise(F.lit(0.0))
-    return (F.lit(0.02) + F.lit(0.008) * (F.col("age") - 18) + diag
-            + F.lit(0.10) * F.col("lives_alone") + F.lit(0.15) * F.col("cognitive_impairment")
-            - F.lit(0.12) * F.col("has_caregiver") + F.lit(0.008) * F.col("charlson_index")
-            - F.lit(0.001) * F.col("functional_score") + F.lit(0.010) * F.col("los_days")
-            + F.lit(0.03) * F.col("prior_admissions"))
+    from wardwise.functions.rules import linear_score
+
+    return linear_score(LABEL_DIAGNOSIS_RISK, unknown=0.0)
 
 
 # --------------------------------------------------------------------------- prescribers

@@ -58,9 +58,57 @@ SURGE_TIERS = [  # (min score, level, recommendation)
     (0.5, "MEDIUM", "Alert charge nurse. Pre-position additional staff and open overflow areas."),
     (None, "LOW", "Normal operations. Monitor hourly volumes."),
 ]
-ALC_FACTOR_NAMES = ["Age", "Diagnosis", "Lives Alone", "Cognitive Impairment", "No Caregiver",
-                    "Charlson Index", "Length of Stay", "Prior Admissions"]
+# ALC risk score: intercept, then (name, input, weight) in the order the terms are
+# summed. "age_over_18" is age - 18; the diagnosis weight comes from a table above.
+ALC_INTERCEPT, AGE_OFFSET = 0.02, 18
+ALC_TERMS = [
+    ("Age", "age_over_18", 0.008),
+    ("Diagnosis", "diagnosis", None),
+    ("Lives Alone", "lives_alone", 0.10),
+    ("Cognitive Impairment", "cognitive_impairment", 0.15),
+    ("Has Caregiver", "has_caregiver", -0.12),
+    ("Charlson Index", "charlson_index", 0.008),
+    ("Functional Score", "functional_score", -0.001),
+    ("Length of Stay", "los_days", 0.010),
+    ("Prior Admissions", "prior_admissions", 0.03),
+]
+# The eight named factors of the score's explanation ("no_caregiver" = 1 - has_caregiver).
+ALC_FACTORS = [
+    ("Age", "age_over_18", 0.008),
+    ("Diagnosis", "diagnosis", None),
+    ("Lives Alone", "lives_alone", 0.10),
+    ("Cognitive Impairment", "cognitive_impairment", 0.15),
+    ("No Caregiver", "no_caregiver", 0.12),
+    ("Charlson Index", "charlson_index", 0.008),
+    ("Length of Stay", "los_days", 0.010),
+    ("Prior Admissions", "prior_admissions", 0.03),
+]
+ALC_FACTOR_NAMES = [name for name, _, _ in ALC_FACTORS]
+TOP_FACTORS = 5
+ALC_LABEL_CUTOFF, PREDICT_CUTOFF = 0.45, 0.5  # label: prob > 0.45; class: prob > 0.5
+# Forecast horizon tier: surge-day count > 10 HIGH, > 4 MEDIUM, else LOW.
+HORIZON_TIERS = [(10, "HIGH"), (4, "MEDIUM"), (None, "LOW")]
+# Anomaly type rules, first match wins; a rule fires when any metric exceeds its cut-off.
 ANOMALY_TYPES = ["Normal", "Opioid Over-Prescriber", "High-Risk Combinations", "Volume Outlier", "Other Anomaly"]
+ANOMALY_RULES = [
+    ("Opioid Over-Prescriber", [("opioid_rate_pct", 35), ("avg_opioid_mme", 120)]),
+    ("High-Risk Combinations", [("benzo_opioid_combo_pct", 15), ("polypharmacy_pct", 40)]),
+    ("Volume Outlier", [("patients_per_month", 250), ("avg_rx_per_patient", 7)]),
+]
+CONTAMINATION, FOREST_TREES, FOREST_SAMPLES = 0.04, 300, 256
+# Plausible metric ranges (clip bounds).
+CLIP_RANGES = {"opioid_rate_pct": (0, 100), "avg_opioid_mme": (0, 500), "benzo_opioid_combo_pct": (0, 100),
+               "polypharmacy_pct": (0, 100), "patients_per_month": (1, 800), "avg_rx_per_patient": (1, 20)}
+# Colour bands: value > first cut-off red, > second orange, else green.
+BANDS = {"alc_rate_hospital": (20, 15), "alc_rate_diagnosis": (25, 15), "beds_blocked": (15, 10),
+         "rx_rate_hospital": (5, 3)}
+WINTER_MONTHS, SUMMER_MONTHS = [12, 1, 2], [6, 7, 8]
+BUSY_WEEKDAYS, QUIET_WEEKDAYS = [0, 4], [5, 6]  # Monday and Friday; Saturday and Sunday
+# Boosted trees: rounds, depth, learning rate, row and column subsample; hold-out share.
+GBT_ROUNDS, GBT_DEPTH, GBT_RATE, GBT_SUBSAMPLE, GBT_COLSAMPLE = 300, 5, 0.05, 0.8, 0.8
+TEST_FRACTION = 0.2
+CENSUS_SIZE, AUDIT_SIZE, LOOKUP_SIZE, HISTORY_TAIL, FORECAST_DAYS = 400, 20, 50, 90, 30
+AGE_BINS, SCORE_BINS = 30, 50
 REGION_NAME, PROVINCE_NAME = "Greater Toronto Area", "Ontario, Canada"
 # --------------------------------------------------------------------------
 
