@@ -15,8 +15,28 @@ from wardwise.functions.columns import clip, pct_text, trunc_int
 from wardwise.sources import dims
 
 
-def case_map(c: Column, mapping: dict, default=None) -> Column:
-    """Dictionary lookup as a CASE expression (J1 for literal dictionaries)."""
+def sql_literal(v) -> str:
+    """A Python constant as a Spark SQL literal (doubles typed as DOUBLE)."""
+    if v is None:
+        return "CAST(NULL AS DOUBLE)"
+    if isinstance(v, bool):
+        return "true" if v else "false"
+    if isinstance(v, int):
+        return str(v)
+    if isinstance(v, float):
+        return f"{v!r}D"
+    return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def case_map(c: Column | str, mapping: dict, default=None) -> Column:
+    """Dictionary lookup as one CASE expression (J1 for literal dictionaries).
+
+    With a SQL expression string for ``c`` the whole CASE is parsed JVM-side
+    in one call; a Column falls back to chained ``when``.
+    """
+    if isinstance(c, str):
+        arms = " ".join(f"WHEN {sql_literal(k)} THEN {sql_literal(v)}" for k, v in mapping.items())
+        return F.expr(f"CASE {c} {arms} ELSE {sql_literal(default)} END")
     out = None
     for k, v in mapping.items():
         out = F.when(c == k, F.lit(v)) if out is None else out.when(c == k, F.lit(v))
@@ -34,7 +54,7 @@ def _tier(x: Column, tiers, idx: int) -> Column:
 # --------------------------------------------------------------------------- ALC
 
 def diagnosis_weight(c: str = "diagnosis") -> Column:
-    return case_map(F.col(c), dims.DIAGNOSIS_RISK, None)
+    return case_map(f"`{c}`", dims.DIAGNOSIS_RISK, None)
 
 
 def term_input(name: str) -> Column:
@@ -51,7 +71,7 @@ def weighted_terms(terms, diagnosis_weights: dict, unknown: float | None = None)
     (``unknown`` for diagnoses missing from the table)."""
     out = []
     for name, col_name, w in terms:
-        expr = (case_map(F.col("diagnosis"), diagnosis_weights, unknown) if w is None
+        expr = (case_map("diagnosis", diagnosis_weights, unknown) if w is None
                 else F.lit(w) * term_input(col_name))
         out.append((name, expr))
     return out
@@ -139,8 +159,8 @@ def predicted_visits(df: DataFrame) -> DataFrame:
 
     Expects ``base``, ``weekday`` (Monday = 0), ``month`` and ``is_holiday``.
     """
-    dow = case_map(F.col("weekday"), dict(enumerate(dims.DOW_EFFECT)), None)
-    mon = case_map(F.col("month"), {i + 1: v for i, v in enumerate(dims.MONTH_EFFECT)}, None)
+    dow = case_map("weekday", dict(enumerate(dims.DOW_EFFECT)), None)
+    mon = case_map("month", {i + 1: v for i, v in enumerate(dims.MONTH_EFFECT)}, None)
     hol = F.when(F.col("is_holiday") == 1, F.lit(dims.HOLIDAY_FACTOR)).otherwise(F.lit(1.0))
     return (df.withColumn("surge_threshold", surge_threshold("base"))
             .withColumn("predicted_visits", trunc_int(F.col("base") * dow * mon * hol)))
@@ -180,7 +200,7 @@ def expected_volume(df: DataFrame) -> DataFrame:
     Jun-Aug summer).
     """
     d = F.col("visit_date")
-    dow = case_map(F.weekday(d), dict(enumerate(dims.DOW_EFFECT)), None)
+    dow = case_map("weekday(visit_date)", dict(enumerate(dims.DOW_EFFECT)), None)
     season = (F.when(F.month(d).isin(*dims.WINTER_MONTHS), F.lit(dims.WINTER_FACTOR))
               .when(F.month(d).isin(*dims.SUMMER_MONTHS), F.lit(dims.SUMMER_FACTOR)).otherwise(F.lit(1.0)))
     hol = F.when(F.col("is_holiday") == 1, F.lit(dims.HOLIDAY_VOLUME_FACTOR)).otherwise(F.lit(1.0))

@@ -23,7 +23,7 @@ population std of the in-sample residuals.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardwise.functions.rules import horizon_tier, surge_threshold
@@ -52,43 +52,44 @@ def cell_sums(h: DataFrame) -> DataFrame:
         F.max("ds").alias("last"))
 
 
-def _site_sum(c: str) -> Column:
-    return F.sum(c).over(Window.partitionBy("hospital"))
-
-
 def fit_seasonal_index(h: DataFrame) -> DataFrame:
     """one model row per site.
 
     Columns: hospital, n_days, base, slope, intercept, holiday_idx, resid_sd,
     last_date, dow_idx (array of 7, Monday first), month_idx (array of 12).
+    Three projections (one per window level) and one grouped aggregate.
     """
+    cells = ["weekday", "month", "in_window", "n", "sy", "st", "stt", "sty", "syy", "last"]
     c = cell_sums(h)
-    n, sy, st, stt, sty = (_site_sum(x) for x in ("n", "sy", "st", "stt", "sty"))
-    c = (c.withColumn("n_site", n).withColumn("base", sy / n)
-         .withColumn("slope", (n * sty - st * sy) / (n * stt - st * st)))
-    c = c.withColumn("intercept", (_site_sum("sy") - F.col("slope") * _site_sum("st")) / F.col("n_site"))
-    wd = Window.partitionBy("hospital", "weekday")
-    mo = Window.partitionBy("hospital", "month")
-    c = (c.withColumn("D", F.sum("sy").over(wd) / F.sum("n").over(wd) / F.col("base"))
-         .withColumn("M", F.sum("sy").over(mo) / F.sum("n").over(mo) / F.col("base")))
-    a, b = F.col("intercept"), F.col("slope")
-    # sum over the cell's rows of the non-holiday fit (a + b t) D M
-    c = c.withColumn("F0", F.col("D") * F.col("M") * (a * F.col("n") + b * F.col("st")))
-    hol = F.col("in_window") == 1
-    c = c.withColumn("H", F.coalesce(
-        F.sum(F.when(hol, F.col("sy"))).over(Window.partitionBy("hospital"))
-        / F.sum(F.when(hol, F.col("F0"))).over(Window.partitionBy("hospital")), F.lit(1.0)))
+    site, wd, mo = (Window.partitionBy(*k) for k in (["hospital"], ["hospital", "weekday"], ["hospital", "month"]))
+    n, sy, st = F.sum("n").over(site), F.sum("sy").over(site), F.sum("st").over(site)
+    stt, sty = F.sum("stt").over(site), F.sum("sty").over(site)
+    base = sy / n
+    slope = (n * sty - st * sy) / (n * stt - st * st)
+    # level 1: site trend and the weekday / month indices
+    c = c.select("hospital", *cells, n.alias("n_site"), base.alias("base"), slope.alias("slope"),
+                 ((sy - slope * st) / n).alias("intercept"),
+                 (F.sum("sy").over(wd) / F.sum("n").over(wd) / base).alias("D"),
+                 (F.sum("sy").over(mo) / F.sum("n").over(mo) / base).alias("M"))
+    a, b, hol = F.col("intercept"), F.col("slope"), F.col("in_window") == 1
+    f0 = F.col("D") * F.col("M") * (a * F.col("n") + b * F.col("st"))  # sum of the non-holiday fit over the cell
+    # level 2: holiday index = holiday visits / their non-holiday fit
+    hidx = F.coalesce(F.sum(F.when(hol, F.col("sy"))).over(site) / F.sum(F.when(hol, f0)).over(site), F.lit(1.0))
+    c = c.select("*", hidx.alias("H"))
+    # level 3: residual sums per cell, expanded from the sufficient statistics
     k = F.col("D") * F.col("M") * F.when(hol, F.col("H")).otherwise(F.lit(1.0))
     lin_y = a * F.col("sy") + b * F.col("sty")  # sum (a + b t) y
     lin_sq = a * a * F.col("n") + 2 * a * b * F.col("st") + b * b * F.col("stt")  # sum (a + b t)^2
-    c = (c.withColumn("rss", F.col("syy") - 2 * k * lin_y + k * k * lin_sq)
-         .withColumn("r1", F.col("sy") - k * (a * F.col("n") + b * F.col("st"))))
+    c = c.select("*", (F.col("syy") - 2 * k * lin_y + k * k * lin_sq).alias("rss"),
+                 (F.col("sy") - k * (a * F.col("n") + b * F.col("st"))).alias("r1"))
     first = ["n_site", "base", "slope", "intercept", "H"]
     agg = c.groupBy("hospital").agg(
         *[F.first(x).alias(x) for x in first],
         F.sum("rss").alias("_rss"), F.sum("r1").alias("_r1"), F.max("last").alias("last_date"),
-        F.array(*[F.max(F.when(F.col("weekday") == i, F.col("D"))) for i in range(7)]).alias("dow_idx"),
-        F.array(*[F.max(F.when(F.col("month") == i, F.col("M"))) for i in range(1, 13)]).alias("month_idx"))
+        F.expr("array(" + ", ".join(f"max(CASE WHEN weekday = {i} THEN D END)" for i in range(7)) + ")")
+        .alias("dow_idx"),
+        F.expr("array(" + ", ".join(f"max(CASE WHEN month = {i} THEN M END)" for i in range(1, 13)) + ")")
+        .alias("month_idx"))
     var = F.col("_rss") / F.col("n_site") - (F.col("_r1") / F.col("n_site")) ** 2
     return agg.select("hospital", F.col("n_site").cast("bigint").alias("n_days"), "base", "slope", "intercept",
                       F.col("H").alias("holiday_idx"), F.sqrt(F.greatest(var, F.lit(0.0))).alias("resid_sd"),
