@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardwise.operators.joins import scalar, with_scalar
+from wardwise.operators.joins import bounded_broadcast, scalar, with_scalar
 from wardwise.operators.ordering import ordered_cumsum
 
 
@@ -94,7 +94,9 @@ def histogram(df: DataFrame, value: str, by: str | None, bins: int, density: boo
     key = F.col(by) if by else F.lit(0)
     d = df.select(key.alias("class"), F.col(value).cast("double").alias("x")).filter(F.col("x").isNotNull())
     rng = d.groupBy("class").agg(F.min("x").alias("_min"), F.max("x").alias("_max"), F.count(F.lit(1)).alias("_n"))
-    # one row per class: joined back through AQE's runtime broadcast
+    # one row per class, joined back on a low-cardinality key: a shuffle join would
+    # send each class to one task, so the ranges are broadcast (size checked)
+    rng = bounded_broadcast(rng)
     span = F.col("_max") - F.col("_min")
     idx = F.when(span > 0, F.least(F.floor((F.col("x") - F.col("_min")) * bins / span), F.lit(bins - 1))) \
         .otherwise(F.lit(0)).cast("int")

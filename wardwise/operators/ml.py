@@ -14,9 +14,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardwise.operators.joins import scalar, with_scalar
+from wardwise.operators.joins import bounded_broadcast, scalar, with_scalar
 from wardwise.sources import dims
-from wardwise.operators.ordering import exact_quantile, smallest_k_per_group, uniform_hash
+from wardwise.operators.ordering import exact_quantile, kth_per_group, uniform_hash
 
 
 # --------------------------------------------------------------------------- M1 / M2
@@ -55,14 +55,16 @@ def stratified_split(df: DataFrame, label: str, key_cols: list[str], test_frac:
     u = df.withColumn("_u", uniform_hash(key_cols, seed))
     sizes = u.groupBy(label).agg(F.count(F.lit(1)).alias("_n"),
                                  F.ceil(F.count(F.lit(1)) * F.lit(test_frac)).alias("_k"))
-    # one row per class: bounded by the label's cardinality
-    largest = max([r["_n"] for r in sizes.select("_n").collect()] or [0])
+    rows = sizes.collect()  # one row per class: bounded by the label's cardinality
+    largest = max([r["_n"] for r in rows] or [0])
     buckets = max(64, -(-largest // ROWS_PER_BUCKET))
     tagged = u.join(F.broadcast(sizes.drop("_n")), label)
-    test = smallest_k_per_group(tagged, [label], "_u", "_k", buckets=buckets).select(*key_cols).withColumn(
-        "is_test", F.lit(True))
-    return (u.join(test, key_cols, "left")
-            .withColumn("is_test", F.coalesce("is_test", F.lit(False))).drop("_u"))
+    # the k-th (hash, key) of each class; rows at or below it are the hold-out
+    kth = kth_per_group(tagged, [label], "_u", key_cols, "_k", buckets=buckets).select(
+        label, F.struct("_u", *key_cols).alias("_cut"))
+    marked = u.join(F.broadcast(kth), label, "left")  # <= #classes rows
+    return (marked.withColumn("is_test", F.coalesce(F.struct("_u", *key_cols) <= F.col("_cut"), F.lit(False)))
+            .drop("_u", "_cut"))
 
 
 # --------------------------------------------------------------------------- M4 / M5
@@ -161,11 +163,13 @@ def peer_zscore(df: DataFrame, by: str, cols: list[str]) -> DataFrame:
 
     Group statistics are a grouped aggregate (partial aggregation, so a
     peer group holding a third of the rows is never gathered in one task)
-    joined back on the group key.
+    broadcast back on the group key after a size check.
     """
     stats = df.groupBy(by).agg(*[F.avg(c).alias(f"_mu_{c}") for c in cols],
                                *[F.stddev_pop(c).alias(f"_sd_{c}") for c in cols])
-    out = df.join(stats, by)
+    # one row per peer group joined back on a low-cardinality key: broadcast (size
+    # checked) so no group is shuffled into a single task
+    out = df.join(bounded_broadcast(stats), by)
     for c in cols:
         out = out.withColumn(f"{c}_z", F.when(F.col(f"_sd_{c}") > 0,
                                               (F.col(c) - F.col(f"_mu_{c}")) / F.col(f"_sd_{c}"))

@@ -102,22 +102,24 @@ def uniform_hash(key_cols: list[str], seed: int) -> Column:
     return (F.pmod(h, F.lit(1 << 52)).cast("double") / float(1 << 52))
 
 
-def smallest_k_per_group(df: DataFrame, group_cols: list[str], u_col: str, k_col: str,
-                         buckets: int = 64) -> DataFrame:
-    """Rows whose ``u_col`` is among the ``k_col`` smallest of their group.
+def kth_per_group(df: DataFrame, group_cols: list[str], u_col: str, tie_cols: list[str], k_col: str,
+                  buckets: int = 64) -> DataFrame:
+    """The row ranked ``k_col`` in its group by (``u_col``, ``tie_cols``), one row per group.
 
     ``u_col`` is uniform on [0, 1) (a hash), so equal-width buckets are
-    balanced; counts per (group, bucket) locate the cut bucket, and only
-    that bucket is ranked row by row (a window over ~n/buckets rows).
+    balanced; counts per (group, bucket) locate the bucket holding rank k,
+    and only that bucket is ranked row by row (a window over ~n/buckets rows).
     """
     t = df.withColumn("_b", F.least(F.floor(F.col(u_col) * buckets), F.lit(buckets - 1)).cast("int"))
-    cnt = t.groupBy(*group_cols, "_b").agg(F.count(F.lit(1)).alias("_c"))
+    cnt = t.groupBy(*group_cols, "_b").agg(F.count(F.lit(1)).alias("_c"), F.first(k_col).alias("_k"))
     wb = Window.partitionBy(*group_cols).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     cnt = cnt.withColumn("_before", F.coalesce(F.sum("_c").over(wb), F.lit(0)))
-    t = t.join(cnt.drop("_c"), group_cols + ["_b"])
-    wr = Window.partitionBy(*group_cols, "_b").orderBy(u_col)
+    # the one bucket per group whose rank range covers k (groups x buckets rows)
+    cut = cnt.filter((F.col("_before") < F.col("_k")) & (F.col("_k") <= F.col("_before") + F.col("_c")))
+    t = t.join(F.broadcast(cut.select(*group_cols, "_b", "_before")), group_cols + ["_b"])  # <= #groups rows
+    wr = Window.partitionBy(*group_cols, "_b").orderBy(u_col, *tie_cols)
     t = t.withColumn("_rank", F.col("_before") + F.row_number().over(wr))
-    return t.filter(F.col("_rank") <= F.col(k_col)).drop("_b", "_before", "_rank")
+    return t.filter(F.col("_rank") == F.col(k_col)).drop("_b", "_before", "_rank")
 
 
 def sample_n(df: DataFrame, n: int, key_cols: list[str], seed: int = 42) -> DataFrame:

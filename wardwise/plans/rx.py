@@ -44,7 +44,8 @@ def flagged(spark: SparkSession, sf: str) -> DataFrame:
     """M19 -> M13 -> P8: peer z-score, top-4% flag, anomaly type."""
     p = ml.peer_zscore(prescriber_table(spark, sf), "specialty", METRICS)
     p = ml.flag_top_fraction(p, "anomaly_score", dims.CONTAMINATION)
-    return p.withColumn("anomaly_type", classify_anomaly())
+    # one row per prescriber, read by several branches downstream: written once
+    return materialize(p.withColumn("anomaly_type", classify_anomaly()))
 
 
 def q_prescriber_lookup(spark: SparkSession, sf: str) -> DataFrame:
@@ -200,7 +201,7 @@ def forest_flagged(spark: SparkSession, sf: str, trees: int = dims.FOREST_TREES)
     model = _FORESTS[key]
     s = score_iforest(z, model)
     s = ml.flag_top_fraction(s, "anomaly_score", dims.CONTAMINATION)
-    return s.withColumn("anomaly_type", classify_anomaly())
+    return materialize(s.withColumn("anomaly_type", classify_anomaly()))
 
 
 def q_iforest_scores(spark: SparkSession, sf: str) -> DataFrame:

@@ -82,7 +82,7 @@ def q_seasonality_month(spark: SparkSession, sf: str) -> DataFrame:
     v = _visits(spark, sf)
     agg = v.groupBy(F.month("visit_date").alias("month")).agg(F.avg("ed_visits").alias("avg_visits"))
     md = dims.month_dim(spark).select("month", "month_abbr")
-    out = F.broadcast(md).join(agg, "month", "left")
+    out = md.join(F.broadcast(agg), "month", "left")  # agg: at most 12 rows (month domain)
     return out.select("month", F.col("month_abbr").alias("month_name"), r6("avg_visits").alias("avg_visits"),
                       F.when(F.col("month").isin(*dims.WINTER_MONTHS), "winter").otherwise("other").alias("band"))
 
@@ -92,7 +92,7 @@ def q_seasonality_dow(spark: SparkSession, sf: str) -> DataFrame:
     v = _visits(spark, sf)
     agg = v.groupBy(F.weekday("visit_date").alias("weekday")).agg(F.avg("ed_visits").alias("avg_visits"))
     dd = dims.dow_dim(spark).select("weekday", "day_abbr")
-    out = F.broadcast(dd).join(agg, "weekday", "left")
+    out = dd.join(F.broadcast(agg), "weekday", "left")  # agg: at most 7 rows (weekday domain)
     return out.select("weekday", F.col("day_abbr").alias("day_name"), r6("avg_visits").alias("avg_visits"),
                       F.when(F.col("weekday").isin(*dims.BUSY_WEEKDAYS), "high")
                       .when(F.col("weekday").isin(*dims.QUIET_WEEKDAYS), "low")

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wardwise.operators.joins import bounded_broadcast
+
 
 def validate(df: DataFrame, rules: dict) -> DataFrame:
     out = df
@@ -20,7 +22,8 @@ def validate(df: DataFrame, rules: dict) -> DataFrame:
         c = F.col(colname)
         if isinstance(rule, DataFrame):
             ok_col = f"_ok_{i}"
-            ref = rule.select(F.col(rule.columns[0]).alias(f"_ref_{i}")).distinct().withColumn(ok_col, F.lit(True))
+            ref = bounded_broadcast(
+                rule.select(F.col(rule.columns[0]).alias(f"_ref_{i}")).distinct().withColumn(ok_col, F.lit(True)))
             out = out.join(ref, c == F.col(f"_ref_{i}"), "left").drop(f"_ref_{i}")
             ok = F.col(ok_col).isNotNull()
         elif isinstance(rule, (list, tuple, set)) and not (isinstance(rule, tuple) and len(rule) == 2
