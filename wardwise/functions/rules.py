@@ -111,18 +111,24 @@ def alc_factor_values() -> list[Column]:
 
 
 def alc_factors(df: DataFrame) -> DataFrame:
-    """D3 as ``array<struct<pos, factor, contribution>>`` in declaration order."""
-    items = [F.struct(F.lit(i).alias("pos"), F.lit(name).alias("factor"), v.alias("contribution"))
+    """D3 as ``array<struct<neg, pos, factor, contribution>>`` in declaration order.
+
+    ``neg`` = -contribution leads the struct so the natural struct order is
+    (contribution desc, declaration order asc): the order of a stable
+    descending sort.
+    """
+    items = [F.struct((-v).alias("neg"), F.lit(i).alias("pos"), F.lit(name).alias("factor"),
+                      v.alias("contribution"))
              for i, (name, v) in enumerate(zip(dims.ALC_FACTOR_NAMES, alc_factor_values()))]
     return df.withColumn("factors", F.array(*items))
 
 
 def top_factors(df: DataFrame, k: int = dims.TOP_FACTORS) -> DataFrame:
-    """Top-k factors by contribution desc, stable on ties (declaration order)."""
-    cmp = ("(a, b) -> CASE WHEN a.contribution > b.contribution THEN -1 "
-           "WHEN a.contribution < b.contribution THEN 1 "
-           "WHEN a.pos < b.pos THEN -1 WHEN a.pos > b.pos THEN 1 ELSE 0 END")
-    return df.withColumn("top_factors", F.slice(F.expr(f"array_sort(factors, {cmp})"), 1, k))
+    """Top-k factors by contribution desc, stable on ties (declaration order).
+
+    ``sort_array`` on the structs uses Spark's native ordering (no lambda
+    comparator, so it stays in generated code)."""
+    return df.withColumn("top_factors", F.slice(F.sort_array("factors"), 1, k))
 
 
 def alc_label(df: DataFrame, raw: str = "alc_prob_raw", threshold: float = dims.ALC_LABEL_CUTOFF) -> DataFrame:
