@@ -163,3 +163,13 @@ def test_result_exports_round_trip(spark):
     again = reports.read_audit_list(spark, os.path.join(base, "audit"))
     assert sorted(r.prescriber_id for r in again.collect()) == sorted(r.prescriber_id for r in audit.collect())
     assert reports.read_audit_list(spark, os.path.join(base, "missing")) is None
+
+
+def test_lookup_and_unknown_keys(spark):
+    from wardwise.operators.joins import lookup, unknown_keys
+
+    df = spark.createDataFrame([(1, "Stroke"), (2, "Flu"), (3, "UTI")], "id int, diagnosis string")
+    dim = dims.diagnosis_dim(spark)
+    got = {r.id: r.diag_weight for r in lookup(df, dim, "diagnosis").collect()}
+    assert got == {1: 0.20, 3: 0.02}
+    assert [r.id for r in unknown_keys(df, dim, "diagnosis").collect()] == [2]

@@ -87,8 +87,13 @@ def with_holiday_window(df: DataFrame, holidays: DataFrame, date_col: str, prefi
 
 
 def reindex(agg: DataFrame, dim: DataFrame, key: str, order_col: str) -> DataFrame:
-    """Right-align an aggregate to a fixed ordered domain; null where absent."""
-    return F.broadcast(dim).join(agg, on=key, how="left").orderBy(order_col)
+    """Align an aggregate to a fixed ordered domain; null where absent.
+
+    ``agg`` is keyed by the domain's values, so it has at most as many rows
+    as the literal domain table and is the side that is broadcast (the
+    domain is the preserved side of the left join).
+    """
+    return dim.join(F.broadcast(agg), on=key, how="left").orderBy(order_col)
 
 
 def with_scalar(df: DataFrame, one_row: DataFrame, name: str) -> DataFrame:

@@ -13,6 +13,7 @@ from wardwise.operators.joins import scalar
 from wardwise.operators.ordering import sample_n
 from wardwise.sources import dims
 from wardwise.sources.bindings import admissions, table
+from wardwise.sources.io import memoise
 from wardwise.sources.validate import validate
 
 ALC_FEATURES = ["age", "sex_enc", "diagnosis_enc", "hospital_enc", "lives_alone", "has_caregiver",
@@ -166,7 +167,7 @@ def fitted_model(spark: SparkSession, sf: str, rounds: int = QUERY_GBT_ROUNDS):
 
 def _fit(spark: SparkSession, sf: str, rounds: int):
     a = ml.label_encode(labelled(spark, sf), ["sex", "diagnosis", "hospital"])
-    split = ml.stratified_split(a, "alc_flag", ["patient_id"], dims.TEST_FRACTION, 42).persist()
+    split = memoise(ml.stratified_split(a, "alc_flag", ["patient_id"], dims.TEST_FRACTION, 42))
     w = ml.imbalance_weight(split, "alc_flag").first()["scale_pos_weight"] or 1.0
     train = split.filter(~F.col("is_test")).withColumn(
         "w", F.when(F.col("alc_flag") == 1, F.lit(float(w))).otherwise(F.lit(1.0)))

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardwise.functions.columns import pct_text, r6
 from wardwise.functions.rules import (expected_volume, flag_surge, predicted_visits, surge_risk_score,
                                       surge_threshold)
 from wardwise.operators import forecast as fcast
-from wardwise.operators.joins import scalar, with_holiday, with_holiday_window
+from wardwise.operators.joins import reindex, scalar, with_holiday, with_holiday_window
+from wardwise.operators.ordering import top_n_per_group
 from wardwise.sources import dims
 from wardwise.sources.bindings import ed_visits
 
@@ -81,8 +82,7 @@ def q_seasonality_month(spark: SparkSession, sf: str) -> DataFrame:
     """A2 + J4 + P11: mean visits by month over all sites, Jan..Dec, winter band."""
     v = _visits(spark, sf)
     agg = v.groupBy(F.month("visit_date").alias("month")).agg(F.avg("ed_visits").alias("avg_visits"))
-    md = dims.month_dim(spark).select("month", "month_abbr")
-    out = md.join(F.broadcast(agg), "month", "left")  # agg: at most 12 rows (month domain)
+    out = reindex(agg, dims.month_dim(spark).select("month", "month_abbr"), "month", "month")
     return out.select("month", F.col("month_abbr").alias("month_name"), r6("avg_visits").alias("avg_visits"),
                       F.when(F.col("month").isin(*dims.WINTER_MONTHS), "winter").otherwise("other").alias("band"))
 
@@ -91,8 +91,7 @@ def q_seasonality_dow(spark: SparkSession, sf: str) -> DataFrame:
     """A3 + J4 + P11: mean visits by weekday, Mon..Sun, band Mon/Fri high, Sat/Sun low."""
     v = _visits(spark, sf)
     agg = v.groupBy(F.weekday("visit_date").alias("weekday")).agg(F.avg("ed_visits").alias("avg_visits"))
-    dd = dims.dow_dim(spark).select("weekday", "day_abbr")
-    out = dd.join(F.broadcast(agg), "weekday", "left")  # agg: at most 7 rows (weekday domain)
+    out = reindex(agg, dims.dow_dim(spark).select("weekday", "day_abbr"), "weekday", "weekday")
     return out.select("weekday", F.col("day_abbr").alias("day_name"), r6("avg_visits").alias("avg_visits"),
                       F.when(F.col("weekday").isin(*dims.BUSY_WEEKDAYS), "high")
                       .when(F.col("weekday").isin(*dims.QUIET_WEEKDAYS), "low")
@@ -130,9 +129,8 @@ def q_distinct_sites(spark: SparkSession, sf: str) -> DataFrame:
 def q_last_90_days(spark: SparkSession, sf: str) -> DataFrame:
     """The last 90 observed days per site (top-n per group)."""
     v = _visits(spark, sf)
-    w = Window.partitionBy("hospital").orderBy(F.col("visit_date").desc())
-    return (v.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= dims.HISTORY_TAIL)
-            .select("hospital", "visit_date", "ed_visits", "rn"))
+    last = top_n_per_group(v, ["hospital"], [F.col("visit_date").desc()], dims.HISTORY_TAIL)
+    return last.select("hospital", "visit_date", "ed_visits", "rn")
 
 
 def q_hospital_reference(spark: SparkSession, sf: str) -> DataFrame:

@@ -45,16 +45,6 @@ def _run_dir(spark: SparkSession, job: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/streams/{job}-{uuid.uuid4().hex[:12]}"
 
 
-def score_stream(stream_orders: DataFrame, sites: DataFrame, rules: dict) -> tuple[DataFrame, DataFrame]:
-    """K1 transformation: (scored valid rows, rejected rows with reasons)."""
-    a = admissions_from(stream_orders, sites)
-    checked = validate(a, rules)
-    valid = checked.filter(F.size("violations") == 0).drop("violations")
-    rejected = checked.filter(F.size("violations") > 0).select("patient_id", "violations")
-    scored = alc_tier(alc_risk_score(valid))
-    return scored, rejected
-
-
 SCORED_COLUMNS = ["patient_id", "hospital", "alc_risk_raw", "alc_risk_score", "risk_level"]
 
 
