@@ -24,7 +24,7 @@ def duck():
 
 def test_every_query_has_oracle_or_is_known_rows_only():
     rows_only = set(queries()) - set(ORACLE)
-    assert rows_only <= SLOW | {"alc_report", "census_sample", "stratified_split"}
+    assert rows_only <= SLOW | {"alc_report", "census_sample"}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
@@ -39,7 +39,7 @@ def test_query_matches_oracle(spark, duck, name):
     assert digest(sdf.columns, srows) == digest(dcols, drows)
 
 
-@pytest.mark.parametrize("name", ["alc_report", "census_sample", "stratified_split"])
+@pytest.mark.parametrize("name", ["alc_report", "census_sample"])
 def test_rows_only_queries_run(spark, name):
     assert queries()[name](spark, SF_SMALL).count() > 0
 

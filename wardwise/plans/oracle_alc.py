@@ -213,6 +213,12 @@ SELECT class,
        support
 FROM cr""",
 
+    "stratified_split": w(ADM) + """,
+cs AS (SELECT alc_flag, count(*) AS n, CAST(ceil(count(*) * 0.2e0) AS BIGINT) AS k FROM lab GROUP BY alc_flag)
+SELECT alc_flag, true AS is_test, k AS n FROM cs
+UNION ALL
+SELECT alc_flag, false AS is_test, n - k AS n FROM cs WHERE n > k""",
+
     "linear_attribution": w(ADM, ATTR) + """
 SELECT feature, round(v, 6) AS mean_abs_attribution,
        CAST(row_number() OVER (ORDER BY v DESC, feature) AS INTEGER) AS rank
