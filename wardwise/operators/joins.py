@@ -16,20 +16,31 @@ def broadcast_limit(df: DataFrame) -> int:
 
 
 _CHECKED: dict[tuple[str, int, int], bool] = {}
+_LOCAL: dict[tuple[str, int, int], DataFrame] = {}
+LOCAL_ROWS = 10_000  # results up to this size are kept as a local relation
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int | None = None) -> DataFrame:
     """Broadcast ``df`` only if it provably has at most ``max_rows`` rows.
 
-    The check is a ``limit(max_rows + 1).count()``, which stops scanning
-    once the limit is reached. Beyond the bound the frame is returned as is
-    and the planner (with AQE) falls back to a shuffle join. The answer is
-    remembered per application and logical plan, so repeated plans over the
-    same dimension do not re-run the check.
+    Small results (<= ``LOCAL_ROWS``) are collected once and broadcast as a
+    local relation, so the join does not compute them a second time; larger
+    ones are checked with ``limit(max_rows + 1).count()``, which stops
+    scanning at the bound. Beyond the bound the frame is returned as is and
+    the planner (with AQE) falls back to a shuffle join. Answers are kept
+    per application and logical plan. Callers must reference the columns
+    of the returned frame.
     """
     limit = broadcast_limit(df) if max_rows is None else max_rows
     key = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), limit)
+    if key in _LOCAL:
+        return F.broadcast(_LOCAL[key])
     if key not in _CHECKED:
+        small = min(LOCAL_ROWS, limit)
+        rows = df.limit(small + 1).collect()
+        if len(rows) <= small:
+            _LOCAL[key] = df.sparkSession.createDataFrame(rows, df.schema)
+            return F.broadcast(_LOCAL[key])
         _CHECKED[key] = df.limit(limit + 1).count() <= limit
     return F.broadcast(df) if _CHECKED[key] else df
 

@@ -39,8 +39,8 @@ def nation_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """nation key -> region name (the 'hospital' of every binding)."""
     region = table(spark, sf_dir, "region").select("r_regionkey", F.col("r_name").alias("hospital"))
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
-    return nation.join(bounded_broadcast(region), nation.n_regionkey == region.r_regionkey) \
-        .select("n_nationkey", "hospital")
+    region = bounded_broadcast(region)
+    return nation.join(region, nation.n_regionkey == region.r_regionkey).select("n_nationkey", "hospital")
 
 
 def supplier_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,14 +174,14 @@ def prescribers(spark: SparkSession, sf_dir: str) -> DataFrame:
               F.sum("s_opioid").alias("s_opioid"), F.sum("s_qty").alias("s_qty"),
               F.sum("s_combo").alias("s_combo"), F.sum("s_poly").alias("s_poly"),
               F.sum("s_tax").alias("s_tax"), F.sum("s_refill").alias("s_refill")))
-    cs = customer_sites(spark, sf_dir)
+    cs = bounded_broadcast(customer_sites(spark, sf_dir))
     key = F.col("prescriber_id") % ANOMALY_MOD
 
     def boost(is_key, factor):
         return F.when(is_key, F.lit(factor)).otherwise(F.lit(1.0))
 
     n = F.col("n_rx")
-    return (m.join(bounded_broadcast(cs), m.prescriber_id == cs.c_custkey)
+    return (m.join(cs, m.prescriber_id == cs.c_custkey)
             .select("prescriber_id", F.col("c_mktsegment").alias("specialty"), "hospital",
                     "n_rx", "n_patients",
                     (n * 1.0 / F.col("n_patients") * boost(key == VOLUME_KEY, 2.2)).alias("avg_rx_per_patient"),
