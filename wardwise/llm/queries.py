@@ -7,16 +7,30 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wardwise.llm import bpe
+from wardwise.llm import bpe, decontamination, token_counts, toxicity
 from wardwise.llm.common import table
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
+PIECES = "piece_bpe_32k.model"
+TOKEN_LIMIT = 4096
+HELD_OUT = "crc32(CAST(doc_id AS STRING)) % 5 = 0"
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
+def training_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labels that scores may be learned from."""
+    return table(spark, sf_dir, "labels").where(f"NOT ({HELD_OUT})")
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    scored = toxicity.score(docs, toxicity.train(docs, training_labels(spark, sf_dir)))
+    return scored.select("doc_id", F.expr(HELD_OUT).alias("held_out"), "score", "predicted")
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path(BPE_RANKS)
     encoded = bpe.encode(_documents(spark, sf_dir), ranks, public_tokenizers.PATTERN).drop("text")
@@ -24,7 +38,28 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_counts.count_tokens(_documents(spark, sf_dir), public_tokenizers.path(PIECES))
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.find_windows(_documents(spark, sf_dir), table(spark, sf_dir, "benchmark")).drop("text")
+    hits = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        hits.alias("n_hit"),
+        F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
+        (hits > 0).alias("contaminated"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_token_counts": op3_token_counts,
+    "op9_decontamination": op9_decontamination,
 }
 ORACLE_SQL: dict[str, str] = {}
