@@ -1,17 +1,72 @@
-"""Corpus preparation: toxicity, line dedup, near-dedup, decontamination, tokens."""
+"""Corpus preparation: five stages from raw documents to token ids.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before
+it kept; all but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from wardwise.llm import bpe, decontamination, line_dedup, queries, simhash, toxicity
+from wardwise.llm.common import shared_path, table
+
+SHINGLE, MAX_BITS = 3, 3
+WINDOW = 10
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the lexicon rejects go. It learns from the labelled rows among ``docs`` that are not held out."""
+    lexicon = toxicity.train(docs, queries.training_labels(spark, sf_dir))
+    scored = toxicity.score(docs.withColumn("__text", F.col("text")), lexicon, "__text")
+    return scored.where("predicted = 0").select(docs.columns)
+
+
+def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines on many sites go; ``n_chars`` follows the text."""
+    cleaned = line_dedup.remove_boilerplate(docs).select(docs.columns)
+    return cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cleaned
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest id stays."""
+    return simhash.keep_first(docs, shingle=SHINGLE, max_bits=MAX_BITS)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    found = decontamination.find_windows(docs, table(spark, sf_dir, "benchmark"), WINDOW)
+    return found.where(F.size("hit_spans") == 0).select(docs.columns)
+
+
+def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids (packed little-endian uint32), their count and digest, and the digest of the decoded bytes."""
+    ranks = public_tokenizers.path(queries.BPE_RANKS)
+    encoded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), ranks, public_tokenizers.PATTERN).drop("text")
+    decoded = bpe.decode(encoded, ranks, public_tokenizers.PATTERN)
+    return decoded.select("doc_id", "lang", "source", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_boilerplate),
+    ("simhash_near_dedup", drop_near_duplicates),
+    ("benchmark_decontamination", drop_contaminated),
+    ("byte_bpe", encode_tokens),
+]
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+#: A trained score, fingerprints and merges have no SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages over ``documents``; each result is written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        path = shared_path(spark, f"stage-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wardwise.llm import bpe, decontamination, token_counts, toxicity
+from wardwise.llm import bpe, decontamination, line_dedup, simhash, token_counts, toxicity
 from wardwise.llm.common import table
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -43,6 +43,17 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    kept = line_dedup.remove_boilerplate(docs)
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(_documents(spark, sf_dir))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.find_windows(_documents(spark, sf_dir), table(spark, sf_dir, "benchmark")).drop("text")
     hits = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
@@ -60,6 +71,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_token_counts": op3_token_counts,
+    "op4_line_dedup": op4_line_dedup,
+    "op5_simhash": op5_simhash,
     "op9_decontamination": op9_decontamination,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_line_dedup": """
+        WITH docs AS (SELECT row_number() OVER () AS r, doc_id, source, string_split(text, chr(10)) AS parts FROM documents),
+        lines AS (
+            SELECT r, source, unnest(parts) AS line, unnest(range(len(parts))) AS pos FROM docs
+        ),
+        spread AS (SELECT line FROM lines WHERE trim(line) <> '' GROUP BY line HAVING count(DISTINCT source) >= 5),
+        marked AS (SELECT r, pos, line, line IN (SELECT line FROM spread) AS gone FROM lines),
+        copies AS (
+            SELECT r, coalesce(sum(length(line)) FILTER (gone), 0) > 0.5 * sum(length(line)) AS is_copy FROM marked GROUP BY r
+        )
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone AND NOT is_copy) AS n_removed,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone OR is_copy), '')) AS kept_sha256
+        FROM marked JOIN copies USING (r) JOIN docs USING (r) GROUP BY r, doc_id
+    """,
+}
