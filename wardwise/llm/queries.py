@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wardwise.llm import ann, bpe, decontamination, line_dedup, simhash, substring_dedup, token_counts, toxicity, warc
+from wardwise.llm import ann, bpe, decontamination, line_dedup, pii_crf, simhash, substring_dedup, token_counts, toxicity, warc
 from wardwise.llm.common import table
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -59,6 +59,13 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii_crf.find(_documents(spark, sf_dir)).drop("text")
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    counts = [F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}") for kind in pii_crf.KINDS]
+    return found.select("doc_id", *counts, F.sha2(joined("base_spans"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
 def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return ann.nearest(vectors, F.col("vec_id") % 100 == 0)
@@ -89,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_dedup": op4_line_dedup,
     "op5_simhash": op5_simhash,
     "op6_warc": op6_warc,
+    "op7_pii": op7_pii,
     "op8_nearest": op8_nearest,
     "op9_decontamination": op9_decontamination,
     "op10_substring_dedup": op10_substring_dedup,
