@@ -175,7 +175,8 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
         sample = sorted((i, t or "", y) for b in batches for i, t, y in zip(*(b.column(c).to_pylist() for c in ("__id", "__text", "__y")), strict=True))
         yield pa.RecordBatch.from_pydict({"model": [learn([(t, y) for _, t, y in sample]).to_json()]})
 
-    return Lexicon.from_json(rows.repartition(1).mapInArrow(fit, "model string").first()[0])
+    found = rows.repartition(1).mapInArrow(fit, "model string").first()
+    return Lexicon.from_json(found[0]) if found else learn([])
 
 
 def score(df: DataFrame, lexicon: Lexicon, text_col: str = "text") -> DataFrame:

@@ -65,7 +65,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
         line("WARC-Type", F.when(is_copy, F.lit("revisit")).otherwise(F.lit("response"))),
         line("WARC-Record-ID", F.concat(F.lit("<urn:uuid:"), uuid, F.lit(">"))),
         line("WARC-Date", F.lit(DATE)),
-        line("WARC-Target-URI", F.regexp_replace("url", "[\r\n]", "")),
+        line("WARC-Target-URI", F.concat(F.lit("<"), F.regexp_replace("url", "[\r\n]", ""), F.lit(">"))),  # no header line ends like a magic
         line("WARC-Page-ID", F.col("id").cast("string")),
         line("WARC-Refers-To-Page-ID", F.col("first").cast("string")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
