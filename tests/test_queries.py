@@ -3,9 +3,10 @@
 import duckdb
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
 from tests.conftest import SF_MID, SF_SMALL
 from tools.check_oracle import digest
+from wardwise.plans.registry import oracle_sql, queries
 from wardwise.sources.bindings import TABLES
 
 ORACLE = oracle_sql()
@@ -54,7 +55,7 @@ def test_entry_smoke(spark):
 def test_model_acceptance(spark):
     """GBT hold-out AUC >= 0.95; forest recall at least 5x the 4% base rate."""
     m = queries()["alc_model_metrics"](spark, SF_MID).first()
-    assert m.auc >= 0.95
+    assert m.auc >= 0.97
     q = queries()["iforest_quality"](spark, SF_MID).first()
     assert q.recall >= 0.2
 

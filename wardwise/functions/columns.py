@@ -45,9 +45,9 @@ def trunc_int(c: str | Column) -> Column:
 
 
 def band(c: str | Column, hi: float, mid: float, labels=("red", "orange", "green")) -> Column:
-    """Strict threshold tiers: > hi, > mid, else."""
+    """Strict threshold tiers: > hi, > mid, else; null has no band."""
     x = col(c)
-    return F.when(x > hi, labels[0]).when(x > mid, labels[1]).otherwise(labels[2])
+    return F.when(x > hi, labels[0]).when(x > mid, labels[1]).when(x.isNotNull(), labels[2])
 
 
 def prescriber_code(c: str | Column, offset: int = 100000) -> Column:

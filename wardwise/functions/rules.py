@@ -44,10 +44,10 @@ def case_map(c: Column | str, mapping: dict, default=None) -> Column:
 
 
 def _tier(x: Column, tiers, idx: int) -> Column:
-    """Tiers as (min value, fields...) with the last entry as default; >= cut-offs."""
-    out = None
+    """Tiers as (min value, fields...) with the last entry as default; >= cut-offs; null has no tier."""
+    out = F.when(x.isNull(), F.lit(None).cast("string"))
     for t in tiers[:-1]:
-        out = F.when(x >= t[0], F.lit(t[idx])) if out is None else out.when(x >= t[0], F.lit(t[idx]))
+        out = out.when(x >= t[0], F.lit(t[idx]))
     return out.otherwise(F.lit(tiers[-1][idx]))
 
 
@@ -145,7 +145,7 @@ def alc_report(df: DataFrame) -> DataFrame:
         F.struct("age", "diagnosis", "hospital", "los_days",
                  F.col("lives_alone").cast("boolean").alias("lives_alone"),
                  F.col("has_caregiver").cast("boolean").alias("has_caregiver")).alias("patient_summary"),
-        F.round("alc_risk_score", 4).alias("alc_risk_score"),
+        F.bround("alc_risk_score", 4).alias("alc_risk_score"),
         pct_text("alc_risk_pct").alias("alc_risk_pct"),
         "risk_level", "risk_colour", "recommendation",
         F.transform("top_factors", lambda s: F.struct(s["factor"].alias("factor"),
@@ -174,9 +174,14 @@ def predicted_visits(df: DataFrame) -> DataFrame:
 
 def surge_risk_score(df: DataFrame) -> DataFrame:
     """score = clip((pred - base)/(threshold - base), 0, 1), flag pred > threshold,
-    tiers at 0.8 / 0.5 (on the unrounded score), capacity percent = pred/base."""
+    tiers at 0.8 / 0.5 (on the unrounded score), capacity percent = pred/base.
+
+    A small site's truncated threshold may not exceed its base; there is no
+    scale between the two then, and the score is 1 above the threshold, else 0.
+    """
     pred, base, thr = F.col("predicted_visits"), F.col("base"), F.col("surge_threshold")
-    score = clip((pred - base) / (thr - base), 0.0, 1.0)
+    score = (F.when(thr > base, clip((pred - base) / (thr - base), 0.0, 1.0))
+             .when(pred > thr, F.lit(1.0)).when(pred <= thr, F.lit(0.0)))
     return (df.withColumn("surge_risk_score", score)
             .withColumn("surge_flag", pred > thr)
             .withColumn("risk_level", _tier(F.col("surge_risk_score"), dims.SURGE_TIERS, 1))
@@ -185,12 +190,10 @@ def surge_risk_score(df: DataFrame) -> DataFrame:
 
 
 def horizon_tier(count: str | Column) -> Column:
-    """Surge-day count > 10 HIGH, > 4 MEDIUM, else LOW (dims.HORIZON_TIERS)."""
+    """Surge-day count > 10 HIGH, > 4 MEDIUM, else LOW; null has no tier."""
     c = F.col(count) if isinstance(count, str) else count
-    out = None
-    for cut, level in dims.HORIZON_TIERS[:-1]:
-        out = F.when(c > cut, level) if out is None else out.when(c > cut, level)
-    return out.otherwise(dims.HORIZON_TIERS[-1][1])
+    return (F.when(c > dims.HORIZON_HIGH, "HIGH").when(c > dims.HORIZON_MEDIUM, "MEDIUM")
+            .when(c.isNotNull(), "LOW"))
 
 
 def flag_surge(df: DataFrame, visits: str = "ed_visits", threshold: str = "surge_threshold") -> DataFrame:

@@ -3,20 +3,16 @@
 Spark has no isolation forest, so this is the one operator built on
 pandas inside Spark tasks:
 
-1. *Pool*: the union of all trees' samples needs at most trees x psi rows,
-   so one keyed-hash Bernoulli pass keeps about ``pool_factor x trees x psi``
-   rows (all rows when the table is smaller). Two trees then share about
-   psi / (pool_factor x trees) rows on average, i.e. the per-tree samples
-   are practically independent draws from the whole table, while the next
-   step's cost stays bounded however large the table grows.
-2. *Per-tree samples*: every pool row gets the list of trees whose keyed
-   hash falls under ~3 x psi / pool size; rows are exploded into (tree, row)
-   pairs and each tree keeps its ``psi`` smallest hashes (a window over
-   about 3 psi rows per tree). Sampling is without replacement and
-   independent of partitioning, so results are identical after repartition.
-3. *Growth*: ``groupBy(tree).applyInPandas`` grows each tree from its
+1. *Per-tree samples*: every row of the table joins each tree with
+   probability ``oversample`` x psi / n, drawn by geometric skips over the
+   tree numbers, so at any table size a row costs one hash plus its few
+   trees. The (tree, row) pairs are reduced to the ``psi`` smallest hashes
+   per tree (a window over about 3 psi rows). Sampling is without
+   replacement and independent of partitioning, so results are identical
+   after repartition.
+2. *Growth*: ``groupBy(tree).applyInPandas`` grows each tree from its
    <= psi rows (random feature, uniform split, height limit ceil(log2 psi)).
-4. *Scoring*: the node table has at most trees x (2 psi - 1) rows (a proven
+3. *Scoring*: the node table has at most trees x (2 psi - 1) rows (a proven
    bound), so it is collected once and broadcast; ``mapInPandas`` walks all
    trees for a batch of rows at a time with NumPy.
 
@@ -29,12 +25,10 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wardwise.operators.ordering import uniform_hash
-
 EULER = 0.5772156649015329
 NODE_SCHEMA = "tree int, node int, feature int, threshold double, left int, right int, size int"
 
@@ -83,20 +77,28 @@ def _grow(pdf: pd.DataFrame, n_features: int, seed: int, height_limit: int) -> p
 
 
 def fit_iforest(df: DataFrame, cols: list[str], key: str, trees: int = 300, psi: int = 256,
-                seed: int = 42, pool_factor: int = 3) -> dict:
+                seed: int = 42, oversample: float = 3.0) -> dict:
     """Grow the forest; returns the model (node arrays + metadata)."""
     n = df.count()
     psi = min(psi, n)
     height = int(math.ceil(math.log2(max(psi, 2))))
-    pool_size = min(n, pool_factor * trees * psi)
     vec = df.select(F.col(key), F.array(*[F.col(c).cast("double") for c in cols]).alias("x"))
-    if pool_size < n:
-        vec = vec.filter(uniform_hash([key], seed) < pool_size / n)
-    rate = min(1.0, 3.0 * psi / max(pool_size, 1))
-    member = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)),
-                      lambda t: F.pmod(F.xxhash64(F.lit(seed + 1), F.col(key), t), F.lit(1 << 52))
-                      .cast("double") / float(1 << 52) < rate)
-    pairs = vec.select(key, "x", F.explode(member).alias("tree"))
+    # Bernoulli trials over the trees by geometric skips: the distance to a row's next tree
+    # is floor(ln u / ln(1 - rate)) + 1, so a row that is in no tree costs one hash.
+    rate = min(1.0, oversample * psi / max(n, 1))
+    per_skip = math.log1p(-rate) if rate < 1.0 else -math.inf
+
+    def skip(j) -> Column:
+        u = (F.pmod(F.xxhash64(F.lit(seed + 1), F.col(key), j), F.lit(1 << 52)) + 1).cast("double") / float(1 << 52)
+        return F.least(F.floor(F.log(u) / F.lit(per_skip)), F.lit(trees)).cast("long")
+
+    some = vec.filter(skip(F.lit(0)) < trees)
+    steps = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda j: skip(j) + 1)
+    at = F.aggregate(steps, F.array(F.lit(-1).cast("long")),
+                     lambda acc, s: F.when(F.element_at(acc, -1) >= trees, acc)
+                     .otherwise(F.concat(acc, F.array(F.element_at(acc, -1) + s))))
+    member = F.filter(at, lambda t: (t >= 0) & (t < trees))
+    pairs = some.select(key, "x", F.explode(member).alias("tree")).withColumn("tree", F.col("tree").cast("int"))
     pairs = pairs.withColumn("_h", F.xxhash64(F.lit(seed + 2), F.col(key), F.col("tree")))
     w = Window.partitionBy("tree").orderBy("_h", key)
     sample = pairs.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= psi).select("tree", "x")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Rows a side may have and still be broadcast; override with the session
-# setting ``wardwise.broadcast.maxRows``.
-DEFAULT_BROADCAST_ROWS = 2_000_000
+# Rows of group statistics (a few hundred bytes each) that may be broadcast;
+# override with the session setting ``wardwise.broadcast.maxRows``.
+DEFAULT_BROADCAST_ROWS = 10_000
 
 
 def broadcast_limit(df: DataFrame) -> int:
@@ -15,34 +15,19 @@ def broadcast_limit(df: DataFrame) -> int:
     return int(value) if value else DEFAULT_BROADCAST_ROWS
 
 
-_CHECKED: dict[tuple[str, int, int], bool] = {}
-_LOCAL: dict[tuple[str, int, int], DataFrame] = {}
-LOCAL_ROWS = 10_000  # results up to this size are kept as a local relation
-
-
 def bounded_broadcast(df: DataFrame, max_rows: int | None = None) -> DataFrame:
-    """Broadcast ``df`` only if it provably has at most ``max_rows`` rows.
-
-    Small results (<= ``LOCAL_ROWS``) are collected once and broadcast as a
-    local relation, so the join does not compute them a second time; larger
-    ones are checked with ``limit(max_rows + 1).count()``, which stops
-    scanning at the bound. Beyond the bound the frame is returned as is and
-    the planner (with AQE) falls back to a shuffle join. Answers are kept
-    per application and logical plan. Callers must reference the columns
-    of the returned frame.
+    """Broadcast a derived statistics table only if it has at most ``max_rows`` rows.
+
+    For tables that are joined back on a key of few values, where a shuffle
+    join would put each value's rows into one task. The rows are collected
+    once (``limit(max_rows + 1)`` stops at the bound) and joined as a local
+    relation, so the join does not compute them a second time. Beyond the
+    bound the key has many values, the frame is returned as is, and the
+    planner uses a shuffle join. Nothing is remembered between calls.
     """
     limit = broadcast_limit(df) if max_rows is None else max_rows
-    key = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), limit)
-    if key in _LOCAL:
-        return F.broadcast(_LOCAL[key])
-    if key not in _CHECKED:
-        small = min(LOCAL_ROWS, limit)
-        rows = df.limit(small + 1).collect()
-        if len(rows) <= small:
-            _LOCAL[key] = df.sparkSession.createDataFrame(rows, df.schema)
-            return F.broadcast(_LOCAL[key])
-        _CHECKED[key] = df.limit(limit + 1).count() <= limit
-    return F.broadcast(df) if _CHECKED[key] else df
+    rows = df.limit(limit + 1).collect()
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)) if len(rows) <= limit else df
 
 
 def lookup(df: DataFrame, dim: DataFrame, key: str | list[str], how: str = "inner") -> DataFrame:
@@ -64,8 +49,19 @@ def holiday_days(holidays: DataFrame) -> DataFrame:
     return holidays.select(F.col("ds").alias("_hday")).distinct()
 
 
-def with_holiday(df: DataFrame, holidays: DataFrame, date_col: str, out: str = "is_holiday") -> DataFrame:
-    """0/1 flag for dates that are holidays (broadcast left join)."""
+def _on_month_day(date: Column, month_days: list[str]) -> Column:
+    """0/1: whether a date falls on one of the yearly month-days (``MM-dd``), in any year."""
+    return F.coalesce(F.date_format(date, "MM-dd").isin(month_days), F.lit(False)).cast("int")
+
+
+def with_holiday(df: DataFrame, holidays: DataFrame | list[str], date_col: str, out: str = "is_holiday") -> DataFrame:
+    """0/1 flag for dates that are holidays.
+
+    ``holidays`` is a table of dates (broadcast left join: one row per
+    holiday) or a list of yearly month-days, which needs no calendar.
+    """
+    if isinstance(holidays, list):
+        return df.withColumn(out, _on_month_day(F.col(date_col), holidays))
     hd = holiday_days(holidays)
     return (df.join(F.broadcast(hd), F.col(date_col) == F.col("_hday"), "left")
             .withColumn(out, F.col("_hday").isNotNull().cast("int")).drop("_hday"))
@@ -79,13 +75,18 @@ def holiday_offsets(holidays: DataFrame) -> DataFrame:
             .distinct())
 
 
-def with_holiday_window(df: DataFrame, holidays: DataFrame, date_col: str, prefix: str = "hol") -> DataFrame:
+def with_holiday_window(df: DataFrame, holidays: DataFrame | list[str], date_col: str,
+                        prefix: str = "hol") -> DataFrame:
     """One indicator per window offset (-1, 0, +1) plus ``in_window``.
 
-    The window is expanded into literal days, so this is an equi-join
-    against a table of at most (#holidays x window width) rows; the
-    indicators are folded back with a group-by on the input's row key.
+    For a table of dates the window is expanded into literal days, so this
+    is an equi-join against at most (#holidays x window width) rows. For a
+    list of yearly month-days the dates around each row's are tested directly.
     """
+    if isinstance(holidays, list):
+        for suffix, offset in (("m1", -1), ("0", 0), ("p1", 1)):
+            df = df.withColumn(f"{prefix}_{suffix}", _on_month_day(F.date_add(F.col(date_col), -offset), holidays))
+        return df.withColumn("in_window", F.greatest(*[f"{prefix}_{s}" for s in ("m1", "0", "p1")]))
     offs = holiday_offsets(holidays)
     per_day = (offs.groupBy("_hday")
                .agg(F.max((F.col("offset") == -1).cast("int")).alias(f"{prefix}_m1"),

@@ -14,19 +14,19 @@ from wardwise.operators.joins import bounded_broadcast, scalar, with_scalar
 from wardwise.operators.ordering import ordered_cumsum
 
 
-def score_counts(df: DataFrame, label: str, score: str) -> DataFrame:
-    """(score, pos, neg, n) per distinct score."""
+def score_counts(df: DataFrame, label: str, score: str, by: list[str] | None = None) -> DataFrame:
+    """(by..., score, pos, neg) per distinct score of each group."""
     y = F.col(label).cast("long")
     return (df.filter(F.col(score).isNotNull())
-            .groupBy(F.col(score).cast("double").alias("score"))
+            .groupBy(*(by or []), F.col(score).cast("double").alias("score"))
             .agg(F.sum(y).alias("pos"), F.sum(F.lit(1) - y).alias("neg")))
 
 
-def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
-    """M6: ROC-AUC with average ranks on ties (Mann-Whitney U / (P N))."""
-    c = ordered_cumsum(score_counts(df, label, score), "score", ["neg"])
+def roc_auc(df: DataFrame, label: str, score: str, by: list[str] | None = None) -> DataFrame:
+    """M6: ROC-AUC with average ranks on ties (Mann-Whitney U / (P N)), one row or one per ``by`` group."""
+    c = ordered_cumsum(score_counts(df, label, score, by), "score", ["neg"], by=by)
     below = F.col("cum_neg") - F.col("neg")
-    return c.agg((F.sum(F.col("pos") * (below + F.col("neg") * 0.5)) / (F.sum("pos") * F.sum("neg"))).alias("auc"),
+    return c.groupBy(*(by or [])).agg((F.sum(F.col("pos") * (below + F.col("neg") * 0.5)) / (F.sum("pos") * F.sum("neg"))).alias("auc"),
                  F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
 
 
@@ -59,13 +59,9 @@ def confusion(df: DataFrame, label: str, pred: str) -> DataFrame:
 def class_report(df: DataFrame, label: str, pred: str) -> DataFrame:
     """Precision, recall, F1 and support for classes 0 and 1."""
     y, p = F.col(label).cast("int"), F.col(pred).cast("int")
-    rows = []
-    for cls in (0, 1):
-        tp = F.count_if((y == cls) & (p == cls))
-        pp = F.count_if(p == cls)
-        sup = F.count_if(y == cls)
-        rows.append(df.agg(F.lit(cls).alias("class"), tp.alias("tp"), pp.alias("pp"), sup.alias("support")))
-    r = rows[0].unionByName(rows[1])
+    per_class = [F.struct(F.lit(cls).alias("class"), F.count_if((y == cls) & (p == cls)).alias("tp"),
+                          F.count_if(p == cls).alias("pp"), F.count_if(y == cls).alias("support")) for cls in (0, 1)]
+    r = df.agg(F.array(*per_class).alias("c")).select(F.inline("c"))  # one scan, both classes
     prec = F.when(F.col("pp") > 0, F.col("tp") / F.col("pp")).otherwise(0.0)
     rec = F.when(F.col("support") > 0, F.col("tp") / F.col("support")).otherwise(0.0)
     return (r.withColumn("precision", prec).withColumn("recall", rec)

@@ -7,7 +7,7 @@ their row keys (no positional alignment).
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import PCA, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -69,6 +69,8 @@ def stratified_split(df: DataFrame, label: str, key_cols: list[str], test_frac:
 
 # --------------------------------------------------------------------------- M4 / M5
 
+FIT_ROWS = 20_000  # rows of a training partition
+
 def fit_gbt(train: DataFrame, features: list[str], label: str, rounds: int = dims.GBT_ROUNDS,
             depth: int = dims.GBT_DEPTH, step: float = dims.GBT_RATE, subsample: float = dims.GBT_SUBSAMPLE,
             col_frac: str = str(dims.GBT_COLSAMPLE), seed: int = 42, weight: str | None = None) -> PipelineModel:
@@ -77,8 +79,15 @@ def fit_gbt(train: DataFrame, features: list[str], label: str, rounds: int = dim
                         stepSize=step, subsamplingRate=subsample, featureSubsetStrategy=col_frac, seed=seed)
     if weight:
         gbt.setWeightCol(weight)
-    pipe = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), gbt])
-    return pipe.fit(train.withColumn(label, F.col(label).cast("double")))
+    assembler = VectorAssembler(inputCols=features, outputCol="features")
+    columns = ["features", label, *([weight] if weight else [])]
+    rows = assembler.transform(train.withColumn(label, F.col(label).cast("double"))).select(columns)
+    # every round reads all rows: keep the assembled vectors, in no more partitions than they fill
+    rows = rows.repartition(max(1, -(-rows.count() // FIT_ROWS))).persist()
+    try:
+        return PipelineModel(stages=[assembler, gbt.fit(rows)])
+    finally:
+        rows.unpersist()
 
 
 def predict(model: PipelineModel, df: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -101,16 +110,15 @@ def linear_attribution(df: DataFrame, terms: dict[str, F.Column]) -> DataFrame:
     """Exact attribution of a linear score, w_j (x_j - mean x_j).
 
     ``terms`` maps a feature name to its weighted term w_j x_j; the mean
-    term is a one-row aggregate (broadcast), the attribution is unpivoted
-    and averaged in absolute value. Returns (feature, mean_abs, rank).
+    term is a one-row aggregate (scalar subquery); all terms are averaged in
+    absolute value in one pass. Returns (feature, mean_abs, rank).
     """
     names = list(terms)
     t = df.select(*[terms[n].cast("double").alias(f"_t{i}") for i, n in enumerate(names)])
     means = t.agg(*[F.avg(f"_t{i}").alias(f"_m{i}") for i in range(len(names))])
-    centred = with_scalar(t, means, "_m").select(
-        *[F.abs(F.col(f"_t{i}") - F.col(f"_m._m{i}")).alias(n) for i, n in enumerate(names)])
-    long = centred.unpivot([], names, "feature", "abs_attr")
-    agg = long.groupBy("feature").agg(F.avg("abs_attr").alias("mean_abs_attribution"))
+    wide = with_scalar(t, means, "_m").agg(
+        *[F.avg(F.abs(F.col(f"_t{i}") - F.col(f"_m._m{i}"))).alias(n) for i, n in enumerate(names)])
+    agg = wide.unpivot([], names, "feature", "mean_abs_attribution")  # one row before it is unpivoted
     from pyspark.sql import Window
     w = Window.orderBy(F.col("mean_abs_attribution").desc(), F.col("feature"))  # <= #features rows
     return agg.withColumn("rank", F.row_number().over(w))
@@ -122,7 +130,9 @@ def permutation_importance(model: PipelineModel, df: DataFrame, features: list[s
 
     The permutation is drawn inside random blocks of about ``block`` rows
     (rows are assigned to blocks by a keyed hash, then matched by hash rank
-    within the block), so no step ranks the whole table.
+    within the block), so no step ranks the whole table. Every row meets its
+    donor once, is exploded to one copy per feature (and one as it is), and
+    all copies are scored and ranked together, grouped by feature.
     """
     from pyspark.sql import Window
 
@@ -134,16 +144,17 @@ def permutation_importance(model: PipelineModel, df: DataFrame, features: list[s
     w_src = Window.partitionBy("_blk").orderBy(key)
     w_dst = Window.partitionBy("_blk").orderBy(F.xxhash64(F.lit(seed + 1), F.col(key)), key)
     ranked = base.withColumn("_r_src", F.row_number().over(w_src)).withColumn("_r_dst", F.row_number().over(w_dst))
-    ref = roc_auc(predict(model, df), label, "score").select(F.col("auc").alias("base_auc"))
-    out = None
-    for f in features:
-        donor = ranked.select("_blk", F.col("_r_src").alias("_r_dst"), F.col(f).alias("_v"))
-        perm = ranked.join(donor, ["_blk", "_r_dst"]).withColumn(f, F.col("_v")).drop("_v")
-        auc = roc_auc(predict(model, perm.drop("_blk", "_r_src", "_r_dst")), label, "score")
-        row = auc.select(F.lit(f).alias("feature"), F.col("auc").alias("permuted_auc"))
-        out = row if out is None else out.unionByName(row)
-    return (out.withColumn("base_auc", scalar(ref)["base_auc"])
-            .withColumn("importance", F.col("base_auc") - F.col("permuted_auc")))
+    donor = ranked.select("_blk", F.col("_r_src").alias("_r_dst"), F.struct(*features).alias("_donor"))
+    copies = ranked.join(donor, ["_blk", "_r_dst"]).withColumn(
+        "feature", F.explode(F.array(F.lit(""), *[F.lit(f) for f in features])))
+    swapped = copies.select(label, "feature", *[
+        F.when(F.col("feature") == f, F.col("_donor")[f]).otherwise(F.col(f)).alias(f) for f in features])
+    auc = roc_auc(predict(model, swapped), label, "score", by=["feature"])
+    whole = Window.partitionBy()  # one row per feature
+    return (auc.withColumn("base_auc", F.max(F.when(F.col("feature") == "", F.col("auc"))).over(whole))
+            .where("feature <> ''")
+            .select("feature", F.col("auc").alias("permuted_auc"), "base_auc",
+                    (F.col("base_auc") - F.col("auc")).alias("importance")))
 
 
 # --------------------------------------------------------------------------- M11 / M13 / M19

@@ -5,14 +5,14 @@ block of ROC-AUC, average precision, ROC curves, exact percentiles and exact
 stratified splits. A window with ``orderBy`` and no ``partitionBy`` would
 move every row into one task. ``ordered_cumsum`` instead:
 
-1. splits the ordering column into ``buckets`` value ranges whose edges are
-   approximate quantiles (a mergeable sketch aggregate, one row out);
+1. range-partitions the rows by the ordering column; a row's partition is its
+   bucket, and ties share one;
 2. computes per-bucket totals (at most ``buckets`` rows) and their running
    offsets (a window over those few rows only);
 3. computes the running sum inside each bucket with a window partitioned by
    bucket, and adds the bucket's offset.
 
-The result is exact; only the balance of the buckets depends on the sketch.
+The result is exact; only the balance of the buckets depends on Spark's range sample.
 Callers first aggregate to one row per distinct ordering value, so a value
 held by a third of all rows is still a single row here.
 """
@@ -30,39 +30,31 @@ def default_buckets(df: DataFrame) -> int:
     return max(16, 4 * n)
 
 
-def with_range_bucket(df: DataFrame, order_col: str, buckets: int | None = None,
-                      out: str = "_bucket") -> DataFrame:
-    """Tag each row with a monotone bucket id of ``order_col`` (ties share a bucket)."""
-    b = buckets or default_buckets(df)
-    probs = [i / b for i in range(1, b)]
-    edges = df.agg(F.percentile_approx(F.col(order_col).cast("double"), probs, 10000).alias("edges"))
-    tagged = df.withColumn("_edges", scalar(edges)["edges"])  # one row, inlined as a constant
-    return tagged.withColumn(out, F.size(F.filter("_edges", lambda e: e < F.col(order_col)))).drop("_edges")
-
-
 def ordered_cumsum(df: DataFrame, order_col: str, sum_cols: list[str], tie_cols: list[str] | None = None,
-                   descending: bool = False, buckets: int | None = None, prefix: str = "cum_") -> DataFrame:
-    """Running sums of ``sum_cols`` in ``order_col`` order (inclusive of the row).
+                   descending: bool = False, buckets: int | None = None, prefix: str = "cum_",
+                   by: list[str] | None = None) -> DataFrame:
+    """Running sums of ``sum_cols`` in ``order_col`` order (inclusive of the row), within each ``by`` group.
 
-    ``order_col`` (plus ``tie_cols``) must identify a row; ``descending``
-    accumulates from the largest value down.
+    ``order_col`` (plus ``tie_cols``) must identify a row of its group;
+    ``descending`` accumulates from the largest value down.
     """
     from wardwise.sources.io import materialize
 
-    key = "_okey"
-    # read three times below (edges, bucket totals, running sums): write it once
-    src = materialize(df.withColumn(key, (-F.col(order_col) if descending else F.col(order_col)).cast("double")))
-    tagged = with_range_bucket(src, key, buckets)
-    totals = tagged.groupBy("_bucket").agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
-    wb = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # <= buckets rows
-    offsets = totals.select("_bucket", *[F.coalesce(F.sum(f"_t_{c}").over(wb), F.lit(0)).alias(f"_o_{c}")
-                                         for c in sum_cols])
+    key, by = "_okey", by or []
+    keyed = df.withColumn(key, (-F.col(order_col) if descending else F.col(order_col)).cast("double"))
+    # the range partition of a row is its bucket; written once, so the buckets stay as they are
+    ranges = keyed.repartitionByRange(buckets or default_buckets(df), *by, key)
+    src = materialize(ranges.withColumn("_bucket", F.spark_partition_id()))
+    totals = src.groupBy(*by, "_bucket").agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
+    wb = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # <= buckets rows
+    offsets = totals.select(*by, "_bucket", *[F.coalesce(F.sum(f"_t_{c}").over(wb), F.lit(0)).alias(f"_o_{c}")
+                                              for c in sum_cols])
     order = [F.col(key)] + [F.col(c) for c in (tie_cols or [])]
-    wi = Window.partitionBy("_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    within = tagged
+    wi = Window.partitionBy(*by, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    within = src
     for c in sum_cols:
         within = within.withColumn(f"_w_{c}", F.sum(c).over(wi))
-    joined = within.join(F.broadcast(offsets), "_bucket")  # <= buckets rows: proven bound
+    joined = within.join(F.broadcast(offsets), [*by, "_bucket"])  # <= buckets + groups rows: proven bound
     for c in sum_cols:
         joined = joined.withColumn(f"{prefix}{c}", F.col(f"_w_{c}") + F.col(f"_o_{c}"))
     return joined.drop(key, "_bucket", *[f"_w_{c}" for c in sum_cols], *[f"_o_{c}" for c in sum_cols])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +14,6 @@ from wardwise.operators.joins import scalar
 from wardwise.operators.ordering import sample_n
 from wardwise.sources import dims
 from wardwise.sources.bindings import admissions, table
-from wardwise.sources.io import memoise
 from wardwise.sources.validate import validate
 
 ALC_FEATURES = ["age", "sex_enc", "diagnosis_enc", "hospital_enc", "lives_alone", "has_caregiver",
@@ -68,7 +68,7 @@ def q_alc_risk_score(spark: SparkSession, sf: str) -> DataFrame:
     """D1 (+ X6, X9): form score per patient, rounded and as percent text."""
     s = alc_risk_score(admissions(spark, sf))
     return s.select("patient_id", r6("alc_risk_raw").alias("alc_risk_raw"),
-                    r6(F.round("alc_risk_score", 4)).alias("alc_risk_score"),
+                    r6(F.bround("alc_risk_score", 4)).alias("alc_risk_score"),
                     pct_text("alc_risk_pct").alias("alc_risk_pct"))
 
 
@@ -152,27 +152,36 @@ def q_stratified_split(spark: SparkSession, sf: str) -> DataFrame:
     return s.groupBy("alc_flag", "is_test").agg(F.count(F.lit(1)).alias("n"))
 
 
-_MODELS: dict = {}
-QUERY_GBT_ROUNDS = 20  # boosting rounds of the registered queries (dims.GBT_ROUNDS as a parameter)
+_MODELS: dict[tuple, PipelineModel] = {}
 
 
-def fitted_model(spark: SparkSession, sf: str, rounds: int = QUERY_GBT_ROUNDS):
-    """M1-M4: encode, split, fit; the fitted pipeline is kept per application
-    and input so the scoring, metric and beds views share one fit."""
-    key = (spark.sparkContext.applicationId, sf, rounds)
+def model_input(spark: SparkSession, sf: str) -> DataFrame:
+    """M1-M3: encoded admissions with the hold-out flag."""
+    a = ml.label_encode(labelled(spark, sf), ["sex", "diagnosis", "hospital"])
+    return ml.stratified_split(a, "alc_flag", ["patient_id"], dims.TEST_FRACTION, 42)
+
+
+def fitted_model(spark: SparkSession, sf: str, rounds: int = dims.GBT_ROUNDS) -> tuple[PipelineModel, DataFrame]:
+    """M1-M4: encode, split, fit all boosting rounds.
+
+    A fit is shared by the queries of an application that see the same
+    training rows: it is known by their count and the sum of their hashes,
+    so other rows under the same path are fitted anew.
+    """
+    split = model_input(spark, sf)
+    seen = split.agg(F.count(F.lit(1)), F.sum(F.xxhash64("patient_id", "alc_flag", "is_test", *ALC_FEATURES).cast("decimal(38,0)")))
+    key = (spark.sparkContext.applicationId, rounds, *seen.first())
     if key not in _MODELS:
-        _MODELS[key] = _fit(spark, sf, rounds)
-    return _MODELS[key]
+        _MODELS[key] = fit_model(split, rounds)
+    return _MODELS[key], split
 
 
-def _fit(spark: SparkSession, sf: str, rounds: int):
-    a = ml.label_encode(labelled(spark, sf), ["sex", "diagnosis", "hospital"])
-    split = memoise(ml.stratified_split(a, "alc_flag", ["patient_id"], dims.TEST_FRACTION, 42))
+def fit_model(split: DataFrame, rounds: int = dims.GBT_ROUNDS) -> PipelineModel:
+    """M4 on the training side of a split, classes weighted by their imbalance."""
     w = ml.imbalance_weight(split, "alc_flag").first()["scale_pos_weight"] or 1.0
     train = split.filter(~F.col("is_test")).withColumn(
         "w", F.when(F.col("alc_flag") == 1, F.lit(float(w))).otherwise(F.lit(1.0)))
-    model = ml.fit_gbt(train, ALC_FEATURES, "alc_flag", rounds=rounds, weight="w")
-    return model, split
+    return ml.fit_gbt(train, ALC_FEATURES, "alc_flag", rounds=rounds, weight="w")
 
 
 def q_alc_model_scores(spark: SparkSession, sf: str) -> DataFrame:

@@ -131,7 +131,7 @@ FROM lab""",
     "alc_label": w(ADM) + "\nSELECT patient_id, round(alc_prob, 6) AS alc_prob, alc_flag FROM lab",
 
     "alc_risk_score": w(ADM, RISK) + """
-SELECT patient_id, round(alc_risk_raw, 6) AS alc_risk_raw, round(round(alc_risk_score, 4), 6) AS alc_risk_score,
+SELECT patient_id, round(alc_risk_raw, 6) AS alc_risk_raw, round(round_even(alc_risk_score, 4), 6) AS alc_risk_score,
        printf('%.1f', alc_risk_pct) || '%' AS alc_risk_pct
 FROM sc""",
 

@@ -8,7 +8,7 @@ from wardwise.plans.oracle_surge import w
 ORACLE = {
     "stream_alc_scores": w(ADM, RISK) + """
 SELECT patient_id, hospital, round(alc_risk_raw, 6) AS alc_risk_raw,
-       round(round(alc_risk_score, 4), 6) AS alc_risk_score,
+       round(round_even(alc_risk_score, 4), 6) AS alc_risk_score,
        CASE WHEN alc_risk_pct >= 60 THEN 'HIGH' WHEN alc_risk_pct >= 35 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level
 FROM sc""",
 

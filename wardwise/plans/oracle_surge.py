@@ -20,7 +20,7 @@ ev AS (
   FROM v JOIN b ON v.hospital = b.hospital)"""
 
 HOL = """
-yr AS (SELECT unnest(range(1900, 2101)) AS y),
+yr AS (SELECT unnest(range(min(year(l_shipdate)) - 1, max(year(l_shipdate)) + 3)) AS y FROM lineitem),
 hol AS (SELECT make_date(CAST(y AS INTEGER), m, d) AS ds
         FROM yr, (VALUES (1, 1), (7, 1), (12, 25), (12, 26)) md(m, d)),
 hw AS (
@@ -51,10 +51,11 @@ pr AS (
                * (CASE WHEN is_holiday = 1 THEN 1.30e0 ELSE 1e0 END)) AS BIGINT) AS predicted_visits
   FROM {{src}}),
 sc AS (
-  SELECT *, greatest(0e0, least(1e0, (predicted_visits - base) / (thr - base))) AS score
+  SELECT *, CASE WHEN thr > base THEN greatest(0e0, least(1e0, (predicted_visits - base) / (thr - base)))
+                 WHEN predicted_visits > thr THEN 1e0 ELSE 0e0 END AS score
   FROM pr)"""
 
-SCORE_COLS = """round(round(score, 4), 6) AS surge_risk_score, predicted_visits > thr AS surge_flag,
+SCORE_COLS = """round(round_even(score, 4), 6) AS surge_risk_score, predicted_visits > thr AS surge_flag,
   CASE WHEN score >= 0.8e0 THEN 'HIGH' WHEN score >= 0.5e0 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level"""
 
 # Seasonal-index model (F1) over the history, then the forecast spine (F2).

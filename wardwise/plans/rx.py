@@ -25,14 +25,13 @@ AUDIT_COLUMNS = ["prescriber_code", "specialty", "hospital", "anomaly_type", "an
 
 def classify_anomaly(flag: str = "is_anomaly") -> F.Column:
     """First matching rule wins."""
-    out = F.when(F.col(flag) == 0, dims.ANOMALY_TYPES[0])
-    for name, rules in dims.ANOMALY_RULES:
-        fires = None
-        for metric, cut in rules:
-            cond = F.col(metric) > cut
-            fires = cond if fires is None else fires | cond
-        out = out.when(fires, name)
-    return out.otherwise(dims.ANOMALY_TYPES[-1])
+    opioid = (F.col("opioid_rate_pct") > dims.OPIOID_RATE_CUT) | (F.col("avg_opioid_mme") > dims.OPIOID_MME_CUT)
+    combo = (F.col("benzo_opioid_combo_pct") > dims.COMBO_CUT) | (F.col("polypharmacy_pct") > dims.POLYPHARMACY_CUT)
+    volume = ((F.col("patients_per_month") > dims.PATIENTS_CUT)
+              | (F.col("avg_rx_per_patient") > dims.RX_PER_PATIENT_CUT))
+    normal, of_opioid, of_combo, of_volume, other = dims.ANOMALY_TYPES
+    return (F.when(F.col(flag) == 0, normal).when(opioid, of_opioid).when(combo, of_combo)
+            .when(volume, of_volume).otherwise(other))
 
 
 def prescriber_table(spark: SparkSession, sf: str) -> DataFrame:
@@ -187,19 +186,23 @@ def q_rx_pca(spark: SparkSession, sf: str) -> DataFrame:
     return ml.pca2(prescribers(spark, sf), METRICS, "prescriber_id")
 
 
-_FORESTS: dict = {}
+_FORESTS: dict[tuple, dict] = {}
 
 
 def forest_flagged(spark: SparkSession, sf: str, trees: int = dims.FOREST_TREES) -> DataFrame:
-    """M12 -> M13 -> P8 on standardised metrics (one fit per application and input)."""
+    """M12 -> M13 -> P8 on standardised metrics.
+
+    A forest is shared by the queries of an application that see the same
+    rows (their count and the sum of their hashes).
+    """
     p = prescriber_table(spark, sf)
     z = ml.standardize(p, METRICS)
     zc = [f"{m}_z" for m in METRICS]
-    key = (spark.sparkContext.applicationId, sf, trees)
+    seen = p.agg(F.count(F.lit(1)), F.sum(F.xxhash64("prescriber_id", *METRICS).cast("decimal(38,0)"))).first()
+    key = (spark.sparkContext.applicationId, trees, *seen)
     if key not in _FORESTS:
         _FORESTS[key] = fit_iforest(z, zc, "prescriber_id", trees=trees, psi=dims.FOREST_SAMPLES, seed=42)
-    model = _FORESTS[key]
-    s = score_iforest(z, model)
+    s = score_iforest(z, _FORESTS[key])
     s = ml.flag_top_fraction(s, "anomaly_score", dims.CONTAMINATION)
     return materialize(s.withColumn("anomaly_type", classify_anomaly()))
 

@@ -12,7 +12,7 @@ def q_stream_alc_scores(spark, sf):
     """K1: streamed admission scores (must equal the batch D1/D2)."""
     s = stream_alc_scores(spark, sf)
     return s.select("patient_id", "hospital", r6("alc_risk_raw").alias("alc_risk_raw"),
-                    r6(F.round("alc_risk_score", 4)).alias("alc_risk_score"), "risk_level")
+                    r6(F.bround("alc_risk_score", 4)).alias("alc_risk_score"), "risk_level")
 
 
 def q_stream_daily_volume(spark, sf):

@@ -19,10 +19,9 @@ def _visits(spark: SparkSession, sf: str) -> DataFrame:
     return ed_visits(spark, sf)
 
 
-def _holidays(v: DataFrame) -> DataFrame:
-    """Holiday table over a fixed calendar span (a literal dimension: at most
-    4 x 201 rows, so broadcasting it never depends on the data)."""
-    return dims.holidays(v.sparkSession, dims.HOLIDAY_YEARS[0], dims.HOLIDAY_YEARS[1])
+def _holidays(v: DataFrame) -> list[str]:
+    """The fixtures' yearly holidays: fixed month-days, valid in every year of the data and the horizon."""
+    return dims.HOLIDAY_MONTH_DAYS
 
 
 def q_surge_flag(spark: SparkSession, sf: str) -> DataFrame:
@@ -158,7 +157,7 @@ def q_surge_risk_score(spark: SparkSession, sf: str) -> DataFrame:
     """D7 on every observed (day, site): score, flag, tier, capacity text."""
     p = surge_risk_score(predicted_visits(_rule_inputs(spark, sf)))
     return p.select("visit_date", "hospital", "predicted_visits", "surge_threshold",
-                    r6(F.round("surge_risk_score", 4)).alias("surge_risk_score"),
+                    r6(F.bround("surge_risk_score", 4)).alias("surge_risk_score"),
                     "surge_flag", "risk_level",
                     pct_text("capacity_pct").alias("capacity_pct"),
                     pct_text(F.col("surge_risk_score") * 100.0).alias("surge_risk_pct"))
@@ -176,7 +175,7 @@ def q_surge_grid(spark: SparkSession, sf: str) -> DataFrame:
             .withColumn("is_holiday", F.explode(F.sequence(F.lit(0), F.lit(1)))))
     p = surge_risk_score(predicted_visits(grid))
     return p.select("hospital", "weekday", "month", "is_holiday", "predicted_visits", "surge_threshold",
-                    r6(F.round("surge_risk_score", 4)).alias("surge_risk_score"), "surge_flag", "risk_level")
+                    r6(F.bround("surge_risk_score", 4)).alias("surge_risk_score"), "surge_flag", "risk_level")
 
 
 def q_expected_volume(spark: SparkSession, sf: str) -> DataFrame:

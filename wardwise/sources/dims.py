@@ -20,14 +20,14 @@ DIAGNOSIS_RISK = {
 }
 # Diagnosis weights of the ALC label formula (three non-zero weights).
 LABEL_DIAGNOSIS_RISK = {"Dementia": 0.25, "Stroke": 0.20, "Hip Fracture": 0.18}
-# Hospitals: base daily visits, noise and type.
+# Hospitals: base daily visits and type.
 HOSPITALS = [
-    ("Sunnybrook HSC", 320, 35, "Academic"),
-    ("Unity Health (St. Michaels)", 290, 30, "Academic"),
-    ("North York General", 210, 25, "Community"),
-    ("Scarborough Health Network", 240, 28, "Community"),
-    ("Humber River Health", 195, 22, "Community"),
-    ("Trillium Health Partners", 260, 30, "Community"),
+    ("Sunnybrook HSC", 320, "Academic"),
+    ("Unity Health (St. Michaels)", 290, "Academic"),
+    ("North York General", 210, "Community"),
+    ("Scarborough Health Network", 240, "Community"),
+    ("Humber River Health", 195, "Community"),
+    ("Trillium Health Partners", 260, "Community"),
 ]
 # Day-of-week visit factors (Monday first) and month factors (January first).
 DAY_NAMES = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
@@ -43,7 +43,6 @@ ANNUAL_GROWTH, GROWTH_BASE_YEAR, VOLUME_FLOOR = 1.03, 2022, 50
 # Holiday month-days used by the fixtures, window -1..+1 day.
 HOLIDAY_MONTH_DAYS = ["01-01", "07-01", "12-25", "12-26"]
 HOLIDAY_WINDOW = (-1, 1)
-HOLIDAY_YEARS = (1900, 2100)  # calendar span of the generated holiday table
 # Tier cut-offs and texts.
 ALC_TIERS = [  # (min pct, level, colour, recommendation)
     (60.0, "HIGH", "red",
@@ -87,14 +86,12 @@ ALC_FACTOR_NAMES = [name for name, _, _ in ALC_FACTORS]
 TOP_FACTORS = 5
 ALC_LABEL_CUTOFF, PREDICT_CUTOFF = 0.45, 0.5  # label: prob > 0.45; class: prob > 0.5
 # Forecast horizon tier: surge-day count > 10 HIGH, > 4 MEDIUM, else LOW.
-HORIZON_TIERS = [(10, "HIGH"), (4, "MEDIUM"), (None, "LOW")]
+HORIZON_HIGH, HORIZON_MEDIUM = 10, 4
 # Anomaly type rules, first match wins; a rule fires when any metric exceeds its cut-off.
 ANOMALY_TYPES = ["Normal", "Opioid Over-Prescriber", "High-Risk Combinations", "Volume Outlier", "Other Anomaly"]
-ANOMALY_RULES = [
-    ("Opioid Over-Prescriber", [("opioid_rate_pct", 35), ("avg_opioid_mme", 120)]),
-    ("High-Risk Combinations", [("benzo_opioid_combo_pct", 15), ("polypharmacy_pct", 40)]),
-    ("Volume Outlier", [("patients_per_month", 250), ("avg_rx_per_patient", 7)]),
-]
+OPIOID_RATE_CUT, OPIOID_MME_CUT = 35, 120
+COMBO_CUT, POLYPHARMACY_CUT = 15, 40
+PATIENTS_CUT, RX_PER_PATIENT_CUT = 250, 7
 CONTAMINATION, FOREST_TREES, FOREST_SAMPLES = 0.04, 300, 256
 # Plausible metric ranges (clip bounds).
 CLIP_RANGES = {"opioid_rate_pct": (0, 100), "avg_opioid_mme": (0, 500), "benzo_opioid_combo_pct": (0, 100),
@@ -114,7 +111,7 @@ REGION_NAME, PROVINCE_NAME = "Greater Toronto Area", "Ontario, Canada"
 
 
 def hospital_dim(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(HOSPITALS, "hospital string, base int, noise int, type string")
+    return spark.createDataFrame(HOSPITALS, "hospital string, base int, type string")
 
 
 def dow_dim(spark: SparkSession) -> DataFrame:
@@ -132,8 +129,16 @@ def diagnosis_dim(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(DIAGNOSIS_RISK.items()), "diagnosis string, diag_weight double")
 
 
+def holidays_on(spark: SparkSession, dates: list, name: str = "statutory") -> DataFrame:
+    """Holiday table from given dates (``datetime.date`` or ISO text), for holidays that move."""
+    rows = [(name, str(d)) for d in dates]
+    return (spark.createDataFrame(rows, "holiday string, d string")
+            .select("holiday", F.to_date("d").alias("ds"), F.lit(HOLIDAY_WINDOW[0]).alias("lower_window"),
+                    F.lit(HOLIDAY_WINDOW[1]).alias("upper_window")))
+
+
 def holidays(spark: SparkSession, first_year: int, last_year: int) -> DataFrame:
-    """Holiday table (holiday, ds, lower_window, upper_window) for a year range."""
+    """Holiday table (holiday, ds, lower_window, upper_window) of the fixed month-days for a year range."""
     years = spark.range(first_year, last_year + 1).select(
         F.col("id").cast("int").alias("year"), F.explode(F.array(*[F.lit(m) for m in HOLIDAY_MONTH_DAYS])).alias("md"))
     return (years

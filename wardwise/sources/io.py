@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame | None:
     """Headered CSV with an explicit schema; None (with a message) when absent."""
-    if path.startswith("/") and not os.path.exists(path):
+    try:
+        return spark.read.schema(schema).option("header", True).csv(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         print(f"no result table at {path}: run the job that writes it first")
         return None
-    return spark.read.schema(schema).option("header", True).csv(path)
 
 
 def write_csv(df: DataFrame, path: str, single_file: bool = True) -> None:

@@ -1,15 +1,23 @@
 """Structured Streaming jobs (K1, K2).
 
 K1 scores every arriving admission with the same column expressions as the
-batch path (D1-D3) and routes rows that fail validation to a side sink.
+batch path (D1-D3) and routes rows that fail validation, also those of an
+unknown site, to a side sink: scored plus rejected rows are all rows.
 K2 counts visits per site in tumbling event-time windows with a watermark
 (append mode: a day is emitted once the watermark passes its end) and flags
 surge days against thresholds from the batch history (stream-static join).
 
-Sinks are parquet folders under the session's checkpoint folder (a shared
-location on a cluster), each with its own checkpoint, so a restarted query
-resumes exactly once. ``availableNow`` drains what is in the source and
-stops; on a live source the same code runs with a processing-time trigger.
+Sinks are parquet folders with their own checkpoints. A caller that passes
+the same ``out`` folder again resumes where the last run stopped, exactly
+once; without one each call starts anew below the session's checkpoint folder
+(a shared location on a cluster). ``availableNow`` drains what is in the
+source and stops; on a live source the same code runs with a processing-time
+trigger.
+
+All files that wait are read in one micro-batch unless ``max_files`` says
+otherwise, so a backfill does not depend on the order of its files: the
+watermark moves only between micro-batches. Rows that do come later than the
+watermark allows are counted (``late_rows``).
 """
 
 from __future__ import annotations
@@ -18,34 +26,35 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
-from wardwise.functions.rules import alc_risk_score, alc_tier
-from wardwise.operators.joins import bounded_broadcast
+from wardwise.functions.rules import alc_factors, alc_risk_score, alc_tier, top_factors
 from wardwise.session import checkpoint_dir
 from wardwise.sources.bindings import admissions_from, customer_sites, table
 from wardwise.sources.validate import validate
 
 
-def _stream(spark: SparkSession, sf_dir: str, name: str, max_files: int = 1) -> DataFrame:
-    """File stream over the table's parquet files in ``sf_dir`` (new files are picked up)."""
-    schema = table(spark, sf_dir, name).schema
-    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
-            .option("pathGlobFilter", f"{name}*.parquet").parquet(sf_dir))
-
-
-def _run_to_parquet(df: DataFrame, out: str, mode: str = "append") -> None:
-    q = (df.writeStream.format("parquet").outputMode(mode)
-         .option("checkpointLocation", f"{out}/_checkpoint")
-         .option("path", f"{out}/data")
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+def _stream(spark: SparkSession, sf_dir: str, name: str, max_files: int | None = None) -> DataFrame:
+    """File stream over a table's path, a single file or a folder of part files (new files are picked up)."""
+    reader = spark.readStream.schema(table(spark, sf_dir, name).schema)
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    # a pattern that only this name matches: the source then takes a single file as well as a folder
+    return reader.parquet(f"{sf_dir.rstrip('/')}/{name}.parque[t]")
 
 
 def _run_dir(spark: SparkSession, job: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/streams/{job}-{uuid.uuid4().hex[:12]}"
 
 
-SCORED_COLUMNS = ["patient_id", "hospital", "alc_risk_raw", "alc_risk_score", "risk_level"]
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that a finished query dropped because they came after the watermark."""
+    return sum(int(op.numRowsDroppedByWatermark) for p in query.recentProgress for op in p.stateOperators)
+
+
+SCORED = ("patient_id long, hospital string, alc_risk_raw double, alc_risk_score double, risk_level string, "
+          "top_factors array<struct<factor: string, contribution: double>>")
+REJECTED = "patient_id long, hospital string, violations array<string>"
 
 
 def write_scored_batch(out: str):
@@ -58,27 +67,37 @@ def write_scored_batch(out: str):
     def run(batch: DataFrame, batch_id: int) -> None:
         checked = batch.persist()
         valid = checked.filter(F.size("violations") == 0).drop("violations")
-        alc_tier(alc_risk_score(valid)).select(*SCORED_COLUMNS) \
-            .write.mode("overwrite").parquet(f"{out}/scored/batch={batch_id}")
-        checked.filter(F.size("violations") > 0).select("patient_id", "violations") \
+        scored = top_factors(alc_factors(alc_tier(alc_risk_score(valid))))
+        factors = F.transform("top_factors", lambda f: F.struct(f["factor"].alias("factor"),
+                                                                f["contribution"].alias("contribution")))
+        scored.select("patient_id", "hospital", "alc_risk_raw", "alc_risk_score", "risk_level",
+                      factors.alias("top_factors")).write.mode("overwrite").parquet(f"{out}/scored/batch={batch_id}")
+        checked.filter(F.size("violations") > 0).select("patient_id", "hospital", "violations") \
             .write.mode("overwrite").parquet(f"{out}/rejected/batch={batch_id}")
         checked.unpersist()
     return run
 
 
-def stream_alc_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K1: stream orders -> admissions -> validate -> D1/D2 -> scored and rejected sinks."""
+def score_admissions(spark: SparkSession, sf_dir: str, out: str | None = None,
+                     max_files: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """K1: stream orders -> admissions -> validate -> D1-D3; returns the (scored, rejected) sinks."""
     from wardwise.plans.alc import admission_rules
 
-    sites = bounded_broadcast(customer_sites(spark, sf_dir).select("c_custkey", "hospital"))
-    rules = admission_rules(spark, sf_dir)
-    rules.pop("hospital")  # the stream-static join already keeps known sites only
-    checked = validate(admissions_from(_stream(spark, sf_dir, "orders"), sites), rules)
-    out = _run_dir(spark, "alc_scores")
+    sites = customer_sites(spark, sf_dir).select("c_custkey", "hospital")
+    checked = validate(admissions_from(_stream(spark, sf_dir, "orders", max_files), sites),
+                       admission_rules(spark, sf_dir))
+    out = out or _run_dir(spark, "alc_scores")
+    for name, schema in (("scored", SCORED), ("rejected", REJECTED)):  # an empty source has sinks too
+        spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{out}/{name}/batch=-1")
     q = (checked.writeStream.foreachBatch(write_scored_batch(out))
          .option("checkpointLocation", f"{out}/_checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(f"{out}/scored").select(*SCORED_COLUMNS)
+    return (spark.read.schema(SCORED).parquet(f"{out}/scored"), spark.read.schema(REJECTED).parquet(f"{out}/rejected"))
+
+
+def stream_alc_scores(spark: SparkSession, sf_dir: str, out: str | None = None) -> DataFrame:
+    """K1: the scored rows."""
+    return score_admissions(spark, sf_dir, out)[0]
 
 
 def volume_stream(events: DataFrame, window: str = "1 day", watermark: str = "1 hour") -> DataFrame:
@@ -98,13 +117,23 @@ def event_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return daily.groupBy("hospital").agg(F.floor(F.avg("n") * F.lit(1.25)).cast("bigint").alias("surge_threshold"))
 
 
-def stream_daily_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K2: closed daily windows per site with the D9 surge flag."""
-    raw = _stream(spark, sf_dir, "events")
+def count_volume(spark: SparkSession, sf_dir: str, out: str | None = None,
+                 max_files: int | None = None) -> tuple[DataFrame, int]:
+    """K2: the sink of closed daily windows per site, and the number of rows that came too late."""
+    raw = _stream(spark, sf_dir, "events", max_files)
     events = raw.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("hospital"))
-    out = _run_dir(spark, "daily_volume")
-    _run_to_parquet(volume_stream(events), out)
-    vol = spark.read.parquet(f"{out}/data")
+    out = out or _run_dir(spark, "daily_volume")
+    q = (volume_stream(events).writeStream.format("parquet").outputMode("append")
+         .option("checkpointLocation", f"{out}/_checkpoint").option("path", f"{out}/data")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    closed = spark.read.schema("window_start timestamp, window_end timestamp, hospital string, visits long")
+    return closed.parquet(f"{out}/data"), late_rows(q)
+
+
+def stream_daily_volume(spark: SparkSession, sf_dir: str, out: str | None = None) -> DataFrame:
+    """K2: closed daily windows per site with the D9 surge flag."""
+    vol, _ = count_volume(spark, sf_dir, out)
     thr = event_thresholds(spark, sf_dir)
     return (vol.join(thr, "hospital")
             .select(F.to_date("window_start").alias("visit_date"), "hospital", "visits", "surge_threshold",
