@@ -125,4 +125,47 @@ ORACLE_SQL: dict[str, str] = {
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone OR is_copy), '')) AS kept_sha256
         FROM marked JOIN copies USING (r) JOIN docs USING (r) GROUP BY r, doc_id
     """,
+    "op9_decontamination": r"""
+        WITH fold AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS up, 'abcdefghijklmnopqrstuvwxyz' AS low),
+        items AS (
+            SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), up, low), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+            FROM benchmark, fold WHERE item_id IS NOT NULL
+        ),
+        windows AS (
+            SELECT DISTINCT item, least(10, len(w)) AS n, array_to_string(list_slice(w, s + 1, s + least(10, len(w))), ' ') AS k
+            FROM items, unnest(range(0, greatest(1, len(w) - 9))) AS t(s) WHERE len(w) > 0
+        ),
+        docs AS (
+            SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), up, low), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+            FROM documents, fold
+        ),
+        hits AS (
+            SELECT r, s, windows.n, item
+            FROM (
+                SELECT r, s, n, array_to_string(list_slice(w, s + 1, s + n), ' ') AS k
+                FROM docs, (SELECT DISTINCT n FROM windows) AS z, unnest(range(0, len(w) - n + 1)) AS t(s)
+            ) AS here JOIN windows ON here.n = windows.n AND here.k = windows.k
+        ),
+        spans AS (SELECT r, count(DISTINCT p) AS n_hit FROM hits, unnest(range(s, s + n)) AS t(p) GROUP BY r),
+        found AS (
+            SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r
+        )
+        SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+        FROM docs LEFT JOIN spans USING (r) LEFT JOIN found USING (r)
+    """,
+    "op10_substring_dedup": r"""
+        WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        windows AS (
+            SELECT doc_id, s, array_to_string(list_slice(w, s + 1, s + 20), ' ') AS k FROM docs, unnest(range(0, len(w) - 19)) AS t(s)
+        ),
+        again AS (SELECT doc_id, s, row_number() OVER (PARTITION BY k ORDER BY doc_id, s) AS nth FROM windows),
+        gone AS (SELECT DISTINCT doc_id, p FROM again, unnest(range(s, s + 20)) AS t(p) WHERE nth > 1),
+        words AS (SELECT doc_id, p, w[p + 1] AS word FROM docs, unnest(range(0, len(w))) AS t(p)),
+        kept AS (
+            SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS text, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id
+        )
+        SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+        FROM docs LEFT JOIN kept USING (doc_id)
+    """,
 }
