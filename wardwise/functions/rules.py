@@ -150,14 +150,16 @@ def alc_report(df: DataFrame) -> DataFrame:
         "risk_level", "risk_colour", "recommendation",
         F.transform("top_factors", lambda s: F.struct(s["factor"].alias("factor"),
                                                        s["contribution"].alias("contribution")))
-        .alias("top_risk_factors"))
+        .alias("top_risk_factors"),
+        F.struct(F.lit("linear rule").alias("kind"), F.lit(len(dims.ALC_TERMS)).alias("n_terms"),
+                 F.lit(dims.ALC_LABEL_CUTOFF).alias("label_cutoff")).alias("model_info"))
 
 
 # --------------------------------------------------------------------------- surge
 
-def surge_threshold(base: str | Column = "base") -> Column:
+def surge_threshold(base: str | Column = "base", multiplier: float = dims.SURGE_MULTIPLIER) -> Column:
     b = F.col(base) if isinstance(base, str) else base
-    return trunc_int(b * F.lit(dims.SURGE_MULTIPLIER))
+    return trunc_int(b * F.lit(float(multiplier)))
 
 
 def predicted_visits(df: DataFrame) -> DataFrame:
@@ -196,6 +198,20 @@ def horizon_tier(count: str | Column) -> Column:
             .when(c.isNotNull(), "LOW"))
 
 
+def surge_report(df: DataFrame) -> DataFrame:
+    """D7 as a nested response: input, prediction, risk and recommendation per request.
+
+    Expects the columns of ``surge_risk_score`` and ``hospital``, ``day_name``,
+    ``month`` and ``is_holiday``.
+    """
+    return df.select(
+        F.struct("hospital", "day_name", "month", F.col("is_holiday").cast("boolean").alias("is_holiday")).alias("input"),
+        F.struct("predicted_visits", F.col("base").alias("base_visits"), "surge_threshold",
+                 pct_text("capacity_pct").alias("capacity_pct")).alias("prediction"),
+        F.struct("surge_flag", F.bround("surge_risk_score", 4).alias("surge_risk_score"), "risk_level").alias("risk"),
+        "recommendation")
+
+
 def flag_surge(df: DataFrame, visits: str = "ed_visits", threshold: str = "surge_threshold") -> DataFrame:
     """Actual-day surge flag, strict >."""
     return df.withColumn("surge_flag", (F.col(visits) > F.col(threshold)).cast("int"))

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from wardwise.functions.rules import horizon_tier, surge_threshold
 from wardwise.operators.joins import with_holiday_window
+from wardwise.sources import dims
 
 ORIGIN = "2000-01-01"
 Z90 = 1.6448536269514722  # two-sided 90% interval
@@ -120,9 +121,9 @@ def forecast(model: DataFrame, holidays: DataFrame | list[str], periods: int = 3
             .select("hospital", "ds", "yhat", "yhat_lower", "yhat_upper", "base"))
 
 
-def flag_forecast(fc: DataFrame) -> DataFrame:
-    """threshold = int(base x 1.25) and flag yhat > threshold."""
-    return (fc.withColumn("surge_threshold", surge_threshold("base"))
+def flag_forecast(fc: DataFrame, multiplier: float = dims.SURGE_MULTIPLIER) -> DataFrame:
+    """threshold = int(base x multiplier) and flag yhat > threshold."""
+    return (fc.withColumn("surge_threshold", surge_threshold("base", multiplier))
             .withColumn("surge_flag", F.col("yhat") > F.col("surge_threshold")))
 
 

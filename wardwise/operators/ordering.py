@@ -89,9 +89,9 @@ def exact_quantile(df: DataFrame, value_col: str, q: float) -> DataFrame:
 
 
 def uniform_hash(key_cols: list[str], seed: int) -> Column:
-    """Deterministic value in [0, 1) from the row key and a seed."""
-    h = F.xxhash64(F.lit(seed), *[F.col(c) for c in key_cols])
-    return (F.pmod(h, F.lit(1 << 52)).cast("double") / float(1 << 52))
+    """Deterministic value in [0, 1) from the row key and a seed: 52 bits of an MD5, which other engines have too."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in key_cols]))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
 def kth_per_group(df: DataFrame, group_cols: list[str], u_col: str, tie_cols: list[str], k_col: str,

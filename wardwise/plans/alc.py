@@ -13,7 +13,7 @@ from wardwise.operators import metrics, ml
 from wardwise.operators.joins import scalar
 from wardwise.operators.ordering import sample_n
 from wardwise.sources import dims
-from wardwise.sources.bindings import admissions, table
+from wardwise.sources.bindings import admissions, intake, table
 from wardwise.sources.validate import validate
 
 ALC_FEATURES = ["age", "sex_enc", "diagnosis_enc", "hospital_enc", "lives_alone", "has_caregiver",
@@ -42,8 +42,7 @@ def admission_rules(spark: SparkSession, sf: str) -> dict:
 
 def q_validate_admissions(spark: SparkSession, sf: str) -> DataFrame:
     """Violations per rule and the number of valid rows."""
-    a = admissions(spark, sf)
-    checked = validate(a, admission_rules(spark, sf))
+    checked = validate(intake(admissions(spark, sf)), admission_rules(spark, sf))
     per_rule = checked.select(F.explode("violations").alias("rule")).groupBy("rule").agg(
         F.count(F.lit(1)).alias("n_rows"))
     valid = checked.agg(F.count_if(F.size("violations") == 0).alias("n_rows")).select(
@@ -93,12 +92,43 @@ def q_alc_report(spark: SparkSession, sf: str) -> DataFrame:
     return alc_report(admissions(spark, sf))
 
 
+def q_alc_report_fields(spark: SparkSession, sf: str) -> DataFrame:
+    """The fields of the nested response, one column each, with the first of the top factors."""
+    r = alc_report(admissions(spark, sf))
+    first = F.element_at("top_risk_factors", 1)
+    return r.select("patient_id", F.col("patient_summary.age").alias("age"), F.col("patient_summary.diagnosis").alias("diagnosis"),
+                    F.col("patient_summary.lives_alone").alias("lives_alone"), r6("alc_risk_score").alias("alc_risk_score"),
+                    "alc_risk_pct", "risk_level", "recommendation", first["factor"].alias("first_factor"),
+                    r6(first["contribution"]).alias("first_contribution"), F.size("top_risk_factors").alias("n_factors"))
+
+
+def q_alc_rate_age(spark: SparkSession, sf: str) -> DataFrame:
+    """A5 + P11: ALC rate (%) per ten years of age, living and cognitive state: bands of all three colours."""
+    a = labelled(spark, sf).withColumn("age_from", (F.floor(F.col("age") / 10) * 10).cast("int"))
+    keys = ["age_from", "lives_alone", "cognitive_impairment"]
+    g = a.groupBy(*keys).agg((F.avg("alc_flag") * 100.0).alias("rate"))
+    return g.select(*keys, r6("rate").alias("alc_rate_pct"),
+                    band("rate", *dims.BANDS["alc_rate_hospital"]).alias("band")).orderBy(*keys)
+
+
+def q_split_members(spark: SparkSession, sf: str) -> DataFrame:
+    """M3: the side of every admission."""
+    s = ml.stratified_split(labelled(spark, sf), "alc_flag", ["patient_id"], dims.TEST_FRACTION, 42)
+    return s.select("patient_id", "alc_flag", "is_test")
+
+
+def q_alc_model_census(spark: SparkSession, sf: str) -> DataFrame:
+    """A7 + O6: beds blocked by the model's predictions in the 400-patient census."""
+    model, split = fitted_model(spark, sf)
+    return beds_blocked(ml.predict(model, sample_n(split, dims.CENSUS_SIZE, ["patient_id"], seed=42)), "predicted")
+
+
 def q_alc_rate_hospital(spark: SparkSession, sf: str) -> DataFrame:
     """A5 + P11: ALC rate (%) per site with colour band (> 20, > 15)."""
     a = labelled(spark, sf)
     g = a.groupBy("hospital").agg((F.avg("alc_flag") * 100.0).alias("rate"))
     return g.select("hospital", r6("rate").alias("alc_rate_pct"),
-                    band("rate", *dims.BANDS["alc_rate_hospital"]).alias("band"))
+                    band("rate", *dims.BANDS["alc_rate_hospital"]).alias("band")).orderBy("alc_rate_pct", "hospital")
 
 
 def q_alc_rate_diagnosis(spark: SparkSession, sf: str) -> DataFrame:
@@ -106,7 +136,7 @@ def q_alc_rate_diagnosis(spark: SparkSession, sf: str) -> DataFrame:
     a = labelled(spark, sf)
     g = a.groupBy("diagnosis").agg((F.avg("alc_flag") * 100.0).alias("rate"))
     return g.select("diagnosis", r6("rate").alias("alc_rate_pct"),
-                    band("rate", *dims.BANDS["alc_rate_diagnosis"]).alias("band"))
+                    band("rate", *dims.BANDS["alc_rate_diagnosis"]).alias("band")).orderBy("alc_rate_pct", "diagnosis")
 
 
 def beds_blocked(df: DataFrame, flag: str) -> DataFrame:
@@ -114,7 +144,8 @@ def beds_blocked(df: DataFrame, flag: str) -> DataFrame:
     g = df.groupBy("hospital").agg(F.count(F.lit(1)).alias("total_patients"),
                                    F.sum(flag).cast("bigint").alias("alc_patients"))
     return (g.withColumn("alc_rate_pct", F.bround(F.col("alc_patients") / F.col("total_patients") * 100.0, 1))
-            .withColumn("band", band("alc_patients", *dims.BANDS["beds_blocked"])))
+            .withColumn("band", band("alc_patients", *dims.BANDS["beds_blocked"]))
+            .orderBy(F.col("alc_patients").desc(), "hospital"))
 
 
 def q_beds_blocked(spark: SparkSession, sf: str) -> DataFrame:
@@ -265,6 +296,10 @@ QUERIES = {
     "alc_tier_counts": q_alc_tier_counts,
     "alc_top_factors": q_alc_top_factors,
     "alc_report": q_alc_report,
+    "alc_report_fields": q_alc_report_fields,
+    "alc_rate_age": q_alc_rate_age,
+    "split_members": q_split_members,
+    "alc_model_census": q_alc_model_census,
     "alc_rate_hospital": q_alc_rate_hospital,
     "alc_rate_diagnosis": q_alc_rate_diagnosis,
     "beds_blocked": q_beds_blocked,

@@ -101,11 +101,24 @@ _rule_checks = [
     ("hospital", "hospital IN (SELECT r_name FROM region)"),
 ]
 _viol = "\n  UNION ALL ".join(
-    f"SELECT '{n}' AS rule, count(*) FILTER (WHERE NOT coalesce({c}, false)) AS n_rows FROM adm"
+    f"SELECT '{n}' AS rule, count(*) FILTER (WHERE NOT coalesce({c}, false)) AS n_rows FROM desk"
     for n, c in _rule_checks)
 _all_ok = " AND ".join(f"coalesce({c}, false)" for _, c in _rule_checks)
 
 
+INTAKE = """
+desk AS (
+  SELECT patient_id,
+    CASE WHEN patient_id % 97 = 0 THEN age - 60 ELSE age END AS age,
+    CASE WHEN patient_id % 89 = 0 THEN los_days + 120 ELSE los_days END AS los_days,
+    CASE WHEN patient_id % 83 = 0 THEN charlson_index + 12 ELSE charlson_index END AS charlson_index,
+    CASE WHEN patient_id % 79 = 0 THEN -functional_score - 1e0 ELSE functional_score END AS functional_score,
+    CASE WHEN patient_id % 73 = 0 THEN NULL ELSE prior_admissions END AS prior_admissions,
+    CASE WHEN patient_id % 71 = 0 THEN 'Unlisted' ELSE diagnosis END AS diagnosis,
+    CASE WHEN patient_id % 67 = 0 THEN 'ELSEWHERE' ELSE hospital END AS hospital
+  FROM adm)"""
+
+
 def _class_rows() -> str:
     parts = []
     for cls in (0, 1):
@@ -117,11 +130,11 @@ def _class_rows() -> str:
 
 
 ORACLE = {
-    "validate_admissions": w(ADM) + f"""
+    "validate_admissions": w(ADM, INTAKE) + f"""
 SELECT rule, n_rows FROM (
   {_viol}) v WHERE n_rows > 0
 UNION ALL
-SELECT 'valid' AS rule, count(*) AS n_rows FROM adm WHERE {_all_ok}""",
+SELECT 'valid' AS rule, count(*) AS n_rows FROM desk WHERE {_all_ok}""",
 
     "profile_admissions": w(ADM) + """
 SELECT count(*) AS n_patients, CAST(sum(alc_flag) AS BIGINT) AS n_alc, round(avg(alc_flag) * 100e0, 6) AS alc_rate_pct,
@@ -151,6 +164,38 @@ SELECT patient_id, rk AS rank, factor, round(contribution, 6) AS contribution FR
   SELECT *, CAST(row_number() OVER (PARTITION BY patient_id ORDER BY contribution DESC, pos) AS INTEGER) AS rk
   FROM fx) x WHERE rk <= 5""",
 
+    "alc_report_fields": w(ADM, RISK, FACTORS) + """,
+r AS (SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY contribution DESC, pos) AS rk FROM fx)
+SELECT sc.patient_id, age, diagnosis, lives_alone = 1 AS lives_alone,
+       round(round_even(alc_risk_score, 4), 6) AS alc_risk_score, printf('%.1f', alc_risk_pct) || '%' AS alc_risk_pct,
+       CASE WHEN alc_risk_pct >= 60 THEN 'HIGH' WHEN alc_risk_pct >= 35 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level,
+       CASE WHEN alc_risk_pct >= 60
+            THEN 'Initiate discharge planning at admission. Refer to social work and LTC placement team immediately.'
+            WHEN alc_risk_pct >= 35
+            THEN 'Flag for social work review within 48 hours. Assess home care and CCAC eligibility.'
+            ELSE 'Standard discharge pathway. Reassess if length of stay exceeds 7 days.' END AS recommendation,
+       r.factor AS first_factor, round(r.contribution, 6) AS first_contribution, CAST(5 AS INTEGER) AS n_factors
+FROM sc JOIN r ON sc.patient_id = r.patient_id AND r.rk = 1""",
+
+    "alc_rate_age": w(ADM) + """
+SELECT age_from, lives_alone, cognitive_impairment, round(rate, 6) AS alc_rate_pct,
+       CASE WHEN rate > 20 THEN 'red' WHEN rate > 15 THEN 'orange' ELSE 'green' END AS band
+FROM (SELECT CAST(floor(age / 10e0) * 10 AS INTEGER) AS age_from, lives_alone, cognitive_impairment,
+             avg(alc_flag) * 100e0 AS rate FROM lab GROUP BY 1, 2, 3) g""",
+
+    "split_members": w(ADM) + """,
+u AS (SELECT patient_id, alc_flag,
+             row_number() OVER (PARTITION BY alc_flag ORDER BY substr(md5('42|' || patient_id), 1, 13), patient_id) AS rk,
+             ceil(count(*) OVER (PARTITION BY alc_flag) * 0.2e0) AS k FROM lab)
+SELECT patient_id, alc_flag, rk <= k AS is_test FROM u""",
+
+    "census_sample": w(ADM) + """,
+c AS (SELECT * FROM lab ORDER BY substr(md5('42|' || patient_id), 1, 13), patient_id LIMIT 400),
+g AS (SELECT hospital, count(*) AS total_patients, CAST(sum(alc_flag) AS BIGINT) AS alc_patients FROM c GROUP BY hospital)
+SELECT hospital, total_patients, alc_patients, round_even(alc_patients / total_patients * 100e0, 1) AS alc_rate_pct,
+       CASE WHEN alc_patients > 15 THEN 'red' WHEN alc_patients > 10 THEN 'orange' ELSE 'green' END AS band
+FROM g""",
+
     "alc_rate_hospital": w(ADM) + """
 SELECT hospital, round(rate, 6) AS alc_rate_pct,
        CASE WHEN rate > 20 THEN 'red' WHEN rate > 15 THEN 'orange' ELSE 'green' END AS band

@@ -13,7 +13,9 @@ m AS (
     avg(CASE WHEN l.l_tax >= 0.075e0 AND l.l_discount >= 0.075e0 THEN 100e0 ELSE 0e0 END) AS benzo_opioid_combo_pct,
     avg(CASE WHEN l.l_quantity >= 41e0 THEN 100e0 ELSE 0e0 END) AS polypharmacy_pct,
     avg(l.l_tax) * 350e0 AS avg_days_supply,
-    avg(CASE WHEN l.l_returnflag = 'A' THEN 100e0 ELSE 0e0 END) AS refill_rate_pct
+    avg(CASE WHEN l.l_returnflag = 'A' THEN 100e0 ELSE 0e0 END) AS refill_rate_pct,
+    avg(CASE WHEN l.l_quantity >= 45e0 AND l.l_discount >= 0.05e0 THEN 100e0 ELSE 0e0 END) AS high_dose_opioid_pct,
+    avg(CASE WHEN l.l_linestatus = 'O' THEN 100e0 ELSE 0e0 END) AS generic_prescribe_pct
   FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey GROUP BY o.o_custkey),
 pr AS (
   SELECT m.prescriber_id, c.c_mktsegment AS specialty, r.r_name AS hospital, n_rx, n_patients,
@@ -23,13 +25,16 @@ pr AS (
     benzo_opioid_combo_pct * (CASE WHEN m.prescriber_id % 75 = 32 THEN 5.5e0 ELSE 1e0 END) AS benzo_opioid_combo_pct,
     polypharmacy_pct * (CASE WHEN m.prescriber_id % 75 = 32 THEN 2.2e0 ELSE 1e0 END) AS polypharmacy_pct,
     avg_days_supply, refill_rate_pct,
+    high_dose_opioid_pct * (CASE WHEN m.prescriber_id % 75 = 7 THEN 2.5e0 ELSE 1e0 END) AS high_dose_opioid_pct,
+    generic_prescribe_pct,
     n_patients * 12e0 * (CASE WHEN m.prescriber_id % 75 = 57 THEN 3.2e0 ELSE 1e0 END) AS patients_per_month,
     CASE WHEN m.prescriber_id % 75 IN (7, 32, 57) THEN 1 ELSE 0 END AS true_anomaly
   FROM m JOIN customer c ON m.prescriber_id = c.c_custkey
        JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey)"""
 
 METRICS = ["avg_rx_per_patient", "opioid_rate_pct", "avg_opioid_mme", "benzo_opioid_combo_pct",
-           "polypharmacy_pct", "avg_days_supply", "refill_rate_pct", "patients_per_month"]
+           "polypharmacy_pct", "avg_days_supply", "refill_rate_pct", "high_dose_opioid_pct",
+           "generic_prescribe_pct", "patients_per_month"]
 
 _stats = ", ".join(f"avg({m}) AS mu_{m}, stddev_pop({m}) AS sd_{m}" for m in METRICS)
 _z = ",\n    ".join(f"CASE WHEN sd_{m} > 0 THEN ({m} - mu_{m}) / sd_{m} ELSE 0e0 END AS {m}_z" for m in METRICS)
@@ -82,6 +87,16 @@ SELECT prescriber_id,
   round(greatest(1e0, least(20e0, avg_rx_per_patient)), 6) AS avg_rx_per_patient
 FROM pr""",
 
+    "clip_stretched": w(PRESC) + """
+SELECT prescriber_id,
+  round(greatest(0e0, least(100e0, (opioid_rate_pct - 30e0) * 4e0 + 30e0)), 6) AS opioid_rate_pct,
+  round(greatest(0e0, least(500e0, (avg_opioid_mme - 30e0) * 4e0 + 30e0)), 6) AS avg_opioid_mme,
+  round(greatest(0e0, least(100e0, (benzo_opioid_combo_pct - 30e0) * 4e0 + 30e0)), 6) AS benzo_opioid_combo_pct,
+  round(greatest(0e0, least(100e0, (polypharmacy_pct - 30e0) * 4e0 + 30e0)), 6) AS polypharmacy_pct,
+  round(greatest(1e0, least(800e0, (patients_per_month - 30e0) * 4e0 + 30e0)), 6) AS patients_per_month,
+  round(greatest(1e0, least(20e0, (avg_rx_per_patient - 30e0) * 4e0 + 30e0)), 6) AS avg_rx_per_patient
+FROM pr""",
+
     "standardize": w(PRESC) + f""",
 g AS (SELECT {_gstats} FROM pr)
 SELECT prescriber_id,

@@ -111,6 +111,10 @@ ff AS (
   FROM fc)"""
 
 
+# The same forecast flagged at a lower threshold.
+SENSITIVE = FORECAST.format(periods=30).replace("1.25e0", "1.12e0")
+
+
 def w(*ctes: str) -> str:
     return "WITH " + ",".join(ctes)
 
@@ -186,7 +190,8 @@ SELECT hospital, visit_date, ed_visits, rn FROM (
 WHERE rn <= 90""",
 
     "hospital_reference": w(ED) + """
-SELECT hospital, round(base, 6) AS base, CAST(floor(base * 1.25e0) AS BIGINT) AS surge_threshold,
+SELECT hospital, CASE WHEN hospital IN ('AMERICA', 'EUROPE') THEN 'Academic' ELSE 'Community' END AS type,
+       round(base, 6) AS base, CAST(floor(base * 1.25e0) AS BIGINT) AS surge_threshold,
        'Greater Toronto Area' AS region, 'Ontario, Canada' AS province
 FROM b""",
 
@@ -236,13 +241,47 @@ SELECT ds, round(yhat, 6) AS yhat, round(yhat_lower, 6) AS yhat_lower, round(yha
 SELECT hospital, ds, round(yhat, 6) AS yhat, surge_threshold FROM ff WHERE yhat > surge_threshold""",
 
     "surge_summary": w(ED, HOL, MODEL, FORECAST.format(periods=30)) + """
-SELECT hospital, CAST(round_even(avg(yhat), 0) AS BIGINT) AS avg_forecast,
+SELECT hospital, CASE WHEN hospital IN ('AMERICA', 'EUROPE') THEN 'Academic' ELSE 'Community' END AS type,
+       CAST(round_even(avg(yhat), 0) AS BIGINT) AS avg_forecast,
        max(surge_threshold) AS surge_threshold, count(*) FILTER (WHERE surge_flag) AS surge_days,
        CASE WHEN count(*) FILTER (WHERE surge_flag) > 10 THEN 'HIGH'
             WHEN count(*) FILTER (WHERE surge_flag) > 4 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level,
        coalesce(strftime(min(CASE WHEN surge_flag THEN ds END), '%Y-%m-%d'), 'None') AS first_surge_date
 FROM ff GROUP BY hospital""",
 
+    "surge_summary_sensitive": w(ED, HOL, MODEL, SENSITIVE) + """
+SELECT hospital, CASE WHEN hospital IN ('AMERICA', 'EUROPE') THEN 'Academic' ELSE 'Community' END AS type,
+       CAST(round_even(avg(yhat), 0) AS BIGINT) AS avg_forecast,
+       max(surge_threshold) AS surge_threshold, count(*) FILTER (WHERE surge_flag) AS surge_days,
+       CASE WHEN count(*) FILTER (WHERE surge_flag) > 10 THEN 'HIGH'
+            WHEN count(*) FILTER (WHERE surge_flag) > 4 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level,
+       coalesce(strftime(min(CASE WHEN surge_flag THEN ds END), '%Y-%m-%d'), 'None') AS first_surge_date
+FROM ff GROUP BY hospital""",
+
+    "surge_days_sensitive": w(ED, HOL, MODEL, SENSITIVE) + """
+SELECT hospital, ds, round(yhat, 6) AS yhat, surge_threshold FROM ff WHERE yhat > surge_threshold""",
+
+    "monthly_trend_gaps": w(ED) + """,
+a AS (SELECT hospital, last_day(visit_date) AS month_end, avg(ed_visits) AS avg_visits,
+             max(surge_threshold) AS thr FROM ev WHERE month(visit_date) NOT IN (4, 9) GROUP BY hospital, last_day(visit_date)),
+rg AS (SELECT hospital, min(month_end) AS m0, max(month_end) AS m1, max(thr) AS thr FROM a GROUP BY hospital),
+sp AS (SELECT hospital, thr, last_day(CAST(unnest(generate_series(date_trunc('month', m0), date_trunc('month', m1),
+             INTERVAL 1 MONTH)) AS DATE)) AS month_end FROM rg)
+SELECT sp.hospital, sp.month_end, round(a.avg_visits, 6) AS avg_visits, sp.thr AS surge_threshold
+FROM sp LEFT JOIN a ON sp.hospital = a.hospital AND sp.month_end = a.month_end""",
+
+    "validate_surge_inputs": w(ED) + """,
+q AS (
+  SELECT CASE WHEN o_orderkey % 41 = 0 THEN 'ELSEWHERE' ELSE r_name END AS hospital, o_orderkey % 8 AS day, o_orderkey % 14 AS month
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+       JOIN region ON n_regionkey = r_regionkey),
+c AS (SELECT month BETWEEN 1 AND 12 AS m, day < 7 AS d, hospital IN (SELECT hospital FROM ev) AS h FROM q)
+SELECT rule, n_rows FROM (
+  SELECT 'month' AS rule, count(*) FILTER (WHERE NOT m) AS n_rows FROM c
+  UNION ALL SELECT 'day_name', count(*) FILTER (WHERE NOT d) FROM c
+  UNION ALL SELECT 'hospital', count(*) FILTER (WHERE NOT h) FROM c
+  UNION ALL SELECT 'valid', count(*) FILTER (WHERE m AND d AND h) FROM c) x WHERE n_rows > 0""",
+
     "forecast_backtest": w(ED, HOL, BACKTEST, FORECAST.format(periods=30)) + """
 SELECT ff.hospital, count(*) AS n_test, round(avg(abs(tg.ed_visits - ff.yhat)), 6) AS mae,
        round(avg(abs(tg.ed_visits - ff.yhat) / tg.ed_visits * 100e0), 6) AS mape,

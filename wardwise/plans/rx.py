@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wardwise.functions.columns import band, clip, prescriber_code, r6
 from wardwise.operators import metrics, ml
 from wardwise.operators.iforest import fit_iforest, score_iforest
-from wardwise.operators.joins import with_scalar
+from wardwise.operators.joins import scalar, with_scalar
 from wardwise.sources import dims
 from wardwise.sources.bindings import RX_FEATURES, prescribers
 from wardwise.sources.io import materialize
@@ -71,6 +71,13 @@ def q_clip_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("prescriber_id", *[r6(clip(c, lo, hi)).alias(c) for c, (lo, hi) in CLIP_RANGES.items()])
 
 
+def q_clip_stretched(spark: SparkSession, sf: str) -> DataFrame:
+    """P9 where both bounds bind: metrics stretched fourfold around 30, clipped to their ranges."""
+    p = prescribers(spark, sf)
+    return p.select("prescriber_id", *[r6(clip((F.col(c) - 30.0) * 4.0 + 30.0, float(lo), float(hi))).alias(c)
+                                       for c, (lo, hi) in CLIP_RANGES.items()])
+
+
 def q_standardize(spark: SparkSession, sf: str) -> DataFrame:
     """Population-standardised metrics."""
     z = ml.standardize(prescribers(spark, sf), METRICS)
@@ -104,9 +111,9 @@ def q_rx_detection_quality(spark: SparkSession, sf: str) -> DataFrame:
 
 def breakdown(df: DataFrame, key: str) -> DataFrame:
     """A10: counts among flagged rows with their share (%)."""
-    from pyspark.sql import Window
     g = df.filter(F.col("is_anomaly") == 1).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    return g.withColumn("share_pct", F.col("n") / F.sum("n").over(Window.partitionBy()) * 100.0)
+    total = g.agg(F.sum("n").alias("total"))
+    return g.withColumn("share_pct", F.col("n") / scalar(total)["total"] * 100.0).orderBy(F.col("n").desc(), key)
 
 
 def q_rx_breakdown(spark: SparkSession, sf: str) -> DataFrame:
@@ -123,7 +130,7 @@ def q_rx_rate_hospital(spark: SparkSession, sf: str) -> DataFrame:
     """A11 + P11: anomaly rate per site with band (> 5, > 3)."""
     r = rate_by_site(flagged(spark, sf))
     return r.select("hospital", r6("rate").alias("anomaly_rate_pct"),
-                    band("rate", *dims.BANDS["rx_rate_hospital"]).alias("band"))
+                    band("rate", *dims.BANDS["rx_rate_hospital"]).alias("band")).orderBy("anomaly_rate_pct", "hospital")
 
 
 def q_rx_top_hospital(spark: SparkSession, sf: str) -> DataFrame:
@@ -227,6 +234,7 @@ QUERIES = {
     "prescriber_lookup": q_prescriber_lookup,
     "rx_specialty_profile": q_rx_specialty_profile,
     "clip_metrics": q_clip_metrics,
+    "clip_stretched": q_clip_stretched,
     "standardize": q_standardize,
     "rx_peer_zscore": q_rx_peer_zscore,
     "flag_top_fraction": q_flag_top_fraction,

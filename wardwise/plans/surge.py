@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardwise.functions.columns import pct_text, r6
-from wardwise.functions.rules import (expected_volume, flag_surge, predicted_visits, surge_risk_score,
+from wardwise.functions.rules import (expected_volume, flag_surge, predicted_visits, surge_report, surge_risk_score,
                                       surge_threshold)
 from wardwise.operators import forecast as fcast
 from wardwise.operators.joins import reindex, scalar, with_holiday, with_holiday_window
 from wardwise.operators.ordering import top_n_per_group
 from wardwise.sources import dims
-from wardwise.sources.bindings import ed_visits
+from wardwise.sources.bindings import ed_visits, site_type, surge_inputs
+from wardwise.sources.validate import validate
 
 
 def _visits(spark: SparkSession, sf: str) -> DataFrame:
@@ -64,7 +65,10 @@ def q_monthly_trend(spark: SparkSession, sf: str) -> DataFrame:
     (pandas ``resample`` emits them as NaN): a month spine per site from
     its first to its last month, left-joined to the aggregate.
     """
-    v = _visits(spark, sf)
+    return _monthly(_visits(spark, sf))
+
+
+def _monthly(v: DataFrame) -> DataFrame:
     agg = v.groupBy("hospital", F.last_day("visit_date").alias("month_end")).agg(
         F.avg("ed_visits").alias("avg_visits"), F.max("surge_threshold").alias("surge_threshold"))
     rng = agg.groupBy("hospital").agg(F.min("month_end").alias("m0"), F.max("month_end").alias("m1"),
@@ -136,7 +140,7 @@ def q_hospital_reference(spark: SparkSession, sf: str) -> DataFrame:
     """Site listing with base, threshold and the constant region/province."""
     v = _visits(spark, sf)
     s = v.groupBy("hospital").agg(F.first("base").alias("base"))
-    return s.select("hospital", r6("base").alias("base"),
+    return s.select("hospital", site_type().alias("type"), r6("base").alias("base"),
                     surge_threshold("base").alias("surge_threshold"),
                     F.lit(dims.REGION_NAME).alias("region"), F.lit(dims.PROVINCE_NAME).alias("province"))
 
@@ -240,8 +244,57 @@ def q_surge_days(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_surge_summary(spark: SparkSession, sf: str) -> DataFrame:
-    """A15 (flagship): per-site 30-day surge summary with risk tier."""
-    return fcast.surge_summary(flagged_forecast(spark, sf))
+    """A15 (flagship): per-site 30-day surge summary with risk tier and site type."""
+    return _summary(flagged_forecast(spark, sf))
+
+
+def _summary(flagged: DataFrame) -> DataFrame:
+    s = fcast.surge_summary(flagged)
+    return s.select("hospital", site_type().alias("type"), *s.columns[1:]).orderBy(
+        F.col("surge_days").desc(), F.col("avg_forecast").desc(), "hospital")
+
+
+SENSITIVE = 1.12  # a threshold near the mean: days above it, first dates and all horizon tiers occur
+
+
+def _sensitive(spark: SparkSession, sf: str) -> DataFrame:
+    _, hol, m = _model(spark, sf)
+    return fcast.flag_forecast(fcast.forecast(m, hol, dims.FORECAST_DAYS), SENSITIVE)
+
+
+def q_surge_summary_sensitive(spark: SparkSession, sf: str) -> DataFrame:
+    """A15 + D8 at a lower threshold."""
+    return _summary(_sensitive(spark, sf))
+
+
+def q_surge_days_sensitive(spark: SparkSession, sf: str) -> DataFrame:
+    """P6 + F3 at a lower threshold: the flagged forecast days."""
+    return _sensitive(spark, sf).where("surge_flag").select("hospital", "ds", r6("yhat").alias("yhat"), "surge_threshold")
+
+
+def q_monthly_trend_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    """A1 where some months have no visit days: they appear with a null mean."""
+    return _monthly(_visits(spark, sf).where(~F.month("visit_date").isin(4, 9)))
+
+
+def q_validate_surge_inputs(spark: SparkSession, sf: str) -> DataFrame:
+    """S5 on requests for a surge estimate: month, day name and site; rows per failed rule."""
+    sites = _visits(spark, sf).select("hospital").distinct()
+    rules = {"month": (1, 12), "day_name": dims.DAY_NAMES, "hospital": sites}
+    checked = validate(surge_inputs(spark, sf), rules)
+    failed = F.when(F.size("violations") == 0, F.array(F.lit("valid"))).otherwise(F.col("violations"))
+    return checked.select(F.explode(failed).alias("rule")).groupBy("rule").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def q_surge_report(spark: SparkSession, sf: str) -> DataFrame:
+    """The nested response over every (site, weekday, month, holiday) input."""
+    v = _visits(spark, sf)
+    sites = v.groupBy("hospital").agg(F.first("base").alias("base"))
+    grid = (sites.withColumn("weekday", F.explode(F.sequence(F.lit(0), F.lit(6))))
+            .withColumn("month", F.explode(F.sequence(F.lit(1), F.lit(12))))
+            .withColumn("is_holiday", F.explode(F.sequence(F.lit(0), F.lit(1)))))
+    names = F.element_at(F.array(*[F.lit(d) for d in dims.DAY_NAMES]), F.col("weekday") + 1)
+    return surge_report(surge_risk_score(predicted_visits(grid)).withColumn("day_name", names))
 
 
 def q_forecast_backtest(spark: SparkSession, sf: str) -> DataFrame:
@@ -287,6 +340,11 @@ QUERIES = {
     "combined_forecast": q_combined_forecast,
     "surge_days": q_surge_days,
     "surge_summary": q_surge_summary,
+    "surge_summary_sensitive": q_surge_summary_sensitive,
+    "surge_days_sensitive": q_surge_days_sensitive,
+    "monthly_trend_gaps": q_monthly_trend_gaps,
+    "validate_surge_inputs": q_validate_surge_inputs,
+    "surge_report": q_surge_report,
     "forecast_backtest": q_forecast_backtest,
     "surge_forecast_fourier": q_surge_forecast_fourier,
 }

@@ -14,10 +14,10 @@ run time, from the measured size of a finished stage.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardwise.sources.dims import LABEL_DIAGNOSIS_RISK
+from wardwise.sources.dims import DAY_NAMES, LABEL_DIAGNOSIS_RISK
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -81,6 +81,34 @@ def ed_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
             .withColumn("surge_threshold", surge_threshold("base")))
 
 
+ACADEMIC_SITES = ["AMERICA", "EUROPE"]  # the fixture's site types; all others are community sites
+
+
+def site_type(hospital: str | Column = "hospital") -> Column:
+    return F.when(F.col(hospital).isin(ACADEMIC_SITES), "Academic").otherwise("Community")
+
+
+def intake(admitted: DataFrame) -> DataFrame:
+    """Admissions as a front desk might send them: every rule of the validation broken for some keys."""
+    k = F.col("patient_id")
+    wrong = {
+        "age": (97, F.col("age") - 60), "los_days": (89, F.col("los_days") + 120), "charlson_index": (83, F.col("charlson_index") + 12),
+        "functional_score": (79, -F.col("functional_score") - 1.0), "prior_admissions": (73, F.lit(None).cast("long")),
+        "diagnosis": (71, F.lit("Unlisted")), "hospital": (67, F.lit("ELSEWHERE")),
+    }
+    return admitted.withColumns({c: F.when(k % n == 0, bad).otherwise(F.col(c)) for c, (n, bad) in wrong.items()})
+
+
+def surge_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests for a surge estimate, one per order: site, day name, month and holiday flag, some of them invalid."""
+    k = F.col("patient_id")
+    names = F.array(*[F.lit(d) for d in [*DAY_NAMES, "Someday"]])
+    return admissions(spark, sf_dir).select(
+        k.alias("request_id"), F.when(k % 41 == 0, "ELSEWHERE").otherwise(F.col("hospital")).alias("hospital"),
+        F.element_at(names, (k % 8 + 1).cast("int")).alias("day_name"), (k % 14).alias("month"),
+        (k % 10 == 0).alias("is_holiday"))
+
+
 # --------------------------------------------------------------------------- admissions
 
 # The fixture's diagnosis by key, in the order FIXTURES.md fixes.
@@ -138,7 +166,8 @@ def label_linear(df: DataFrame) -> F.Column:
 
 ANOMALY_MOD, OPIOID_KEY, COMBO_KEY, VOLUME_KEY = 75, 7, 32, 57
 RX_FEATURES = ["avg_rx_per_patient", "opioid_rate_pct", "avg_opioid_mme", "benzo_opioid_combo_pct",
-               "polypharmacy_pct", "avg_days_supply", "refill_rate_pct"]
+               "polypharmacy_pct", "avg_days_supply", "refill_rate_pct", "high_dose_opioid_pct",
+              "generic_prescribe_pct"]
 
 
 def prescribers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,14 +188,18 @@ def prescribers(spark: SparkSession, sf_dir: str) -> DataFrame:
               .otherwise(0.0)).alias("s_combo"),
         F.sum(F.when(F.col("l_quantity") >= 41.0, 100.0).otherwise(0.0)).alias("s_poly"),
         F.sum("l_tax").alias("s_tax"),
-        F.sum(F.when(F.col("l_returnflag") == "A", 100.0).otherwise(0.0)).alias("s_refill")))
+        F.sum(F.when(F.col("l_returnflag") == "A", 100.0).otherwise(0.0)).alias("s_refill"),
+        F.sum(F.when((F.col("l_quantity") >= 45.0) & (F.col("l_discount") >= 0.05), 100.0)
+              .otherwise(0.0)).alias("s_high"),
+        F.sum(F.when(F.col("l_linestatus") == "O", 100.0).otherwise(0.0)).alias("s_generic")))
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     m = (per_order.join(o, per_order.l_orderkey == o.o_orderkey)
          .groupBy(F.col("o_custkey").alias("prescriber_id"))
          .agg(F.sum("n").alias("n_rx"), F.count(F.lit(1)).alias("n_patients"),
               F.sum("s_opioid").alias("s_opioid"), F.sum("s_qty").alias("s_qty"),
               F.sum("s_combo").alias("s_combo"), F.sum("s_poly").alias("s_poly"),
-              F.sum("s_tax").alias("s_tax"), F.sum("s_refill").alias("s_refill")))
+              F.sum("s_tax").alias("s_tax"), F.sum("s_refill").alias("s_refill"),
+              F.sum("s_high").alias("s_high"), F.sum("s_generic").alias("s_generic")))
     cs = customer_sites(spark, sf_dir)
     key = F.col("prescriber_id") % ANOMALY_MOD
 
@@ -184,6 +217,8 @@ def prescribers(spark: SparkSession, sf_dir: str) -> DataFrame:
                     (F.col("s_poly") / n * boost(key == COMBO_KEY, 2.2)).alias("polypharmacy_pct"),
                     (F.col("s_tax") / n * 350.0).alias("avg_days_supply"),
                     (F.col("s_refill") / n).alias("refill_rate_pct"),
+                    (F.col("s_high") / n * boost(key == OPIOID_KEY, 2.5)).alias("high_dose_opioid_pct"),
+                    (F.col("s_generic") / n).alias("generic_prescribe_pct"),
                     (F.col("n_patients") * 12.0 * boost(key == VOLUME_KEY, 3.2)).alias("patients_per_month"),
                     F.when(key.isin(OPIOID_KEY, COMBO_KEY, VOLUME_KEY), 1).otherwise(0).alias("true_anomaly")))
 
