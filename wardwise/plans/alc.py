@@ -103,9 +103,9 @@ def q_alc_report_fields(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_alc_rate_age(spark: SparkSession, sf: str) -> DataFrame:
-    """A5 + P11: ALC rate (%) per ten years of age, living and cognitive state: bands of all three colours."""
+    """A5 + P11: ALC rate (%) per ten years of age, living, care and cognitive state: bands of all three colours."""
     a = labelled(spark, sf).withColumn("age_from", (F.floor(F.col("age") / 10) * 10).cast("int"))
-    keys = ["age_from", "lives_alone", "cognitive_impairment"]
+    keys = ["age_from", "lives_alone", "has_caregiver", "cognitive_impairment"]
     g = a.groupBy(*keys).agg((F.avg("alc_flag") * 100.0).alias("rate"))
     return g.select(*keys, r6("rate").alias("alc_rate_pct"),
                     band("rate", *dims.BANDS["alc_rate_hospital"]).alias("band")).orderBy(*keys)

@@ -178,10 +178,10 @@ SELECT sc.patient_id, age, diagnosis, lives_alone = 1 AS lives_alone,
 FROM sc JOIN r ON sc.patient_id = r.patient_id AND r.rk = 1""",
 
     "alc_rate_age": w(ADM) + """
-SELECT age_from, lives_alone, cognitive_impairment, round(rate, 6) AS alc_rate_pct,
+SELECT age_from, lives_alone, has_caregiver, cognitive_impairment, round(rate, 6) AS alc_rate_pct,
        CASE WHEN rate > 20 THEN 'red' WHEN rate > 15 THEN 'orange' ELSE 'green' END AS band
-FROM (SELECT CAST(floor(age / 10e0) * 10 AS INTEGER) AS age_from, lives_alone, cognitive_impairment,
-             avg(alc_flag) * 100e0 AS rate FROM lab GROUP BY 1, 2, 3) g""",
+FROM (SELECT CAST(floor(age / 10e0) * 10 AS INTEGER) AS age_from, lives_alone, has_caregiver,
+             cognitive_impairment, avg(alc_flag) * 100e0 AS rate FROM lab GROUP BY 1, 2, 3, 4) g""",
 
     "split_members": w(ADM) + """,
 u AS (SELECT patient_id, alc_flag,
