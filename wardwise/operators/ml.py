@@ -35,11 +35,6 @@ def label_encode(df: DataFrame, cols: list[str], suffix: str = "_enc") -> DataFr
     return out
 
 
-def assemble(df: DataFrame, cols: list[str], out: str = "features") -> DataFrame:
-    """M2: feature vector."""
-    return VectorAssembler(inputCols=cols, outputCol=out, handleInvalid="keep").transform(df)
-
-
 # --------------------------------------------------------------------------- M3
 
 ROWS_PER_BUCKET = 200_000  # rows one task ranks when locating a split boundary

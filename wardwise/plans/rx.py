@@ -43,8 +43,7 @@ def flagged(spark: SparkSession, sf: str) -> DataFrame:
     """M19 -> M13 -> P8: peer z-score, top-4% flag, anomaly type."""
     p = ml.peer_zscore(prescriber_table(spark, sf), "specialty", METRICS)
     p = ml.flag_top_fraction(p, "anomaly_score", dims.CONTAMINATION)
-    # one row per prescriber, read by several branches downstream: written once
-    return materialize(p.withColumn("anomaly_type", classify_anomaly()))
+    return p.withColumn("anomaly_type", classify_anomaly())
 
 
 def q_prescriber_lookup(spark: SparkSession, sf: str) -> DataFrame:
@@ -150,7 +149,7 @@ def q_rx_score_threshold(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_rx_score_histogram(spark: SparkSession, sf: str) -> DataFrame:
     """A14 + M15: score histogram per class (50 bins, density)."""
-    h = metrics.histogram(flagged(spark, sf), "anomaly_score", "is_anomaly", dims.SCORE_BINS, density=True)
+    h = metrics.histogram(materialize(flagged(spark, sf)), "anomaly_score", "is_anomaly", dims.SCORE_BINS, density=True)
     return h.select("class", "bin", r6("lo").alias("lo"), r6("hi").alias("hi"), "n",
                     r6("density").alias("density"))
 
