@@ -68,6 +68,8 @@ def test_bpe_frames(docs, no_docs, rows, library):
     for r in out:
         assert np.frombuffer(r.ids, "<u4").tolist() == library.encode_ordinary(r.text or "")
         assert bytes(r.decoded) == (r.text or "").encode() and r.n_tokens * 4 == len(r.ids)
+    once = bpe.round_trip(odd, RANKS, public_tokenizers.PATTERN).select("doc_id", "ids", "n_tokens", "decoded")
+    assert sorted(map(str, once.collect())) == sorted(str(r) for r in bpe.decode(bpe.encode(odd, RANKS, public_tokenizers.PATTERN), RANKS, public_tokenizers.PATTERN).select("doc_id", "ids", "n_tokens", "decoded").collect())
     assert bpe.encode(no_docs, RANKS, public_tokenizers.PATTERN).count() == 0
 
 

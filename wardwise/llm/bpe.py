@@ -43,7 +43,7 @@ from wardwise.llm.common import texts, with_arrow_columns
 TEXT_LEAF = 1 << 14  # characters split at once
 BYTE_LEAF = 32  # bytes merged at once
 LOOKAHEAD = 3  # most characters that a fixed alternative of the pattern examines
-CACHE_ENTRIES = 250_000  # units, and as many matches, in each of two generations per Python worker
+CACHE_ENTRIES = 120_000  # units, and as many matches, in each of two generations per Python worker
 CACHE_CHARS = 48  # longer ones are not remembered
 DECODE_LEAF = 1 << 16
 NONE = 1 << 40  # above every rank
@@ -243,3 +243,15 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids") -
         return [pa.array([dec(b or b"") for b in batch.column(ids_col).to_pylist()], pa.binary())]
 
     return with_arrow_columns(df, run, [ids_col], [T.StructField("decoded", T.BinaryType())])
+
+
+def round_trip(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text") -> DataFrame:
+    """``df`` plus ``ids``, ``n_tokens`` and ``decoded``: encoding and decoding in one pass of one Python worker."""
+
+    def run(batch: pa.RecordBatch) -> list:
+        own = bpe(ranks_path, pattern)
+        ids = [own.encode(t) for t in texts(batch, text_col)]
+        return [pa.array(ids, pa.binary()), pa.array([len(b) // 4 for b in ids], pa.int64()), pa.array(map(own.decode, ids), pa.binary())]
+
+    new = [T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType()), T.StructField("decoded", T.BinaryType())]
+    return with_arrow_columns(df, run, [text_col], new)

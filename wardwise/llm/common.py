@@ -28,13 +28,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """``mapInArrow`` with a function of one record batch; empty batches are skipped."""
+SLICE_ROWS = 1000  # rows that a task turns into Python objects at once
+
+
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, rows: int = SLICE_ROWS) -> DataFrame:
+    """``mapInArrow`` with a function of one record batch of at most ``rows`` rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows and (out := fn(batch)) is not None:
-                yield out
+            for start in range(0, batch.num_rows, rows):
+                if (out := fn(batch.slice(start, rows))) is not None:
+                    yield out
 
     return df.mapInArrow(run, schema)
 
