@@ -273,7 +273,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                         column.append(value)
         return pa.RecordBatch.from_pydict(out, schema=pa.schema([("key", pa.int64()), ("slice", pa.binary()), ("id", pa.int64()), ("start", pa.int64())])) if out["key"] else None
 
-    slices = map_batches(marked.where("anchors IS NOT NULL"), cut, "key long, slice binary, id long, start long")
+    slices = map_batches(marked, cut, "key long, slice binary, id long, start long")  # unfiltered: both uses of the texts share one exchange
     first = slices.groupBy("key", "slice").agg(F.min_by("start", "id").alias("start"), F.min("id").alias("id"))
     judged = first.repartition("key").mapInArrow(_judge(window), "id long, start long, gone array<int>")
     verdicts = judged.groupBy("id").agg(F.collect_list(F.struct("start", "gone")).alias("first"))
