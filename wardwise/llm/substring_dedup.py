@@ -39,6 +39,7 @@ returned.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -235,10 +236,12 @@ def _judge(window: int):
         key, ids, start = (table.column(c).to_numpy() for c in ("key", "id", "start"))
         order = np.lexsort((start, ids, key))
         slices = [s.split(b" ") for s in table.column("slice").to_pylist()]
-        hashes = [_grams(_word_hashes(s), window) for s in slices]
-        flat = np.concatenate(hashes)
-        _, which, counts = np.unique(flat, return_inverse=True, return_counts=True)
-        owner = np.repeat(np.arange(len(slices)), [len(x) for x in hashes])
+        sizes = np.array([len(s) for s in slices])
+        grams = _grams(_word_hashes(list(chain.from_iterable(slices))), window)  # all slices at once
+        owner = np.repeat(np.arange(len(slices)), sizes)[: len(grams)]
+        inside = np.arange(len(grams)) + window <= np.cumsum(sizes)[owner]  # windows that end in their slice
+        owner = owner[inside]
+        _, which, counts = np.unique(grams[inside], return_inverse=True, return_counts=True)
         suspect = np.zeros(len(slices), bool)
         suspect[owner[counts[which] > 1]] = True
         gone: list[list[int]] = [[] for _ in slices]
