@@ -1,8 +1,11 @@
 """Toxicity scores from a weighted lexicon matched by Aho-Corasick.
 
-Texts are folded first: lower case, look-alike letters of other scripts to
-their Latin letter, digits and signs that stand for letters inside a word to
-that letter. The lexicon holds word beginnings and whole words with weights; an
+Texts are folded first: full-width and other compatible forms and accented
+letters to the plain letter, look-alike letters of other scripts to their Latin
+letter (capitals before they are lower-cased), digits and signs that stand for
+letters beside a letter to that letter. At the end of a word they may also be
+a number, so such a word is read both ways; a closing exclamation mark is a
+mark. The lexicon holds word beginnings and whole words with weights; an
 Aho-Corasick automaton finds them in the folded text. A match inside an
 exception phrase does not count. The weights found are normalised by the
 text's length in words, and a two-feature logistic turns the sum and the
@@ -26,6 +29,7 @@ from __future__ import annotations
 import json
 import math
 import re
+import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -44,22 +48,37 @@ MIN_LOG_ODDS = 2.0
 COVERED = 3  # terms that each toxic text should match, if there are as many
 LEAST_GAIN = 0.01  # share of the toxic texts that a term must still be needed for
 
-# Letters of other scripts that look like a Latin letter, and what stands for a letter inside a word.
-LOOK_ALIKES = str.maketrans("аеорсухіјѕԁһӏαεονικρτυχ", "aeopcyxijsdhlaeovikptux")
-LOOKS_ALIKE = re.compile("[аеорсухіјѕԁһӏαεονικρτυχ]")
+# Letters of other scripts that look like a Latin letter, as capitals and as small letters (a capital may look like
+# another letter than its small form), and what stands for a letter at a letter's side.
+CAPITALS = str.maketrans("АВЕЅІЈКМНОРСТУХԚԜΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "abesijkmhopctyxqwabezhikmnoptyx")
+LOOK_ALIKES = str.maketrans("аеорсухіјѕԁһӏвкмнԛԝαεονικρτυχøłđħı", "aeopcyxijsdhlbkmhqwaeovikptuxoldhi")
+ACCENTS = re.compile("[\u0300-\u036f]+")
 STANDS_FOR = str.maketrans("013457@$!|", "oieastasil")
 STAND_INS = re.compile(r"[013457@$!|]+(?=[^\W\d_])")
+LAST_STAND_INS = re.compile(r"(?<=[^\W\d_])[013457@$|]+(?!\w)")
 WORD = re.compile(r"[^\W\d_]+")
 
 
 def fold(text: str) -> str:
-    """Lower case, look-alikes and stand-ins as the letters they mean."""
+    """Compatible forms, accents, look-alikes and stand-ins before a letter as the lower-case letters they mean."""
+    if not text.isascii():
+        text = unicodedata.normalize("NFC", ACCENTS.sub("", unicodedata.normalize("NFKD", text))).translate(CAPITALS)
     text = text.lower()
-    if LOOKS_ALIKE.search(text):
+    if not text.isascii():
         text = text.translate(LOOK_ALIKES)
     return STAND_INS.sub(lambda m: m[0].translate(STANDS_FOR), text)
 
 
+def fold_ends(folded: str) -> str:
+    """A folded text, of the same length, with the stand-ins at the ends of words as letters too."""
+    return LAST_STAND_INS.sub(lambda m: m[0].translate(STANDS_FOR), folded)
+
+
+def words_in(folded: str) -> set[str]:
+    """Words of a folded text; one that ends in stand-ins is read both ways."""
+    return set(WORD.findall(folded)).union(WORD.findall(fold_ends(folded)))
+
+
 class Lexicon:
     """Matcher and scorer: ``terms`` and ``exceptions`` by text; a term that ends in a space is a whole word."""
 
@@ -75,18 +94,22 @@ class Lexicon:
             self.automaton.make_automaton()
 
     def matches(self, folded: str) -> list[tuple[int, int, str]]:
-        """Counted matches as (start, end, term), those inside exceptions left out."""
+        """Counted matches as (start, end, term), those inside exceptions left out; each match of either reading counts once."""
         if not self.automaton:
             return []
-        found, spared = [], []
-        for last, hits in self.automaton.iter(folded):
-            for kind, phrase, size in hits:
-                start, end = last + 1 - size, last + 1
-                if start and folded[start - 1].isalpha():
-                    continue
-                if (kind == "except" or phrase[-1] == " ") and end < len(folded) and folded[end].isalpha():
-                    continue
-                (found if kind == "term" else spared).append((start, end, phrase))
+        found, spared = {}, []
+        for reading in dict.fromkeys((folded, fold_ends(folded))):
+            for last, hits in self.automaton.iter(reading):
+                for kind, phrase, size in hits:
+                    start, end = last + 1 - size, last + 1
+                    if start and reading[start - 1].isalpha():
+                        continue
+                    if (kind == "except" or phrase[-1] == " ") and end < len(reading) and reading[end].isalpha():
+                        continue
+                    if kind == "term":
+                        found[start, end, phrase] = None
+                    else:
+                        spared.append((start, end, phrase))
         return [m for m in found if not any(s <= m[0] and m[1] <= e for s, e, _ in spared)]
 
     def features(self, text: str) -> tuple[float, float]:
@@ -121,7 +144,7 @@ def learn(rows: list[tuple[str, int]]) -> Lexicon:
     n = Counter(y for _, y in rows)
     if not (n[0] and n[1]):
         return Lexicon({}, [], [0.0, 0.0, 0.0])
-    docs = [set(WORD.findall(fold(t))) for t, _ in rows]
+    docs = [words_in(fold(t)) for t, _ in rows]
     seen = Counter()
     where: dict[str, list[int]] = defaultdict(list)
     for i, (words, (_, y)) in enumerate(zip(docs, rows, strict=True)):
