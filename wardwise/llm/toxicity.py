@@ -7,7 +7,7 @@ letters beside a letter to that letter. At the end of a word they may also be
 a number, so such a word is read both ways; a closing exclamation mark is a
 mark. The lexicon holds word beginnings and whole words with weights; an
 Aho-Corasick automaton finds them in the folded text. A match inside an
-exception phrase does not count. The weights found are normalised by the
+exception, a word or a phrase of two or three words, does not count. The weights found are normalised by the
 text's length in words, and a two-feature logistic turns the sum and the
 length-normalised sum into a score.
 
@@ -42,7 +42,7 @@ from wardwise.llm.common import texts, with_arrow_columns
 
 TRAIN_ROWS = 4000  # labelled rows a class that the lexicon is learned from
 MAX_TERMS = 400
-MAX_EXCEPTIONS = 400
+MAX_EXCEPTIONS = 400  # single words, and as many phrases
 SHORTEST, LONGEST = 4, 8  # characters of a word beginning in the lexicon
 MIN_LOG_ODDS = 2.0
 COVERED = 3  # terms that each toxic text should match, if there are as many
@@ -138,6 +138,26 @@ def _evidence(toxic: int, clean: int, share: float) -> float:
     return sum(k * math.log(k / n / q) for k, q in ((toxic, share), (clean, 1 - share)) if k)
 
 
+def phrases_around(folded: str, terms: dict[str, float], spared: set[str]) -> set[str]:
+    """Phrases of two or three words, one space apart, around each word that a term finds and that isn't spared itself."""
+    spots = [m.span() for m in WORD.finditer(folded)]
+    found = set()
+    for i, (s, e) in enumerate(spots):
+        w = folded[s:e]
+        if w in spared or not (f"{w} " in terms or any(w[:k] in terms for k in range(SHORTEST, LONGEST + 1))):
+            continue
+        for first in range(max(0, i - 2), i + 1):
+            for last in range(max(i, first + 1), min(first + 3, len(spots))):
+                if all(folded[spots[k][1] : spots[k + 1][0]] == " " for k in range(first, last)):
+                    found.add(folded[spots[first][0] : spots[last][1]])
+    return found
+
+
+def _benign(clean: Counter, toxic: Counter) -> list[str]:
+    """The words or phrases of at least two clean texts and no toxic one, at most ``MAX_EXCEPTIONS``."""
+    return sorted((w for w, c in clean.items() if c >= 2 and not toxic[w]), key=lambda w: (-clean[w], w))[:MAX_EXCEPTIONS]
+
+
 def learn(rows: list[tuple[str, int]]) -> Lexicon:
     """Lexicon from labelled texts (text, 0 or 1)."""
     rows = sorted(set(rows))  # copies say nothing new
@@ -167,11 +187,15 @@ def learn(rows: list[tuple[str, int]]) -> Lexicon:
         cover.update(got := left.pop(best))
         full = {i for i in got if cover[i] >= COVERED}
         left = {t: rest for t, d in left.items() if not (t.startswith(best.rstrip(" ")) or best.startswith(t.rstrip(" "))) and len(rest := d - full) >= least}
-    # words that begin like a term, are met in clean texts only, and in more than one of them
+    # words that begin like a term, and then phrases around a term, that are met in clean texts only, and in more than one of them
     clean, toxic = Counter(), Counter()
     for words, (_, y) in zip(docs, rows, strict=True):
         (toxic if y else clean).update(w for w in words if any(w[:k] in chosen for k in range(SHORTEST, LONGEST + 1)))
-    exceptions = sorted((w for w, c in clean.items() if c >= 2 and not toxic[w]), key=lambda w: (-clean[w], w))[:MAX_EXCEPTIONS]
+    exceptions = _benign(clean, toxic)
+    clean, toxic = Counter(), Counter()
+    for t, y in rows:
+        (toxic if y else clean).update(phrases_around(fold(t), chosen, set(exceptions)))
+    exceptions += _benign(clean, toxic)
     lexicon = Lexicon(chosen, exceptions, [0.0, 0.0, 0.0])
     x = np.array([(1.0, *lexicon.features(t)) for t, _ in rows])
     y = np.array([float(label) for _, label in rows])
