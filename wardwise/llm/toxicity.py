@@ -13,8 +13,9 @@ length-normalised sum into a score.
 
 The lexicon, its weights, the exceptions and the logistic are learned from a
 sample of labelled rows of at most ``TRAIN_ROWS`` per class, chosen by a hash
-of the id, so the sample does not depend on partitions or order. Learning runs
-in one task over that sample; the model (at most ``MAX_TERMS`` terms) is the
+of the id, so the sample does not depend on partitions or order. An id counts
+once, with the smallest of its texts if it has several. Learning runs in one
+task over that sample; the model (at most ``MAX_TERMS`` terms) is the
 only thing that reaches the driver.
 
 Edge cases: null and empty texts have no matches and get the score of a text
@@ -211,15 +212,21 @@ def learn(rows: list[tuple[str, int]]) -> Lexicon:
     return lexicon
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", rows_per_class: int = TRAIN_ROWS) -> Lexicon:
-    """Learn a lexicon from a bounded sample of labelled documents."""
+def training_rows(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", rows_per_class: int = TRAIN_ROWS) -> DataFrame:
+    """(__id, __y, __text) of the sample: one row for each sampled id and label, with the smallest of the id's texts."""
     labelled = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y")).where("__id IS NOT NULL AND __y IN (0, 1)").distinct()
     order = [F.xxhash64("__id"), "__id"]
     ids = labelled.where("__y = 1").orderBy(*order).limit(rows_per_class).unionAll(labelled.where("__y = 0").orderBy(*order).limit(rows_per_class))
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(ids), "__id")
+    rows = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text")).join(F.broadcast(ids), "__id")
+    return rows.groupBy("__id", "__y").agg(F.min("__text").alias("__text"))  # each task leaves one row an id before any row moves
+
+
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", rows_per_class: int = TRAIN_ROWS) -> Lexicon:
+    """Learn a lexicon from a bounded sample of labelled documents."""
+    rows = training_rows(docs, labels, label_col, id_col, text_col, rows_per_class)
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sample = sorted((i, t or "", y) for b in batches for i, t, y in zip(*(b.column(c).to_pylist() for c in ("__id", "__text", "__y")), strict=True))
+        sample = sorted((i, t, y) for b in batches for i, t, y in zip(*(b.column(c).to_pylist() for c in ("__id", "__text", "__y")), strict=True))
         yield pa.RecordBatch.from_pydict({"model": [learn([(t, y) for _, t, y in sample]).to_json()]})
 
     found = rows.repartition(1).mapInArrow(fit, "model string").first()
