@@ -184,13 +184,9 @@ def _compare(postings: DataFrame, level: int, max_bits: int) -> DataFrame:
     return postings.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long, key long, open long, fp long")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 3) -> DataFrame:
-    """(doc_id, fp, component_id) of every row: component_id is the smallest id reachable over links."""
-    if not 0 <= max_bits <= 3:
-        raise ValueError("the index guarantees five equal units up to three differing bits")
-    prints = stored(fingerprints(df, id_col, text_col, shingle), "prints")
-    classes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "classes")
-    rows = classes.where("node IS NOT NULL").select(F.lit(0).cast("long").alias("key"), F.col("fp").alias("open"), "fp", "node")
+def _class_links(classes: DataFrame, max_bits: int) -> DataFrame:
+    """Links (a, b) between the nodes of classes (fp, node) whose prints are near."""
+    rows = classes.select(F.lit(0).cast("long").alias("key"), F.col("fp").alias("open"), "fp", "node")
     links = None
     for level in range(1, LEVELS + 1):
         found = stored(_compare(_post(rows, level), level, max_bits), "links")
@@ -199,7 +195,20 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         rows = found.where("b IS NULL").select("key", "open", "fp", F.col("a").alias("node"))
         if rows.isEmpty():
             break
-    roots = components(links).withColumnRenamed("root", "component_id")
+    return links
+
+
+def _check_bits(max_bits: int) -> None:
+    if not 0 <= max_bits <= 3:
+        raise ValueError("the index guarantees five equal units up to three differing bits")
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 3) -> DataFrame:
+    """(doc_id, fp, component_id) of every row: component_id is the smallest id reachable over links."""
+    _check_bits(max_bits)
+    prints = stored(fingerprints(df, id_col, text_col, shingle), "prints")
+    classes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "classes")
+    roots = components(_class_links(classes.where("node IS NOT NULL"), max_bits)).withColumnRenamed("root", "component_id")
     by_class = stored(classes.join(roots, "node", "left").select("fp", F.coalesce("component_id", "node").alias("component_id")), "by-class")
     return prints.join(by_class, "fp", "left").select("doc_id", "fp", "component_id")
 
@@ -207,13 +216,28 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 3) -> DataFrame:
     """Rows of ``df`` without the near-duplicates of a row with a smaller id.
 
-    Repeated rows with one id are one document: one of them stays. A row with
-    a null id is never dropped.
+    Rows are told apart by id and text: texts are linked by their fingerprints
+    alone, so an id with several texts neither links them nor loses one for the
+    sake of another. Equal rows of one id are one document: one of them stays.
+    A row with a null id is never dropped.
     """
-    found = near_duplicates(df, id_col, text_col, shingle, max_bits)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    key = F.col(f"`{id_col}`").cast("long")
-    kept = df.join(gone, key == F.col("__gone"), "left_anti")
-    if found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").isEmpty():
+    _check_bits(max_bits)
+    key, text = F.col(f"`{id_col}`").cast("long"), F.unhex(F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
+    source = df.where(key.isNotNull()).select(key.alias("doc_id"), F.col(f"`{text_col}`").alias("text"), text.alias("t"))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        fps = np.array([fingerprint(t, shingle) for t in texts(batch, "text")], np.uint64).view(np.int64)
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("t"), pa.array(fps)], names=["doc_id", "t", "fp"])
+
+    prints = stored(map_batches(source, run, "doc_id long, t binary, fp long"), "prints")
+    classes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")).withColumn("node", F.col("fp")), "classes")
+    roots = components(_class_links(classes.select("fp", "node"), max_bits))
+    rooted = stored(classes.join(roots, "node", "left").select("fp", "first", F.coalesce("root", "node").alias("root")), "rooted")
+    firsts = rooted.groupBy("root").agg(F.min("first").alias("first_id"))
+    by_class = stored(rooted.join(firsts, "root").select("fp", "first_id"), "by-class")
+    gone = prints.join(by_class, "fp").where("doc_id <> first_id").select(F.col("doc_id").alias("__gone"), F.col("t").alias("__t")).distinct()
+    kept = df.join(gone, (key == F.col("__gone")) & (text == F.col("__t")), "left_anti")
+    if prints.groupBy("doc_id", "t").count().where("count > 1").isEmpty():
         return kept
-    return kept.where(key.isNotNull()).dropDuplicates([id_col]).unionByName(kept.where(key.isNull()))
+    named = kept.where(key.isNotNull()).withColumn("__text", text).dropDuplicates([id_col, "__text"]).drop("__text")
+    return named.unionByName(kept.where(key.isNull()))
