@@ -15,8 +15,8 @@ documents by the cluster, for the words of one shard at a time. Documents are
 only scanned: nothing about them is shuffled.
 
 Edge cases: null and empty texts have no words and no hits; items without
-words match nothing; repeated items with one id count once; repeated
-documents are judged alike; an empty table on either side gives no hits.
+words match nothing; items with a null id are no items and match nothing;
+repeated items with one id count once; repeated documents are judged alike; an empty table on either side gives no hits.
 Other columns pass through, except that ``n_words``, ``hit_spans`` and
 ``item_ids`` replace columns of those names.
 """
