@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wardwise.llm import ann, bpe, decontamination, line_dedup, pii_crf, simhash, substring_dedup, token_counts, toxicity, warc
+from wardwise.llm import ann, bpe, decontamination, line_dedup, periodic_runs, pii_crf, simhash, substring_dedup, token_counts, toxicity, warc
 from wardwise.llm.common import table
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -88,6 +88,37 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """In a tenth of the documents, picked by the crc32 of their id, the words from one on repeat with a period; a null id is not picked."""
+    crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    picked = docs.withColumns({"g": F.floor(crc / 10), "words": F.when(crc % 10 == 0, words)}).withColumn("n", F.size("words"))
+    first = picked.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    repeat = first.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    head = F.slice("words", F.lit(1), F.col("a").cast("int"))
+    tail = F.transform(F.sequence(F.lit(0), F.col("n") - F.col("a") - 1), lambda i: F.element_at("words", (F.col("a") + i % F.col("p") + 1).cast("int")))
+    planted = F.when(F.col("n") > 0, F.array_join(F.concat(head, tail), " "))
+    return repeat.select("doc_id", F.coalesce(planted, F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.collapse_runs(with_planted_runs(_documents(spark, sf_dir)))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"])))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    rows = found.select("doc_id", "runs", F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"), best.alias("best"))
+    length, start, period = F.col("best.length"), -F.col("best.col2"), -F.col("best.col3")
+    return rows.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        start.alias("start"),
+        length.alias("length"),
+        period.alias("period"),
+        F.floor(1000 * length / period).alias("exponent_milli"),
+        "runs_sha256",
+        "collapsed_sha256",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_byte_bpe": op2_byte_bpe,
@@ -99,6 +130,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_nearest": op8_nearest,
     "op9_decontamination": op9_decontamination,
     "op10_substring_dedup": op10_substring_dedup,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 ORACLE_SQL: dict[str, str] = {
     "op6_warc": """
