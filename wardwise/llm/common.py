@@ -65,3 +65,22 @@ def with_arrow_columns(df: DataFrame, fn: Callable[[pa.RecordBatch], list], inpu
 def texts(batch: pa.RecordBatch, name: str) -> list[str]:
     """A text column as Python strings, null as the empty text."""
     return [t or "" for t in batch.column(name).to_pylist()]
+
+
+class Memory(dict):
+    """Bounded memory of a function: a new generation of entries, and the last one for what is asked again."""
+
+    def __init__(self, fn: Callable, entries: int, size: int):
+        super().__init__()
+        self.fn, self.entries, self.size, self.last = fn, entries, size, {}
+
+    def __missing__(self, key):
+        value = self.last.get(key)
+        if value is None:
+            value = self.fn(key)
+        if len(key) <= self.size:  # longer keys are not remembered
+            if len(self) >= self.entries:
+                self.last = dict(self)
+                self.clear()
+            self[key] = value
+        return value

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wardwise.llm import ann, bpe, decontamination, line_dedup, periodic_runs, pii_crf, simhash, substring_dedup, token_counts, toxicity, warc
+from wardwise.llm import ann, bpe, decontamination, line_dedup, periodic_runs, pii_crf, sentence_pieces, simhash, substring_dedup, token_counts, toxicity, warc
 from wardwise.llm.common import table
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -88,6 +88,13 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = sentence_pieces.round_trip(_documents(spark, sf_dir), public_tokenizers.path(PIECES))
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    covered = F.coalesce(F.try_element_at("spans", F.lit(-1))["end"], F.lit(0)).cast("long")
+    return coded.select("doc_id", "n_tokens", F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), covered.alias("n_span_bytes"))
+
+
 def with_planted_runs(docs: DataFrame) -> DataFrame:
     """In a tenth of the documents, picked by the crc32 of their id, the words from one on repeat with a period; a null id is not picked."""
     crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -130,6 +137,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_nearest": op8_nearest,
     "op9_decontamination": op9_decontamination,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_sentence_pieces": op11_sentence_pieces,
     "op13_periodic_runs": op13_periodic_runs,
 }
 ORACLE_SQL: dict[str, str] = {
