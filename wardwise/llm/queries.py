@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wardwise.llm import ann, bpe, decontamination, line_dedup, periodic_runs, pii_crf, sentence_pieces, simhash, substring_dedup, token_counts, toxicity, warc
+from wardwise.llm import ann, bpe, decontamination, line_dedup, merkle, periodic_runs, pii_crf, sentence_pieces, simhash, substring_dedup, token_counts, toxicity, warc
 from wardwise.llm.common import table
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -95,6 +95,17 @@ def op11_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), covered.alias("n_span_bytes"))
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    columns = lambda text: [F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text]
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    claimed = F.when(tampered, F.replace(F.col("text"), F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    rows = docs.select("doc_id", "source", merkle.leaf_digest(columns(F.col("text"))).alias("leaf"), merkle.leaf_digest(columns(claimed)).alias("claimed"))
+    proven = merkle.with_proofs(rows, "source", "doc_id", "leaf")
+    out = proven.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), merkle.folded(F.col("claimed"), F.col("path")).alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def with_planted_runs(docs: DataFrame) -> DataFrame:
     """In a tenth of the documents, picked by the crc32 of their id, the words from one on repeat with a period; a null id is not picked."""
     crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -138,6 +149,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
     "op10_substring_dedup": op10_substring_dedup,
     "op11_sentence_pieces": op11_sentence_pieces,
+    "op12_merkle": op12_merkle,
     "op13_periodic_runs": op13_periodic_runs,
 }
 ORACLE_SQL: dict[str, str] = {
