@@ -219,4 +219,59 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
         FROM docs LEFT JOIN kept USING (doc_id)
     """,
+    "op12_merkle": """
+        WITH RECURSIVE docs AS (
+            SELECT row_number() OVER () AS r, doc_id, source,
+                   concat_ws('', coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'),
+                             coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-')) AS head,
+                   text, replace(text, chr(10), '') AS cut,
+                   list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT))),
+                               lambda a, b: list_reduce(list_prepend(xor(a, b), CAST(range(8) AS BIGINT[])), lambda v, k: xor(v >> 1, 3988292384 * (v & 1)))) AS crc
+            FROM documents
+        ),
+        leaves AS (
+            SELECT r, doc_id, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+                   CASE WHEN xor(crc, 4294967295) % 2 = 0 THEN sha256(head || coalesce(strlen(cut) || ':' || cut, '-'))
+                        ELSE sha256(head || coalesce(strlen(text) || ':' || text, '-')) END AS claimed,
+                   dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS g
+            FROM docs
+        ),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM leaves),
+        lower_nodes AS (
+            SELECT g, 0 AS h, i, leaf AS d FROM placed
+            UNION ALL
+            SELECT g, h + 1, i // 3, sha256(string_agg(d, '' ORDER BY i))
+            FROM (SELECT *, count(*) OVER (PARTITION BY g) AS c FROM lower_nodes) WHERE c > 1 GROUP BY g, h, i // 3
+        ),
+        subroots AS (SELECT g, max(h) AS top, max_by(d, h) AS subroot FROM lower_nodes GROUP BY g),
+        upper_nodes AS (
+            SELECT 0 AS h, g AS i, subroot AS d FROM subroots
+            UNION ALL
+            SELECT h + 1, i // 3, sha256(string_agg(d, '' ORDER BY i))
+            FROM (SELECT *, count(*) OVER () AS c FROM upper_nodes) WHERE c > 1 GROUP BY h, i // 3
+        ),
+        crown AS (SELECT max(h) AS upper_top, max_by(d, h) AS root FROM upper_nodes),
+        steps AS (
+            SELECT r, h AS k, coalesce(string_agg(d, '' ORDER BY n.i) FILTER (n.i < p.i // CAST(3 ** h AS BIGINT)), '') AS l,
+                   coalesce(string_agg(d, '' ORDER BY n.i) FILTER (n.i > p.i // CAST(3 ** h AS BIGINT)), '') AS s
+            FROM (SELECT placed.*, unnest(range(top)) AS hh FROM placed JOIN subroots USING (g)) AS p
+                 JOIN lower_nodes AS n ON n.g = p.g AND n.h = p.hh AND n.i // 3 = p.i // CAST(3 ** (p.hh + 1) AS BIGINT)
+            GROUP BY r, h, p.i
+            UNION ALL
+            SELECT r, top + h, coalesce(string_agg(d, '' ORDER BY n.i) FILTER (n.i < p.g // CAST(3 ** h AS BIGINT)), ''),
+                   coalesce(string_agg(d, '' ORDER BY n.i) FILTER (n.i > p.g // CAST(3 ** h AS BIGINT)), '')
+            FROM (SELECT placed.*, top, unnest(range(upper_top)) AS hh FROM placed JOIN subroots USING (g), crown) AS p
+                 JOIN upper_nodes AS n ON n.h = p.hh AND n.i // 3 = p.g // CAST(3 ** (p.hh + 1) AS BIGINT)
+            GROUP BY r, top, h, p.g
+        ),
+        folds AS (
+            SELECT r, 0 AS k, claimed AS d FROM placed
+            UNION ALL
+            SELECT r, k + 1, sha256(l || d || s) FROM folds JOIN steps USING (r, k)
+        ),
+        proofs AS (SELECT r, sha256(string_agg(l || s, '' ORDER BY k)) AS proof_sha256 FROM steps GROUP BY r),
+        ends AS (SELECT r, max_by(d, k) AS folded_root FROM folds GROUP BY r)
+        SELECT doc_id, leaf, subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+        FROM placed JOIN subroots USING (g) JOIN ends USING (r) LEFT JOIN proofs USING (r), crown
+    """,
 }
