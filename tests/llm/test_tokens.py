@@ -1,6 +1,7 @@
 """Byte-level BPE and token counts against the public libraries."""
 
 import base64
+import hashlib
 import random
 
 import numpy as np
@@ -42,17 +43,28 @@ def test_bpe_joins_equal_the_library(monkeypatch, library):
     monkeypatch.setattr(bpe, "TEXT_LEAF", 8)
     monkeypatch.setattr(bpe, "BYTE_LEAF", 2)
     own = bpe.ByteBpe(RANKS, public_tokenizers.PATTERN)
+    own.whole = {}
     for text in random_texts(2500):
         own.cache.clear()
-        own.pieces.clear()
+        own.parts.clear()
         ids = own.encode(text)
         assert np.frombuffer(ids, "<u4").tolist() == library.encode_ordinary(text)
         assert own.decode(ids) == text.encode()
 
 
 def test_bpe_every_token_is_its_own_encoding():
-    own = bpe.bpe(RANKS, public_tokenizers.PATTERN)
-    assert all(own.encode_bytes(t) == [r] for t, r in own.ranks.items())
+    own = bpe.ByteBpe(RANKS, public_tokenizers.PATTERN)
+    own.whole = {}
+    assert all(own.encode_bytes(t) == (r,) for t, r in own.ranks.items())
+
+
+def test_bpe_halves_of_invented_words(library):
+    """Words of pieces of words: most boundaries of halves lie inside a token."""
+    own, rnd = bpe.bpe(RANKS, public_tokenizers.PATTERN), random.Random(6)
+    syllables = "ach lich keit tion ment ness über ção ing ein ant qu zz x é ß 日 ov ski".split()
+    for _ in range(4000):
+        word = "".join(rnd.choice(syllables) for _ in range(rnd.randint(1, 12)))
+        assert list(own.encode_bytes(word.encode())) == library.encode_ordinary(word) or len(own.split(word)) > 1
 
 
 def test_bpe_long_runs(library):
@@ -75,8 +87,12 @@ def test_bpe_frames(docs, no_docs, rows, library):
 
 def test_op2_whole_table(spark, sf, library):
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
-    for r in op2_byte_bpe(spark, sf).collect():
-        assert r.n_tokens == len(library.encode_ordinary(texts[r.doc_id]))
+    found = op2_byte_bpe(spark, sf).collect()
+    assert len(found) == len(texts)
+    for r in found:
+        ids = library.encode_ordinary(texts[r.doc_id])
+        assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
 
 
 def test_counts_equal_the_library(monkeypatch, pieces):

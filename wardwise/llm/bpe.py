@@ -30,7 +30,7 @@ from __future__ import annotations
 import base64
 import heapq
 import re
-from collections.abc import Callable
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -38,14 +38,16 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, types as T
 
-from wardwise.llm.common import texts, with_arrow_columns
+from wardwise.llm.common import Memory, texts, with_arrow_columns
 
 TEXT_LEAF = 1 << 14  # characters split at once
-BYTE_LEAF = 32  # bytes merged at once
+BYTE_LEAF = 4  # bytes merged at once
 LOOKAHEAD = 3  # most characters that a fixed alternative of the pattern examines
-CACHE_ENTRIES = 120_000  # units, and as many matches, in each of two generations per Python worker
-CACHE_CHARS = 48  # longer ones are not remembered
+UNIT_ENTRIES, UNIT_CHARS = 200_000, 48  # remembered units of texts, per generation and Python worker
+PART_ENTRIES, PART_BYTES = 100_000, 8  # remembered halves of matches
+PAIR_ENTRIES = 400_000  # remembered pairs of tokens
 DECODE_LEAF = 1 << 16
+HEAP_FROM = 32  # bytes of one side from which a window is merged with a heap
 NONE = 1 << 40  # above every rank
 CUT = re.compile(r" (?=\S)")
 
@@ -61,15 +63,17 @@ class ByteBpe:
             self.bytes_of[rank] = token
         compiled = regex.compile(pattern)
         self.find, self.find_all = compiled.finditer, compiled.findall
-        self.stable: dict[tuple[int, int], bool] = {}
-        self.pieces = _Memory(lambda piece: np.array(self.encode_bytes(piece.encode()), "<u4").tobytes())
-        self.cache = _Memory(lambda unit: self.encode_unit(f" {unit}"))
+        self.pairs = Memory(self._pair, PAIR_ENTRIES, 2)
+        self.parts = Memory(self.encode_bytes, PART_ENTRIES, PART_BYTES)
+        self.cache = Memory(lambda unit: self.encode_unit(f" {unit}"), UNIT_ENTRIES, UNIT_CHARS)
+        #: tokens that are the encoding of their bytes: no merge is needed for those
+        self.whole = {token: (rank,) for token, rank in self.ranks.items() if len(token) <= HEAP_FROM and self._merge(token) == [rank]}
 
     # -- bytes to tokens -------------------------------------------------
 
     def _merge(self, data: bytes) -> list[int]:
         """Merge the lowest rank first, leftmost on ties."""
-        if len(data) > BYTE_LEAF:
+        if len(data) > 2 * HEAP_FROM:
             return self._merge_long(data)
         rank = self.ranks.get
         part = [data[i : i + 1] for i in range(len(data))]
@@ -107,34 +111,34 @@ class ByteBpe:
                 heapq.heappush(heap, (r, h, len(part[h]) + len(part[i])))
         return [ranks[p] for p in part if p]
 
-    def _is_stable(self, a: int, b: int) -> bool:
-        """Whether tokens a, b side by side are the encoding of their bytes."""
-        known = self.stable.get((a, b))
-        if known is None:
-            if len(self.stable) > 1_000_000:
-                self.stable.clear()
-            known = self.stable[(a, b)] = self._merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
-        return known
+    def _pair(self, pair: tuple[int, int]) -> tuple[int, ...]:
+        """Encoding of two tokens' bytes; the pair itself if it is stable."""
+        return tuple(self._merge(self.bytes_of[pair[0]] + self.bytes_of[pair[1]]))
 
-    def join(self, left: list[int], right: list[int]) -> list[int]:
+    def join(self, left: tuple[int, ...], right: tuple[int, ...]) -> tuple[int, ...]:
         """Encoding of two neighbours' bytes from their encodings."""
-        if not left or not right or self._is_stable(left[-1], right[0]):
+        if not left or not right:
+            return left + right
+        pairs, k = self.pairs, 1
+        window = pairs[edge := (left[-1], right[0])]
+        if window == edge:
             return left + right
-        k = 1
         while True:
             a, b = max(0, len(left) - k), min(len(right), k)
-            window = self._merge(b"".join([self.bytes_of[t] for t in left[a:] + right[:b]]))
-            if (a == 0 or self._is_stable(left[a - 1], window[0])) and (b == len(right) or self._is_stable(window[-1], right[b])):
+            if (a == 0 or pairs[edge := (left[a - 1], window[0])] == edge) and (b == len(right) or pairs[edge := (window[-1], right[b])] == edge):
                 return left[:a] + window + right[b:]
             k *= 2
+            window = tuple(self._merge(b"".join([self.bytes_of[t] for t in left[-k:] + right[:k]])))
 
-    def encode_bytes(self, data: bytes) -> list[int]:
+    def encode_bytes(self, data: bytes) -> tuple[int, ...]:
         """Tokens of one match's bytes: halves encoded recursively, then joined."""
+        if (token := self.whole.get(data)) is not None:
+            return token
         n = len(data)
         if n <= BYTE_LEAF:
-            return self._merge(data)
-        half = 1 << (n - 1).bit_length() - 1  # aligned cuts keep runs of one byte in phase
-        return self.join(self.encode_bytes(data[:half]), self.encode_bytes(data[half:]))
+            return tuple(self._merge(data))
+        half = 1 << (n - 1).bit_length() - 1  # aligned cuts keep runs of one byte in phase, and word beginnings alike
+        return self.join(self.parts[data[:half]], self.parts[data[half:]])
 
     # -- text to matches -------------------------------------------------
 
@@ -186,7 +190,10 @@ class ByteBpe:
         return self.encode_unit(first) + b"".join(map(self.cache.__getitem__, rest))
 
     def encode_unit(self, unit: str) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, self.split(unit)))
+        ids: list[int] = []
+        for match in self.split(unit):
+            ids += self.encode_bytes(match.encode())
+        return array("I", ids).tobytes()
 
     def decode(self, ids: bytes) -> bytes:
         """Bytes of packed token ids, concatenated up a binary tree."""
@@ -199,25 +206,6 @@ class ByteBpe:
         return self._decode(ids[:half]) + self._decode(ids[half:])
 
 
-class _Memory(dict):
-    """Bounded memory of a function of short strings: a new generation, and the last one for what is asked again."""
-
-    def __init__(self, fn: Callable[[str], bytes]):
-        super().__init__()
-        self.fn, self.last = fn, {}
-
-    def __missing__(self, key: str) -> bytes:
-        value = self.last.get(key)
-        if value is None:
-            value = self.fn(key)
-        if len(key) <= CACHE_CHARS:
-            if len(self) >= CACHE_ENTRIES:
-                self.last = dict(self)
-                self.clear()
-            self[key] = value
-        return value
-
-
 @lru_cache(maxsize=2)
 def bpe(ranks_path: str, pattern: str) -> ByteBpe:
     """One encoder per Python worker."""
