@@ -54,8 +54,8 @@ def odd_texts(n, seed):
 def test_pieces_spans_and_decoding_equal_the_library(model):
     own, library = SentencePieces(model), sentencepiece.SentencePieceProcessor(model_file=model)
     for text in ["", " ", "  a  ", "▁", "▁ ▁a", "a ▁▁ b", "<s></s><unk><0x41>", *odd_texts(1500, 3)]:
-        *packed, begin = own.encode(text)
-        ids, widths = (memoryview(b).cast("i").tolist() for b in packed)
+        packed, begin = own.encode(text)
+        ids, widths = (memoryview(packed).cast("i").tolist()[k::2] for k in (0, 1))
         want = library.encode(text, return_type="proto")
         assert ids == [p.id for p in want.pieces], text
         ends = [begin + sum(widths[: k + 1]) for k in range(len(widths))]
@@ -75,7 +75,7 @@ def test_decoding_any_ids_equals_the_library(model):
 def test_long_units():
     own, library = SentencePieces(MODEL), sentencepiece.SentencePieceProcessor(model_file=MODEL)
     for text in ("x" * 20_000, " " * 9_000, "ab" * 8_000 + "é" * 500, "▁ " * 3_000, "日本語" * 2_000):
-        assert memoryview(own.encode(text)[0]).cast("i").tolist() == library.encode(text)
+        assert memoryview(own.encode(text)[0]).cast("i").tolist()[::2] == library.encode(text)
 
 
 def test_other_models_are_refused(tmp_path):

@@ -36,7 +36,7 @@ import struct
 from array import array
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
-from itertools import accumulate
+from itertools import accumulate, chain
 from operator import sub
 
 import numpy as np
@@ -144,7 +144,7 @@ class SentencePieces:
         ]
         self.is_byte = [k == BYTE for k in self.kinds]
         self.merged = Memory(self._segment, MEMORY_ENTRIES, MEMORY_CHARS)
-        self.parts = Memory(lambda part: self._coded(part, False), MEMORY_ENTRIES, MEMORY_CHARS)
+        self.parts = Memory(lambda part: self._coded(part, False)[0], MEMORY_ENTRIES, MEMORY_CHARS)
 
     # -- normalisation ---------------------------------------------------
 
@@ -237,8 +237,7 @@ class SentencePieces:
                 end += 1
         return ids, ends
 
-    def _coded(self, text: str, prefix: bool) -> tuple[bytes, bytes, int]:
-        """Packed ids of a text's pieces, the source bytes that each covers, and where the first one begins."""
+    def _coded(self, text: str, prefix: bool) -> tuple[bytes, int]:
         norm, at = self.normalise(text, prefix)
         ids, ends, begin = [], [at[0]], 0
         for unit in _UNIT.findall(norm) if self.cuttable else [norm]:
@@ -248,20 +247,16 @@ class SentencePieces:
             ids += more
             ends += [at[begin + s] for s in stops]
             begin += len(unit)
-        return array("i", ids).tobytes(), array("i", map(sub, ends[1:], ends)).tobytes(), at[0]
+        return array("i", chain.from_iterable(zip(ids, map(sub, ends[1:], ends), strict=True))).tobytes(), at[0]
 
-    def encode(self, text: str) -> tuple[bytes, bytes, int]:
-        """Packed ids of a text, the source bytes that each piece covers, and where the first one begins."""
+    def encode(self, text: str) -> tuple[bytes, int]:
+        """Of each piece its id and how many source bytes it covers, packed by turns, and where the first one begins."""
         if not text:
-            return b"", b"", 0
+            return b"", 0
         if not self.cut_source:
             return self._coded(text, self.prefix)
         first, *rest = _SOURCE_UNIT.findall(text)
-        head = self._coded(first, self.prefix)
-        if not rest:
-            return head
-        ids, widths, _ = zip(head, *map(self.parts.__getitem__, rest), strict=True)
-        return b"".join(ids), b"".join(widths), 0
+        return self._coded(first, self.prefix)[0] + b"".join(map(self.parts.__getitem__, rest)), 0
 
     # -- decoding --------------------------------------------------------
 
@@ -324,20 +319,15 @@ def sentence_pieces(model_path: str) -> SentencePieces:
     return SentencePieces(model_path)
 
 
-def _lists(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Offsets and joined values of packed 32-bit integers."""
-    return np.concatenate([[0], np.cumsum([len(b) // 4 for b in packed])]).astype(np.int32), np.frombuffer(b"".join(packed), "i4")
-
-
 def _encoded(rows: list[str], model: SentencePieces) -> list:
-    coded = [model.encode(t) for t in rows]
-    offsets, ids = _lists([c[0] for c in coded])
-    _, widths = _lists([c[1] for c in coded])
+    coded, begins = zip(*map(model.encode, rows), strict=True) if rows else ((), ())
+    offsets = np.concatenate([[0], np.cumsum([len(b) // 8 for b in coded])]).astype(np.int32)
+    ids, widths = np.frombuffer(b"".join(coded), "i4").reshape(-1, 2).T
     total = np.concatenate([[0], np.cumsum(widths, dtype=np.int64)])
-    base = np.repeat(total[offsets[:-1]] - np.array([c[2] for c in coded], np.int64), np.diff(offsets))
+    base = np.repeat(total[offsets[:-1]] - np.array(begins, np.int64), np.diff(offsets))
     spans = pa.StructArray.from_arrays([pa.array((total[k : k + len(ids)] - base).astype(np.int32)) for k in (0, 1)], fields=list(_SPAN))
     lists = pa.array(offsets, pa.int32())
-    return [pa.ListArray.from_arrays(lists, pa.array(ids, pa.int32())), pa.array(np.diff(offsets), pa.int64()), pa.ListArray.from_arrays(lists, spans)]
+    return [pa.ListArray.from_arrays(lists, pa.array(np.ascontiguousarray(ids))), pa.array(np.diff(offsets), pa.int64()), pa.ListArray.from_arrays(lists, spans)]
 
 
 _ENCODED = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("spans", T.ArrayType(SPAN))]
