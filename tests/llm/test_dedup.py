@@ -21,21 +21,44 @@ A_TO_Z = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz
 
 
 def brute_lines(rows, min_sites):
-    sites = defaultdict(set)
+    raw, home = defaultdict(set), {}
     for site, text in rows:
-        for line in (text or "").split("\n") if text is not None else ():
-            if line.strip(" ") and site is not None:
-                sites[line].add(site)
+        if text is not None and site is not None:
+            home[text] = min(home.get(text, site), site)
+            for line in text.split("\n"):
+                if line.strip(" "):
+                    raw[line].add(site)
+    md5 = lambda line: hashlib.md5(line.encode()).hexdigest()
+    held = defaultdict(dict)
+    for text in {text for _, text in rows if text is not None}:
+        parts = text.split("\n")
+        found = [p for p in parts if len(raw[p]) >= min_sites]
+        copy = 2 * sum(map(len, found)) > sum(map(len, parts))
+        witness = min(map(md5, found)) if copy else md5(text)
+        for line in found:
+            if text in home:
+                held[line][witness] = min(held[line].get(witness, home[text]), home[text])
     out = []
     for _, text in rows:
         parts = [] if text is None else text.split("\n")
-        drop = {i for i, p in enumerate(parts) if len(sites[p]) >= min_sites}
-        if sum(len(parts[i]) for i in drop) > 0.5 * sum(map(len, parts)):
+        drop = {i for i, p in enumerate(parts) if len(set(held[p].values())) >= min_sites}
+        if not any(p.strip(" ") for i, p in enumerate(parts) if i not in drop):
             drop = set()
         out.append((text if not drop else "\n".join(p for i, p in enumerate(parts) if i not in drop), len(parts), len(drop)))
     return out
 
 
+def test_copies_are_no_boilerplate(spark):
+    """Exact and near copies on many sites keep their lines; short pages around a footer lose it."""
+    story = [f"a long line of the story, number {i}" for i in range(12)]
+    copies = ["\n".join(story)] * 30 + ["\n".join([*story[:i], f"edited {i} {k}", *story[i + 1 :]]) for i in range(12) for k in range(6)]
+    pages = [f"own {i}\nthe footer of all sites, which is longer than the page" for i in range(12)] + [f"page {i} with a longer text of its own, more than the footer has\nthe footer of all sites, which is longer than the page" for i in range(9)]
+    rows = [(i, text, "en", f"s{i % 9}", 0) for i, text in enumerate([*copies, *pages, "the footer of all sites, which is longer than the page"])]
+    got = {r.doc_id: r.text for r in line_dedup.remove_boilerplate(spark.createDataFrame(rows, DOCS)).collect()}
+    assert [got[r[0]] for r in rows] == [w[0] for w in brute_lines([(r[3], r[1]) for r in rows], 5)]
+    assert all(got[i] == text for i, text in enumerate(copies)) and all(got[r[0]] == r[1].split("\n")[0] for r in rows[len(copies) :])
+
+
 def test_line_dedup(spark, docs, no_docs, rows):
     rnd = random.Random(3)
     lines = [f"line {i} " + "word " * (i % 5) for i in range(40)] + ["", "  "]

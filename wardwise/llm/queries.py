@@ -163,18 +163,23 @@ ORACLE_SQL: dict[str, str] = {
         FROM d LEFT JOIN f USING (payload_digest)
     """,
     "op4_line_dedup": """
-        WITH docs AS (SELECT row_number() OVER () AS r, doc_id, source, string_split(text, chr(10)) AS parts FROM documents),
-        lines AS (
-            SELECT r, source, unnest(parts) AS line, unnest(range(len(parts))) AS pos FROM docs
+        WITH docs AS (
+            SELECT row_number() OVER () AS r, doc_id, source, md5(text) AS t, length(replace(text, chr(10), '')) AS total, string_split(text, chr(10)) AS parts
+            FROM documents
+        ),
+        lines AS (SELECT r, source, t, total, unnest(parts) AS line, unnest(range(len(parts))) AS pos FROM docs),
+        candidates AS (SELECT line FROM lines WHERE trim(line) <> '' GROUP BY line HAVING count(DISTINCT source) >= 5),
+        found AS (SELECT t, pos, line, min(source) AS site, min(total) AS total FROM lines SEMI JOIN candidates USING (line) GROUP BY t, pos, line),
+        texts AS (
+            SELECT t, min(site) AS site, CASE WHEN 2 * sum(length(line)) > min(total) THEN min(md5(line)) ELSE t END AS witness FROM found GROUP BY t
         ),
-        spread AS (SELECT line FROM lines WHERE trim(line) <> '' GROUP BY line HAVING count(DISTINCT source) >= 5),
+        held AS (SELECT line, min(texts.site) AS site FROM found JOIN texts USING (t) GROUP BY line, witness),
+        spread AS (SELECT line FROM held GROUP BY line HAVING count(DISTINCT site) >= 5),
         marked AS (SELECT r, pos, line, line IN (SELECT line FROM spread) AS gone FROM lines),
-        copies AS (
-            SELECT r, coalesce(sum(length(line)) FILTER (gone), 0) > 0.5 * sum(length(line)) AS is_copy FROM marked GROUP BY r
-        )
-        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone AND NOT is_copy) AS n_removed,
-               sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone OR is_copy), '')) AS kept_sha256
-        FROM marked JOIN copies USING (r) JOIN docs USING (r) GROUP BY r, doc_id
+        bare AS (SELECT r, count(*) FILTER (NOT gone AND trim(line) <> '') = 0 AS is_bare FROM marked GROUP BY r)
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone AND NOT is_bare) AS n_removed,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone OR is_bare), '')) AS kept_sha256
+        FROM marked JOIN bare USING (r) JOIN docs USING (r) GROUP BY r, doc_id
     """,
     "op9_decontamination": r"""
         WITH fold AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS up, 'abcdefghijklmnopqrstuvwxyz' AS low),
