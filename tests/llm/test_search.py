@@ -88,14 +88,14 @@ def brute_windows(docs, items, window):
     for i, t in items:
         words = split(t)
         n = min(window, len(words))
-        for s in range(len(words) - n + 1 if words and i is not None else 0):
-            windows.setdefault(tuple(words[s : s + n]), set()).add(str(i))
+        for s in range(len(words) - n + 1 if words else 0):
+            windows.setdefault(tuple(words[s : s + n]), set()).update([] if i is None else [str(i)])
     out = []
     for i, t in docs:
         words, hit, ids = split(t), set(), set()
         for n in {len(w) for w in windows}:
             for s in range(len(words) - n + 1):
-                if found := windows.get(tuple(words[s : s + n])):
+                if (found := windows.get(tuple(words[s : s + n]))) is not None:
                     hit.update(range(s, s + n))
                     ids |= found
         out.append((i, len(words), len(hit), ",".join(sorted(ids))))

@@ -9,14 +9,14 @@ its occurrences in a document proposes one start, which the length and
 positional bounds must allow, and the item-sized window of document words
 there is compared exactly.
 
-Item windows reach the tasks in shards of at most ``SHARD_WORDS`` window words
-(the size bound of each broadcast); word counts are aggregated over all
-documents by the cluster, for the words of one shard at a time. Documents are
-only scanned: nothing about them is shuffled.
+Item windows are written once and reach the tasks in shards of at most
+``SHARD_WORDS`` window words (the size bound of each broadcast). Word counts are
+aggregated over all documents by the cluster, in one pass for all shards.
+Of documents only those counts are shuffled.
 
 Edge cases: null and empty texts have no words and no hits; items without
-words match nothing; items with a null id are no items and match nothing;
-repeated items with one id count once; repeated documents are judged alike; an empty table on either side gives no hits.
+words match nothing; the windows of items with a null id hit words but add
+no item id; repeated items with one id count once; repeated documents are judged alike; an empty table on either side gives no hits.
 Other columns pass through, except that ``n_words``, ``hit_spans`` and
 ``item_ids`` replace columns of those names.
 """
@@ -28,7 +28,7 @@ from collections import Counter, defaultdict
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from wardwise.llm.common import map_batches, texts, with_arrow_columns
+from wardwise.llm.common import map_batches, stored, texts, with_arrow_columns
 
 SHARD_WORDS = 2_000_000
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -53,22 +53,26 @@ def item_windows(items: DataFrame, window: int, id_col: str, text_col: str) -> D
                 out["w"].append(w)
         return pa.RecordBatch.from_pydict(out, schema=pa.schema([("item", pa.string()), ("w", pa.binary())]))
 
-    rows = items.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("text")).where("item IS NOT NULL")
-    return map_batches(rows, run, "item string, w binary").distinct()
+    rows = items.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("text"))
+    return stored(map_batches(rows, run, "item string, w binary").distinct(), "item-windows")
 
 
-def word_counts(docs: DataFrame, vocabulary: set[bytes], text_col: str) -> dict[bytes, int]:
-    """Occurrences of the vocabulary's words over all documents."""
-    sent = docs.sparkSession.sparkContext.broadcast(frozenset(vocabulary))
+def _counted(docs: DataFrame, text_col: str, vocabulary: set[bytes] | None = None) -> DataFrame:
+    """(word, n): occurrences over all documents, of the vocabulary's words or of all."""
+    sent = docs.sparkSession.sparkContext.broadcast(None if vocabulary is None else frozenset(vocabulary))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         known, seen = sent.value, Counter()
         for text in texts(batch, "text"):
-            seen.update(w for w in words_of(text) if w in known)
+            seen.update(words_of(text) if known is None else [w for w in words_of(text) if w in known])
         return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
 
-    counted = map_batches(docs.select(F.col(text_col).alias("text")), run, "word binary, n long").groupBy("word").agg(F.sum("n"))
-    return {bytes(w): n for w, n in counted.collect()}
+    return map_batches(docs.select(F.col(text_col).alias("text")), run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def _vocabulary(rows: DataFrame) -> DataFrame:
+    """Distinct words of windows."""
+    return map_batches(rows.select("w"), lambda b: pa.RecordBatch.from_arrays([pa.array(list({x for w in b.column("w").to_pylist() for x in w.split(b" ")}), pa.binary())], names=["word"]), "word binary").distinct()
 
 
 def _index(windows: dict[bytes, list[str]], counts: dict[bytes, int]) -> dict[bytes, list[tuple[int, int, dict[bytes, list[str]]]]]:
@@ -108,12 +112,15 @@ def find_windows(docs: DataFrame, items: DataFrame, window: int = 10, text_col:
     spark = docs.sparkSession
     rows = item_windows(items, window, item_id, item_text)
     shards = 1 + int(rows.agg(F.sum(F.lit(window))).first()[0] or 0) // shard_words
+    counted = stored(_counted(docs, text_col).join(_vocabulary(rows), "word", "left_semi"), "word-counts") if shards > 1 else None
     out = docs.withColumns({"n_words": F.lit(0).cast("long"), "hit_spans": F.lit(None).cast(T.ArrayType(SPAN)), "item_ids": F.lit(None).cast("array<string>")})
     for shard in range(shards):
         windows: dict[bytes, list[str]] = defaultdict(list)
-        for item, w in rows.where(F.pmod(F.xxhash64("w"), F.lit(shards)) == shard).toLocalIterator():
-            windows[bytes(w)].append(item)
-        index = _index(windows, word_counts(docs, {x for w in windows for x in w.split(b" ")}, text_col))
+        own = rows.where(F.pmod(F.xxhash64("w"), F.lit(shards)) == shard)
+        for item, w in own.toLocalIterator():
+            windows[bytes(w)] += [] if item is None else [item]
+        counts = counted.join(_vocabulary(own), "word", "left_semi") if counted else _counted(docs, text_col, {x for w in windows for x in w.split(b" ")})
+        index = _index(windows, {bytes(word): n for word, n in counts.collect()})
         sent = spark.sparkContext.broadcast(index)
 
         def run(batch: pa.RecordBatch, sent=sent) -> list:

@@ -185,7 +185,7 @@ ORACLE_SQL: dict[str, str] = {
         WITH fold AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS up, 'abcdefghijklmnopqrstuvwxyz' AS low),
         items AS (
             SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), up, low), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
-            FROM benchmark, fold WHERE item_id IS NOT NULL
+            FROM benchmark, fold
         ),
         windows AS (
             SELECT DISTINCT item, least(10, len(w)) AS n, array_to_string(list_slice(w, s + 1, s + least(10, len(w))), ' ') AS k
@@ -204,7 +204,7 @@ ORACLE_SQL: dict[str, str] = {
         ),
         spans AS (SELECT r, count(DISTINCT p) AS n_hit FROM hits, unnest(range(s, s + n)) AS t(p) GROUP BY r),
         found AS (
-            SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r
+            SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM hits WHERE item IS NOT NULL) GROUP BY r
         )
         SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
                sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
