@@ -203,6 +203,21 @@ def test_substring_frames(docs, no_docs, rows):
     assert substring_dedup.remove_repeats(no_docs).count() == 0
 
 
+def test_substring_texts_of_one_id(spark):
+    """Different texts under one id are different documents, in the order of their MD5; the first occurrence stays."""
+    rnd = random.Random(12)
+    passage = " ".join(f"p{k}" for k in range(30))
+    texts = [f"x y z {passage}", " ".join(f"o{k}" for k in range(9)) + f" {passage}", f"{passage} end", None, "", *(f"{rnd.randrange(9)} {passage} {k}" for k in range(20))]
+    rows = [(1 + k // 9, t) for k, t in enumerate(texts)] + [(1, texts[0]), (None, texts[0]), (None, texts[1])]
+    md5 = lambda t: int(hashlib.md5((t or "").encode()).hexdigest()[:15], 16)
+    ordered = sorted({r for r in rows if r[0] is not None}, key=lambda r: (r[0], md5(r[1])))
+    want = brute_repeats(list(enumerate(t for _, t in ordered)), 20)
+    expected = [(ordered.index(r), r) if r[0] is not None else (None, r) for r in rows]
+    expected = sorted(((r[0], *want[k]) if k is not None else (None, len(r[1].split()), 0, r[1]) for k, r in expected), key=str)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted((tuple(r) for r in substring_dedup.remove_repeats(df).collect()), key=str) == expected
+
+
 def test_substring_random(spark, monkeypatch):
     """Few words, so windows repeat within and across documents at all alignments; some anchors are heavy."""
     rnd = random.Random(11)

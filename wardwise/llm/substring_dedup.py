@@ -31,9 +31,10 @@ word; a false meeting costs time, not results.
 
 Edge cases: null and empty texts have no words; texts shorter than a window
 are kept; documents with a null id have no place in the order: they are kept
-whole and are no reference; repeated rows with one id are one document and get
-the same result; an empty table gives an empty result. Other columns are not
-returned.
+whole and are no reference, and take no part in any join; equal rows of one id
+are one document and get the same result; different texts under one id are
+different documents, ordered by their MD5; an empty table gives an empty result.
+Other columns are not returned.
 """
 
 from __future__ import annotations
@@ -51,6 +52,7 @@ from wardwise.llm.common import map_batches
 WINDOW = 20
 GROUP = 8  # words of an anchor's group
 HEAVY = 1000  # documents under one anchor from which its windows go one by one
+BUCKET_CHARS = 16 << 20  # characters of text whose anchors a bucket holds, on average
 CACHE_WORDS = 400_000
 _RNG = np.random.default_rng(7)
 _ODD = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -121,17 +123,16 @@ def _document_anchors(h: np.ndarray, window: int) -> np.ndarray:
     return values | twice.astype(np.uint64)
 
 
-def _repeated_anchors(docs: DataFrame, window: int) -> DataFrame:
-    """(id, anchors): each document's anchors that occur more than once; the lowest bit marks heavy ones."""
-    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _repeated_anchors(docs: DataFrame, window: int, buckets: int) -> DataFrame:
+    """(id, tag, anchors): each document's anchors that occur more than once; the lowest bit marks heavy ones."""
 
     def emit(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         found, owners = [], []
-        for i, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+        for i, tag, text in zip(*(batch.column(c).to_pylist() for c in ("id", "tag", "text")), strict=True):
             words = (text or "").encode().split()
-            if i is not None and len(words) >= window:
+            if len(words) >= window:
                 found.append(_document_anchors(_word_hashes(words), window))
-                owners.append(np.full(len(found[-1]), i, np.int64))
+                owners.append(np.full((len(found[-1]), 2), (i, tag), np.int64))
         if not found:
             return None
         anchor, owner = np.concatenate(found), np.concatenate(owners)
@@ -150,17 +151,17 @@ def _repeated_anchors(docs: DataFrame, window: int) -> DataFrame:
 
     def repeated(rows: pa.Table) -> pa.Table:
         anchor = np.concatenate([np.frombuffer(b, np.uint64) for b in rows.column("anchor").to_pylist()])
-        owner = np.concatenate([np.frombuffer(b, np.int64) for b in rows.column("owner").to_pylist()])
+        owner = np.concatenate([np.frombuffer(b, np.int64).reshape(-1, 2) for b in rows.column("owner").to_pylist()])
         values, which, counts = np.unique(anchor & ~_ONE, return_inverse=True, return_counts=True)
         again = counts > 1
         np.logical_or.at(again, which, (anchor & _ONE) == _ONE)
         keep = again[which]
         marked = values[which] | (counts >= HEAVY)[which].astype(np.uint64)
-        return pa.table({"id": owner[keep], "anchor": marked[keep].view(np.int64)})
+        return pa.table({"id": owner[keep, 0], "tag": owner[keep, 1], "anchor": marked[keep].view(np.int64)})
 
     packed = map_batches(docs, emit, "bucket int, anchor binary, owner binary")
-    rows = packed.groupBy("bucket").applyInArrow(repeated, "id long, anchor long")
-    return rows.groupBy("id").agg(F.collect_list("anchor").alias("anchors"))
+    rows = packed.groupBy("bucket").applyInArrow(repeated, "id long, tag long, anchor long")
+    return rows.groupBy("id", "tag").agg(F.collect_list("anchor").alias("anchors"))
 
 
 def _slices(words: list[bytes], anchors: list[int], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -226,15 +227,15 @@ def _earlier_windows(slices: list[list[bytes]], window: int) -> list[list[int]]:
 
 
 def _judge(window: int):
-    """Per task: first slices (key, slice, id, start) to (id, start, gone), the windows of each that occur earlier."""
+    """Per task: first slices (key, slice, id, tag, start) to (id, tag, start, gone), the windows of each that occur earlier."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [b for b in batches if b.num_rows]
         if not rows:
             return
         table = pa.Table.from_batches(rows)
-        key, ids, start = (table.column(c).to_numpy() for c in ("key", "id", "start"))
-        order = np.lexsort((start, ids, key))
+        key, ids, tag, start = (table.column(c).to_numpy() for c in ("key", "id", "tag", "start"))
+        order = np.lexsort((start, tag, ids, key))
         slices = [s.split(b" ") for s in table.column("slice").to_pylist()]
         sizes = np.array([len(s) for s in slices])
         grams = _grams(_word_hashes(list(chain.from_iterable(slices))), window)  # all slices at once
@@ -250,7 +251,7 @@ def _judge(window: int):
             group = order[s:e].tolist()
             for i, found in zip(group, _earlier_windows([slices[i] for i in group], window), strict=True):
                 gone[i] = found
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(start), pa.array(gone, pa.list_(pa.int32()))], names=["id", "start", "gone"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(tag), pa.array(start), pa.array(gone, pa.list_(pa.int32()))], names=["id", "tag", "start", "gone"])
 
     return run
 
@@ -259,12 +260,18 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, n_words, n_removed, kept): ``kept`` are the words that stay, joined by one space."""
     if not GROUP <= window <= len(_ODD):
         raise ValueError(f"windows hold {GROUP} to {len(_ODD)} words")
-    docs = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    marked = docs.join(_repeated_anchors(docs, window), "id", "left")
+    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    named = rows.where("id IS NOT NULL")
+    digest = F.conv(F.substring(F.md5(F.coalesce("text", F.lit(""))), 1, 15), 16, 10).cast("long")
+    texts = named.groupBy("id").agg(F.min(digest).alias("a"), F.max(digest).alias("b"), F.sum(F.length("text")).alias("chars"))
+    several, chars = texts.agg(F.max(F.col("a") < F.col("b")), F.sum("chars")).first()
+    docs = named.withColumn("tag", digest if several else F.lit(0).cast("long"))  # tells the texts of one id apart
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    marked = docs.join(_repeated_anchors(docs, window, max(4 * parts, (chars or 0) // BUCKET_CHARS)), ["id", "tag"], "left")
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        out: dict[str, list] = {"key": [], "slice": [], "id": [], "start": []}
-        for i, text, anchors in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "anchors")), strict=True):
+        out: dict[str, list] = {"key": [], "slice": [], "id": [], "tag": [], "start": []}
+        for i, tag, text, anchors in zip(*(batch.column(c).to_pylist() for c in ("id", "tag", "text", "anchors")), strict=True):
             if not anchors:
                 continue
             words, seen = text.encode().split(), set()
@@ -272,14 +279,14 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 part = b" ".join(words[s : e + window - 1])
                 if part not in seen:
                     seen.add(part)
-                    for column, value in zip(out.values(), (key - (1 << 64) if key >> 63 else key, part, i, s), strict=True):
+                    for column, value in zip(out.values(), (key - (1 << 64) if key >> 63 else key, part, i, tag, s), strict=True):
                         column.append(value)
-        return pa.RecordBatch.from_pydict(out, schema=pa.schema([("key", pa.int64()), ("slice", pa.binary()), ("id", pa.int64()), ("start", pa.int64())])) if out["key"] else None
+        return pa.RecordBatch.from_pydict(out, schema=pa.schema([("key", pa.int64()), ("slice", pa.binary()), ("id", pa.int64()), ("tag", pa.int64()), ("start", pa.int64())])) if out["key"] else None
 
-    slices = map_batches(marked, cut, "key long, slice binary, id long, start long")  # unfiltered: both uses of the texts share one exchange
-    first = slices.groupBy("key", "slice").agg(F.min_by("start", "id").alias("start"), F.min("id").alias("id"))
-    judged = first.repartition("key").mapInArrow(_judge(window), "id long, start long, gone array<int>")
-    verdicts = judged.groupBy("id").agg(F.collect_list(F.struct("start", "gone")).alias("first"))
+    slices = map_batches(marked, cut, "key long, slice binary, id long, tag long, start long")  # unfiltered: both uses of the texts share one exchange
+    first = slices.groupBy("key", "slice").agg(F.min(F.struct("id", "tag", "start")).alias("first")).select("key", "slice", "first.*")
+    judged = first.repartition("key").mapInArrow(_judge(window), "id long, tag long, start long, gone array<int>")
+    verdicts = judged.groupBy("id", "tag").agg(F.collect_list(F.struct("start", "gone")).alias("first"))
 
     def finish(batch: pa.RecordBatch) -> pa.RecordBatch:
         out: dict[str, list] = {"doc_id": [], "n_words": [], "n_removed": [], "kept": []}
@@ -305,4 +312,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 column.append(value)
         return pa.RecordBatch.from_pydict(out, schema=pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())]))
 
-    return map_batches(marked.join(verdicts, "id", "left"), finish, "doc_id long, n_words long, n_removed long, kept string")
+    unnamed = rows.where("id IS NULL").select("id", "text", F.lit(None).cast("array<long>").alias("anchors"), F.lit(None).cast(verdicts.schema["first"].dataType).alias("first"))
+    judged_rows = marked.join(verdicts, ["id", "tag"], "left").select(unnamed.columns)
+    schema = "doc_id long, n_words long, n_removed long, kept string"
+    return map_batches(judged_rows, finish, schema).unionAll(map_batches(unnamed, finish, schema))
