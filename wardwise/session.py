@@ -45,8 +45,8 @@ def get_spark(master: str | None = None, app: str = "wardwise", partitions: int
 def configure(spark: SparkSession) -> SparkSession:
     """Apply DEFAULTS where unset and make sure a checkpoint folder exists.
 
-    ``spark.checkpoint.dir`` names the shared folder on a cluster; it is read
-    from the session and only filled in here when absent (local runs, tests).
+    ``spark.checkpoint.dir`` names the shared folder on a cluster; only a local
+    session without it gets one here (local runs, tests).
     """
     conf = spark.conf
     for key, value in DEFAULTS.items():
@@ -60,14 +60,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint folder.
 
     A local one is made only where it is unset and the master is local; a
-    cluster must name a folder that all its machines share.
+    cluster must name a folder that all its machines share. The setting itself
+    cannot change at run time, so a folder made here is kept by the context.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="wardwise-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(path)
-    return path
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -5,13 +5,52 @@ from __future__ import annotations
 from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
+
+
+CORRUPT = "_corrupt_record"
+
+
+def read_csv_checked(spark: SparkSession, path: str, schema: StructType | str) -> tuple[DataFrame, DataFrame]:
+    """Headered CSV read by column name; returns (rows, rejected).
+
+    The header decides which column is which; columns that the schema does
+    not name are left out, and one that is missing raises ``ValueError``. All
+    files under ``path`` must have one header (Spark checks each). A record with
+    too few or too many fields, or with a value that is not of its column's
+    type, is rejected: ``record`` holds its fields as text and ``reasons`` why.
+    """
+    if isinstance(schema, str):
+        schema = StructType.fromDDL(schema)
+    header = spark.read.option("header", True).csv(path).columns
+    missing = [f.name for f in schema.fields if f.name not in header]
+    if missing:
+        raise ValueError(f"{path} has no column {', '.join(missing)}; its header is {', '.join(header)}")
+    text = StructType([StructField(c, StringType()) for c in [*header, CORRUPT]])
+    raw = (spark.read.schema(text).option("header", True).option("enforceSchema", False)
+           .option("columnNameOfCorruptRecord", CORRUPT).csv(path))
+    cells = {f.name: F.col(f"`{f.name}`") for f in schema.fields}
+    values = {f.name: F.trim(cells[f.name]).try_cast(f.dataType) if not isinstance(f.dataType, StringType)
+              else cells[f.name] for f in schema.fields}
+    wrong = [F.when(cells[f.name].isNotNull() & values[f.name].isNull(), F.lit(f"{f.name}: not {f.dataType.simpleString()}"))
+             for f in schema.fields]
+    empty = [F.when(cells[f.name].isNull(), F.lit(f"{f.name}: empty")) for f in schema.fields if not f.nullable]
+    reasons = F.when(F.col(CORRUPT).isNotNull(), F.array(F.lit("number of fields"))).otherwise(
+        F.filter(F.array(*wrong, *empty), lambda r: r.isNotNull()))
+    record = F.coalesce(F.col(CORRUPT), F.to_csv(F.struct(*[F.col(f"`{c}`") for c in header])))
+    marked = raw.select(*[values[f.name].alias(f.name) for f in schema.fields], reasons.alias("_reasons"),
+                        record.alias("_record"))
+    rows = marked.where(F.size("_reasons") == 0).select(*[F.col(f"`{f.name}`") for f in schema.fields])
+    rejected = marked.where(F.size("_reasons") > 0).select(F.col("_record").alias("record"),
+                                                           F.col("_reasons").alias("reasons"))
+    return rows, rejected
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame | None:
-    """Headered CSV with an explicit schema; None (with a message) when absent."""
+    """The accepted rows of a headered CSV; None (with a message) when it is absent."""
     try:
-        return spark.read.schema(schema).option("header", True).csv(path)
+        return read_csv_checked(spark, path, schema)[0]
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
