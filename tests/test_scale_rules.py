@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tests.conftest import SF_SMALL
 from wardwise.functions.columns import band
 from wardwise.functions.rules import alc_risk_score, alc_tier, horizon_tier, surge_risk_score
-from wardwise.operators.iforest import fit_iforest
+from wardwise.operators.iforest import fit_iforest, grow, tree_samples
 from wardwise.operators.joins import with_holiday, with_holiday_window
 from wardwise.plans import registry
 from wardwise.plans.alc import admission_rules
@@ -71,11 +71,31 @@ def test_forest_samples_the_whole_table_at_any_size(spark, rows):
     df = spark.range(rows).select("id", (F.col("id") * 1.0).alias("x"), F.rand(3).alias("y"))
     one = fit_iforest(df, ["x", "y"], "id", trees=20, psi=64)
     two = fit_iforest(df.repartition(7), ["x", "y"], "id", trees=20, psi=64)
-    assert (one["size"][:, 0] == 64).all() and (one["threshold"] == two["threshold"]).all()
+    assert (one["size"][:, 1] == 64).all() and (one["threshold"] == two["threshold"]).all()
     cuts = one["threshold"][one["feature"] == 0]
     assert cuts.min() < 0.1 * rows and cuts.max() > 0.9 * rows
 
 
+def test_forest_grows_on_one_exchange(spark):
+    """Sampling deals the rows by tree; no level deals them anew."""
+    df = spark.range(3000).select("id", (F.col("id") % 50 * 1.0).alias("x"), F.rand(3).alias("y"))
+    sample = tree_samples(df, ["x", "y"], "id", 3000, 20, 64, 42)
+    nodes = grow(sample, 2, 6, 42)
+    plan = nodes._jdf.queryExecution().sparkPlan().toString() + nodes._jdf.queryExecution().executedPlan().toString()
+    executed = nodes._jdf.queryExecution().executedPlan().toString()
+    assert executed.count("Exchange hashpartitioning(tree") <= 2 and "Window" in plan
+    by_tree = {}
+    for n in nodes.collect():
+        by_tree.setdefault(n.tree, {})[n.node] = n
+    for tree in by_tree.values():
+        assert tree[1].size == 64
+        for k, n in tree.items():
+            if n.feature >= 0:
+                assert tree[2 * k].size + tree[2 * k + 1].size == n.size and tree[2 * k].size and tree[2 * k + 1].size
+            else:
+                assert 2 * k not in tree
+
+
 def unknown_customers(name, df):
     return df if name != "orders" else df.unionByName(df.limit(10).withColumns({"o_orderkey": F.col("o_orderkey") + 10**9, "o_custkey": F.lit(10**9)}))
 

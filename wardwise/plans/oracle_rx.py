@@ -59,10 +59,80 @@ fl AS (
          ELSE 'Other Anomaly' END AS anomaly_type
   FROM ps, cut)"""
 
+# Samples by geometric skips, growth as a recursion over levels, then a walk of every row down every tree.
+_TREES, _PSI, _HEIGHT, _SEED = 300, 256, 8, 42
+
+
+def _u(*parts: str) -> str:
+    return f"((CAST('0x' || substr(md5({" || '|' || ".join(parts)}), 1, 13) AS BIGINT) + 1e0) / 4503599627370496e0)"
+
+
+_xs = ", ".join(f"floor({m}_z * 1e6 + 0.5e0)" for m in METRICS)
+_lo, _hi = (", ".join(f"{agg}(x[{i + 1}]) OVER n" for i in range(len(METRICS))) for agg in ("min", "max"))
+FOREST = f"""
+fg AS (SELECT {_gstats}, count(*) AS total FROM pr),
+fz AS (SELECT prescriber_id, total, {", ".join(f"CASE WHEN gsd_{m} > 0 THEN ({m} - gmu_{m}) / gsd_{m} ELSE 0e0 END AS {m}_z" for m in METRICS)}
+  FROM pr, fg),
+fx AS (SELECT prescriber_id AS k, total, least({_PSI}, total) AS psi, [{_xs}] AS x FROM fz),
+skips AS (
+  SELECT k, j, CASE WHEN 3e0 * psi >= total THEN 1
+               ELSE 1 + CAST(least(floor(ln({_u(f"'{_SEED + 1}'", "k", "j")}) / ln(1 - 3e0 * psi / total)), {_TREES}) AS BIGINT) END AS s
+  FROM fx, (SELECT unnest(range({_TREES})) AS j)),
+joined AS (SELECT k, CAST(sum(s) OVER (PARTITION BY k ORDER BY j) - 1 AS BIGINT) AS tree FROM skips),
+drawn AS (
+  SELECT k, tree, row_number() OVER (PARTITION BY tree ORDER BY {_u(f"'{_SEED + 2}'", "k", "tree")}, k) AS nth
+  FROM joined WHERE tree < {_TREES}),
+grown AS (
+  SELECT tree, k, x, CAST(1 AS BIGINT) AS node, 0 AS depth FROM drawn JOIN fx USING (k) WHERE nth <= psi
+  UNION ALL
+  SELECT tree, k, x, 2 * node + CASE WHEN x[f + 1] >= t THEN 1 ELSE 0 END, depth + 1
+  FROM (SELECT *, lo[f + 1] + {_u(f"'{_SEED}'", "tree", "node", "'1'")} * (hi[f + 1] - lo[f + 1]) AS t
+        FROM (SELECT *, varying[CAST(least(floor({_u(f"'{_SEED}'", "tree", "node", "'0'")} * len(varying)), len(varying) - 1) AS INTEGER) + 1] AS f
+              FROM (SELECT *, list_filter(range({len(METRICS)}), lambda i: hi[i + 1] > lo[i + 1]) AS varying
+                    FROM (SELECT *, [{_lo}] AS lo, [{_hi}] AS hi, count(*) OVER n AS size FROM grown
+                          WINDOW n AS (PARTITION BY tree, node))
+                    WHERE size > 1 AND depth < {_HEIGHT}) WHERE len(varying) > 0))),
+sized AS (SELECT tree, node, depth, count(*) AS size, {", ".join(f"min(x[{i + 1}]) AS l{i}, max(x[{i + 1}]) AS h{i}" for i in range(len(METRICS)))}
+  FROM grown GROUP BY tree, node, depth),
+nodes AS (
+  SELECT tree, node, size, f, lo[f + 1] + {_u(f"'{_SEED}'", "tree", "node", "'1'")} * (hi[f + 1] - lo[f + 1]) AS t
+  FROM (SELECT *, CASE WHEN size > 1 AND depth < {_HEIGHT} AND len(varying) > 0 THEN
+                  varying[CAST(least(floor({_u(f"'{_SEED}'", "tree", "node", "'0'")} * len(varying)), len(varying) - 1) AS INTEGER) + 1] END AS f
+        FROM (SELECT *, list_filter(range({len(METRICS)}), lambda i: hi[i + 1] > lo[i + 1]) AS varying
+              FROM (SELECT tree, node, depth, size, [{", ".join(f"l{i}" for i in range(len(METRICS)))}] AS lo,
+                           [{", ".join(f"h{i}" for i in range(len(METRICS)))}] AS hi FROM sized)))),
+walks AS (
+  SELECT k, x, tree, CAST(1 AS BIGINT) AS node, 0 AS depth FROM fx, (SELECT DISTINCT tree FROM nodes)
+  UNION ALL
+  SELECT k, x, tree, 2 * node + CASE WHEN x[f + 1] >= t THEN 1 ELSE 0 END, depth + 1
+  FROM walks JOIN nodes USING (tree, node) WHERE f IS NOT NULL),
+lengths AS (
+  SELECT k, avg(depth + CASE WHEN size > 2 THEN 2e0 * (ln(size - 1e0) + 0.5772156649015329e0) - 2e0 * (size - 1e0) / size
+                             WHEN size = 2 THEN 1e0 ELSE 0e0 END) AS h
+  FROM walks JOIN nodes USING (tree, node) WHERE f IS NULL GROUP BY k),
+fs AS (
+  SELECT pr.*, pow(2e0, -h / (2e0 * (ln(psi - 1e0) + 0.5772156649015329e0) - 2e0 * (psi - 1e0) / psi)) AS anomaly_score
+  FROM pr JOIN lengths ON k = prescriber_id JOIN fx USING (k)),
+fcut AS (SELECT quantile_cont(anomaly_score, 0.96) AS c FROM fs),
+ff AS (
+  SELECT fs.*, CAST(anomaly_score > fcut.c AS INTEGER) AS is_anomaly,
+    CASE WHEN anomaly_score <= fcut.c THEN 'Normal'
+         WHEN opioid_rate_pct > 35 OR avg_opioid_mme > 120 THEN 'Opioid Over-Prescriber'
+         WHEN benzo_opioid_combo_pct > 15 OR polypharmacy_pct > 40 THEN 'High-Risk Combinations'
+         WHEN patients_per_month > 250 OR avg_rx_per_patient > 7 THEN 'Volume Outlier'
+         ELSE 'Other Anomaly' END AS anomaly_type
+  FROM fs, fcut)"""
+
 _pairs = [(a, b) for i, a in enumerate(METRICS) for b in METRICS[i + 1:]]
 _corr = "\nUNION ALL ".join(f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, round(corr({a}, {b}), 6) AS corr FROM pr"
                             for a, b in _pairs)
 
+
+
+def _wr(*ctes: str) -> str:
+    return w(*ctes).replace("WITH", "WITH RECURSIVE", 1)
+
+
 PROFILE = ["opioid_rate_pct", "avg_opioid_mme", "benzo_opioid_combo_pct", "polypharmacy_pct",
            "patients_per_month", "refill_rate_pct"]
 
@@ -163,4 +233,22 @@ SELECT prescriber_id,
 FROM pr, (SELECT avg(opioid_rate_pct) AS rm, avg(avg_opioid_mme) AS mm FROM pr) g""",
 
     "rx_corr": w(PRESC) + "\n" + _corr,
+
+    "iforest_scores": _wr(PRESC, FOREST) + """
+SELECT prescriber_id, round(anomaly_score, 6) AS anomaly_score, is_anomaly, anomaly_type, true_anomaly FROM ff""",
+
+    "iforest_quality": _wr(PRESC, FOREST) + """
+SELECT detected, true_anomalies, true_positives,
+       round(CASE WHEN detected > 0 THEN true_positives * 1e0 / detected ELSE 0e0 END, 6) AS precision,
+       round(CASE WHEN true_anomalies > 0 THEN true_positives * 1e0 / true_anomalies ELSE 0e0 END, 6) AS recall
+FROM (SELECT count(*) FILTER (WHERE is_anomaly = 1) AS detected,
+             count(*) FILTER (WHERE true_anomaly = 1) AS true_anomalies,
+             count(*) FILTER (WHERE is_anomaly = 1 AND true_anomaly = 1) AS true_positives FROM ff) q""",
+
+    "iforest_audit_list": _wr(PRESC, FOREST) + """
+SELECT 'CPSO-' || CAST(prescriber_id + 100000 AS VARCHAR) AS prescriber_code, specialty, hospital, anomaly_type,
+       round(anomaly_score, 6) AS anomaly_score, round(opioid_rate_pct, 6) AS opioid_rate_pct,
+       round(avg_opioid_mme, 6) AS avg_opioid_mme, round(benzo_opioid_combo_pct, 6) AS benzo_opioid_combo_pct,
+       round(patients_per_month, 6) AS patients_per_month
+FROM ff WHERE is_anomaly = 1 ORDER BY anomaly_score DESC, prescriber_id LIMIT 20""",
 }

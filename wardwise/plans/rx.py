@@ -204,9 +204,12 @@ def forest_flagged(spark: SparkSession, sf: str, trees: int = dims.FOREST_TREES)
     p = prescriber_table(spark, sf)
     z = ml.standardize(p, METRICS)
     zc = [f"{m}_z" for m in METRICS]
+    # whole millionths of a standard deviation: values that differ in the last bit only are equal
+    z = z.withColumns({c: F.floor(F.col(c) * 1e6 + 0.5).cast("double") for c in zc})
     seen = p.agg(F.count(F.lit(1)), F.sum(F.xxhash64("prescriber_id", *METRICS).cast("decimal(38,0)"))).first()
     key = (spark.sparkContext.applicationId, trees, *seen)
     if key not in _FORESTS:
+        _FORESTS.clear()  # only the last forest is kept
         _FORESTS[key] = fit_iforest(z, zc, "prescriber_id", trees=trees, psi=dims.FOREST_SAMPLES, seed=42)
     s = score_iforest(z, _FORESTS[key])
     s = ml.flag_top_fraction(s, "anomaly_score", dims.CONTAMINATION)
@@ -216,7 +219,8 @@ def forest_flagged(spark: SparkSession, sf: str, trees: int = dims.FOREST_TREES)
 def q_iforest_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Isolation-forest score, flag and type of every prescriber."""
     f = forest_flagged(spark, sf)
-    return f.select("prescriber_id", "anomaly_score", "is_anomaly", "anomaly_type", "true_anomaly")
+    return f.select("prescriber_id", r6("anomaly_score").alias("anomaly_score"), "is_anomaly", "anomaly_type",
+                    "true_anomaly")
 
 
 def q_iforest_quality(spark: SparkSession, sf: str) -> DataFrame:
