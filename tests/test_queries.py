@@ -11,8 +11,8 @@ from wardwise.sources.bindings import TABLES
 
 ORACLE = oracle_sql()
 # Queries that need the mid-size fixture (forest and model checks need enough rows).
-SLOW = {"permutation_importance", "alc_model_scores", "alc_model_metrics", "alc_model_beds", "iforest_scores",
-        "iforest_quality", "iforest_audit_list", "surge_forecast_fourier", "rx_pca"}
+SLOW = {"permutation_importance", "alc_model_scores", "alc_model_metrics", "alc_model_beds", "alc_model_attribution",
+        "surge_forecast_fourier", "rx_pca"}
 
 
 @pytest.fixture(scope="module")

@@ -10,6 +10,7 @@ from wardwise.functions.columns import band, pct_text, r6
 from wardwise.functions.rules import (alc_factors, alc_label, alc_report, alc_risk_score, alc_tier, top_factors,
                                       weighted_terms)
 from wardwise.operators import metrics, ml
+from wardwise.operators.attribution import attribution_ranking
 from wardwise.operators.joins import scalar
 from wardwise.operators.ordering import sample_n
 from wardwise.sources import dims
@@ -203,6 +204,7 @@ def fitted_model(spark: SparkSession, sf: str, rounds: int = dims.GBT_ROUNDS) ->
     seen = split.agg(F.count(F.lit(1)), F.sum(F.xxhash64("patient_id", "alc_flag", "is_test", *ALC_FEATURES).cast("decimal(38,0)")))
     key = (spark.sparkContext.applicationId, rounds, *seen.first())
     if key not in _MODELS:
+        _MODELS.clear()  # only the last fit is kept
         _MODELS[key] = fit_model(split, rounds)
     return _MODELS[key], split
 
@@ -288,6 +290,14 @@ def q_permutation_importance(spark: SparkSession, sf: str) -> DataFrame:
                     r6("importance").alias("importance"))
 
 
+def q_alc_model_attribution(spark: SparkSession, sf: str) -> DataFrame:
+    """Features of the boosted model by their mean absolute attribution on the hold-out."""
+    model, split = fitted_model(spark, sf)
+    ranked = attribution_ranking(model, split.filter(F.col("is_test")), ALC_FEATURES)
+    return ranked.select("feature", r6("mean_abs_attribution").alias("mean_abs_attribution"),
+                         r6("mean_attribution").alias("mean_attribution"), "rank")
+
+
 QUERIES = {
     "validate_admissions": q_validate_admissions,
     "profile_admissions": q_profile_admissions,
@@ -318,4 +328,5 @@ QUERIES = {
     "class_report": q_class_report,
     "linear_attribution": q_linear_attribution,
     "permutation_importance": q_permutation_importance,
+    "alc_model_attribution": q_alc_model_attribution,
 }
