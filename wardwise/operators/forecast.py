@@ -34,7 +34,7 @@ ORIGIN = "2000-01-01"
 Z90 = 1.6448536269514722  # two-sided 90% interval
 
 
-def prepare_history(hist: DataFrame, holidays: DataFrame | list[str], site: str = "hospital",
+def prepare_history(hist: DataFrame, holidays: DataFrame | list, site: str = "hospital",
                     date: str = "visit_date", y: str = "ed_visits") -> DataFrame:
     """P1 + P2: (site, ds, y) with day number, calendar parts and holiday window."""
     h = hist.select(F.col(site).alias("hospital"), F.col(date).alias("ds"), F.col(y).cast("double").alias("y"))
@@ -97,7 +97,7 @@ def fit_seasonal_index(h: DataFrame) -> DataFrame:
                       "last_date", "dow_idx", "month_idx")
 
 
-def forecast(model: DataFrame, holidays: DataFrame | list[str], periods: int = 30) -> DataFrame:
+def forecast(model: DataFrame, holidays: DataFrame | list, periods: int = 30) -> DataFrame:
     """F2 + P5: ``periods`` days after each site's last observed day.
 
     The spine is exploded from the one-row-per-site model, so only future
@@ -144,7 +144,7 @@ def surge_summary(fc: DataFrame) -> DataFrame:
         F.coalesce(F.date_format("_first", "yyyy-MM-dd"), F.lit("None")).alias("first_surge_date"))
 
 
-def backtest(h: DataFrame, holidays: DataFrame | list[str], holdout: int = 30) -> DataFrame:
+def backtest(h: DataFrame, holidays: DataFrame | list, holdout: int = 30) -> DataFrame:
     """hold out each site's last ``holdout`` days, fit on the rest, score.
 
     Returns per site: n, MAE, MAPE (%) and the share of held-out days inside

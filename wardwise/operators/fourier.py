@@ -96,7 +96,7 @@ def _solve_and_forecast(sums: pd.DataFrame, spine: pd.DataFrame) -> pd.DataFrame
                          "yhat_upper": np.exp(mu + Z90 * sd)})
 
 
-def forecast_fourier(h: DataFrame, holidays: DataFrame | list[str], periods: int = 30) -> DataFrame:
+def forecast_fourier(h: DataFrame, holidays: DataFrame | list, periods: int = 30) -> DataFrame:
     """F4 fit + forecast. ``h`` = prepared history (hospital, ds, y, t, in_window, ...)."""
     from wardwise.operators.joins import with_holiday_window
 

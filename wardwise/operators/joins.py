@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wardwise.functions.calendar import is_rule_holiday
+
 # Rows of group statistics (a few hundred bytes each) that may be broadcast;
 # override with the session setting ``wardwise.broadcast.maxRows``.
 DEFAULT_BROADCAST_ROWS = 10_000
@@ -33,15 +35,14 @@ def bounded_broadcast(df: DataFrame, max_rows: int | None = None) -> DataFrame:
 def lookup(df: DataFrame, dim: DataFrame, key: str | list[str], how: str = "inner") -> DataFrame:
     """Dictionary lookup (J1): equi-join to a small literal dimension.
 
-    Dimensions passed here are literal tables of fixed size, so they are
-    broadcast without a check.
+    The dimension is broadcast after a check of its size.
     """
-    return df.join(F.broadcast(dim), on=key, how=how)
+    return df.join(bounded_broadcast(dim), on=key, how=how)
 
 
 def unknown_keys(df: DataFrame, dim: DataFrame, key: str) -> DataFrame:
     """Rows whose key is missing from the dimension (the lookup's error case)."""
-    return df.join(F.broadcast(dim.select(key)), on=key, how="left_anti")
+    return df.join(bounded_broadcast(dim.select(key)), on=key, how="left_anti")
 
 
 def holiday_days(holidays: DataFrame) -> DataFrame:
@@ -49,21 +50,16 @@ def holiday_days(holidays: DataFrame) -> DataFrame:
     return holidays.select(F.col("ds").alias("_hday")).distinct()
 
 
-def _on_month_day(date: Column, month_days: list[str]) -> Column:
-    """0/1: whether a date falls on one of the yearly month-days (``MM-dd``), in any year."""
-    return F.coalesce(F.date_format(date, "MM-dd").isin(month_days), F.lit(False)).cast("int")
-
-
-def with_holiday(df: DataFrame, holidays: DataFrame | list[str], date_col: str, out: str = "is_holiday") -> DataFrame:
+def with_holiday(df: DataFrame, holidays: DataFrame | list, date_col: str, out: str = "is_holiday") -> DataFrame:
     """0/1 flag for dates that are holidays.
 
-    ``holidays`` is a table of dates (broadcast left join: one row per
-    holiday) or a list of yearly month-days, which needs no calendar.
+    ``holidays`` is a table of dates (left join, broadcast after a size check:
+    one row per holiday) or a list of rules (``functions.calendar``), which needs no table.
     """
     if isinstance(holidays, list):
-        return df.withColumn(out, _on_month_day(F.col(date_col), holidays))
+        return df.withColumn(out, is_rule_holiday(F.col(date_col), holidays))
     hd = holiday_days(holidays)
-    return (df.join(F.broadcast(hd), F.col(date_col) == F.col("_hday"), "left")
+    return (df.join(bounded_broadcast(hd), F.col(date_col) == F.col("_hday"), "left")
             .withColumn(out, F.col("_hday").isNotNull().cast("int")).drop("_hday"))
 
 
@@ -75,24 +71,24 @@ def holiday_offsets(holidays: DataFrame) -> DataFrame:
             .distinct())
 
 
-def with_holiday_window(df: DataFrame, holidays: DataFrame | list[str], date_col: str,
+def with_holiday_window(df: DataFrame, holidays: DataFrame | list, date_col: str,
                         prefix: str = "hol") -> DataFrame:
     """One indicator per window offset (-1, 0, +1) plus ``in_window``.
 
     For a table of dates the window is expanded into literal days, so this
     is an equi-join against at most (#holidays x window width) rows. For a
-    list of yearly month-days the dates around each row's are tested directly.
+    list of rules the dates around each row's are tested directly.
     """
     if isinstance(holidays, list):
         for suffix, offset in (("m1", -1), ("0", 0), ("p1", 1)):
-            df = df.withColumn(f"{prefix}_{suffix}", _on_month_day(F.date_add(F.col(date_col), -offset), holidays))
+            df = df.withColumn(f"{prefix}_{suffix}", is_rule_holiday(F.date_add(F.col(date_col), -offset), holidays))
         return df.withColumn("in_window", F.greatest(*[f"{prefix}_{s}" for s in ("m1", "0", "p1")]))
     offs = holiday_offsets(holidays)
     per_day = (offs.groupBy("_hday")
                .agg(F.max((F.col("offset") == -1).cast("int")).alias(f"{prefix}_m1"),
                     F.max((F.col("offset") == 0).cast("int")).alias(f"{prefix}_0"),
                     F.max((F.col("offset") == 1).cast("int")).alias(f"{prefix}_p1")))
-    joined = df.join(F.broadcast(per_day), F.col(date_col) == F.col("_hday"), "left").drop("_hday")
+    joined = df.join(bounded_broadcast(per_day), F.col(date_col) == F.col("_hday"), "left").drop("_hday")
     cols = [f"{prefix}_m1", f"{prefix}_0", f"{prefix}_p1"]
     joined = joined.fillna(0, subset=cols)
     return joined.withColumn("in_window", F.greatest(*[F.col(c) for c in cols]))
@@ -101,11 +97,10 @@ def with_holiday_window(df: DataFrame, holidays: DataFrame | list[str], date_col
 def reindex(agg: DataFrame, dim: DataFrame, key: str, order_col: str) -> DataFrame:
     """Align an aggregate to a fixed ordered domain; null where absent.
 
-    ``agg`` is keyed by the domain's values, so it has at most as many rows
-    as the literal domain table and is the side that is broadcast (the
-    domain is the preserved side of the left join).
+    ``agg`` is keyed by the domain's values and is the side that is broadcast
+    after a check of its size (the domain is the preserved side of the left join).
     """
-    return dim.join(F.broadcast(agg), on=key, how="left").orderBy(order_col)
+    return dim.join(bounded_broadcast(agg), on=key, how="left").orderBy(order_col)
 
 
 def with_scalar(df: DataFrame, one_row: DataFrame, name: str) -> DataFrame:

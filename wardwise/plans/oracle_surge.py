@@ -21,8 +21,20 @@ ev AS (
 
 HOL = """
 yr AS (SELECT unnest(range(min(year(l_shipdate)) - 1, max(year(l_shipdate)) + 3)) AS y FROM lineitem),
-hol AS (SELECT make_date(CAST(y AS INTEGER), m, d) AS ds
-        FROM yr, (VALUES (1, 1), (7, 1), (12, 25), (12, 26)) md(m, d)),
+es AS (
+  SELECT y, y % 19 AS a, y // 100 AS b, y % 100 AS c, (19 * (y % 19) + y // 100 - y // 400 - (y // 100 - (y // 100 + 8) // 25 + 1) // 3 + 15) % 30 AS h
+  FROM yr),
+el AS (SELECT *, (32 + 2 * (b % 4) + 2 * (c // 4) - h - c % 4) % 7 AS l FROM es),
+em AS (SELECT y, h + l - 7 * ((a + 11 * h + 22 * l) // 451) + 114 AS n FROM el),
+ms AS (
+  SELECT y, m, k, make_date(CAST(y AS INTEGER), m, 1) + CAST((8 - isodow(make_date(CAST(y AS INTEGER), m, 1))) % 7 + 7 * (k - 1) AS INTEGER) AS ds
+  FROM yr, (VALUES (2, 3), (8, 1), (9, 1), (10, 2)) mk(m, k)),
+hol AS (
+  SELECT make_date(CAST(y AS INTEGER), m, d) AS ds FROM yr, (VALUES (1, 1), (7, 1), (12, 26)) md(m, d)
+  UNION SELECT ds FROM ms
+  UNION SELECT make_date(CAST(y AS INTEGER), CAST(n // 31 AS INTEGER), CAST(n % 31 + 1 AS INTEGER)) - 2 FROM em
+  UNION SELECT make_date(CAST(y AS INTEGER), 5, CAST(d AS INTEGER)) FROM yr, (SELECT unnest(range(18, 25)) AS d) WHERE isodow(make_date(CAST(y AS INTEGER), 5, CAST(d AS INTEGER))) = 1
+  UNION SELECT make_date(CAST(y AS INTEGER), 12, 25) FROM yr WHERE isodow(make_date(CAST(y AS INTEGER), 12, 25)) < 7),
 hw AS (
   SELECT hday, max(CASE WHEN o = -1 THEN 1 ELSE 0 END) AS hol_m1,
          max(CASE WHEN o = 0 THEN 1 ELSE 0 END) AS hol_0,

@@ -20,9 +20,9 @@ def _visits(spark: SparkSession, sf: str) -> DataFrame:
     return ed_visits(spark, sf)
 
 
-def _holidays(v: DataFrame) -> list[str]:
-    """The fixtures' yearly holidays: fixed month-days, valid in every year of the data and the horizon."""
-    return dims.HOLIDAY_MONTH_DAYS
+def _holidays(v: DataFrame) -> list:
+    """The ten statutory holidays by rule, valid in every year of the data and the horizon."""
+    return dims.HOLIDAY_RULES
 
 
 def q_surge_flag(spark: SparkSession, sf: str) -> DataFrame:

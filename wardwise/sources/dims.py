@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wardwise.functions.calendar import rule_date
+
 # --------------------------------------------------------------------------
 # These must equal the reference's scoring constants exactly.
 # --------------------------------------------------------------------------
@@ -40,8 +42,11 @@ SURGE_MULTIPLIER = 1.25
 # Expected-volume factors: mid-points of the generator's random ranges.
 WINTER_FACTOR, SUMMER_FACTOR, HOLIDAY_VOLUME_FACTOR = 1.225, 0.915, 1.325
 ANNUAL_GROWTH, GROWTH_BASE_YEAR, VOLUME_FLOOR = 1.03, 2022, 50
-# Holiday month-days used by the fixtures, window -1..+1 day.
-HOLIDAY_MONTH_DAYS = ["01-01", "07-01", "12-25", "12-26"]
+# The statutory holidays of a year, window -1..+1 day: New Year, Family Day, Good Friday, Victoria Day,
+# Canada Day, Civic Holiday, Labour Day, Thanksgiving, Christmas (a Sunday's is kept on the Monday), Boxing Day.
+HOLIDAY_RULES = ["01-01", ("nth", 2, 0, 3), ("easter", -2), ("before", 5, 25, 0), "07-01",
+                 ("nth", 8, 0, 1), ("nth", 9, 0, 1), ("nth", 10, 0, 2), ("shifted", 12, 25), "12-26"]
+HOLIDAY_MONTH_DAYS = ["01-01", "07-01", "12-25", "12-26"]  # month-days that are fixed
 HOLIDAY_WINDOW = (-1, 1)
 # Tier cut-offs and texts.
 ALC_TIERS = [  # (min pct, level, colour, recommendation)
@@ -137,12 +142,11 @@ def holidays_on(spark: SparkSession, dates: list, name: str = "statutory") -> Da
                     F.lit(HOLIDAY_WINDOW[1]).alias("upper_window")))
 
 
-def holidays(spark: SparkSession, first_year: int, last_year: int) -> DataFrame:
-    """Holiday table (holiday, ds, lower_window, upper_window) of the fixed month-days for a year range."""
-    years = spark.range(first_year, last_year + 1).select(
-        F.col("id").cast("int").alias("year"), F.explode(F.array(*[F.lit(m) for m in HOLIDAY_MONTH_DAYS])).alias("md"))
-    return (years
-            .select(F.lit("statutory").alias("holiday"),
-                    F.to_date(F.concat_ws("-", F.col("year").cast("string"), F.col("md"))).alias("ds"),
+def holidays(spark: SparkSession, first_year: int, last_year: int, rules: list | None = None) -> DataFrame:
+    """Holiday table (holiday, ds, lower_window, upper_window) of rules (the fixed month-days) for a year range."""
+    year = F.col("id").cast("int")
+    days = [rule_date(r, year) for r in (HOLIDAY_MONTH_DAYS if rules is None else rules)]
+    return (spark.range(first_year, last_year + 1).select(F.explode(F.array_distinct(F.array(*days))).alias("day"))
+            .select(F.lit("statutory").alias("holiday"), F.col("day").alias("ds"),
                     F.lit(HOLIDAY_WINDOW[0]).alias("lower_window"),
                     F.lit(HOLIDAY_WINDOW[1]).alias("upper_window")))
