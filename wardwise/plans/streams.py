@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wardwise.functions.columns import r6
-from wardwise.streaming.jobs import stream_alc_scores, stream_daily_volume
+from wardwise.streaming.jobs import hourly_volume, stream_alc_scores, stream_daily_volume
 
 
 def q_stream_alc_scores(spark, sf):
@@ -20,7 +20,13 @@ def q_stream_daily_volume(spark, sf):
     return stream_daily_volume(spark, sf)
 
 
+def q_stream_hourly_volume(spark, sf):
+    """K2 by the hour: closed hours against the mean of the site's earlier hours, kept in the stream's state."""
+    return hourly_volume(spark, sf)
+
+
 QUERIES = {
     "stream_alc_scores": q_stream_alc_scores,
     "stream_daily_volume": q_stream_daily_volume,
+    "stream_hourly_volume": q_stream_hourly_volume,
 }
