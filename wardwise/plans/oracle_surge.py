@@ -97,8 +97,12 @@ hi AS (SELECT hospital, coalesce(sum(CASE WHEN in_window = 1 THEN y END)
 sd AS (
   SELECT f0.hospital, stddev_pop(y - fit0 * CASE WHEN in_window = 1 THEN hi.holiday_idx ELSE 1e0 END) AS resid_sd
   FROM f0 JOIN hi ON f0.hospital = hi.hospital GROUP BY f0.hospital),
-model AS (SELECT site.*, hi.holiday_idx, sd.resid_sd FROM site JOIN hi ON site.hospital = hi.hospital
-          JOIN sd ON site.hospital = sd.hospital)"""
+ys AS (SELECT hospital, year(ds) AS yy, regr_slope(y, t) AS b FROM h GROUP BY hospital, year(ds) HAVING count(*) >= 300),
+sv AS (SELECT p.hospital, avg((q.b - p.b) * (q.b - p.b)) / 365.25e0 AS slope_var
+       FROM ys p JOIN ys q ON q.hospital = p.hospital AND q.yy = p.yy + 1 GROUP BY p.hospital),
+model AS (SELECT site.*, hi.holiday_idx, sd.resid_sd, coalesce(sv.slope_var, 0e0) AS slope_var
+          FROM site JOIN hi ON site.hospital = hi.hospital
+          JOIN sd ON site.hospital = sd.hospital LEFT JOIN sv ON site.hospital = sv.hospital)"""
 
 MODEL = MODEL_T.replace("{src}", "ev")
 
@@ -111,12 +115,15 @@ fc AS (
          (sp.intercept + sp.slope * CAST(sp.ds - DATE '2000-01-01' AS BIGINT))
            * coalesce(dw.dow_idx, 1e0) * coalesce(mo.month_idx, 1e0)
            * CASE WHEN hw.hday IS NULL THEN 1e0 ELSE sp.holiday_idx END AS yhat,
-         sp.resid_sd
+         sp.ds - sp.last_date AS ahead,
+         sqrt(sp.resid_sd ** 2 + (coalesce(dw.dow_idx, 1e0) * coalesce(mo.month_idx, 1e0)
+           * CASE WHEN hw.hday IS NULL THEN 1e0 ELSE sp.holiday_idx END) ** 2 * sp.slope_var
+           * (sp.ds - sp.last_date) ** 3 / 3e0) AS resid_sd
   FROM sp LEFT JOIN hw ON sp.ds = hw.hday
        LEFT JOIN dw ON sp.hospital = dw.hospital AND dw.weekday = CAST(isodow(sp.ds) - 1 AS INTEGER)
        LEFT JOIN mo ON sp.hospital = mo.hospital AND mo.month = CAST(month(sp.ds) AS INTEGER)),
 ff AS (
-  SELECT hospital, ds, yhat, yhat - 1.6448536269514722e0 * resid_sd AS yhat_lower,
+  SELECT hospital, ds, ahead, yhat, yhat - 1.6448536269514722e0 * resid_sd AS yhat_lower,
          yhat + 1.6448536269514722e0 * resid_sd AS yhat_upper,
          CAST(floor(base * 1.25e0) AS BIGINT) AS surge_threshold,
          yhat > CAST(floor(base * 1.25e0) AS BIGINT) AS surge_flag
@@ -301,4 +308,34 @@ SELECT ff.hospital, count(*) AS n_test, round(avg(abs(tg.ed_visits - ff.yhat)),
          AS coverage
 FROM ff JOIN tg ON ff.hospital = tg.hospital AND ff.ds = tg.visit_date AND tg.is_test
 GROUP BY ff.hospital""",
+
+    "seasonal_index_dense": w(ED, HOL, """
+rg AS (SELECT hospital, min(visit_date) AS a, max(visit_date) AS b FROM ev GROUP BY hospital),
+dense AS (
+  SELECT rg.hospital, rg.a + CAST(k AS INTEGER) AS visit_date, coalesce(ev.ed_visits, 0) AS ed_visits
+  FROM rg, LATERAL (SELECT unnest(range(rg.b - rg.a + 1)) AS k)
+       LEFT JOIN ev ON ev.hospital = rg.hospital AND ev.visit_date = rg.a + CAST(k AS INTEGER))""",
+                              MODEL_T.replace("{src}", "dense")) + """
+SELECT model.hospital, n_days, round(base, 6) AS base, round(slope, 6) AS slope, round(intercept, 6) AS intercept,
+       round(holiday_idx, 6) AS holiday_idx, round(resid_sd, 6) AS resid_sd
+FROM model JOIN (SELECT hospital, count(*) AS n_days FROM dense GROUP BY hospital) d ON d.hospital = model.hospital""",
+
+    "forecast_horizon_width": w(ED, HOL, MODEL, FORECAST.format(periods=60)) + """
+SELECT hospital, ds, CAST(ahead AS INTEGER) AS days_ahead, round(yhat, 6) AS yhat,
+       round((yhat_upper - yhat_lower) / 2, 6) AS half_width FROM ff WHERE ahead IN (7, 30, 60)""",
+
+    "forecast_rolling": w(ED, HOL, """
+oo AS (SELECT unnest(range(6)) AS origin),
+cuts AS (SELECT ev.hospital, origin, max(visit_date) - CAST(30 + 30 * (5 - origin) AS INTEGER) AS cut FROM ev, oo GROUP BY ev.hospital, origin),
+tr AS (SELECT ev.hospital || '|' || origin AS hospital, ev.visit_date, ev.ed_visits
+       FROM ev JOIN cuts ON cuts.hospital = ev.hospital AND ev.visit_date <= cut)""",
+                          MODEL_T.replace("{src}", "tr").replace("max(ds) AS last_date", "(SELECT min(cut) FROM cuts WHERE cuts.hospital || '|' || cuts.origin = h.hospital) AS last_date"),
+                          FORECAST.format(periods=30)) + """
+SELECT cuts.hospital, CAST(cuts.origin AS INTEGER) AS origin, cuts.cut AS last_date, count(*) AS n_test,
+       round(avg(abs(ev.ed_visits - ff.yhat)), 6) AS mae, round(avg(abs(ev.ed_visits - ff.yhat) / ev.ed_visits * 100e0), 6) AS mape,
+       round(avg(CASE WHEN ev.ed_visits >= ff.yhat_lower AND ev.ed_visits <= ff.yhat_upper THEN 1e0 ELSE 0e0 END), 6) AS coverage,
+       round(avg(ff.yhat_upper - ff.yhat_lower), 6) AS width
+FROM ff JOIN cuts ON ff.hospital = cuts.hospital || '|' || cuts.origin
+     JOIN ev ON ev.hospital = cuts.hospital AND ev.visit_date = ff.ds
+GROUP BY cuts.hospital, cuts.origin, cuts.cut""",
 }

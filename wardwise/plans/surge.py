@@ -308,14 +308,52 @@ def q_forecast_backtest(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_surge_forecast_fourier(spark: SparkSession, sf: str, periods: int = dims.FORECAST_DAYS) -> DataFrame:
-    """piecewise-trend + Fourier + holiday ridge forecast on log visits."""
+    """sparse piecewise-trend + Fourier + holiday forecast on log visits."""
     from wardwise.operators.fourier import forecast_fourier
 
     v = _visits(spark, sf)
     hol = _holidays(v)
     fc = forecast_fourier(fcast.prepare_history(v, hol), hol, periods)
     return fc.select("hospital", "ds", r6("yhat").alias("yhat"), r6("yhat_lower").alias("yhat_lower"),
-                     r6("yhat_upper").alias("yhat_upper"))
+                     r6("yhat_upper").alias("yhat_upper"), "active_knots")
+
+
+def q_fourier_rolling(spark: SparkSession, sf: str) -> DataFrame:
+    """F5 for F4: six cut-offs a month apart, their normal equations from one scan."""
+    from wardwise.operators.fourier import rolling_fourier
+
+    v = _visits(spark, sf)
+    hol = _holidays(v)
+    bt = rolling_fourier(fcast.prepare_history(v, hol), hol)
+    return bt.select("hospital", "origin", "last_date", "n_test", r6("mae").alias("mae"), r6("mape").alias("mape"),
+                     r6("coverage").alias("coverage"), r6("width").alias("width"))
+
+
+def q_seasonal_index_dense(spark: SparkSession, sf: str) -> DataFrame:
+    """F1 with ``densify``: days without rows count as zero visits."""
+    v = _visits(spark, sf)
+    hol = _holidays(v)
+    m = fcast.fit_cells(fcast.dense_cell_sums(fcast.prepare_history(v, hol), hol))
+    return m.select("hospital", "n_days", r6("base").alias("base"), r6("slope").alias("slope"),
+                    r6("intercept").alias("intercept"), r6("holiday_idx").alias("holiday_idx"),
+                    r6("resid_sd").alias("resid_sd"))
+
+
+def q_forecast_horizon_width(spark: SparkSession, sf: str) -> DataFrame:
+    """half-width of the interval 7, 30 and 60 days ahead, which grows with the horizon."""
+    _, hol, m = _model(spark, sf)
+    fc = fcast.forecast(m, hol, 60).where(F.col("days_ahead").isin(7, 30, 60))
+    return fc.select("hospital", "ds", "days_ahead", r6("yhat").alias("yhat"),
+                     r6((F.col("yhat_upper") - F.col("yhat_lower")) / 2).alias("half_width"))
+
+
+def q_forecast_rolling(spark: SparkSession, sf: str) -> DataFrame:
+    """F5 with rolling origins: six cut-offs a month apart, all from one scan of the history."""
+    v = _visits(spark, sf)
+    hol = _holidays(v)
+    bt = fcast.rolling_backtest(fcast.prepare_history(v, hol), hol)
+    return bt.select("hospital", "origin", "last_date", "n_test", r6("mae").alias("mae"), r6("mape").alias("mape"),
+                     r6("coverage").alias("coverage"), r6("width").alias("width"))
 
 
 QUERIES = {
@@ -346,5 +384,9 @@ QUERIES = {
     "validate_surge_inputs": q_validate_surge_inputs,
     "surge_report": q_surge_report,
     "forecast_backtest": q_forecast_backtest,
+    "seasonal_index_dense": q_seasonal_index_dense,
+    "forecast_horizon_width": q_forecast_horizon_width,
+    "forecast_rolling": q_forecast_rolling,
     "surge_forecast_fourier": q_surge_forecast_fourier,
+    "fourier_rolling": q_fourier_rolling,
 }
