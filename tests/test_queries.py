@@ -12,7 +12,7 @@ from wardwise.sources.bindings import TABLES
 ORACLE = oracle_sql()
 # Queries that need the mid-size fixture (forest and model checks need enough rows).
 SLOW = {"permutation_importance", "alc_model_scores", "alc_model_metrics", "alc_model_beds", "alc_model_attribution",
-        "surge_forecast_fourier", "fourier_rolling", "rx_pca"}
+        "surge_forecast_fourier", "fourier_rolling"}
 
 
 @pytest.fixture(scope="module")

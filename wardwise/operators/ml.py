@@ -1,20 +1,21 @@
 """Statistics and learning.
 
-Model fitting uses MLlib (distributed tree boosting, PCA through a
-distributed Gramian); scoring stays in ``transform`` so predictions keep
+Model fitting uses MLlib (distributed tree boosting); scoring stays in ``transform`` so predictions keep
 their row keys (no positional alignment).
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import PCA, StringIndexer, VectorAssembler
+from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardwise.operators.joins import bounded_broadcast, scalar, with_scalar
+from wardwise.operators.moments import correlation, moments
 from wardwise.sources import dims
 from wardwise.operators.ordering import exact_quantile, kth_per_group, uniform_hash
 
@@ -77,17 +78,25 @@ def fit_gbt(train: DataFrame, features: list[str], label: str, rounds: int = dim
     assembler = VectorAssembler(inputCols=features, outputCol="features")
     columns = ["features", label, *([weight] if weight else [])]
     rows = assembler.transform(train.withColumn(label, F.col(label).cast("double"))).select(columns)
-    # every round reads all rows: keep the assembled vectors, in no more partitions than they fill
-    rows = rows.repartition(max(1, -(-rows.count() // FIT_ROWS))).persist()
+    # every round reads all rows: keep the assembled vectors, computed once, in no more partitions than they fill
+    made = rows.persist()
+    dealt = made.repartition(max(1, -(-made.count() // FIT_ROWS))).persist()
     try:
-        return PipelineModel(stages=[assembler, gbt.fit(rows)])
+        return PipelineModel(stages=[assembler, gbt.fit(dealt)])
     finally:
-        rows.unpersist()
+        dealt.unpersist()
+        made.unpersist()
 
 
 def predict(model: PipelineModel, df: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """M5: probability of class 1 and class at ``threshold`` (strict >)."""
-    out = model.transform(df)
+    """M5: probability of class 1 and class at ``threshold`` (strict >).
+
+    A row passes every tree, so rows are dealt to all tasks first: a few large
+    files that cannot be split would leave the work to as many tasks.
+    """
+    session = df.sparkSession
+    tasks = max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism)
+    out = model.transform(df.repartition(tasks))
     return (out.withColumn("score", vector_to_array("probability")[1])
             .withColumn("predicted", (F.col("score") > threshold).cast("int"))
             .drop("features", "rawPrediction", "probability", "prediction"))
@@ -185,37 +194,42 @@ def peer_zscore(df: DataFrame, by: str, cols: list[str]) -> DataFrame:
 
 
 def flag_top_fraction(df: DataFrame, score: str, fraction: float = 0.04, out: str = "is_anomaly") -> DataFrame:
-    """Flag rows above the (1 - fraction) percentile (strict >)."""
-    cut = exact_quantile(df, score, 1.0 - fraction).select(F.col("quantile").alias("_cut"))
-    return df.withColumn(out, (F.col(score) > scalar(cut)["_cut"]).cast("int"))
+    """Flag rows above the (1 - fraction) percentile (strict >).
+
+    ``df`` is read a few times (see ``exact_quantile``): write it first if it is dear.
+    """
+    cut = exact_quantile(df, score, 1.0 - fraction)
+    return df.withColumn(out, (F.col(score) > F.lit(cut)).cast("int"))
 
 
 # --------------------------------------------------------------------------- M16 / M17
 
 def corr_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Pearson correlation of every pair (a < b in column order), long form."""
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    wide = df.agg(*[F.corr(a, b).alias(f"{a}__{b}") for a, b in pairs])
-    long = wide.unpivot([], [f"{a}__{b}" for a, b in pairs], "pair", "corr")
-    return long.select(F.split("pair", "__")[0].alias("feature_a"), F.split("pair", "__")[1].alias("feature_b"),
-                       "corr")
+    """Pearson correlation of every pair (a < b in column order), long form; null beside a constant column."""
+    corr = correlation(moments(df, cols)[2])
+    rows = [(a, b, None if np.isnan(corr[i, j]) else float(corr[i, j]))
+            for i, a in enumerate(cols) for j, b in enumerate(cols) if i < j]
+    return df.sparkSession.createDataFrame(rows, "feature_a string, feature_b string, corr double")
 
 
 def pca2(df: DataFrame, cols: list[str], key: str, k: int = 2) -> DataFrame:
     """First ``k`` principal coordinates of the standardised metrics.
 
-    Standardisation uses the population std (the reference's scaler); the
-    sign of each component is fixed so that its largest-magnitude loading
-    is positive. Adds ``explained_variance_ratio`` per component as columns.
+    Standardisation uses the population std (the reference's scaler), so the
+    components are the eigenvectors of the correlation matrix, which has one
+    row per metric; the sign of each is fixed so that its largest-magnitude
+    loading is positive. Coordinates are column expressions over the rows.
+    Adds ``explained_variance_ratio`` per component as columns.
     """
-    z = standardize(df, cols)
-    zc = [f"{c}_z" for c in cols]
-    vec = VectorAssembler(inputCols=zc, outputCol="_zv").transform(z)
-    model = PCA(k=k, inputCol="_zv", outputCol="_pc").fit(vec)
-    pc = model.pc.toArray()
-    signs = [1.0 if pc[abs(pc[:, j]).argmax(), j] >= 0 else -1.0 for j in range(k)]
-    ratios = list(model.explainedVariance.toArray())
-    out = model.transform(vec).withColumn("_pca", vector_to_array("_pc"))
-    sel = [key] + [(F.col("_pca")[j] * signs[j]).alias(f"pca{j + 1}") for j in range(k)]
-    sel += [F.lit(float(ratios[j])).alias(f"evr{j + 1}") for j in range(k)]
-    return out.select(*sel)
+    n, mean, m2 = moments(df, cols)
+    sd = np.sqrt(np.diag(m2) / max(n, 1))
+    corr = np.nan_to_num(correlation(m2))
+    values, vectors = np.linalg.eigh(corr)
+    order = np.argsort(values)[::-1][:k]
+    total = float(np.trace(corr)) or 1.0
+    z = [((F.col(c) - float(m)) / float(s)) if s > 0 else F.lit(0.0) for c, m, s in zip(cols, mean, sd, strict=True)]
+    out = [F.col(key)]
+    for j, at in enumerate(order):
+        v = vectors[:, at] * (1.0 if vectors[np.abs(vectors[:, at]).argmax(), at] >= 0 else -1.0)
+        out.append(sum((zi * float(w) for zi, w in zip(z, v, strict=True)), F.lit(0.0)).alias(f"pca{j + 1}"))
+    return df.select(*out, *[F.lit(float(values[at]) / total).alias(f"evr{j + 1}") for j, at in enumerate(order)])

@@ -19,11 +19,11 @@ held by a third of all rows is still a single row here.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardwise.operators.joins import scalar
-
 
 def default_buckets(df: DataFrame) -> int:
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))
@@ -68,24 +68,55 @@ def value_counts(df: DataFrame, value_col: str, count_cols: dict[str, Column] |
     return df.groupBy(value_col).agg(*aggs)
 
 
-def exact_quantile(df: DataFrame, value_col: str, q: float) -> DataFrame:
-    """Linear-interpolated percentile (numpy default), one row ``quantile``.
+QUANTILE_BINS = 4096  # bins of a pass
+QUANTILE_ROWS = 10_000  # rows of a bin from which it is divided again
+
+
+def exact_quantile(df: DataFrame, value_col: str, q: float) -> float | None:
+    """Linear-interpolated percentile (numpy default); None for an empty column. Nulls and NaN take no part.
 
-    Distinct values with counts -> running count -> the two order
-    statistics around q x (n - 1) -> interpolate.
+    Selection by histograms: a pass counts the rows of each bin, with the
+    bin's least and greatest value; the bin that holds both order statistics
+    around q x (n - 1) is divided in the next pass. The first pass bins by sign
+    and binary exponent, the next ones by value, so a pass leaves one part in
+    4,096 of the doubles in question. A bin of few rows is read as values with
+    counts. Passes are narrow scans of one column; no exchange and nothing on
+    the driver is wider than a histogram, and rows are never sorted or written.
     """
-    vc = value_counts(df.filter(F.col(value_col).isNotNull()), value_col)
-    cum = ordered_cumsum(vc, value_col, ["n"])
-    total = cum.agg(F.sum("n").alias("n"))  # reads the written distinct-value table
-    pos = F.lit(q) * (scalar(total)["n"] - 1)
-    tagged = cum.withColumn("_pos", pos).withColumn("_prev", F.col("cum_n") - F.col("n"))
-    lo_i, hi_i = F.floor("_pos"), F.ceil("_pos")
-    # the two order statistics around the position (each is exactly one distinct value)
-    picks = tagged.filter(((F.col("_prev") <= lo_i) & (lo_i < F.col("cum_n")))
-                          | ((F.col("_prev") <= hi_i) & (hi_i < F.col("cum_n"))))
-    return picks.agg(
-        (F.min(value_col) + (F.first("_pos") - F.floor(F.first("_pos"))) * (F.max(value_col) - F.min(value_col)))
-        .alias("quantile"))
+    x = df.select(F.col(value_col).cast("double").alias("x")).where("x IS NOT NULL AND NOT isnan(x)")
+    # semi-monotonic in x, which is all that a bin has to be
+    exponent = F.when(F.col("x") == 0, 0.0).otherwise(F.signum("x") * (F.floor(F.least(F.log2(F.abs("x")), F.lit(2000.0))) + 1100))
+    skipped, ranks, low, high, bin_of = 0, None, None, None, exponent
+    while True:
+        part = x if low is None else x.where(F.col("x").between(low, high))
+        bins = sorted(part.groupBy(bin_of.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("a"),
+                                                            F.max("x").alias("b")).collect(), key=lambda r: r["bin"])
+        if ranks is None:
+            n = sum(r["n"] for r in bins)
+            if not n:
+                return None
+            at = q * (n - 1)
+            ranks = math.floor(at), math.ceil(at)
+        # ``skipped`` rows lie below these bins
+        holding, below = [], skipped
+        for r in bins:
+            holding += [(r, below)] * sum(below <= rank < below + r["n"] for rank in set(ranks))
+            below += r["n"]
+        (first, before), (last, _) = holding[0], holding[-1]
+        if first is not last:  # the lower one ends its bin, the upper one begins the next
+            found = first["b"], last["a"]
+            break
+        if first["a"] == first["b"]:
+            found = first["a"], first["a"]
+            break
+        if first["n"] <= QUANTILE_ROWS:
+            counts = sorted(x.where(F.col("x").between(first["a"], first["b"])).groupBy("x").count().collect())
+            values = [v for v, k in counts for _ in range(k)]
+            found = values[ranks[0] - before], values[ranks[1] - before]
+            break
+        skipped, low, high = before, first["a"], first["b"]
+        bin_of = F.floor((F.col("x") - low) / (high - low) * QUANTILE_BINS)
+    return found[0] + (at - math.floor(at)) * (found[1] - found[0])
 
 
 def uniform_hash(key_cols: list[str], seed: int) -> Column:

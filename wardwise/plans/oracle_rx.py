@@ -123,6 +123,33 @@ ff AS (
          ELSE 'Other Anomaly' END AS anomaly_type
   FROM fs, fcut)"""
 
+# Eigenvectors of the correlation matrix by squaring it until one direction is left, then once more without that one.
+_K = len(METRICS)
+_cm = ",\n  ".join("[" + ", ".join("1e0" if a == b else f"corr({a}, {b})" for b in METRICS) + "]" for a in METRICS)
+
+
+def _component(j: int, matrix: str) -> str:
+    return f"""
+p{j} AS (
+  SELECT 0 AS step, m FROM {matrix}
+  UNION ALL
+  SELECT step + 1, list_transform(m, lambda a: list_transform(m, lambda b: list_dot_product(a, b) / list_sum(list_transform(m, lambda c: list_dot_product(c, c)))))
+  FROM p{j} WHERE step < 40),
+l{j} AS (SELECT list_extract(m, list_position(list_transform(m, lambda a: list_dot_product(a, a)), list_max(list_transform(m, lambda a: list_dot_product(a, a))))) AS u
+  FROM p{j} WHERE step = 40),
+v{j} AS (
+  SELECT list_transform(u, lambda x: x / sqrt(list_dot_product(u, u))
+    * sign(list_extract(u, list_position(list_transform(u, lambda x: abs(x)), list_max(list_transform(u, lambda x: abs(x))))))) AS v FROM l{j}),
+e{j} AS (SELECT v, m, list_dot_product(v, list_transform(m, lambda a: list_dot_product(a, v))) AS value FROM v{j}, {matrix}),
+c{j + 1} AS (
+  SELECT list_transform(range(1, {_K + 1}), lambda i: list_transform(range(1, {_K + 1}), lambda k: m[i][k] - value * v[i] * v[k])) AS m FROM e{j})"""
+
+
+_zl = ", ".join(f"({m} - gmu_{m}) / gsd_{m}" for m in METRICS)
+PCA = f"""
+c1 AS (SELECT [{_cm}] AS m FROM pr),{_component(1, "c1")},{_component(2, "c2")},
+gs AS (SELECT {_gstats} FROM pr)"""
+
 _pairs = [(a, b) for i, a in enumerate(METRICS) for b in METRICS[i + 1:]]
 _corr = "\nUNION ALL ".join(f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, round(corr({a}, {b}), 6) AS corr FROM pr"
                             for a, b in _pairs)
@@ -251,4 +278,9 @@ SELECT 'CPSO-' || CAST(prescriber_id + 100000 AS VARCHAR) AS prescriber_code, sp
        round(avg_opioid_mme, 6) AS avg_opioid_mme, round(benzo_opioid_combo_pct, 6) AS benzo_opioid_combo_pct,
        round(patients_per_month, 6) AS patients_per_month
 FROM ff WHERE is_anomaly = 1 ORDER BY anomaly_score DESC, prescriber_id LIMIT 20""",
+
+    "rx_pca": _wr(PRESC, PCA) + f"""
+SELECT prescriber_id, round(list_dot_product([{_zl}], e1.v), 6) AS pca1, round(list_dot_product([{_zl}], e2.v), 6) AS pca2,
+       round(e1.value / {_K}, 6) AS evr1, round(e2.value / {_K}, 6) AS evr2
+FROM pr, gs, e1, e2""",
 }

@@ -189,7 +189,8 @@ def q_rx_corr(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_rx_pca(spark: SparkSession, sf: str) -> DataFrame:
     """First two principal coordinates and explained-variance ratios."""
-    return ml.pca2(prescribers(spark, sf), METRICS, "prescriber_id")
+    p = ml.pca2(prescriber_table(spark, sf), METRICS, "prescriber_id")
+    return p.select("prescriber_id", *[r6(c).alias(c) for c in ("pca1", "pca2", "evr1", "evr2")])
 
 
 _FORESTS: dict[tuple, dict] = {}
@@ -211,9 +212,9 @@ def forest_flagged(spark: SparkSession, sf: str, trees: int = dims.FOREST_TREES)
     if key not in _FORESTS:
         _FORESTS.clear()  # only the last forest is kept
         _FORESTS[key] = fit_iforest(z, zc, "prescriber_id", trees=trees, psi=dims.FOREST_SAMPLES, seed=42)
-    s = score_iforest(z, _FORESTS[key])
+    s = materialize(score_iforest(z, _FORESTS[key]))
     s = ml.flag_top_fraction(s, "anomaly_score", dims.CONTAMINATION)
-    return materialize(s.withColumn("anomaly_type", classify_anomaly()))
+    return s.withColumn("anomaly_type", classify_anomaly())
 
 
 def q_iforest_scores(spark: SparkSession, sf: str) -> DataFrame:
