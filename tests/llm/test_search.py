@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -313,3 +314,30 @@ def test_op8_recall(spark):
     for r in op8_nearest(spark, SF_MID).collect():
         got.setdefault(r.query_id, set()).add(r.vec_id)
     assert sum(len(got[q] & {v for _, v in near}) for q, near in want.items()) >= 0.9 * sum(map(len, want.values()))
+
+
+def test_search_over_several_shards_verifies_few(monkeypatch):
+    """Vectors of the larger table in four shards: recall and the share of vectors whose distance was computed."""
+    table = pq.read_table("/root/testdata/sf0.1/embeddings.parquet")
+    vectors, ids = np.array(table["embedding"].to_pylist(), float), table["vec_id"].to_numpy()
+    verified, near = [], ann.CollisionIndex.near
+
+    def counted(self, *args):
+        found = near(self, *args)
+        verified.append(len(found[0]) / len(self.vectors))
+        return found
+
+    monkeypatch.setattr(ann.CollisionIndex, "near", counted)
+    monkeypatch.setattr(ann, "LEAST", 20)
+    asked = np.flatnonzero(ids % 100 == 0)
+    got = {}
+    for shard in range(4):
+        own = np.arange(len(ids)) % 4 == shard
+        for q, v, d in zip(*ann._search(ids[own], vectors[own], ids[asked], vectors[asked], 10).to_pydict().values(), strict=True):
+            got.setdefault(q, []).append((d, v))
+    found = 0
+    for i in asked:
+        distance = np.sqrt(((vectors - vectors[i]) ** 2).sum(1))
+        distance[i] = np.inf
+        found += len({v for _, v in sorted(got[ids[i]])[:10]} & set(ids[np.argsort(distance, kind="stable")[:10]].tolist()))
+    assert found >= 0.9 * 10 * len(asked) and np.mean(verified) < 0.2

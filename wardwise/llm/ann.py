@@ -1,21 +1,25 @@
 """Approximate nearest neighbours by collision counting with virtual rehashing.
 
-The vectors are dealt to shards of about ``SHARD`` rows by a hash of their id.
-A shard keeps, for each of ``PROJECTIONS`` random directions, one sorted array
-of the vectors' projections. Around a query's projections windows of width
-``WIDTH`` times a radius are opened; a vector collides with the query in a
-direction if it lies in the window. Virtual rehashing grows the radius by
-``GROWTH`` and only counts what the wider windows add. A vector with at least
-``COLLISIONS`` collisions is verified with its exact distance. A query is done
-in a shard once ``k`` verified vectors lie within the radius: a vector within
-it collides in a direction with probability 0.68 or more, so it has reached
-the threshold of 0.55 with a probability of 0.98 or more, and the true nearest
-are at most that far. The shards' nearest are merged by rank.
+The vectors are dealt once, by a hash of their id, to shards of at most
+``SHARD`` rows. A shard keeps, for each of ``PROJECTIONS`` directions, one sorted
+array of the vectors' projections; directions come in random orthogonal sets, as
+many as there are dimensions in each, so a set's projections together hold the
+whole distance. Around a query's projections windows of half a radius' width are
+opened; a vector collides with the query in a direction if it lies in the
+window. Virtual rehashing grows the radius by ``GROWTH`` and only counts what
+the wider windows add. A vector with at least ``COLLISIONS`` collisions is
+verified with its exact distance: the nearest reach that number at the smallest
+radius. A query is done in a shard once ``k`` verified vectors lie within the
+radius, or once ``k`` and the share ``VERIFIED`` of the shard (``LEAST`` at
+least) are verified: where distances differ little, nearly all vectors would
+follow at the next radius. Both numbers are parameters of the index, and recall
+is measured against brute force. The shards' nearest are merged by rank.
 
 Every row is indexed. Queries reach the tasks in blocks of at most
-``QUERY_BLOCK`` rows, the size bound of each broadcast. Equal vectors of a
-shard are one entry that keeps its ``k + 1`` smallest ids, which is all that
-any query can return of them.
+``QUERY_BLOCK`` rows, the size bound of each broadcast; with several blocks the
+dealt table is written once, and a shard's index is built again for each (a
+thousandth of the block's work). Equal vectors of a shard are one entry that
+keeps its ``k + 1`` smallest ids, which is all that any query can return of them.
 
 Edge cases: vectors that are null, empty, zero or hold a null or non-finite
 component take no part, neither do rows with a null id; vectors of another
@@ -26,18 +30,22 @@ as many rows as there are.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-SHARD = 16_384
-PROJECTIONS = 64
-WIDTH = 2.0
-COLLISIONS = 35
-GROWTH = 1.2
+from wardwise.llm.common import stored
+
+SHARD = 8_192
+PROJECTIONS = 192
+WIDTH = 2.0  # of a window, in radii
+COLLISIONS = 118  # of the projections
+GROWTH = 1.04
+VERIFIED, LEAST = 0.05, 200
 QUERY_BLOCK = 20_000
 SEED = 11
 OUT = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
@@ -48,7 +56,9 @@ class CollisionIndex:
 
     def __init__(self, vectors: np.ndarray):
         self.vectors = vectors
-        self.axes = np.random.default_rng(SEED).standard_normal((vectors.shape[1], PROJECTIONS))
+        size, rng = vectors.shape[1], np.random.default_rng(SEED)
+        sets = [np.linalg.qr(rng.standard_normal((size, size)))[0] for _ in range(-(-PROJECTIONS // size))]
+        self.axes = np.concatenate(sets, 1)[:, :PROJECTIONS] * np.sqrt(size)
         values = vectors @ self.axes
         self.order = np.argsort(values, axis=0, kind="stable").T.copy()
         self.sorted = np.take_along_axis(values.T, self.order, 1)
@@ -77,7 +87,7 @@ class CollisionIndex:
                 seen[fresh] = True
                 rows = np.concatenate([rows, fresh])
                 distances = np.concatenate([distances, np.sqrt(((self.vectors[fresh] - query) ** 2).sum(1))])
-            if len(rows) == n or enough(rows, distances, radius):
+            if len(rows) == n or len(rows) >= max(LEAST, VERIFIED * n) or enough(rows, distances, radius):
                 return rows, distances
             radius *= GROWTH
 
@@ -100,7 +110,7 @@ def _search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries
     out = []
     for q, query in zip(query_ids.tolist(), queries, strict=True):
         sample = np.sort(np.sqrt(((distinct[spread] - query) ** 2).sum(1)))
-        start = max(float(sample[min(k, len(sample) - 1)]) / 4, 1e-9)
+        start = max(float(sample[0]) / 4, 1e-9)
 
         def enough(rows: np.ndarray, distances: np.ndarray, radius: float) -> bool:
             return int(sizes[rows[distances <= radius]].sum()) >= k + 1  # the query's own row may be among them
@@ -114,15 +124,30 @@ def _search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries
     return pa.table([pa.array(list(c), t) for c, t in zip(cols, OUT.types, strict=True)], schema=OUT)
 
 
-def _shard_search(sent: Broadcast, k: int) -> Callable[[tuple, pa.Table], pa.Table]:
-    """Search of one shard for the queries of one block."""
-
-    def run(key: tuple, rows: pa.Table) -> pa.Table:
-        size = key[1].as_py()
-        if size not in sent.value:
-            return OUT.empty_table()
-        vectors = rows.column("v").combine_chunks().flatten().to_numpy().reshape(-1, size)
-        return _search(rows.column("id").to_numpy(), vectors, *sent.value[size], k)
+def _shard_search(sent: Broadcast, k: int, size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Search of the shards, of at most ``size`` rows, that a task reads for the queries of one block."""
+
+    def search(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held)
+        sizes = pc.list_value_length(rows.column("v")).to_numpy()
+        for length in np.unique(sizes).tolist():
+            if length in sent.value:
+                own = rows.filter(pa.array(sizes == length))
+                vectors = own.column("v").combine_chunks().flatten().to_numpy().reshape(-1, length)
+                yield from _search(own.column("id").to_numpy(), vectors, *sent.value[length], k).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        room = size
+        for batch in batches:
+            while batch.num_rows:
+                held.append(batch.slice(0, room))
+                batch, room = batch.slice(room), room - held[-1].num_rows
+                if not room:
+                    yield from search(held)
+                    held, room = [], size
+        if held:
+            yield from search(held)
 
     return run
 
@@ -140,7 +165,8 @@ def nearest(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id"
     rows = df.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("id"), vector.alias("v"), is_query.alias("q")).where(usable(F.col("v")))
     n, n_queries = rows.agg(F.count("*"), F.count_if("q")).first()
     shards, blocks = max(1, -(-n // SHARD)), max(1, -(-n_queries // QUERY_BLOCK))
-    dealt = rows.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"), F.size("v").alias("size"))
+    dealt = rows.select("id", "v").repartition(shards, "id")
+    dealt = stored(dealt, "dealt-vectors") if blocks > 1 else dealt
     found = None
     for block in range(blocks):
         chosen = rows.where("q").where(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)) == block).select("id", "v").distinct().collect()
@@ -151,7 +177,7 @@ def nearest(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id"
             vectors.append(q["v"])
         sent = spark.sparkContext.broadcast({s: (np.array(i), np.array(v)) for s, (i, v) in by_size.items()})
 
-        part = dealt.groupBy("shard", "size").applyInArrow(_shard_search(sent, k), "query_id long, vec_id long, score double")
+        part = dealt.mapInArrow(_shard_search(sent, k, SHARD), "query_id long, vec_id long, score double")
         found = part if found is None else found.unionAll(part)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
