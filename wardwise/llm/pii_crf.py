@@ -4,7 +4,8 @@ Base spans come from four patterns (email, ip, card, phone) with their checks.
 A linear-chain CRF over word shapes adds spans that the patterns miss, such as
 spelled-out addresses or numbers in other groupings. Its features are a word's
 shape, a few properties of it, and the same of its neighbours; it is trained
-by maximum likelihood on the small labelled table ``LABELLED`` and decoded by
+by maximum likelihood on a small labelled table (the rows of ``LABELLED`` and
+``MADE_ROWS`` more that are drawn from spellings and sentences) and decoded by
 Viterbi in numpy batches.
 
 Decoding is exact without walking through all prose. Where the lead of
@@ -25,6 +26,7 @@ empty result; other columns pass through, except that ``base_spans`` and
 
 from __future__ import annotations
 
+import random
 import re
 from collections.abc import Iterator
 
@@ -46,6 +48,7 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _SPELLED = re.compile(r"\w\W*(?:@|\bat\b)\W*\w.*\w\W*(?:\.|\bdot\b)\W*\w", re.I | re.S)
+_OCTETS = re.compile(r"([0-9]{1,3})" + r"[^\w\n]{0,5}(?:dot)?[^\w\n]{0,5}([0-9]{1,3})" * 3 + r"(?:[:/][0-9]+)?", re.I)
 _EDGE = ".,;:!?\"'()[]<>"
 
 # The labelled table: texts with spans as [kind:text].
@@ -107,6 +110,27 @@ see www.example.com/page?id=7&x=1 or http://example.org/a.html
 <a href="/x/1.html"> <div class="c"> {x: 1} [1] (2) (a) 1) a)
 """
 
+# Spellings and sentences from which ``made_table`` writes more labelled rows: N a name, H a host, E a domain's end,
+# other letters of the spellings as they are, digits any digits, 255 any octet.
+SPELLINGS = {
+    "email": ["N dot N at H dot E", "N at H dot E", "N.N at H dot E", "N (at) H (dot) E", "N.N (at) H.E", "N [at] H [dot] E", "N(at)H(dot)E", "N[at]H.E", "N.N AT H DOT E", "N at H.H dot E"],
+    "phone": ["(555) 010-4477", "555-010-2299", "555 010 2299", "020 7946 0958", "0301 901820", "07700 900461", "1-800-555-0199", "00 49 30 901820", "030/901820"],
+    "ip": ["255[.]255[.]255[.]255", "255(.)255(.)255(.)255", "255 . 255 . 255 . 255", "255[dot]255[dot]255[dot]255"],
+    "card": ["4111.1111.1111.1111", "4111/1111/1111/1111", "4111_1111_1111_1111", "4111:1111:1111:1111", "3400 000000 00009"],
+}
+SENTENCES = [
+    "{}", "write to {} today", "we have {} on file", "{} was given at the desk", "her note says {}, that is all", "Use {} until Friday.", "(see {})", "it is ({}) now",
+    "by post or {} as before", "new: {}; old: none", "ask for {} and wait", "The label read {}.", "la ligne {} est libre", "unter {} zu finden", "escriba {} por favor", "from {} to the office", "mail {} for it", "email {} or phone",
+]
+OUTSIDE = [
+    "the sets went 6-4, 3-6 and 7-5 in the end", "won 3-1, 2-0 and 14-12 over the week", "scores of 11-9 and 25-23 were called", "it was 21-17 and then 9-15 to them",
+    "pages 12-14, 30-41 and 112 of book 2", "on 03.04.2021 and 17.11.2022 at 09:15", "rules 1.2.3 and 4.5.6 of part 7", "release 10.4.2 of 2020 fixed 31 of 45", "at 7 they left, at 9 they were at home",
+    "put a dot at the top and one at the end", "it costs 12.50 or 1,100 a year, 20% less", "lot 5512 of 8000, row 14, seat 3", "between 1914 and 1918, or 1939-1945", "le 21 mars, de 8 h 30 à 12 h 15",
+    "am 14.02. um 19:30, Reihe 7, Platz 12", "la sala 3, el 12 de julio, 45 personas", "he sat at a table near the dot on the floor", "1) first 2) second 3) third, 10 in all",
+    "stare at the dot on the screen", "aim at a dot in the corner and at the next dot", "point at the dot of the i at the start", "the dot at the left is at rest, the dot below moves",
+]
+MADE_ROWS = 240
+
 LABELS = ("O", *(f"{b}-{k}" for k in KINDS for b in "BI"))
 _MARK = re.compile(r"\[(email|ip|card|phone):((?:[^\[\]]|\[[^\[\]]*\])*)\]")
 _RUN = re.compile(r"[0-9]+|[^\W\d_]+|[^\w.,:;@()\[\]/=+'\"-]+")
@@ -295,10 +319,10 @@ def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
     return (top + np.log(np.exp(x - top).sum(axis, keepdims=True))).squeeze(axis)
 
 
-def labelled_rows(table: str = LABELLED) -> list[tuple[list[str], list[int]]]:
-    """Words and labels of each row of a labelled table."""
+def labelled_rows(table: str | None = None) -> list[tuple[list[str], list[int]]]:
+    """Words and labels of each row of a labelled table (the module's own, if none is given)."""
     rows = []
-    for line in filter(None, table.splitlines()):
+    for line in filter(None, (f"{LABELLED}\n{made_table()}" if table is None else table).splitlines()):
         words, labels, at = [], [], 0
         for m in [*_MARK.finditer(line), None]:
             before = line[at : m.start() if m else None].split()
@@ -313,45 +337,74 @@ def labelled_rows(table: str = LABELLED) -> list[tuple[list[str], list[int]]]:
     return rows
 
 
+def made_table(rows: int = MADE_ROWS, seed: int = 3) -> str:
+    """More labelled rows, drawn from the spellings and sentences."""
+    rnd = random.Random(seed)
+    names, hosts, ends = "anna tom lena maria.k roe j.berg support info".split(), "inbox post shop corp example depot".split(), "org com de net eu".split()
+
+    def written(kind: str) -> str:
+        text = rnd.choice(SPELLINGS[kind])
+        if kind == "email":
+            return re.sub("[NHE]", lambda m: rnd.choice({"N": names, "H": hosts, "E": ends}[m[0]]), re.sub("AT|DOT", lambda m: m[0].lower(), text))
+        if kind == "ip":
+            return re.sub("255", lambda m: str(rnd.randint(0, 255)), text)
+        return re.sub("[0-9]", lambda m: rnd.choice("0123456789"), text)
+
+    lines = []
+    for _ in range(rows):
+        kind = rnd.choice([*KINDS, "", ""])
+        sentence = rnd.choice(OUTSIDE if not kind else SENTENCES)
+        lines.append(sentence.format(f"[{kind}:{written(kind)}]") if kind else sentence)
+    return "\n".join(lines)
+
+
 def train(rows: list[tuple[list[str], list[int]]], steps: int = 200, ridge: float = 0.02) -> Field:
-    """Maximum likelihood with an L2 penalty, by Adam on the exact gradient (forward-backward)."""
+    """Maximum likelihood with an L2 penalty, by Adam on the exact gradient (forward-backward over all rows at once)."""
     names: dict[str, int] = {}
-    data = []
-    for words, labels in rows:
+    n, longest = len(LABELS), max(len(words) for words, _ in rows)
+    per_word = 3 * len(_features(""))
+    feats = np.full((len(rows), longest, per_word), -1)
+    gold = np.zeros((len(rows), longest), np.int64)
+    for k, (words, labels) in enumerate(rows):
         shapes = ["", *map(shape, words), ""]
-        feats = [[names.setdefault(f"{o}:{x}", len(names)) for o in (0, -1, 1) for x in _features(shapes[i + 1 + o])] for i in range(len(words))]
-        data.append((feats, labels))
-    n = len(LABELS)
-    w, moves = np.zeros((len(names), n)), np.zeros((n, n))
+        for i in range(len(words)):
+            feats[k, i] = [names.setdefault(f"{o}:{x}", len(names)) for o in (0, -1, 1) for x in _features(shapes[i + 1 + o])]
+        gold[k, : len(words)] = labels
+    inside = feats[:, :, 0] >= 0
+    order = np.argsort(feats.ravel(), kind="stable")
+    used, starts = np.unique(feats.ravel()[order], return_index=True)
+    w, moves = np.zeros((len(names) + 1, n)), np.zeros((n, n))  # the last row stands for no feature
     for k, label in enumerate(LABELS):  # I-x only after B-x or I-x
         if label[0] == "I":
             moves[[j for j in range(n) if j not in (k, k - 1)], k] = -8.0
     fixed = moves < 0
+    counted = np.zeros((n, n))
+    for _, labels in rows:
+        path = [0, *labels, 0]
+        np.add.at(counted, (path[:-1], path[1:]), 1)
     state = [np.zeros_like(x) for x in (w, w, moves, moves)]
     for step in range(1, steps + 1):
-        gw, gm = -ridge * w, np.where(fixed, 0.0, -ridge * moves)
-        for feats, labels in data:
-            scores = np.array([w[f].sum(0) for f in feats])
-            size = len(labels)
-            ahead, behind = np.zeros((size, n)), np.zeros((size, n))
-            ahead[0] = moves[0] + scores[0]
-            for t in range(1, size):
-                ahead[t] = _logsum(ahead[t - 1][:, None] + moves, 0) + scores[t]
-            behind[-1] = moves[:, 0]
-            for t in range(size - 2, -1, -1):
-                behind[t] = _logsum(moves + (scores[t + 1] + behind[t + 1])[None, :], 1)
-            z = _logsum(ahead[-1] + behind[-1], 0)
-            expect = -np.exp(ahead + behind - z)
-            expect[np.arange(size), labels] += 1
-            for f, e in zip(feats, expect, strict=True):
-                gw[f] += e
-            path = [0, *labels, 0]
-            for a, b in zip(path, path[1:], strict=False):
-                gm[a, b] += 1
-            gm[0] -= np.exp(ahead[0] + behind[0] - z)
-            gm[:, 0] -= np.exp(ahead[-1] + behind[-1] - z)
-            for t in range(1, size):
-                gm -= np.exp(ahead[t - 1][:, None] + moves + (scores[t] + behind[t])[None, :] - z)
+        scores = w[feats].sum(2)
+        ahead, behind = np.zeros_like(scores), np.zeros_like(scores)
+        ahead[:, 0], behind[:, -1] = moves[0] + scores[:, 0], moves[:, 0]
+        for t in range(1, longest):
+            onward = _logsum(ahead[:, t - 1, :, None] + moves, 1) + scores[:, t]
+            ahead[:, t] = np.where(inside[:, t, None], onward, ahead[:, t - 1])
+        for t in range(longest - 2, -1, -1):
+            onward = _logsum(moves + (scores[:, t + 1] + behind[:, t + 1])[:, None, :], 2)
+            behind[:, t] = np.where(inside[:, t + 1, None], onward, moves[:, 0])
+        z = _logsum(ahead[:, -1] + moves[:, 0], 1)[:, None, None]
+        chance = np.exp(ahead + behind - z) * inside[..., None]
+        expect = -chance
+        np.put_along_axis(expect, gold[..., None], np.take_along_axis(expect, gold[..., None], 2) + 1, 2)
+        expect *= inside[..., None]
+        gw = -ridge * w
+        gw[used] += np.add.reduceat(np.repeat(expect.reshape(-1, n), per_word, 0)[order], starts)
+        gw[-1] = 0
+        pairs = ahead[:, :-1, :, None] + moves + (scores[:, 1:] + behind[:, 1:])[:, :, None, :] - z[..., None]
+        gm = counted - ridge * moves - (np.exp(pairs) * inside[:, 1:, None, None]).sum((0, 1))
+        gm[0] -= chance[:, 0].sum(0)
+        gm[:, 0] -= np.take_along_axis(chance, inside.sum(1)[:, None, None] - 1, 1).sum((0, 1))
         gm[fixed] = 0
         for x, g, m, v in ((w, gw, state[0], state[1]), (moves, gm, state[2], state[3])):
             m *= 0.9
@@ -359,7 +412,7 @@ def train(rows: list[tuple[list[str], list[int]]], steps: int = 200, ridge: floa
             v *= 0.999
             v += 0.001 * g * g
             x += 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return Field(names, w, moves)
+    return Field(names, w[:-1], moves)
 
 
 def _plausible(kind: str, found: str) -> bool:
@@ -368,10 +421,20 @@ def _plausible(kind: str, found: str) -> bool:
     if kind == "email":
         return bool(_SPELLED.search(found))
     if kind == "ip":
-        return len(parts := re.findall(r"[0-9]+", found)) >= 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts[:4])
+        return bool(m := _OCTETS.fullmatch(found)) and all(int(p) <= 255 for p in m.groups())
     return 13 <= digits <= 19 if kind == "card" else 7 <= digits <= 15
 
 
+def _closing(text: str, start: int, end: int) -> int:
+    """Where the bracket at ``start`` is closed, or -1."""
+    depth = 0
+    for i in range(start, end):
+        depth += (text[i] == "(") - (text[i] == ")")
+        if not depth:
+            return i
+    return -1
+
+
 def _added(text: str, words: list[str], labels: np.ndarray, base: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int]]:
     """Spans of a text's labels, without the signs around them, that overlap no base span."""
     places = [m.span() for m in re.finditer(r"\S+", text)]
@@ -384,10 +447,12 @@ def _added(text: str, words: list[str], labels: np.ndarray, base: list[tuple[str
         while j < len(words) and labels[j] and LABELS[labels[j]] == f"I-{kind}":
             j += 1
         start, end = places[i][0], places[j - 1][1]
-        while end > start and text[end - 1] in ".,;:!?\"'":
+        while end > start and (text[end - 1] in ".,;:!?\"'" or (text[end - 1] == ")" and text.count(")", start, end) > text.count("(", start, end))):
             end -= 1
-        while start < end and text[start] in "\"'<":
+        while start < end and (text[start] in "\"'<" or (text[start] == "(" and text.count("(", start, end) > text.count(")", start, end))):
             start += 1
+        if start < end and text[start] == "(" and _closing(text, start, end) == end - 1:
+            start, end = start + 1, end - 1
         if start < end and _plausible(kind, text[start:end]) and not any(s < end and start < e for _, s, e in base):
             yield kind, start, end
         i = j
@@ -426,9 +491,9 @@ def spans_of(rows: list[str], field: Field) -> list[tuple[list[tuple[str, int, i
 SPAN = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
 
-def find(df: DataFrame, text_col: str = "text", labelled: str = LABELLED) -> DataFrame:
+def find(df: DataFrame, text_col: str = "text", labelled: str | None = None) -> DataFrame:
     """``df`` plus ``base_spans`` and ``spans``: arrays of (kind, start, end) in code points, end exclusive."""
-    field = train(labelled_rows(labelled))
+    field = train(labelled_rows(labelled) if labelled else labelled_rows())
     model = (field.names, field.weights, field.moves)
     kept: list[Field] = []
     arrow = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
