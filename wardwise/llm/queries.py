@@ -13,7 +13,7 @@ from wardwise.llm.common import table
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
 PIECES = "piece_bpe_32k.model"
 TOKEN_LIMIT = 4096
-HELD_OUT = "crc32(CAST(doc_id AS STRING)) % 5 = 0"
+HELD_OUT = "coalesce(crc32(CAST(doc_id AS STRING)) % 5 = 0, false)"
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
