@@ -17,7 +17,7 @@ from wardwise.llm.queries import BPE_RANKS, training_labels
 def test_stages_and_registry():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "simhash_near_dedup", "benchmark_decontamination", "byte_bpe"]
     names = set(__spark_entry__.queries())
-    assert {n.split("_")[0] for n in names if n.startswith("op") and n[2].isdigit()} == {f"op{k}" for k in range(1, 11)} and "pipeline" in names
+    assert {n.split("_")[0] for n in names if n.startswith("op") and n[2].isdigit()} == {f"op{k}" for k in range(1, 14)} and "pipeline" in names
 
 
 def test_run_equals_brute_force(spark, sf):
