@@ -12,7 +12,8 @@ verified with its exact distance: the nearest reach that number at the smallest
 radius. A query is done in a shard once ``k`` verified vectors lie within the
 radius, or once ``k`` and the share ``VERIFIED`` of the shard (``LEAST`` at
 least) are verified: where distances differ little, nearly all vectors would
-follow at the next radius. Both numbers are parameters of the index, and recall
+follow at the next radius. The first radius is a little less than the distance to
+the nearest of a few vectors of the shard. Both numbers are parameters of the index, and recall
 is measured against brute force. The shards' nearest are merged by rank.
 
 Every row is indexed. Queries reach the tasks in blocks of at most
@@ -41,11 +42,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from wardwise.llm.common import stored
 
 SHARD = 8_192
-PROJECTIONS = 192
+PROJECTIONS = 128
 WIDTH = 2.0  # of a window, in radii
-COLLISIONS = 118  # of the projections
-GROWTH = 1.04
-VERIFIED, LEAST = 0.05, 200
+COLLISIONS = 80  # of the projections
+GROWTH = 1.06
+VERIFIED, LEAST = 0.06, 200
+FIRST = 0.7  # first radius, in distances to the nearest of 256 vectors of the shard
 QUERY_BLOCK = 20_000
 SEED = 11
 OUT = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
@@ -56,20 +58,31 @@ class CollisionIndex:
 
     def __init__(self, vectors: np.ndarray):
         self.vectors = vectors
+        if len(vectors) <= LEAST:
+            return  # so few are all verified
         size, rng = vectors.shape[1], np.random.default_rng(SEED)
         sets = [np.linalg.qr(rng.standard_normal((size, size)))[0] for _ in range(-(-PROJECTIONS // size))]
         self.axes = np.concatenate(sets, 1)[:, :PROJECTIONS] * np.sqrt(size)
         values = vectors @ self.axes
-        self.order = np.argsort(values, axis=0, kind="stable").T.copy()
-        self.sorted = np.take_along_axis(values.T, self.order, 1)
+        order = np.argsort(values, axis=0, kind="stable").T
+        self.order = np.ascontiguousarray(order)
+        # all sorted arrays one after another, each moved to a range of its own: one search finds a place in every array
+        self.low = values.min() - 1.0
+        self.room = 2 * (values.max() - self.low) + 2.0
+        self.moved = np.arange(PROJECTIONS) * self.room - self.low
+        self.sorted = (np.take_along_axis(values.T, order, 1) + self.moved[:, None]).ravel()
 
     def _windows(self, centre: np.ndarray, half: float) -> np.ndarray:
         """(2, projections): first and end rank of each window."""
-        return np.array([[np.searchsorted(s, c - half), np.searchsorted(s, c + half, "right")] for s, c in zip(self.sorted, centre, strict=True)]).T
+        ends = np.clip(np.stack([centre - half, centre + half]), self.low, self.low + self.room / 2) + self.moved
+        first = np.arange(PROJECTIONS) * len(self.vectors)
+        return np.stack([np.searchsorted(self.sorted, ends[0]), np.searchsorted(self.sorted, ends[1], "right")]) - first
 
     def near(self, query: np.ndarray, enough, radius: float) -> tuple[np.ndarray, np.ndarray]:
         """Verified vectors and their distances; ``enough(rows, distances, radius)`` ends the growth."""
         n = len(self.vectors)
+        if n <= LEAST:
+            return np.arange(n), np.sqrt(((self.vectors - query) ** 2).sum(1))
         centre = query @ self.axes
         counts, seen = np.zeros(n, np.int64), np.zeros(n, bool)
         lo = hi = None
@@ -110,7 +123,7 @@ def _search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries
     out = []
     for q, query in zip(query_ids.tolist(), queries, strict=True):
         sample = np.sort(np.sqrt(((distinct[spread] - query) ** 2).sum(1)))
-        start = max(float(sample[0]) / 4, 1e-9)
+        start = max(FIRST * float(sample[sample > 0][0]) if sample[-1] > 0 else 0.0, 1e-9)
 
         def enough(rows: np.ndarray, distances: np.ndarray, radius: float) -> bool:
             return int(sizes[rows[distances <= radius]].sum()) >= k + 1  # the query's own row may be among them
