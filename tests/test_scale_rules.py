@@ -13,9 +13,8 @@ from wardwise.functions.rules import alc_risk_score, alc_tier, horizon_tier, sur
 from wardwise.operators.iforest import fit_iforest, grow, tree_samples
 from wardwise.operators.joins import with_holiday, with_holiday_window
 from wardwise.plans import registry
-from wardwise.plans.alc import admission_rules
 from wardwise.sources import dims
-from wardwise.sources.bindings import admissions, table
+from wardwise.sources.bindings import admission_rules, admissions, table
 from wardwise.sources.validate import validate
 from wardwise.streaming import jobs
 

@@ -6,7 +6,7 @@ import sys
 
 import pytest
 
-from wardwise.sources.io import read_csv, read_csv_checked
+from wardwise.sources.io import read_csv, read_csv_checked, write_csv
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -50,6 +50,15 @@ def test_files_with_another_header_are_no_silent_mix(spark, tmp_path):
         read_csv(spark, path, "a int, b int").collect()
 
 
+def test_overwriting_keeps_the_old_table_if_writing_fails(spark, tmp_path):
+    path = str(tmp_path / "t")
+    for n in (2, 3):
+        write_csv(spark.range(n).selectExpr("id AS a"), path)
+    with pytest.raises(Exception, match="broken"):
+        write_csv(spark.range(9).selectExpr("if(id < 5, 1, raise_error('broken')) AS b", "id AS a"), path)
+    assert sorted(r.a for r in read_csv(spark, path, "a int").collect()) == [0, 1, 2]
+
+
 def child(code, tmp_path, **env):
     surroundings = os.environ | {"PYTHONPATH": ROOT, "SPARK_CONF_DIR": str(tmp_path)} | env
     return subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, env=surroundings, timeout=300, cwd=tmp_path)

@@ -14,7 +14,7 @@ from wardwise.operators.attribution import attribution_ranking
 from wardwise.operators.joins import scalar
 from wardwise.operators.ordering import sample_n
 from wardwise.sources import dims
-from wardwise.sources.bindings import admissions, intake, table
+from wardwise.sources.bindings import admission_rules, admissions, intake
 from wardwise.sources.validate import validate
 
 ALC_FEATURES = ["age", "sex_enc", "diagnosis_enc", "hospital_enc", "lives_alone", "has_caregiver",
@@ -33,14 +33,6 @@ def scored(spark: SparkSession, sf: str) -> DataFrame:
     return s.withColumn("predicted", (F.col("alc_risk_score") > dims.PREDICT_CUTOFF).cast("int"))
 
 
-def admission_rules(spark: SparkSession, sf: str) -> dict:
-    sites = table(spark, sf, "region").select(F.col("r_name").alias("hospital"))
-    return {
-        "age": (18, 110), "los_days": (1, 120), "charlson_index": (0, 11), "functional_score": (0, 100),
-        "prior_admissions": (0, 10), "diagnosis": list(dims.DIAGNOSIS_RISK), "hospital": sites,
-    }
-
-
 def q_validate_admissions(spark: SparkSession, sf: str) -> DataFrame:
     """Violations per rule and the number of valid rows."""
     checked = validate(intake(admissions(spark, sf)), admission_rules(spark, sf))

@@ -33,6 +33,7 @@ def get_spark(master: str | None = None, app: str = "wardwise", partitions: int
     builder = builder.config("spark.sql.shuffle.partitions", str(partitions))
     builder = builder.config("spark.ui.enabled", "false")
     builder = builder.config("spark.ui.showConsoleProgress", "false")
+    builder = builder.config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")  # checkpoints go with their frames
     builder = builder.config("spark.driver.memory", os.environ.get("WARDWISE_DRIVER_MEMORY", "8g"))
     for key, value in DEFAULTS.items():
         builder = builder.config(key, value)

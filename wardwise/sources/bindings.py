@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardwise.sources.dims import DAY_NAMES, LABEL_DIAGNOSIS_RISK
+from wardwise.sources.dims import DAY_NAMES, DIAGNOSIS_RISK, LABEL_DIAGNOSIS_RISK
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -229,3 +229,12 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event stream rows; ``hospital`` = event_type, one visit per event."""
     return table(spark, sf_dir, "events").select(
         "event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("hospital"), "value")
+
+
+def admission_rules(spark: SparkSession, sf: str) -> dict:
+    """S5 rules of an admission: inclusive ranges, listed diagnoses, and the known sites."""
+    sites = table(spark, sf, "region").select(F.col("r_name").alias("hospital"))
+    return {
+        "age": (18, 110), "los_days": (1, 120), "charlson_index": (0, 11), "functional_score": (0, 100),
+        "prior_admissions": (0, 10), "diagnosis": list(DIAGNOSIS_RISK), "hospital": sites,
+    }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -63,10 +65,18 @@ def write_csv(df: DataFrame, path: str, single_file: bool = True) -> None:
 
     ``single_file`` coalesces to one part file and is meant for small
     result tables (summaries, audit lists); large outputs keep their
-    partitioning.
+    partitioning. The table is written beside ``path`` and takes its place
+    when it is whole: a failed write leaves the old table as it was.
     """
     out = df.coalesce(1) if single_file else df
-    out.write.mode("overwrite").option("header", True).csv(path)
+    fresh = f"{path.rstrip('/')}-new-{uuid.uuid4().hex[:12]}"
+    out.write.option("header", True).csv(fresh)
+    context = df.sparkSession.sparkContext
+    old, new = (context._jvm.org.apache.hadoop.fs.Path(p) for p in (path, fresh))
+    files = old.getFileSystem(context._jsc.hadoopConfiguration())
+    files.delete(old, True)
+    if not files.rename(new, old):
+        raise OSError(f"{fresh} is written but could not take the place of {path}")
 
 
 def materialize(df: DataFrame) -> DataFrame:

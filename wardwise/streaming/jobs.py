@@ -40,7 +40,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from wardwise.functions.rules import alc_factors, alc_risk_score, alc_tier, top_factors
 from wardwise.session import checkpoint_dir
 from wardwise.sources import dims
-from wardwise.sources.bindings import admissions_from, customer_sites, table
+from wardwise.sources.bindings import admission_rules, admissions_from, customer_sites, table
 from wardwise.sources.validate import validate
 
 
@@ -91,8 +91,6 @@ def write_scored_batch(out: str):
 def score_admissions(spark: SparkSession, sf_dir: str, out: str | None = None,
                      max_files: int | None = None) -> tuple[DataFrame, DataFrame]:
     """K1: stream orders -> admissions -> validate -> D1-D3; returns the (scored, rejected) sinks."""
-    from wardwise.plans.alc import admission_rules
-
     sites = customer_sites(spark, sf_dir).select("c_custkey", "hospital")
     checked = validate(admissions_from(_stream(spark, sf_dir, "orders", max_files), sites),
                        admission_rules(spark, sf_dir))
