@@ -1,4 +1,4 @@
-"""Holidays by rule, as column expressions over a year or a date.
+"""Holidays by rule, as SQL expressions over a year or a date.
 
 A rule is a yearly month-day (``"07-01"``) or a tuple:
 
@@ -7,7 +7,8 @@ A rule is a yearly month-day (``"07-01"``) or a tuple:
 * ``("easter", offset)``: days from Easter Sunday;
 * ``("shifted", month, day)``: a date, or the Monday after it if it is a Sunday.
 
-Nothing is looked up in a calendar table, so any year works and no join is needed.
+Nothing is looked up in a calendar table, so any year works and no join is
+needed. Expressions are written as text, which Spark parses in one go.
 """
 
 from __future__ import annotations
@@ -18,54 +19,47 @@ from pyspark.sql import functions as F
 SUNDAY = 6
 
 
-def _div(a: Column, b: int) -> Column:
-    return F.floor(a / b)
+def easter_sunday(year: str) -> str:
+    """Easter Sunday of the Gregorian calendar: the Sunday after the full moon of spring, from the moon's age."""
+    golden, century = f"({year} % 19)", f"floor({year} / 100)"
+    skipped = f"({century} - floor({century} / 4))"  # leap days that centuries left out
+    moon_shift = f"floor((8 * {century} + 13) / 25)"
+    days = f"pmod({skipped} - {moon_shift} + 19 * {golden} + 15, 30)"  # from 21 March to the full moon
+    late = f"CASE WHEN {days} = 29 OR ({days} = 28 AND {golden} > 10) THEN 1 ELSE 0 END"
+    return f"next_day(date_add(make_date({year}, 3, 21), CAST({days} - {late} AS INT)), 'Sunday')"
 
 
-def easter_sunday(year: Column) -> Column:
-    """Easter Sunday of the Gregorian calendar, from the moon's age at the start of spring."""
-    golden, century = year % 19, _div(year, 100)
-    dropped_leap = century - _div(century, 4)  # leap days that centuries left out
-    moon_shift = _div(8 * century + 13, 25)
-    epact = F.pmod(dropped_leap - moon_shift + 19 * golden + 15, F.lit(30))  # days from 21 March to the full moon
-    epact = epact - F.when((epact == 29) | ((epact == 28) & (golden > 10)), 1).otherwise(0)
-    full_moon = F.date_add(F.make_date(year, F.lit(3), F.lit(21)), epact.cast("int"))
-    return F.next_day(full_moon, "Sunday")
+def nth_weekday(year: str, month: int, weekday: int, n: int) -> str:
+    first = f"make_date({year}, {month}, 1)"
+    return f"date_add({first}, pmod({weekday} - weekday({first}), 7) + {7 * (n - 1)})"
 
 
-def nth_weekday(year: Column, month: int, weekday: int, n: int) -> Column:
-    first = F.make_date(year, F.lit(month), F.lit(1))
-    return F.date_add(first, F.pmod(weekday - F.weekday(first), F.lit(7)) + 7 * (n - 1))
+def weekday_before(year: str, month: int, day: int, weekday: int) -> str:
+    last = f"make_date({year}, {month}, {day - 1})"
+    return f"date_sub({last}, pmod(weekday({last}) - {weekday}, 7))"
 
 
-def weekday_before(year: Column, month: int, day: int, weekday: int) -> Column:
-    last = F.make_date(year, F.lit(month), F.lit(day - 1))
-    return F.date_sub(last, F.pmod(F.weekday(last) - weekday, F.lit(7)))
-
-
-def rule_date(rule: str | tuple, year: Column) -> Column:
+def rule_date(rule: str | tuple, year: str) -> str:
     """The day of a rule in a year."""
     if isinstance(rule, str):
         month, day = map(int, rule.split("-"))
-        return F.make_date(year, F.lit(month), F.lit(day))
+        return f"make_date({year}, {month}, {day})"
     kind, *args = rule
     if kind == "nth":
         return nth_weekday(year, *args)
     if kind == "before":
         return weekday_before(year, *args)
     if kind == "easter":
-        return F.date_add(easter_sunday(year), args[0])
+        return f"date_add({easter_sunday(year)}, {args[0]})"
     if kind == "shifted":
-        date = F.make_date(year, F.lit(args[0]), F.lit(args[1]))
-        return F.date_add(date, F.when(F.weekday(date) == SUNDAY, 1).otherwise(0))
+        date = f"make_date({year}, {args[0]}, {args[1]})"
+        return f"date_add({date}, CASE WHEN weekday({date}) = {SUNDAY} THEN 1 ELSE 0 END)"
     raise ValueError(f"unknown holiday rule {rule}")
 
 
-def is_rule_holiday(date: Column, rules: list) -> Column:
-    """0/1: whether a date is the day of one of the rules in its year; null dates are none."""
-    fixed = [r for r in rules if isinstance(r, str)]
-    hit = F.date_format(date, "MM-dd").isin(fixed) if fixed else F.lit(False)
-    for rule in rules:
-        if not isinstance(rule, str):
-            hit = hit | (date == rule_date(rule, F.year(date)))
-    return F.coalesce(hit, F.lit(False)).cast("int")
+def is_rule_holiday(date: str, rules: list) -> Column:
+    """0/1: whether a date expression is the day of one of the rules in its year; null dates are none."""
+    fixed = ", ".join(f"'{r}'" for r in rules if isinstance(r, str))
+    tests = [f"date_format({date}, 'MM-dd') IN ({fixed})"] if fixed else []
+    tests += [f"{date} = {rule_date(r, f'year({date})')}" for r in rules if not isinstance(r, str)]
+    return F.expr(f"CAST(coalesce({' OR '.join(tests) or 'false'}, false) AS INT)")

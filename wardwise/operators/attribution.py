@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wardwise.operators.ml import dealt
 from wardwise.session import checkpoint_dir
 
 BLOCK = 1 << 20  # (row, leaf) pairs held at once
@@ -143,7 +144,7 @@ def with_attribution(model: PipelineModel, df: DataFrame, features: list[str],
             pdf["mean_raw"] = sent.value["mean"]
             yield pdf
 
-    return kept.mapInPandas(run, schema)
+    return dealt(kept).mapInPandas(run, schema)
 
 
 def attribution_ranking(model: PipelineModel, df: DataFrame, features: list[str]) -> DataFrame:

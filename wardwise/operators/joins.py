@@ -57,7 +57,7 @@ def with_holiday(df: DataFrame, holidays: DataFrame | list, date_col: str, out:
     one row per holiday) or a list of rules (``functions.calendar``), which needs no table.
     """
     if isinstance(holidays, list):
-        return df.withColumn(out, is_rule_holiday(F.col(date_col), holidays))
+        return df.withColumn(out, is_rule_holiday(f"`{date_col}`", holidays))
     hd = holiday_days(holidays)
     return (df.join(bounded_broadcast(hd), F.col(date_col) == F.col("_hday"), "left")
             .withColumn(out, F.col("_hday").isNotNull().cast("int")).drop("_hday"))
@@ -81,7 +81,7 @@ def with_holiday_window(df: DataFrame, holidays: DataFrame | list, date_col: str
     """
     if isinstance(holidays, list):
         for suffix, offset in (("m1", -1), ("0", 0), ("p1", 1)):
-            df = df.withColumn(f"{prefix}_{suffix}", is_rule_holiday(F.date_add(F.col(date_col), -offset), holidays))
+            df = df.withColumn(f"{prefix}_{suffix}", is_rule_holiday(f"date_add(`{date_col}`, {-offset})", holidays))
         return df.withColumn("in_window", F.greatest(*[f"{prefix}_{s}" for s in ("m1", "0", "p1")]))
     offs = holiday_offsets(holidays)
     per_day = (offs.groupBy("_hday")

@@ -88,15 +88,15 @@ def fit_gbt(train: DataFrame, features: list[str], label: str, rounds: int = dim
         made.unpersist()
 
 
-def predict(model: PipelineModel, df: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """M5: probability of class 1 and class at ``threshold`` (strict >).
-
-    A row passes every tree, so rows are dealt to all tasks first: a few large
-    files that cannot be split would leave the work to as many tasks.
-    """
+def dealt(df: DataFrame) -> DataFrame:
+    """Rows dealt to all tasks, for work of many trees a row: a few large files that cannot be split would leave it to as many tasks."""
     session = df.sparkSession
-    tasks = max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism)
-    out = model.transform(df.repartition(tasks))
+    return df.repartition(max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism))
+
+
+def predict(model: PipelineModel, df: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """M5: probability of class 1 and class at ``threshold`` (strict >)."""
+    out = model.transform(dealt(df))
     return (out.withColumn("score", vector_to_array("probability")[1])
             .withColumn("predicted", (F.col("score") > threshold).cast("int"))
             .drop("features", "rawPrediction", "probability", "prediction"))

@@ -183,7 +183,7 @@ def q_rx_risk_quadrant(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_rx_corr(spark: SparkSession, sf: str) -> DataFrame:
     """Correlation matrix of the metrics (pairs a < b)."""
-    c = ml.corr_matrix(prescribers(spark, sf), METRICS)
+    c = ml.corr_matrix(prescriber_table(spark, sf), METRICS)
     return c.select("feature_a", "feature_b", r6("corr").alias("corr"))
 
 

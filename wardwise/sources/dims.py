@@ -144,8 +144,7 @@ def holidays_on(spark: SparkSession, dates: list, name: str = "statutory") -> Da
 
 def holidays(spark: SparkSession, first_year: int, last_year: int, rules: list | None = None) -> DataFrame:
     """Holiday table (holiday, ds, lower_window, upper_window) of rules (the fixed month-days) for a year range."""
-    year = F.col("id").cast("int")
-    days = [rule_date(r, year) for r in (HOLIDAY_MONTH_DAYS if rules is None else rules)]
+    days = [F.expr(rule_date(r, "CAST(id AS INT)")) for r in (HOLIDAY_MONTH_DAYS if rules is None else rules)]
     return (spark.range(first_year, last_year + 1).select(F.explode(F.array_distinct(F.array(*days))).alias("day"))
             .select(F.lit("statutory").alias("holiday"), F.col("day").alias("ds"),
                     F.lit(HOLIDAY_WINDOW[0]).alias("lower_window"),
