@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, types as T
 
 from wardwise.llm.common import Memory, texts, with_arrow_columns
 
-TEXT_LEAF = 1 << 14  # characters split at once
+TEXT_LEAF = 1 << 11  # characters split at once
 BYTE_LEAF = 4  # bytes merged at once
 LOOKAHEAD = 3  # most characters that a fixed alternative of the pattern examines
 UNIT_ENTRIES, UNIT_CHARS = 200_000, 48  # remembered units of texts, per generation and Python worker
