@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, types as T
 
 from wardwise.llm.common import texts, with_arrow_columns
 
-CHUNK = 1 << 14  # characters of a chunk
+CHUNK = 1 << 11  # characters of a chunk
 MAX_STATES = 200_000  # compiled states per Python worker; beyond, compiled anew
 CACHE_ENTRIES = 400_000  # units in each of two generations
 CACHE_CHARS = 48
