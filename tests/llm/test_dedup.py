@@ -234,8 +234,9 @@ def test_substring_random(spark, monkeypatch):
         rows.append((i, " ".join(words)))
     want = brute_repeats(rows, 20)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    for heavy in (1000, 12):
-        monkeypatch.setattr(substring_dedup, "HEAVY", heavy)
+    for heavy, dense, held in ((1000, 128, 1 << 20), (12, 128, 500), (1000, 3, 1 << 20), (1000, 2, 200)):
+        for name, value in (("HEAVY", heavy), ("DENSE", dense), ("HELD", held)):
+            monkeypatch.setattr(substring_dedup, name, value)
         got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring_dedup.remove_repeats(df).collect()}
         assert got == want
 

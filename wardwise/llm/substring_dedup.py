@@ -11,12 +11,15 @@ them, by key:
 
 1. Anchors. The smallest hash of a window's word groups is its anchor; equal
    windows have equal anchors. The anchors of a document go to buckets by
-   hash, which tell those that occur more than once.
+   hash, which tell those that occur more than once. If ``DENSE`` documents of
+   one task share an anchor, it is heavy, and their owners pass by the bucket,
+   which only hears of the anchor: one that a third of all documents share
+   brings at most ``DENSE`` owners from each task.
 2. Slices. Consecutive windows under one repeated anchor form a slice; slices
    go to the shard of their anchor. Equal slices collapse to the first one
    while they are counted, so a passage shared by a third of all documents
-   arrives once. Windows under an anchor of ``HEAVY`` documents or more are
-   sent one by one, by the hash of the window itself.
+   arrives once. Windows under an anchor of ``HEAVY`` documents or more, or of
+   a dense one, are sent one by one, by the hash of the window itself.
 3. Matching statistics. A shard streams its slices in corpus order through an
    online suffix automaton over words. After each word the automaton's suffix
    link tells the longest suffix that has occurred before: if it is as long as
@@ -52,6 +55,8 @@ from wardwise.llm.common import map_batches
 WINDOW = 20
 GROUP = 8  # words of an anchor's group
 HEAVY = 1000  # documents under one anchor from which its windows go one by one
+DENSE = 128  # documents of one task's ``HELD`` anchors from which an anchor is heavy wherever it occurs
+HELD = 1 << 20  # anchors that a task sorts at once
 BUCKET_CHARS = 16 << 20  # characters of text whose anchors a bucket holds, on average
 CACHE_WORDS = 400_000
 _RNG = np.random.default_rng(7)
@@ -123,44 +128,73 @@ def _document_anchors(h: np.ndarray, window: int) -> np.ndarray:
     return values | twice.astype(np.uint64)
 
 
-def _repeated_anchors(docs: DataFrame, window: int, buckets: int) -> DataFrame:
-    """(id, tag, anchors): each document's anchors that occur more than once; the lowest bit marks heavy ones."""
-
-    def emit(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        found, owners = [], []
-        for i, tag, text in zip(*(batch.column(c).to_pylist() for c in ("id", "tag", "text")), strict=True):
-            words = (text or "").encode().split()
-            if len(words) >= window:
+def _packed(bucket: np.ndarray, anchor: np.ndarray, owner: np.ndarray) -> dict[int, tuple[bytes, bytes]]:
+    """Anchors and owners of each bucket."""
+    order = np.argsort(bucket, kind="stable")
+    anchor, owner, bucket = anchor[order], owner[order], bucket[order]
+    return {int(bucket[s]): (anchor[s:e].tobytes(), owner[s:e].tobytes()) for s, e in zip(*_runs(bucket), strict=True)} if len(bucket) else {}
+
+
+def _emit(buckets: int):
+    """Per task: (bucket, anchor, owner, dense) of the documents' anchors, ``HELD`` at a time."""
+
+    def flush(anchor: np.ndarray, owner: np.ndarray) -> pa.RecordBatch:
+        bare = anchor & ~_ONE
+        values, which, counts = np.unique(bare, return_inverse=True, return_counts=True)
+        is_dense = (counts >= DENSE)[which]
+        bucket = lambda a: ((((a >> _ONE) * _MIX) >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
+        dense = values[counts >= DENSE]
+        of_dense = _packed(bucket(dense), dense, np.zeros((len(dense), 0), np.int64))
+        sparse = _packed(bucket(bare[~is_dense]), anchor[~is_dense], owner[~is_dense])
+        # what is known of the owners of dense anchors passes by, dealt by owner
+        known = owner[is_dense]
+        passing = _packed(-1 - ((known[:, 0] ^ known[:, 1]) % buckets), bare[is_dense] | _ONE, known)
+        rows = [(k, *sparse.get(k, (b"", b"")), of_dense.get(k, (b"",))[0]) for k in sorted({*sparse, *of_dense})]
+        rows += [(k, *v, b"") for k, v in passing.items()]
+        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "anchor", "owner", "dense"])
+
+    def run(window: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, owners, held = [], [], 0
+        for batch in batches:
+            for i, tag, text in zip(*(batch.column(c).to_pylist() for c in ("id", "tag", "text")), strict=True):
+                words = (text or "").encode().split()
+                if len(words) < window:
+                    continue
                 found.append(_document_anchors(_word_hashes(words), window))
                 owners.append(np.full((len(found[-1]), 2), (i, tag), np.int64))
-        if not found:
-            return None
-        anchor, owner = np.concatenate(found), np.concatenate(owners)
-        bucket = (((anchor >> _ONE) * _MIX) >> np.uint64(33)) % np.uint64(buckets)
-        order = np.argsort(bucket, kind="stable")
-        anchor, owner, bucket = anchor[order], owner[order], bucket[order]
-        starts, ends = _runs(bucket)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(bucket[starts].astype(np.int32)),
-                pa.array([anchor[s:e].tobytes() for s, e in zip(starts, ends, strict=True)], pa.binary()),
-                pa.array([owner[s:e].tobytes() for s, e in zip(starts, ends, strict=True)], pa.binary()),
-            ],
-            names=["bucket", "anchor", "owner"],
-        )
-
-    def repeated(rows: pa.Table) -> pa.Table:
-        anchor = np.concatenate([np.frombuffer(b, np.uint64) for b in rows.column("anchor").to_pylist()])
-        owner = np.concatenate([np.frombuffer(b, np.int64).reshape(-1, 2) for b in rows.column("owner").to_pylist()])
-        values, which, counts = np.unique(anchor & ~_ONE, return_inverse=True, return_counts=True)
-        again = counts > 1
-        np.logical_or.at(again, which, (anchor & _ONE) == _ONE)
-        keep = again[which]
-        marked = values[which] | (counts >= HEAVY)[which].astype(np.uint64)
-        return pa.table({"id": owner[keep, 0], "tag": owner[keep, 1], "anchor": marked[keep].view(np.int64)})
-
-    packed = map_batches(docs, emit, "bucket int, anchor binary, owner binary")
-    rows = packed.groupBy("bucket").applyInArrow(repeated, "id long, tag long, anchor long")
+                held += len(found[-1])
+                if held >= HELD:
+                    yield flush(np.concatenate(found), np.concatenate(owners))
+                    found, owners, held = [], [], 0
+        if held:
+            yield flush(np.concatenate(found), np.concatenate(owners))
+
+    return run
+
+
+def _repeated(heavy: int):
+    """Per bucket: (id, tag, anchor) of the anchors that occur more than once; the lowest bit marks heavy ones."""
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        column = lambda name, kind: np.concatenate([np.frombuffer(b, kind) for b in rows.column(name).to_pylist()])
+        anchor, owner = column("anchor", np.uint64), column("owner", np.int64).reshape(-1, 2)
+        if key[0].as_py() >= 0:
+            values, which, counts = np.unique(anchor & ~_ONE, return_inverse=True, return_counts=True)
+            dense = np.isin(values, column("dense", np.uint64))
+            again = (counts > 1) | dense
+            np.logical_or.at(again, which, (anchor & _ONE) == _ONE)
+            keep = again[which]
+            anchor, owner = (values | ((counts >= heavy) | dense).astype(np.uint64))[which[keep]], owner[keep]
+        return pa.table({"id": owner[:, 0], "tag": owner[:, 1], "anchor": anchor.view(np.int64)})
+
+    return run
+
+
+def _repeated_anchors(docs: DataFrame, window: int, buckets: int) -> DataFrame:
+    """(id, tag, anchors): each document's anchors that occur more than once; the lowest bit marks heavy ones."""
+    run = _emit(buckets)
+    packed = docs.mapInArrow(lambda batches: run(window, batches), "bucket long, anchor binary, owner binary, dense binary")
+    rows = packed.groupBy("bucket").applyInArrow(_repeated(HEAVY), "id long, tag long, anchor long")
     return rows.groupBy("id", "tag").agg(F.collect_list("anchor").alias("anchors"))
 
 
