@@ -21,11 +21,15 @@ FROM d JOIN t ON d.hospital = t.hospital
 WHERE d.visit_date < (SELECT max(CAST(ts AS DATE)) FROM events)""",
 
     "stream_hourly_volume": """WITH once AS (SELECT DISTINCT event_id, ts, event_type AS hospital FROM events),
-h AS (SELECT hospital, date_trunc('hour', ts) AS window_start, count(*) AS visits FROM once GROUP BY 1, 2),
+seen AS (SELECT hospital, date_trunc('hour', ts) AS window_start, count(*) AS visits FROM once GROUP BY 1, 2),
+ends AS (SELECT max(ts) - INTERVAL 1 HOUR AS passed FROM events),
+grid AS (SELECT hospital, unnest(generate_series(min(window_start), date_trunc('hour', any_value(passed)) - INTERVAL 1 HOUR, INTERVAL 1 HOUR)) AS window_start
+         FROM seen, ends GROUP BY hospital),
+h AS (SELECT grid.hospital, grid.window_start, coalesce(visits, 0) AS visits FROM grid LEFT JOIN seen USING (hospital, window_start)),
 j AS (SELECT *, row_number() OVER w - 1 AS earlier_hours,
              CAST(floor(1.25e0 * sum(visits) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) / (row_number() OVER w - 1)) AS BIGINT) AS surge_threshold
       FROM h WINDOW w AS (PARTITION BY hospital ORDER BY window_start))
 SELECT hospital, CAST(window_start AS TIMESTAMP) AS window_start, visits, earlier_hours, surge_threshold,
        CAST(coalesce(visits > surge_threshold, false) AS INTEGER) AS surge_flag
-FROM j WHERE window_start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""",
+FROM j""",
 }

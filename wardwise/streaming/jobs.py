@@ -10,7 +10,8 @@ surge days against thresholds from the batch history (stream-static join).
 ``hourly_volume`` is K2 by the hour with kept state: repeated events are
 dropped within the watermark, closed hours are counted, and each site's hours
 so far (their number and visits) stay in the state of the query, so an hour is
-judged against the mean of the site's earlier hours, also over restarts.
+judged against the mean of the site's earlier hours, also over restarts. Hours
+without visits are judged too: an event-time timer tells those at the end.
 
 Sinks are parquet folders with their own checkpoints. A caller that passes
 the same ``out`` folder again resumes where the last run stopped, exactly
@@ -153,24 +154,49 @@ HOURLY = ("hospital string, window_start timestamp, visits long, earlier_hours l
           "surge_flag int")
 
 
+HOUR_MS = 3_600_000
+
+
 class HourJudge(StatefulProcessor):
-    """Judges the closed hours of one site, in order, against the mean of its earlier ones."""
+    """Judges every hour of one site since its first, in order, against the mean of the earlier ones.
+
+    Hours with visits arrive closed. The hours between them had none; those
+    after the last one are told by an event-time timer, which expires when
+    the watermark passes the end of the next hour.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.so_far = handle.getValueState("so_far", "hours long, visits long")
+        self.handle = handle
+        self.so_far = handle.getValueState("so_far", "hours long, visits long, next_ms long")
+
+    def _judged(self, site: str, closed: list[tuple[int, int]], until: int | None = None) -> Iterator[pd.DataFrame]:
+        """Rows of the closed hours (start in ms, visits) and of the silent ones before them, or up to ``until``."""
+        hours, visits, at = self.so_far.get() or (0, 0, closed[0][0])
+        timer = at + HOUR_MS
+        rows = []
+        for start, n in [*closed, *([] if until is None else [(until, None)])]:
+            for hour in range(at, start + (n is not None) * HOUR_MS, HOUR_MS):
+                count = n if hour == start else 0
+                threshold = math.floor(dims.SURGE_MULTIPLIER * visits / hours) if hours else None
+                rows.append((site, pd.Timestamp(hour, unit="ms"), count, hours, threshold,
+                             int(threshold is not None and count > threshold)))
+                hours, visits, at = hours + 1, visits + count, hour + HOUR_MS
+        self.so_far.update((hours, visits, at))
+        self.handle.deleteTimer(timer)
+        self.handle.registerTimer(at + HOUR_MS)
+        out = pd.DataFrame(rows, columns=["hospital", "window_start", "visits", "earlier_hours", "surge_threshold",
+                                          "surge_flag"])
+        yield out.astype({"surge_threshold": "Int64", "window_start": "datetime64[us]"})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        hours, visits = self.so_far.get() or (0, 0)
-        closed = pd.concat(list(rows)).sort_values("window_start")
-        judged = []
-        for start, n in zip(closed["window_start"], closed["visits"].astype(int), strict=True):
-            threshold = math.floor(dims.SURGE_MULTIPLIER * visits / hours) if hours else None
-            judged.append((key[0], start, n, hours, threshold, int(threshold is not None and n > threshold)))
-            hours, visits = hours + 1, visits + n
-        self.so_far.update((hours, visits))
-        out = pd.DataFrame(judged, columns=["hospital", "window_start", "visits", "earlier_hours", "surge_threshold",
-                                            "surge_flag"])
-        yield out.astype({"surge_threshold": "Int64"})
+        closed = pd.concat(list(rows))
+        starts = closed["window_start"].astype("datetime64[ms]").astype("int64")
+        yield from self._judged(key[0], sorted(zip(starts.tolist(), closed["visits"].astype(int).tolist(), strict=True)))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        at = self.so_far.get()[2]
+        yield from self._judged(key[0], [], at + (passed - at) // HOUR_MS * HOUR_MS)
 
     def close(self) -> None:
         pass
@@ -186,7 +212,7 @@ def hourly_stream(events: DataFrame, watermark: str = "1 hour") -> DataFrame:
     once = events.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["event_id"])
     closed = (once.groupBy(F.window("ts", "1 hour").alias("w"), F.col("hospital")).agg(F.count(F.lit(1)).alias("visits"))
               .select(F.window_time("w").alias("at"), F.col("w.start").alias("window_start"), "hospital", "visits"))
-    return closed.groupBy("hospital").transformWithStateInPandas(HourJudge(), HOURLY, "append", "None")
+    return closed.groupBy("hospital").transformWithStateInPandas(HourJudge(), HOURLY, "append", "EventTime")
 
 
 def hourly_volume(spark: SparkSession, sf_dir: str, out: str | None = None, max_files: int | None = None) -> DataFrame:
