@@ -51,7 +51,7 @@ NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 BPE = 2
 
 SCAN = 64  # characters up to which the best pair is searched by scanning
-MEMORY_ENTRIES, MEMORY_CHARS = 300_000, 48
+MEMORY_ENTRIES, MEMORY_CHARS = 500_000, 48
 NONE = float("inf")
 _UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _SOURCE_UNIT = re.compile(f"[ {SPACE}]*[^ {SPACE}]+|[ {SPACE}]+")
