@@ -1,4 +1,4 @@
-"""Reading CSV by header name, and sessions and entries without the usual surroundings."""
+"""Reading CSV by header name, and sessions without the usual surroundings."""
 
 import os
 import subprocess
@@ -74,10 +74,3 @@ def test_session_without_a_configured_checkpoint_folder(tmp_path):
                  "assert a and a == b == s.sparkContext.getCheckpointDir()\n"
                  "print('rows', materialize(s.range(5)).count())\n", tmp_path)
     assert "rows 5" in done.stdout, done.stderr[-2000:]
-
-
-@pytest.mark.parametrize("library", ["ahocorasick", "xxhash", "regex", "sentencepiece", "public_tokenizers"])
-def test_domain_queries_load_without_an_optional_library(tmp_path, library):
-    done = child(f"import sys\nsys.modules[{library!r}] = None\nimport __spark_entry__ as e\n"
-                 "print('names', len(e.queries()), 'pipeline' in e.queries(), 'surge_summary' in e.queries(), len(e.oracle_sql()) > 60)\n", tmp_path)
-    assert "False True True" in done.stdout and library in done.stderr, done.stderr[-2000:]
