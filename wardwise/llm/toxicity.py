@@ -165,19 +165,22 @@ def learn(rows: list[tuple[str, int]]) -> Lexicon:
     n = Counter(y for _, y in rows)
     if not (n[0] and n[1]):
         return Lexicon({}, [], [0.0, 0.0, 0.0])
-    docs = [words_in(fold(t)) for t, _ in rows]
-    seen = Counter()
+    pool: dict[str, str] = {}  # a word of many texts is held once
+    docs = [[pool.setdefault(w, w) for w in words_in(fold(t))] for t, _ in rows]
+    terms_of = lambda words: {w[:k] for w in words for k in range(SHORTEST, min(LONGEST, len(w)) + 1)} | {f"{w} " for w in words}
     where: dict[str, list[int]] = defaultdict(list)
     for i, (words, (_, y)) in enumerate(zip(docs, rows, strict=True)):
-        terms = {w[:k] for w in words for k in range(SHORTEST, min(LONGEST, len(w)) + 1)} | {f"{w} " for w in words}
-        if y:
-            for term in terms:
-                where[term].append(i)
-        else:
-            seen.update(terms)
-    odds = {t: math.log((len(d) + 0.1) / (n[1] + 0.2)) - math.log((seen[t] + 0.1) / (n[0] + 0.2)) for t, d in where.items()}
+        for term in terms_of(words) if y else ():
+            where[term].append(i)
     needed = math.log(1 + len(where)) + 1  # evidence beyond chance, as so many terms were tried
-    left = {t: set(d) for t, d in where.items() if odds[t] >= MIN_LOG_ODDS and _evidence(len(d), seen[t], n[1] / (n[0] + n[1])) >= needed}
+    share = n[1] / (n[0] + n[1])
+    where = {t: d for t, d in where.items() if _evidence(len(d), 0, share) >= needed}  # clean texts only take evidence away
+    seen = Counter()
+    for words, (_, y) in zip(docs, rows, strict=True):
+        if not y:
+            seen.update(t for t in terms_of(words) if t in where)
+    odds = {t: math.log((len(d) + 0.1) / (n[1] + 0.2)) - math.log((seen[t] + 0.1) / (n[0] + 0.2)) for t, d in where.items()}
+    left = {t: set(d) for t, d in where.items() if odds[t] >= MIN_LOG_ODDS and _evidence(len(d), seen[t], share) >= needed}
     chosen: dict[str, float] = {}
     cover, least = Counter(), max(2, math.ceil(LEAST_GAIN * n[1]))
     while left and len(chosen) < MAX_TERMS:  # greedy cover of the toxic texts; ties to the longer, then the smaller term
@@ -201,10 +204,10 @@ def learn(rows: list[tuple[str, int]]) -> Lexicon:
     x = np.array([(1.0, *lexicon.features(t)) for t, _ in rows])
     y = np.array([float(label) for _, label in rows])
     beta, ridge = np.zeros(3), np.diag([1e-3, 1e-2, 1e-2])
-    share = np.where(y > 0, 0.5 / n[1], 0.5 / n[0]) * len(y)  # the sample's classes count alike
+    weight = np.where(y > 0, 0.5 / n[1], 0.5 / n[0]) * len(y)  # the sample's classes count alike
     for _ in range(50):  # Newton's method
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -40, 40)))
-        step = np.linalg.solve(x.T @ (x * (share * p * (1 - p))[:, None]) + ridge, x.T @ (share * (y - p)) - ridge @ beta)
+        step = np.linalg.solve(x.T @ (x * (weight * p * (1 - p))[:, None]) + ridge, x.T @ (weight * (y - p)) - ridge @ beta)
         beta = beta + step
         if np.abs(step).max() < 1e-9:
             break
