@@ -43,9 +43,9 @@ from wardwise.llm.common import Memory, texts, with_arrow_columns
 TEXT_LEAF = 1 << 11  # characters split at once
 BYTE_LEAF = 4  # bytes merged at once
 LOOKAHEAD = 3  # most characters that a fixed alternative of the pattern examines
-UNIT_ENTRIES, UNIT_CHARS = 200_000, 48  # remembered units of texts, per generation and Python worker
-PART_ENTRIES, PART_BYTES = 100_000, 8  # remembered halves of matches
-PAIR_ENTRIES = 400_000  # remembered pairs of tokens
+UNIT_ENTRIES, UNIT_CHARS = 150_000, 48  # remembered units of texts, per generation and Python worker
+PART_ENTRIES, PART_BYTES = 50_000, 8  # remembered halves of matches
+PAIR_ENTRIES = 150_000  # remembered pairs of tokens
 DECODE_LEAF = 1 << 16
 HEAP_FROM = 32  # bytes of one side from which a window is merged with a heap
 NONE = 1 << 40  # above every rank
