@@ -70,3 +70,21 @@ def test_ranking(fitted):
     assert [r["rank"] for r in ranked] == [1, 2, 3, 4] and ranked[-1].feature == "d" and ranked[-1].mean_abs_attribution == 0
     assert {r.feature for r in ranked[:2]} <= {"a", "b", "c"}
     assert attribution.attribution_ranking(model, df.limit(0), FEATURES).count() == 0
+
+
+def test_values_are_binned_as_the_paths_are(spark, fitted, monkeypatch):
+    """Thresholds themselves, infinities and missing values satisfy the intervals that comparing them one by one gives."""
+    model, _ = fitted
+    monkeypatch.setattr(attribution, "LEAVES", 7)
+    own = attribution.attribution_model(model, spark, len(FEATURES))
+    leaves = attribution.leaf_paths(attribution.node_table(model, spark).collect(), list(model.stages[-1].treeWeights))
+    ends = sorted({v for _, p in leaves for low, high, _ in p.values() for v in (low, high)})
+    x = np.array([[v, w, v, w] for v in [*ends, np.nan, 0.3] for w in (ends[3], np.nan, 1.0)])
+    want = np.zeros(x.shape)
+    for value, path in leaves:
+        table = attribution._tables(np.array([value]), np.array([[s for _, _, s in path.values()]]))[0]
+        for r, row in enumerate(x):
+            mask = sum(1 << j for j, (f, (low, high, _)) in enumerate(path.items()) if low < row[f] <= high)
+            for j, f in enumerate(path):
+                want[r, f] += table[mask, j]
+    assert len(own["cuts"][0]) > 3 and np.allclose(attribution.attributions(own, x), want, atol=1e-12)

@@ -14,8 +14,10 @@ path leaves for j) and the share of training rows that go along if unknown.
    depth at most), the attributions are computed once: the product over the
    other features of (share + satisfied x t) is a polynomial in t whose
    coefficients, by subset size, are weighted s! (k - s - 1)! / k!.
-3. These tables are broadcast. A row costs its interval tests and one look-up
-   per leaf (``mapInPandas``, NumPy over blocks of rows and leaves).
+3. These tables are broadcast, with the satisfied leaves of every feature by
+   the bin of its value (its thresholds are the bins' bounds). A row costs one
+   look-up a feature for the sets of all leaves, and one per leaf and path
+   feature (``mapInPandas``, NumPy over blocks of rows and leaves).
 
 The attributions of a row sum to its raw score less the mean.
 """
@@ -35,7 +37,8 @@ from pyspark.sql import types as T
 from wardwise.operators.ml import dealt
 from wardwise.session import checkpoint_dir
 
-BLOCK = 1 << 20  # (row, leaf) pairs held at once
+BLOCK = 1 << 16  # (row, leaf) pairs held at once
+LEAVES = 1024  # leaves held at once
 
 
 def node_table(model: PipelineModel, spark) -> DataFrame:
@@ -75,18 +78,21 @@ def leaf_paths(nodes: list, weights: list[float]) -> list[tuple[float, dict[int,
     return leaves
 
 
-def _table(value: float, shares: list[float]) -> np.ndarray:
-    """(2 ** k, k): attribution of each path feature for each set of satisfied ones."""
-    k = len(shares)
+def _tables(values: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    """(leaves, 2 ** k, k): attribution of each leaf's path features for each set of satisfied ones."""
+    k = shares.shape[1]
     weight = [factorial(s) * factorial(k - s - 1) / factorial(k) for s in range(k)]
-    out = np.zeros((1 << k, k))
-    for mask in range(1 << k):
-        for j in range(k):
-            poly = np.ones(1)
-            for i in range(k):
-                if i != j:
-                    poly = np.convolve(poly, [shares[i], mask >> i & 1])
-            out[mask, j] = value * ((mask >> j & 1) - shares[j]) * (poly @ weight)
+    on = np.arange(1 << k)[:, None] >> np.arange(k) & 1
+    out = np.zeros((len(values), 1 << k, k))
+    for j in range(k):
+        poly = np.zeros((len(values), 1 << k, k))
+        poly[:, :, 0] = 1.0
+        for i in range(k):
+            if i != j:
+                longer = poly * shares[:, i, None, None]
+                longer[:, :, 1:] += poly[:, :, :-1] * on[:, i, None]
+                poly = longer
+        out[:, :, j] = values[:, None] * (on[:, j] - shares[:, j, None]) * (poly @ weight)
     return out
 
 
@@ -96,36 +102,39 @@ def attribution_model(model: PipelineModel, spark, n_features: int) -> dict:
     groups = defaultdict(list)
     for value, path in leaves:
         groups[len(path)].append((value, path))
+    cuts = [np.unique([b for _, p in leaves if f in p for b in p[f][:2] if np.isfinite(b)]) for f in range(n_features)]
     packed = []
     for k, members in groups.items():
         if k == 0:
             continue
-        features = np.array([list(p) for _, p in members])
-        low, high, _ = np.array([[p[f] for f in p] for _, p in members]).transpose(2, 0, 1)
-        tables = np.stack([_table(v, [p[f][2] for f in p]) for v, p in members])
-        packed.append((features, low, high, tables))
+        for a in range(0, len(members), LEAVES):
+            part = members[a:a + LEAVES]
+            features = np.array([list(p) for _, p in part])
+            # a row a bin; the last one is for values that are no numbers and lie on no path
+            bits = [np.zeros((len(c) + 2, len(part)), np.min_scalar_type((1 << k) - 1)) for c in cuts]
+            for i, (_, p) in enumerate(part):
+                for j, (f, (low, high, _)) in enumerate(p.items()):
+                    bits[f][np.searchsorted(cuts[f], low) + np.isfinite(low):np.searchsorted(cuts[f], high) + 1, i] = 1 << j
+            tables = _tables(np.array([v for v, _ in part]), np.array([[p[f][2] for f in p] for _, p in part]))
+            own = [(f, b) for f, b in enumerate(bits) if b.any()]
+            packed.append((k, own, [np.ascontiguousarray(tables[:, :, j]).ravel() for j in range(k)],
+                           [np.eye(n_features)[features[:, j]] for j in range(k)]))
     mean = sum(v * np.prod([s for _, _, s in p.values()]) for v, p in leaves)
-    return {"groups": packed, "mean": float(mean), "n_features": n_features}
+    return {"groups": packed, "cuts": cuts, "mean": float(mean), "n_features": n_features}
 
 
 def attributions(own: dict, x: np.ndarray) -> np.ndarray:
     """(rows, features) attributions of rows ``x``."""
     out = np.zeros((len(x), own["n_features"]))
-    for features, low, high, tables in own["groups"]:
-        k = features.shape[1]
-        for a in range(0, len(features), 1024):
-            f, lo, hi, table = features[a:a + 1024], low[a:a + 1024], high[a:a + 1024], tables[a:a + 1024]
-            leaf = np.arange(len(f))
-            to = [np.eye(own["n_features"])[f[:, j]] for j in range(k)]
-            for b in range(0, len(x), max(1, BLOCK // len(f))):
-                part = x[b:b + max(1, BLOCK // len(f))]
-                mask = np.zeros((len(part), len(f)), np.int64)
-                for j in range(k):
-                    v = part[:, f[:, j]]
-                    mask |= ((v > lo[:, j]) & (v <= hi[:, j])).astype(np.int64) << j
-                moved = table[leaf, mask]
-                for j in range(k):
-                    out[b:b + len(part)] += moved[:, :, j] @ to[j]
+    bins = [np.where(v > -np.inf, np.searchsorted(c, v), len(c) + 1) for c, v in zip(own["cuts"], x.T, strict=True)]
+    for k, bits, tables, to in own["groups"]:
+        leaves = len(to[0])
+        first = np.arange(leaves) << k
+        step = max(1, BLOCK // leaves)
+        for a in range(0, len(x), step):
+            at = first + sum(b[bins[f][a:a + step]] for f, b in bits)
+            for table, names in zip(tables, to, strict=True):
+                out[a:a + step] += table[at] @ names
     return out
 
 
