@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tests.conftest import SF_SMALL
 from wardwise.operators import forecast, fourier, ml
 from wardwise.operators.forecast import prepare_history
-from wardwise.plans import surge
+from wardwise.plans import alc, surge
 from wardwise.sources import dims
 
 
@@ -137,3 +137,24 @@ def test_interval_coverage_at_horizons(spark, days):
     fc = forecast.forecast(forecast.fit_seasonal_index(h), dims.HOLIDAY_RULES, days)
     wide = fc.where("hospital = 'ASIA'").select("days_ahead", (F.col("yhat_upper") - F.col("yhat_lower")).alias("w")).collect()
     assert max(wide, key=lambda r: r.days_ahead).w > min(wide, key=lambda r: r.days_ahead).w
+
+
+def test_training_rows_fill_the_cores_and_no_more(spark, monkeypatch):
+    """Beyond a partition per core more of them only add tasks to the jobs of every round."""
+    seen = []
+    monkeypatch.setattr(ml, "FIT_ROWS", 10)
+    monkeypatch.setattr(ml.GBTClassifier, "fit", lambda self, rows: seen.append(rows.rdd.getNumPartitions()) or self)
+    for n in (25, 4000):
+        ml.fit_gbt(spark.range(n).withColumn("y", F.col("id") % 2), ["id"], "y")
+    assert seen == [3, spark.sparkContext.defaultParallelism]
+    assert ml.fit_partitions(0, 6) == 1 and ml.fit_partitions(7_200_000, 6) == 18
+
+
+def test_model_rows_are_made_once(spark):
+    """What follows the encoding reads written rows and not the tables, and the split's cut is not looked for again."""
+    split = alc.model_input(spark, SF_SMALL)
+    assert not split.inputFiles()
+    plan = split._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Aggregate" not in plan
+    want = {r.patient_id: r.is_test for r in alc.q_split_members(spark, SF_SMALL).collect()}
+    assert {r.patient_id: r.is_test for r in split.collect()} == want

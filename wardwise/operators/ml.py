@@ -54,18 +54,26 @@ def stratified_split(df: DataFrame, label: str, key_cols: list[str], test_frac:
     rows = sizes.collect()  # one row per class: bounded by the label's cardinality
     largest = max([r["_n"] for r in rows] or [0])
     buckets = max(64, -(-largest // ROWS_PER_BUCKET))
-    tagged = u.join(F.broadcast(sizes.drop("_n")), label)
+    tagged = u.join(F.broadcast(df.sparkSession.createDataFrame(rows, sizes.schema).drop("_n")), label)
     # the k-th (hash, key) of each class; rows at or below it are the hold-out
     kth = kth_per_group(tagged, [label], "_u", key_cols, "_k", buckets=buckets).select(
         label, F.struct("_u", *key_cols).alias("_cut"))
-    marked = u.join(F.broadcast(kth), label, "left")  # <= #classes rows
+    marked = u.join(bounded_broadcast(kth), label, "left")  # <= #classes rows, found once for all readers of the split
     return (marked.withColumn("is_test", F.coalesce(F.struct("_u", *key_cols) <= F.col("_cut"), F.lit(False)))
             .drop("_u", "_cut"))
 
 
 # --------------------------------------------------------------------------- M4 / M5
 
-FIT_ROWS = 20_000  # rows of a training partition
+FIT_ROWS = 20_000  # rows of a training partition, if there are no more partitions than cores
+FIT_ROWS_MOST = 500_000  # rows of a training partition, if there are
+
+
+def fit_partitions(n: int, cores: int) -> int:
+    """Partitions of ``n`` training rows: each of the rounds x depth jobs starts two tasks for every one of them."""
+    waves = max(1, -(-n // (cores * FIT_ROWS_MOST)))
+    return max(1, min(-(-n // FIT_ROWS), waves * cores))
+
 
 def fit_gbt(train: DataFrame, features: list[str], label: str, rounds: int = dims.GBT_ROUNDS,
             depth: int = dims.GBT_DEPTH, step: float = dims.GBT_RATE, subsample: float = dims.GBT_SUBSAMPLE,
@@ -80,7 +88,7 @@ def fit_gbt(train: DataFrame, features: list[str], label: str, rounds: int = dim
     rows = assembler.transform(train.withColumn(label, F.col(label).cast("double"))).select(columns)
     # every round reads all rows: keep the assembled vectors, computed once, in no more partitions than they fill
     made = rows.persist()
-    dealt = made.repartition(max(1, -(-made.count() // FIT_ROWS))).persist()
+    dealt = made.repartition(fit_partitions(made.count(), train.sparkSession.sparkContext.defaultParallelism)).persist()
     try:
         return PipelineModel(stages=[assembler, gbt.fit(dealt)])
     finally:

@@ -15,6 +15,7 @@ from wardwise.operators.joins import scalar
 from wardwise.operators.ordering import sample_n
 from wardwise.sources import dims
 from wardwise.sources.bindings import admission_rules, admissions, intake
+from wardwise.sources.io import materialize
 from wardwise.sources.validate import validate
 
 ALC_FEATURES = ["age", "sex_enc", "diagnosis_enc", "hospital_enc", "lives_alone", "has_caregiver",
@@ -180,8 +181,12 @@ _MODELS: dict[tuple, PipelineModel] = {}
 
 
 def model_input(spark: SparkSession, sf: str) -> DataFrame:
-    """M1-M3: encoded admissions with the hold-out flag."""
+    """M1-M3: encoded admissions with the hold-out flag.
+
+    They are written once: the split, the key of the fit, the class weight, the fit and the queries on it read them again.
+    """
     a = ml.label_encode(labelled(spark, sf), ["sex", "diagnosis", "hospital"])
+    a = materialize(a.select("patient_id", "hospital", "alc_flag", *ALC_FEATURES))
     return ml.stratified_split(a, "alc_flag", ["patient_id"], dims.TEST_FRACTION, 42)
 
 
