@@ -13,7 +13,9 @@ from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
+from wardwise.operators import boosting
 from wardwise.operators.joins import bounded_broadcast, scalar, with_scalar
 from wardwise.operators.moments import correlation, moments
 from wardwise.sources import dims
@@ -66,6 +68,8 @@ def stratified_split(df: DataFrame, label: str, key_cols: list[str], test_frac:
 # --------------------------------------------------------------------------- M4 / M5
 
 FIT_ROWS = 20_000  # rows of a training partition, if there are no more partitions than cores
+MLLIB_ROWS = 20_000  # rows that MLlib itself fits
+DEPTH_MOST = 8  # levels whose histograms fit the driver and a task
 FIT_ROWS_MOST = 500_000  # rows of a training partition, if there are
 
 
@@ -78,12 +82,23 @@ def fit_partitions(n: int, cores: int) -> int:
 def fit_gbt(train: DataFrame, features: list[str], label: str, rounds: int = dims.GBT_ROUNDS,
             depth: int = dims.GBT_DEPTH, step: float = dims.GBT_RATE, subsample: float = dims.GBT_SUBSAMPLE,
             col_frac: str = str(dims.GBT_COLSAMPLE), seed: int = 42, weight: str | None = None) -> PipelineModel:
-    """M4: boosted-tree binary classifier in a Pipeline (assembler + GBT)."""
+    """M4: boosted-tree binary classifier in a Pipeline (assembler + GBT).
+
+    MLlib fits tables of up to ``MLLIB_ROWS`` rows; above that the same method runs on binned rows (``boosting``).
+    """
     gbt = GBTClassifier(featuresCol="features", labelCol=label, maxIter=rounds, maxDepth=depth,
                         stepSize=step, subsamplingRate=subsample, featureSubsetStrategy=col_frac, seed=seed)
     if weight:
         gbt.setWeightCol(weight)
     assembler = VectorAssembler(inputCols=features, outputCol="features")
+    ordered = all(isinstance(train.schema[f].dataType, NumericType) and not train.schema[f].metadata for f in features)
+    if ordered and depth > 0 and rounds > 0:
+        n, total = train.agg(F.count(F.lit(1)), F.sum(F.col(weight).cast("double")) if weight else F.count(F.lit(1)).cast("double")).first()
+        if n > MLLIB_ROWS and depth <= DEPTH_MOST:
+            cores = train.sparkSession.sparkContext.defaultParallelism
+            waves = -(-n // (cores * boosting.ROWS_MOST))
+            return PipelineModel(stages=[assembler, boosting.fit(train, features, label, weight, gbt, n, total,
+                                                                 min(-(-n // FIT_ROWS), waves * cores))])
     columns = ["features", label, *([weight] if weight else [])]
     rows = assembler.transform(train.withColumn(label, F.col(label).cast("double"))).select(columns)
     # every round reads all rows: keep the assembled vectors, computed once, in no more partitions than they fill
