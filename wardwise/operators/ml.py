@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from wardwise.operators import boosting
+from wardwise.operators import boosting, scoring
 from wardwise.operators.joins import bounded_broadcast, scalar, with_scalar
 from wardwise.operators.moments import correlation, moments
 from wardwise.sources import dims
@@ -119,8 +119,11 @@ def dealt(df: DataFrame) -> DataFrame:
 
 def predict(model: PipelineModel, df: DataFrame, threshold: float = 0.5) -> DataFrame:
     """M5: probability of class 1 and class at ``threshold`` (strict >)."""
-    out = model.transform(dealt(df))
-    return (out.withColumn("score", vector_to_array("probability")[1])
+    score = scoring.score(model, df)
+    rows = dealt(df)
+    if score is None:
+        rows, score = model.transform(rows), vector_to_array("probability")[1]
+    return (rows.withColumn("score", score)
             .withColumn("predicted", (F.col("score") > threshold).cast("int"))
             .drop("features", "rawPrediction", "probability", "prediction"))
 
